@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, quality_rules, url_filter
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality_rules.op6_quality_rules}
+    return {
+        "op3_url_filter": url_filter.op3_url_filter,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_source_mixing": mixing.op8_source_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can express; the rest is held against brute force in tests/llm."""
-    return {}
+    return {"op8_source_mixing": mixing.OP8_SQL}

@@ -1,0 +1,126 @@
+"""URL filter: host rules first, else logistic regression on hashed character n-grams.
+
+All of it is DataFrame expressions. The model is fitted with Spark ML's
+logistic regression on a small labelled URL table (below, or the caller's);
+scoring looks each distinct hashed n-gram up in the fitted weights, an array
+literal of ``dim`` numbers, so judging is one narrow pass over the table.
+
+Defined results: a null URL, or one without ``://``, has an empty host and
+path, fits no rule and is judged by the model's intercept with no n-grams;
+repeated rows are judged each by itself; with a table of one class only, that
+class is the verdict where no rule fits.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .workspace import let, table
+
+#: (rule, verdict): the part before the first ``/`` is a host, the rest a path prefix.
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+#: The labelled URL table: words seen in unwanted and in wanted host names. Each gets the same ends and paths, so that those teach nothing.
+UNWANTED = """casino-win casino free-bets best-bets bets online-casino poker-room slots jackpot-win cheap-pills pills cheap-meds pharma-deal viagra-shop
+spam-farm spam link-farm spam-mail ads-track ads ad-server adserve track-click tracker click-bait popup-ads banner-ads adult-x adult xxx-video porn-tube
+sex-chat escort-dates hot-dates free-money win-prize free-prize lottery-win loan-fast payday-loan cheap-loan cheap-watches replica-bags crack-keys
+warez torrent-free malware phish-login get-rich fast-cash seo-links buy-followers weight-loss diet-pills hack-tool keygen gamble-now bet-win""".split()
+WANTED = """news library university garden science history museum weather kitchen travel journal school research archive market city
+ther then than that this thing tion and ander ents ing her on the ion ent over their there other theirs nation station season
+water winter summer mountain river forest letter paper number member center matter either brother weather gather leather
+ththen thering thontion theand tionther ththe onthe inger ereth esther enthon ththin thern thened thand ththly thour
+data docs code wiki forum people health music sport photo books story local world today maison jardin schule garten casa
+escuela livre histoire zeitung wissenschaft medicine nurse teacher student engine bridge street house window table light
+blether erond ndthe inthat ofthe onereth stthe reand hetion whether another teaching learning reading writing walking
+english fashion british spanish finish publish fish shelter shop first west forest east best coast artist question motion action shoulder cushion mansion tension
+fourth north south month earth youth health truth cloth worth month band land hand wind sound ground friend""".split()
+STARTS, ENDS = ("", "www.", "blog.", "m."), ("com", "org", "net", "example.com", "example.org", "example.net")
+PATHS = ("/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}", "/", "/{}/index.html")
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    rows = []
+    for label, words in ((1, UNWANTED), (0, WANTED)):
+        for i, w in enumerate(words):
+            for k in range(8):  # 24 hosts in all pairs of start and end; each word takes eight of them
+                n = i + 5 * k
+                rows.append((f"https://{STARTS[n % 4]}{w}.{ENDS[(n // 4 + k) % 6]}{PATHS[(i + k) % 6].format(17 * i + 131 * k)}", label))
+    return spark.createDataFrame(rows, "url string, label int")
+
+
+def url_host(url: Column) -> Column:
+    """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
+    found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    return F.coalesce(F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+
+
+def url_path(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
+
+
+def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """The longest rule that fits, and its verdict; null where none fits."""
+    name = verdict = F.when(F.lit(False), F.lit(""))
+    for rule, said in sorted(rules, key=lambda r: -len(r[0])):
+        at, slash, rest = rule.partition("/")
+        fits = ((host == at) | host.endswith(f".{at}")) & path.startswith(slash + rest)
+        name, verdict = name.when(fits, F.lit(rule)), verdict.when(fits, F.lit(said))
+    return name, verdict
+
+
+def ngram_slots(host: Column, path: Column, dim: int, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
+    """Distinct slots, 0 to dim - 1, of the character n-grams of host and of path (hashed apart)."""
+
+    def grams(kind: str, text: Column) -> Column:
+        framed = F.concat(F.lit("^"), F.translate(F.lower(text), "123456789", "000000000"), F.lit("$"))  # a number's digits say nothing
+
+        def of(t: Column) -> Column:
+            each = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=F.lit(n): F.pmod(F.xxhash64(F.lit(kind), F.substring(t, i, n)), F.lit(dim)))).otherwise(F.array().cast("array<bigint>")) for n in sizes]
+            return F.concat(*each)
+
+        return let(framed, of)
+
+    return F.array_distinct(F.concat(grams("host", host), grams("path", path)))
+
+
+class UrlModel:
+    """Weights by slot; the log odds of a URL are the intercept and the weights of its distinct slots."""
+
+    def __init__(self, weights: list[float], intercept: float, dim: int):
+        self.weights, self.intercept, self.dim = weights, intercept, dim
+
+    @classmethod
+    def fit(cls, urls: DataFrame, *, dim: int = 4096, reg: float = 0.005, max_iter: int = 60) -> UrlModel:
+        slots = ngram_slots(url_host(F.col("url")), url_path(F.col("url")), dim)
+        rows = urls.filter("label in (0, 1)").select("label", slots.alias("s"))
+        sizes = dict(rows.groupBy("label").count().collect())
+        classes = list(sizes)
+        if len(classes) < 2:
+            return cls([0.0] * dim, (9.0 if classes[:1] == [1] else -9.0), dim)
+        weight = F.when(F.col("label") == 1, sum(sizes.values()) / (2 * sizes[1])).otherwise(sum(sizes.values()) / (2 * sizes[0]))  # either class counts alike
+        vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], "s", "features").setBinary(True).transform(rows.withColumn("s", F.col("s").cast("array<string>")))  # slot i is feature i
+        model = LogisticRegression(maxIter=max_iter, regParam=reg, standardization=False, weightCol="w").fit(vectors.select(F.col("label").cast("double"), weight.alias("w"), "features"))
+        return cls([round(float(w), 6) for w in model.coefficients.toArray()], float(model.intercept), dim)
+
+    def score(self, host: Column, path: Column) -> Column:
+        weights = F.lit(self.weights)
+        total = lambda s: F.aggregate(s, F.lit(0.0), lambda a, i: a + F.get(weights, i.cast("int")))
+        z = let(ngram_slots(host, path, self.dim), total) + self.intercept
+        return 1 / (1 + F.exp(-z))
+
+
+def judge_urls(pages: DataFrame, model: UrlModel, *, url: str = "url", id_col: str = "page_id", rules=RULES, threshold: float = 0.5) -> DataFrame:
+    """One row a URL: id, host, path, rule, score (only where no rule fits) and verdict."""
+    parts = pages.select(F.col(id_col), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    rule, said = matching_rule(F.col("host"), F.col("path"), rules)
+    ruled = parts.withColumns({"rule": rule, "__said": said})
+    scored = ruled.withColumn("score", F.when(F.col("rule").isNull(), model.score(F.col("host"), F.col("path"))))
+    verdict = F.coalesce(F.col("__said"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
+    return scored.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), UrlModel.fit(labelled_urls(spark)))
