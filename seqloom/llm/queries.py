@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, url_filter
+from . import mixing, quality_rules, sharding, token_files, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": sharding.op1_sharding,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op5_token_files": token_files.op5_token_files,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_source_mixing": mixing.op8_source_mixing,
     }
