@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding, token_files, url_filter
+from . import jaccard_join, mixing, quality_rules, sharding, token_files, url_filter
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op3_url_filter": url_filter.op3_url_filter,
         "op5_token_files": token_files.op5_token_files,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_source_mixing": mixing.op8_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can express; the rest is held against brute force in tests/llm."""
-    return {"op8_source_mixing": mixing.OP8_SQL}
+    return {"op7_jaccard_join": jaccard_join.OP7_SQL, "op8_source_mixing": mixing.OP8_SQL}
