@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, quality_rules, sharding, token_files, url_filter
+from . import decontamination, jaccard_join, mixing, quality_rules, sharding, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_decontamination": decontamination.op4_decontamination,
         "op5_token_files": token_files.op5_token_files,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
