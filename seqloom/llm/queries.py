@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing, quality_rules, sharding, token_files, url_filter
+from . import decontamination, jaccard_join, language_id, mixing, quality_rules, sharding, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_language_id": language_id.op2_language_id,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_token_files": token_files.op5_token_files,
