@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, mixing, quality_rules, sharding, token_files, url_filter
+from . import decontamination, jaccard_join, language_id, lm_scoring, mixing, quality_rules, sharding, token_files, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_source_mixing": mixing.op8_source_mixing,
+        "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     }
 
 
