@@ -101,24 +101,61 @@ def open_reader(path: str) -> FileReader:
 
 
 class Encoder:
-    """Ids of whole texts as bytes. The tokenizer drops white space and never joins words, so each distinct word is encoded once."""
+    """Ids of whole texts as bytes. The tokenizer drops white space, lower-cases and parts letters from marks, so each
+    distinct run of letters is encoded once: words are looked up, new words are parted, and only new parts are encoded."""
 
-    def __init__(self, tokenizer: str, remembered: int = 400_000):
+    _kept: dict[str, Encoder] = {}
+
+    def __init__(self, tokenizer: str, words: int = 300_000, parts: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.remembered = Tokenizer.from_file(tokenizer), {}, remembered
+        self.tokenizer, self.most = Tokenizer.from_file(tokenizer), (words, parts)
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, tokenizer: str) -> Encoder:
+        """The one of this worker process: what it remembers serves its later tasks."""
+        if tokenizer not in cls._kept:
+            cls._kept[tokenizer] = cls(tokenizer)
+        return cls._kept[tokenizer]
+
+    def _part(self, part: str) -> bytes:
+        """Ids of ASCII letters in lower case: these pass the tokenizer's normaliser and splitter unchanged."""
+        ids = self.parts.get(part)
+        if ids is None:
+            tokens = self.model.tokenize(part)
+            ids = self.parts[part] = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
+        return ids
+
+    def _learn(self, missing: list[str]) -> None:
+        hard = []
+        for w in missing:
+            core = w.rstrip(".,;:!?")
+            if core.isascii() and core.isalpha():
+                ids = self._part(core.lower())
+                if len(core) < len(w):
+                    marks = w[len(core) :]
+                    if marks not in self.parts:
+                        found = self.tokenizer.encode(marks, add_special_tokens=False).ids
+                        self.parts[marks] = struct.pack(f"<{len(found)}I", *found)
+                    ids += self.parts[marks]
+                self.words[w] = ids
+            else:
+                hard.append(w)
+        for w, e in zip(hard, self.tokenizer.encode_batch(hard, add_special_tokens=False)):
+            self.words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         split = [WORDS.findall(t) if t else () for t in texts]
-        known = self.known
-        missing = [w for w in {w for words in split for w in words} if w not in known]
-        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        end = struct.pack("<I", end_id)
-        out = [b"".join(map(known.__getitem__, words)) + end for words in split]
-        if len(known) > self.remembered:
-            known.clear()
+        self._learn([w for w in {w for words in split for w in words} if w not in self.words])
+        end, known = struct.pack("<I", end_id), self.words.__getitem__
+        out = [b"".join(map(known, words)) + end for words in split]
+        for kept, most in zip((self.words, self.parts), self.most):
+            if len(kept) > most:
+                kept.clear()
         return out
 
 
@@ -138,7 +175,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_
                 if writer is None:
                     store, name = fs.FileSystem.from_uri(file)
                     store.create_dir(name.rpartition("/")[0], recursive=True)
-                    encoder, writer = Encoder(tokenizer), FileWriter(store.open_output_stream(name, compression=None))
+                    encoder, writer = Encoder.of(tokenizer), FileWriter(store.open_output_stream(name, compression=None))
                 for doc_id, ids in zip(piece["id"].to_pylist(), encoder.encode(piece["text"].to_pylist(), end_id)):
                     writer.add(doc_id, ids)
                     n_ids += len(ids) // 4
