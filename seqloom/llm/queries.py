@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, lm_scoring, mixing, quality_rules, sharding, token_files, url_filter
+from . import decontamination, html_extraction, jaccard_join, language_id, lm_scoring, mixing, quality_rules, sharding, token_files, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_source_mixing": mixing.op8_source_mixing,
         "op9_lm_scoring": lm_scoring.op9_lm_scoring,
+        "op10_html_extraction": html_extraction.op10_html_extraction,
     }
 
 
