@@ -1,11 +1,279 @@
-"""Named queries of the sequence engine, and the SQL that checks them."""
+"""Named queries of the sequence engine, and the SQL that checks them.
+
+References are the ``documents`` as DNA, reads are the ``benchmark`` items.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import dna
+from .operators import sequences as sq
+
+K = 6
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sq.drop_empty(docs.select(F.col("doc_id").alias("idx"), F.concat(F.lit("d"), "doc_id").alias("name"), dna.dna_of_text(F.col("text")).alias("seq"), F.lit(None).cast("string").alias("qual")))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with made-up qualities: (7 * letter code + position) mod 40."""
+    items = table(spark, sf_dir, "benchmark")
+    seq = items.select(F.col("item_id").alias("idx"), F.concat(F.lit("b"), "item_id").alias("name"), dna.dna_of_text(F.col("text")).alias("seq"))
+    qual = F.array_join(F.transform(F.split("seq", ""), lambda c, i: F.when(c == "", "").otherwise(F.char((F.ascii(c) * 7 + i + 1) % 40 + 33))), "")
+    return sq.drop_empty(seq.withColumn("qual", qual))
+
+
+def short_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 bases for each customer."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("name"), F.translate(F.upper(F.md5(F.col("c_custkey").cast("string"))), "0123456789ABCDEF", "ACGTACGTACGTACGT").alias("seq"))
+
+
+DNA_SQL = "translate(regexp_replace(lower({0}), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+REFS_SQL = f"refs AS (SELECT doc_id AS idx, {DNA_SQL.format('text')} AS seq FROM documents WHERE length({DNA_SQL.format('text')}) > 0)"
+READS_SQL = f"reads AS (SELECT item_id AS idx, {DNA_SQL.format('text')} AS seq FROM benchmark WHERE length({DNA_SQL.format('text')}) > 0)"
+SHORT_SQL = "short AS (SELECT c_custkey AS idx, c_name AS name, translate(upper(md5(c_custkey::VARCHAR)), '0123456789ABCDEF', 'ACGTACGTACGTACGT') AS seq FROM customer)"
+QUALITY_SQL = "(ascii(substr(seq, i::INT, 1)) * 7 + i) % 40"
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+@query("SELECT doc_id AS idx, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM (SELECT doc_id, " + DNA_SQL.format("text") + " AS seq FROM documents) WHERE length(seq) > 0")
+def revcomp(spark, sf_dir):
+    return references(spark, sf_dir).select("idx", dna.revcomp(F.col("seq")).alias("rc"))
+
+
+@query(f"""WITH {REFS_SQL} SELECT idx, 'd' || idx AS name, length(seq)::BIGINT AS len, md5(seq) AS digest, true AS is_orig, NULL::VARCHAR AS source_name, NULL::INT AS source_end FROM refs
+UNION ALL SELECT idx + 1000000, 'revcomp(d' || idx || ')', length(seq)::BIGINT, md5(reverse(translate(seq, 'ACGT', 'TGCA'))), false, 'd' || idx, length(seq)::INT FROM refs""")
+def both_strands(spark, sf_dir):
+    both = sq.with_revcomps(references(spark, sf_dir), 1_000_000)
+    return both.select("idx", "name", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("digest"), "is_orig", F.col("source.name").alias("source_name"), F.col("source.end").alias("source_end"))
+
+
+@query(f"""WITH {SHORT_SQL} SELECT idx, sum((instr('ACGT', substr(seq, i::INT, 1)) - 1) * i)::BIGINT AS weighted FROM short, range(1, 33) r(i) GROUP BY idx""")
+def tokenized(spark, sf_dir):
+    t = short_seqs(spark, sf_dir).select("idx", dna.tokens(F.col("seq")).alias("t"))
+    return t.select("idx", F.aggregate(F.transform("t", lambda x, i: (x * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted"))
+
+
+@query(f"""WITH {SHORT_SQL}, k AS (SELECT idx, i::INT AS pos, substr(seq, (i + 1)::INT, 12) AS kmer FROM short, range(0, 21) r(i))
+SELECT idx, pos, kmer AS decoded, (SELECT sum((instr('ACGT', substr(kmer, j::INT, 1)) - 1) * pow(4, 12 - j))::BIGINT FROM range(1, 13) t(j)) AS code FROM k""")
+def kmer_codes(spark, sf_dir):
+    k = sq.kmer_index(short_seqs(spark, sf_dir), 12).withColumn("code", dna.kmer_encode(F.col("kmer")))
+    return k.select("idx", "pos", dna.kmer_decode(F.col("code"), 12).alias("decoded"), "code")
+
+
+@query(f"""WITH {SHORT_SQL}, c AS (SELECT idx, seq, base, len(string_split(seq, base)) - 1 AS n, instr('ACGT', base) AS o FROM short, (VALUES ('A'), ('C'), ('G'), ('T')) b(base)),
+m AS (SELECT idx, seq, arg_max(base, n * 10 - o) AS base FROM c GROUP BY ALL)
+SELECT idx, string_agg(substr(base || base || seq, i::INT, 3), ',' ORDER BY i) AS contexts FROM m, range(1, 33) r(i) GROUP BY idx""")
+def context_kmers(spark, sf_dir):
+    return short_seqs(spark, sf_dir).select("idx", F.array_join(dna.context_kmers(F.col("seq"), 3), ",").alias("contexts"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 2 = 1 THEN 1000 - (l_suppkey % 50 + l_linenumber) + 1 ELSE l_suppkey % 50 + 1 + 100 - 1 END::BIGINT AS c_start,
+CASE WHEN l_partkey % 2 = 1 THEN 1000 - (l_suppkey % 50 + 1) + 1 ELSE l_suppkey % 50 + l_linenumber + 100 - 1 END::BIGINT AS c_end, (l_partkey % 2 = 1) != (l_linenumber % 2 = 1) AS c_rev FROM lineitem""")
+def composed_intervals(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    inner = F.struct(F.lit("sub").alias("name"), (F.col("l_suppkey") % 50 + 1).alias("start"), (F.col("l_suppkey") % 50 + F.col("l_linenumber")).alias("end"), (F.col("l_linenumber") % 2 == 1).alias("rev"))
+    outer = F.struct(F.lit("root").alias("name"), F.lit(100).cast("long").alias("start"), F.lit(1000).cast("long").alias("end"), (F.col("l_partkey") % 2 == 1).alias("rev"))
+    c = rows.withColumn("c", dna.compose(inner, outer))
+    return c.select("l_orderkey", "l_linenumber", F.col("c.start").alias("c_start"), F.col("c.end").alias("c_end"), F.col("c.rev").alias("c_rev"))
+
+
+@query(f"""WITH {REFS_SQL}, n AS (SELECT base, sum(len(string_split(seq, base)) - 1)::BIGINT AS n FROM refs, (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY base)
+SELECT base, n, round(n / sum(n) OVER (), 9) AS share FROM n""")
+def base_composition(spark, sf_dir):
+    return sq.base_composition(references(spark, sf_dir))
+
+
+@query(f"""WITH {READS_SQL}, p AS (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM reads)
+SELECT substr(seq, i::INT, 1) AS base, ({QUALITY_SQL})::INT AS q, count(*) AS n FROM p GROUP BY ALL""")
+def quality_histogram(spark, sf_dir):
+    return sq.quality_histogram(reads(spark, sf_dir))
+
+
+@query("""SELECT l_returnflag, count(*)::DOUBLE AS n, round(avg(l_quantity), 6) AS mean, round(avg(l_quantity * l_quantity) - avg(l_quantity) * avg(l_quantity), 6) AS variance FROM lineitem GROUP BY l_returnflag""")
+def histogram_moments(spark, sf_dir):
+    hist = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_quantity").cast("int").alias("k")).agg(F.count("*").alias("f"))
+    m = sq.histogram_moments(hist, ["l_returnflag"], "k", "f")
+    return m.select("l_returnflag", "n", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+@query("""WITH m AS (SELECT l_linestatus, avg(l_quantity) AS mean, avg(l_quantity * l_quantity) - avg(l_quantity) * avg(l_quantity) AS var FROM lineitem GROUP BY l_linestatus),
+f AS (SELECT l_linestatus, mean / var AS p, mean * (mean / var) / (1 - mean / var) AS r FROM m)
+SELECT l_linestatus, round(p, 6) AS p, round(r, 6) AS r, round(r * (1 - p) / p, 6) AS nb_mean, round(r * (1 - p) / (p * p), 6) AS nb_variance FROM f""")
+def nb_moment_fit(spark, sf_dir):
+    hist = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", F.col("l_quantity").cast("int").alias("k")).agg(F.count("*").alias("f"))
+    m = sq.histogram_moments(hist, ["l_linestatus"], "k", "f").withColumn("p", F.col("mean") / F.col("variance"))
+    m = m.withColumn("r", F.col("mean") * F.col("p") / (1 - F.col("p")))
+    return m.select("l_linestatus", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"), F.round(dna.nb_mean(F.col("p"), F.col("r")), 6).alias("nb_mean"), F.round(dna.nb_variance(F.col("p"), F.col("r")), 6).alias("nb_variance"))
+
+
+def kmer_sql(name: str, k: int) -> str:
+    return f"SELECT idx, i::INT AS pos, substr(seq, (i + 1)::INT, {k}) AS kmer FROM (SELECT idx, seq, unnest(range(0, greatest(length(seq) - {k} + 1, 0))) AS i FROM {name})"
+
+
+DIAG_K = 12
+DIAGS_SQL = f"""{REFS_SQL}, {READS_SQL}, kx AS ({kmer_sql('refs', DIAG_K)}), ky AS ({kmer_sql('reads', DIAG_K)}),
+diags AS (SELECT kx.idx AS x_idx, ky.idx AS y_idx, kx.pos - ky.pos AS diag, count(*) AS cnt FROM kx JOIN ky ON kx.kmer = ky.kmer GROUP BY ALL)"""
+
+
+@query(f"WITH {DIAGS_SQL} SELECT * FROM diags")
+def diagonal_counts(spark, sf_dir):
+    return sq.diagonal_counts(references(spark, sf_dir), reads(spark, sf_dir), DIAG_K)
+
+
+@query(f"WITH {DIAGS_SQL} SELECT x_idx, y_idx, cnt, array_to_string(list_sort(list(diag)), ',') AS diagonals FROM diags GROUP BY x_idx, y_idx, cnt")
+def count_distribution(spark, sf_dir):
+    d = sq.count_distribution(sq.diagonal_counts(references(spark, sf_dir), reads(spark, sf_dir), DIAG_K))
+    return d.select("x_idx", "y_idx", "cnt", F.array_join(F.col("diagonals").cast("array<string>"), ",").alias("diagonals"))
+
+
+@query(f"WITH {DIAGS_SQL} SELECT * FROM diags WHERE cnt >= 14")
+def seed_diagonals(spark, sf_dir):
+    return sq.seed_diagonals(sq.diagonal_counts(references(spark, sf_dir), reads(spark, sf_dir), DIAG_K), 14)
+
+
+BANDS_SQL = f"""{DIAGS_SQL}, s AS (SELECT d.x_idx, d.y_idx, length(x.seq) AS x_len, length(y.seq) AS y_len, d.diag FROM diags d JOIN refs x ON x.idx = d.x_idx JOIN reads y ON y.idx = d.y_idx WHERE cnt >= 14),
+w AS (SELECT x_idx, y_idx, x_len, y_len, unnest(range(greatest(diag - 32, 1 - y_len), least(diag + 32, x_len - 1) + 1)) AS d FROM s UNION SELECT x_idx, y_idx, x_len, y_len, 0 FROM s),
+env AS (SELECT x_idx, y_idx, any_value(x_len) AS x_len, any_value(y_len) AS y_len, list_sort(list(d)) AS ds FROM w GROUP BY x_idx, y_idx)"""
+
+
+def _bands(spark, sf_dir):
+    x, y = references(spark, sf_dir), reads(spark, sf_dir)
+    lx, ly = x.select(F.col("idx").alias("x_idx"), F.length("seq").alias("x_len")), y.select(F.col("idx").alias("y_idx"), F.length("seq").alias("y_len"))
+    env = sq.bands(sq.seed_diagonals(sq.diagonal_counts(x, y, DIAG_K), 14), lx, ly, 64)
+    return env.join(lx, "x_idx").join(ly, "y_idx")
+
+
+@query(f"WITH {BANDS_SQL} SELECT x_idx, y_idx, array_to_string(ds, ',') AS diagonals FROM env")
+def band_envelopes(spark, sf_dir):
+    return _bands(spark, sf_dir).select("x_idx", "y_idx", F.array_join(F.col("diagonals").cast("array<string>"), ",").alias("diagonals"))
+
+
+@query(f"""WITH {BANDS_SQL}, r AS (SELECT x_idx, y_idx, x_len, ds, unnest(range(1, y_len + 1)) AS j FROM env),
+c AS (SELECT x_idx, y_idx, j, len(list_filter(ds, lambda d: d + j >= 1 AND d + j <= x_len))::BIGINT AS cells FROM r)
+SELECT x_idx, y_idx, j::INT AS j, cells, coalesce(sum(cells) OVER (PARTITION BY x_idx, y_idx ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM c""")
+def storage_layout(spark, sf_dir):
+    return sq.storage_layout(_bands(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier),
+a AS (SELECT idx FROM s UNION ALL SELECT idx + n FROM s, n)
+SELECT x.idx AS x_idx, y.idx AS y_idx, y.idx >= n AS y_complemented FROM a x, a y, n WHERE x.idx < y.idx AND x.idx <= n - 2""")
+def overlap_pairs(spark, sf_dir):
+    keys = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") - F.min("s_suppkey").over(Window.partitionBy())).alias("idx"))
+    n = keys.count()
+    return sq.triangular_pairs(keys.union(keys.select(F.col("idx") + n)), n)
+
+
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS idx, text AS seq, coalesce(sum(length(text)) OVER (ORDER BY conv_id * 1000 + turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+SELECT idx, length(seq)::BIGINT AS len FROM c WHERE before < 20000""")
+def training_prefix(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.col("text").alias("seq"))
+    return sq.training_prefix(rows, 20_000).select("idx", F.length("seq").cast("long").alias("len"))
+
+
+@query("SELECT p_name AS name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def duplicate_names(spark, sf_dir):
+    return sq.duplicate_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
+
+
+EVIDENCE_SQL = "e AS (SELECT user_id, max(value) + ln(sum(exp(value - m))) AS log_evidence FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM events) GROUP BY user_id)"
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT user_id, round(log_evidence, 6) AS log_evidence FROM e")
+def log_evidence(spark, sf_dir):
+    return sq.evidence(table(spark, sf_dir, "events"), "user_id", "value").select("user_id", F.round("log_evidence", 6).alias("log_evidence"))
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT event_id, round(exp(value - log_evidence), 6) AS posterior FROM events JOIN e USING (user_id)")
+def posterior_weights(spark, sf_dir):
+    return sq.posteriors(table(spark, sf_dir, "events"), "user_id", "value").select("event_id", F.round("posterior", 6).alias("posterior"))
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT event_id FROM events JOIN e USING (user_id) WHERE value >= log_evidence - 20")
+def pruned_pairs(spark, sf_dir):
+    return sq.survivors(table(spark, sf_dir, "events"), "user_id", "value").select("event_id")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def best_hit(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return sq.best_per_group(o, "o_custkey", "o_totalprice", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders")
+def ranked_hits(spark, sf_dir):
+    return sq.ranked(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey", "rank")
+
+
+#: Two rows of a made-up alignment of each customer's sequence: gaps where md5 digits are low.
+ROWS_SQL = f"""{SHORT_SQL}, cols AS (SELECT idx, i, substr(seq, i::INT, 1) AS base, substr(md5('x' || idx), i::INT, 1) AS h FROM short, range(1, 33) r(i)),
+ops AS (SELECT idx, i, CASE WHEN h IN ('0', '1') THEN '-' ELSE base END AS a, CASE WHEN h IN ('2', '3') THEN '-' WHEN h = '4' THEN translate(base, 'ACGT', 'CGTA') ELSE base END AS b FROM cols)"""
+
+
+def _rows(spark, sf_dir):
+    h = F.split(F.md5(F.concat(F.lit("x"), F.col("idx").cast("string"))), "")
+    s = short_seqs(spark, sf_dir).select("idx", F.arrays_zip(F.split("seq", "").alias("base"), h.alias("h")).alias("c"))
+    a = F.array_join(F.transform("c", lambda x: F.when(x["h"].isin("0", "1"), "-").otherwise(x["base"])), "")
+    b = F.array_join(F.transform("c", lambda x: F.when(x["h"].isin("2", "3"), "-").when(x["h"] == "4", F.translate(x["base"], "ACGT", "CGTA")).otherwise(x["base"])), "")
+    return s.select("idx", a.alias("ref_row"), b.alias("read_row"))
+
+
+@query(f"""WITH {ROWS_SQL}, o AS (SELECT idx, i, CASE WHEN a = '-' THEN 'I' WHEN b = '-' THEN 'D' ELSE 'M' END AS op FROM ops),
+g AS (SELECT idx, i, op, row_number() OVER (PARTITION BY idx ORDER BY i) - row_number() OVER (PARTITION BY idx, op ORDER BY i) AS island FROM o),
+runs AS (SELECT idx, op, min(i) AS s, count(*) AS n FROM g GROUP BY idx, op, island)
+SELECT idx, string_agg(n || op, '' ORDER BY s) AS cigar, string_agg(op || n, '' ORDER BY s) AS cigar_op_first FROM runs GROUP BY idx""")
+def cigar_strings(spark, sf_dir):
+    a, b = F.col("ref_row"), F.col("read_row")
+    return _rows(spark, sf_dir).select("idx", dna.cigar(a, b).alias("cigar"), dna.cigar(a, b, op_first=True).alias("cigar_op_first"))
+
+
+@query(f"""WITH {ROWS_SQL} SELECT idx, string_agg(CASE WHEN a = '-' OR b = '-' THEN '-' WHEN a = b THEN a ELSE ':' END, '' ORDER BY i) AS consensus,
+replace(string_agg(a, '' ORDER BY i), '-', '') AS ungapped FROM ops GROUP BY idx""")
+def alignment_rows(spark, sf_dir):
+    return _rows(spark, sf_dir).select("idx", dna.consensus(F.col("ref_row"), F.col("read_row")).alias("consensus"), dna.ungap(F.col("ref_row")).alias("ungapped"))
+
+
+@query(f"""WITH {SHORT_SQL} SELECT '>' || name || chr(10) || seq AS value FROM short""")
+def fasta_text(spark, sf_dir):
+    from .sources.fastx import fasta_lines
+
+    return fasta_lines(short_seqs(spark, sf_dir))
+
+
+@query(f"""WITH {READS_SQL}, p AS (SELECT idx, seq, unnest(range(1, length(seq) + 1)) AS i FROM reads),
+q AS (SELECT idx, seq, string_agg(chr(({QUALITY_SQL})::INT + 33), '' ORDER BY i) AS qual FROM p GROUP BY idx, seq)
+SELECT '@b' || idx || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS value FROM q""")
+def fastq_text(spark, sf_dir):
+    from .sources.fastx import fastq_lines
+
+    return fastq_lines(reads(spark, sf_dir))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
