@@ -5,6 +5,8 @@ References are the ``documents`` as DNA, reads are the ``benchmark`` items.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -271,6 +273,85 @@ def fastq_text(spark, sf_dir):
     return fastq_lines(reads(spark, sf_dir))
 
 
+NULL_CELLS = ((0.25, 0.6, 20.0), (0.25, 0.7, 30.0), (0.3, 0.8, 40.0), (0.2, 0.9, 50.0))
+_NULL_SQL = ", ".join(f"('{b}', {p}, {q}, {r})" for b, (p, q, r) in zip("ACGT", NULL_CELLS))
+
+
+@query(f"""WITH {READS_SQL}, p AS (SELECT idx, seq, unnest(range(1, length(seq) + 1)) AS i FROM reads),
+c AS (SELECT idx, substr(seq, i::INT, 1) AS base, ({QUALITY_SQL})::DOUBLE AS k FROM p), n(base, p, q, r) AS (VALUES {_NULL_SQL})
+SELECT idx, round(count(*) * ln(0.99::DOUBLE) + ln(1 - 0.99::DOUBLE) + sum(ln(p::DOUBLE) + lgamma(k + r::DOUBLE) - lgamma(k + 1) - lgamma(r::DOUBLE) + r::DOUBLE * ln(q::DOUBLE) + k * ln(1 - q::DOUBLE)), 5) AS null_ll FROM c JOIN n USING (base) GROUP BY idx""")
+def null_log_likelihood(spark, sf_dir):
+    from .functions.stats import log_nb
+
+    table94 = F.create_map(*(x for b, (p, q, r) in zip("ACGT", NULL_CELLS) for x in (F.lit(b), F.lit([math.log(p) + float(v) for v in log_nb(q, r)]))))
+    each = F.zip_with(F.filter(F.split("seq", ""), lambda c: c != ""), dna.qual_scores(F.col("qual")), lambda b, q: F.get(F.element_at(table94, b), q))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) + F.length("seq") * math.log(0.99) + math.log(1 - 0.99)
+    return reads(spark, sf_dir).select("idx", F.round(total, 5).alias("null_ll"))
+
+
+def _both(spark, sf_dir):
+    return sq.with_revcomps(references(spark, sf_dir), 1_000_000_000)
+
+
+@query()
+def align_best(spark, sf_dir):
+    """Each benchmark item, without qualities, against both strands of every document: its best alignment, if likelier than the null model."""
+    from .operators.align import align
+
+    return align(reads(spark, sf_dir).repartition(16, "idx"), _both(spark, sf_dir), use_quals=False).select("y_idx", "x_idx", F.round("score", 4).alias("score"), "ref_start", "ref_end", "ref_rev", dna.cigar(F.col("ref_row"), F.col("read_row")).alias("cigar"))
+
+
+@query()
+def align_sam(spark, sf_dir):
+    from .operators.align import align, sam_lines
+
+    return sam_lines(align(reads(spark, sf_dir).repartition(16, "idx"), _both(spark, sf_dir), use_quals=False)).select("y_idx", "value")
+
+
+@query()
+def overlap_reads(spark, sf_dir):
+    """Overlaps of the benchmark items and their reverse complements that share a seed diagonal."""
+    from .operators.align import overlap
+
+    items = reads(spark, sf_dir)
+    n = table(spark, sf_dir, "benchmark").agg(F.max("item_id") + 1).first()[0] or 0
+    found = overlap(sq.with_revcomps(items, n), n, require_seed=True)
+    return found.select("x_idx", "y_idx", "y_complemented", F.round("score", 4).alias("score"), "x_start", "x_end", "y_start", "y_end")
+
+
+@query()
+def em_evidence(spark, sf_dir):
+    """One E-step on the default model: log evidence of each read and the references that remain."""
+    from .operators.align import null_model
+    from .plans.model import Params
+    from .plans.train import e_step
+
+    items = reads(spark, sf_dir)
+    evidence, _ = e_step(items.repartition(16, "idx"), _both(spark, sf_dir), Params.default(), null_model(items))
+    return evidence.select("idx", F.round("log_evidence", 4).alias("log_evidence"), F.size("kept").alias("kept"))
+
+
+@query()
+def em_counts(spark, sf_dir):
+    """Expected counts of that E-step by slot."""
+    from .operators.align import null_model
+    from .plans.model import Params
+    from .plans.train import e_step
+
+    items = reads(spark, sf_dir)
+    _, sums = e_step(items.repartition(16, "idx"), _both(spark, sf_dir), Params.default(), null_model(items))
+    return sums.select("slot", F.round("value", 4).alias("value"))
+
+
+@query()
+def trained_params(spark, sf_dir):
+    """The model fitted to the benchmark items by expectation-maximisation, in long form."""
+    from .plans.train import train
+
+    fit = train(reads(spark, sf_dir).repartition(16, "idx"), _both(spark, sf_dir), max_iter=3)
+    return spark.createDataFrame(fit.params.rows(), "param string, ref_base string, ctx string, p double, q double, r double")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
