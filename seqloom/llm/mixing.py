@@ -49,7 +49,7 @@ def targets(sources: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), max_e
     return levels.withColumn("target", F.least(F.col("cap"), F.coalesce(final * F.col("w"), F.col("cap")))).select("source", "source_size", F.col("w").alias("weight"), "target")
 
 
-def mix(docs: DataFrame, *, size: Column, quality: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 8, rows_per_range: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, *, size: Column, quality: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 8, rows_per_range: int = 2_000) -> DataFrame:
     """One row a document: id, source, size, source_size, target, epochs, copies (how often the mix holds it), taken."""
     work = Workspace(docs.sparkSession, "mixing")
     key = -F.log(uniform(F.col(id_col), seed)) / F.when(quality > 0, quality).otherwise(1.0)
@@ -86,6 +86,19 @@ def slim(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(label_quality(labels), rows["doc_id"] == F.col("__id"), "left").drop("__id")
 
 
+def repeat_taken(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` as often as the mix takes them: rows repeat for whole epochs, and those not taken go.
+
+    Rows that share an id are told apart by source and size; those equal in these are interchangeable.
+    """
+    mixed = mix(slim(docs, labels), size=F.col("__size"), quality=F.coalesce(F.col("__quality"), F.lit(1.0)))
+    copies = mixed.select(F.col("doc_id").alias("__id"), "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "copies")).alias("__k"))
+    by_id = Window.partitionBy("doc_id").orderBy("source", "__size")
+    numbered = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__n", F.row_number().over(by_id))
+    joined = numbered.join(copies.filter("copies > 0"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__k")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = slim(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     mixed = mix(rows, size=F.col("__size"), quality=F.coalesce(F.col("__quality"), F.lit(1.0)))
