@@ -47,7 +47,9 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
         for i, w in enumerate(words):
             for k in range(8):  # 24 hosts in all pairs of start and end; each word takes eight of them
                 n = i + 5 * k
-                rows.append((f"https://{STARTS[n % 4]}{w}.{ENDS[(n // 4 + k) % 6]}{PATHS[(i + k) % 6].format(17 * i + 131 * k)}", label))
+                # and as many compounds, in either class, so that a hyphen teaches nothing
+                for host in (w, f"{w}-{words[(i + 11 * k + 1) % len(words)]}"):
+                    rows.append((f"https://{STARTS[n % 4]}{host}.{ENDS[(n // 4 + k) % 6]}{PATHS[(i + k) % 6].format(17 * i + 131 * k)}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -93,7 +95,7 @@ class UrlModel:
         self.weights, self.intercept, self.dim = weights, intercept, dim
 
     @classmethod
-    def fit(cls, urls: DataFrame, *, dim: int = 4096, reg: float = 0.005, max_iter: int = 60) -> UrlModel:
+    def fit(cls, urls: DataFrame, *, dim: int = 8192, reg: float = 0.001, max_iter: int = 60) -> UrlModel:
         slots = ngram_slots(url_host(F.col("url")), url_path(F.col("url")), dim)
         rows = urls.filter("label in (0, 1)").select("label", slots.alias("s"))
         sizes = dict(rows.groupBy("label").count().collect())
