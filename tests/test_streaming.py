@@ -1,0 +1,22 @@
+from seqloom.operators.align import align, null_model
+from seqloom.operators.sequences import with_revcomps
+from seqloom.streaming.live import READS, align_stream, parquet_sink, stream_reads
+
+REFS = [(0, "a", "ACGTTGCATGCCGATTACGGATCCATTGCAGGTACCATGA"), (1, "b", "TTTTCCCCGGGGAAAATTGGCCAATTCCGGAACCTTGGAA")]
+
+
+def test_stream_gives_what_the_batch_gives(spark, tmp_path):
+    refs = with_revcomps(spark.createDataFrame([(*r, None) for r in REFS], READS), len(REFS))
+    rows = [(i, f"r{i}", s, "I" * len(s)) for i, s in enumerate((REFS[0][2][5:35], REFS[1][2][2:30], REFS[0][2][:25]))]
+    reads = spark.createDataFrame(rows, READS)
+    null = null_model(reads)
+    for part in (rows[:2], [*rows[2:], (9, "empty", "", "")]):
+        spark.createDataFrame(part, READS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = stream_reads(spark, f"{tmp_path}/in", files_per_batch=1)
+    align_stream(source, refs, parquet_sink(f"{tmp_path}/out"), null=null, checkpoint=f"{tmp_path}/state", available_now=True, threshold=None).awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.select("batch").distinct().count() >= 2
+    wanted = align(reads, refs, null=null, threshold=None)
+    columns = ["y_idx", "x_idx", "score", "ref_start", "ref_end", "ref_rev"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, wanted.select(columns).collect()))
+    assert wanted.count() == 3
