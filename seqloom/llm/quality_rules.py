@@ -147,11 +147,12 @@ def learn(labelled: DataFrame, *, workspace: Workspace, bins: int = 32, max_rule
     """
     named = features()
     values = workspace.save(labelled.select("low", "part", *(v.alias(k) for k, v in named.items())), "values")
-    steps = [(i + 1) / bins for i in range(bins - 1)]
-    # cuts of either class: a rare class has thresholds of its own
+    steps = [i / bins for i in range(bins + 1)]
+    # quantiles of either class, ends included: a rare class has thresholds of its own, and where one class ends and the other begins is among them
     cuts_of = [F.percentile_approx(F.when(F.col("low") == side, F.col(k)), steps, 2000).alias(f"{k}_{side}") for k in named for side in (True, False)]
     found = values.agg(*cuts_of).first()
-    cuts = {k: sorted({*(found[f"{k}_True"] or []), *(found[f"{k}_False"] or [])}) for k in named}
+    marks = {k: sorted({*(found[f"{k}_True"] or []), *(found[f"{k}_False"] or [])}) for k in named}
+    cuts = {k: [(x + y) / 2 for x, y in zip(v, v[1:])] for k, v in marks.items()}  # half-way, so that either class keeps a margin
 
     def counts(rows: DataFrame) -> dict[tuple[str, int, bool], int]:
         """Labelled rows by feature, number of cuts below the value, and class: one aggregation for all thresholds."""
