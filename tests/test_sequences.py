@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -53,7 +54,9 @@ def test_tables(spark):
     with pytest.raises(ValueError, match="more than once: a"):
         sq.require_unique_names(full)
     diags = sq.diagonal_counts(full, full, 4).filter("x_idx = 0 and y_idx = 0").collect()
-    assert {r["diag"]: r["cnt"] for r in diags}[0] == 7 and sum(r["cnt"] for r in diags) == 7 + 2 * 3
+    words = [seqs.first()["seq"][i : i + 4] for i in range(7)]
+    by_hand = Counter(i - j for i, a in enumerate(words) for j, b in enumerate(words) if a == b)
+    assert {r["diag"]: r["cnt"] for r in diags} == by_hand == {0: 7, 4: 2, -4: 2}
     pairs = sq.triangular_pairs(spark.range(6).withColumnRenamed("id", "idx"), 3).collect()
     assert {(r["x_idx"], r["y_idx"]) for r in pairs} == {(x, y) for x in (0, 1) for y in range(x + 1, 6)}
     prefix = sq.training_prefix(spark.createDataFrame([(i, "A" * 10) for i in range(9)], "idx long, seq string"), 35)
