@@ -298,14 +298,14 @@ def align_best(spark, sf_dir):
     """Each benchmark item, without qualities, against both strands of every document: its best alignment, if likelier than the null model."""
     from .operators.align import align
 
-    return align(reads(spark, sf_dir).repartition(16, "idx"), _both(spark, sf_dir), use_quals=False).select("y_idx", "x_idx", F.round("score", 4).alias("score"), "ref_start", "ref_end", "ref_rev", dna.cigar(F.col("ref_row"), F.col("read_row")).alias("cigar"))
+    return align(reads(spark, sf_dir), _both(spark, sf_dir), use_quals=False).select("y_idx", "x_idx", F.round("score", 4).alias("score"), "ref_start", "ref_end", "ref_rev", dna.cigar(F.col("ref_row"), F.col("read_row")).alias("cigar"))
 
 
 @query()
 def align_sam(spark, sf_dir):
     from .operators.align import align, sam_lines
 
-    return sam_lines(align(reads(spark, sf_dir).repartition(16, "idx"), _both(spark, sf_dir), use_quals=False)).select("y_idx", "value")
+    return sam_lines(align(reads(spark, sf_dir), _both(spark, sf_dir), use_quals=False)).select("y_idx", "value")
 
 
 @query()
@@ -327,7 +327,7 @@ def em_evidence(spark, sf_dir):
     from .plans.train import e_step
 
     items = reads(spark, sf_dir)
-    evidence, _ = e_step(items.repartition(16, "idx"), _both(spark, sf_dir), Params.default(), null_model(items))
+    evidence, _ = e_step(items, _both(spark, sf_dir), Params.default(), null_model(items))
     return evidence.select("idx", F.round("log_evidence", 4).alias("log_evidence"), F.size("kept").alias("kept"))
 
 
@@ -339,7 +339,7 @@ def em_counts(spark, sf_dir):
     from .plans.train import e_step
 
     items = reads(spark, sf_dir)
-    _, sums = e_step(items.repartition(16, "idx"), _both(spark, sf_dir), Params.default(), null_model(items))
+    _, sums = e_step(items, _both(spark, sf_dir), Params.default(), null_model(items))
     return sums.select("slot", F.round("value", 4).alias("value"))
 
 
@@ -348,7 +348,7 @@ def trained_params(spark, sf_dir):
     """The model fitted to the benchmark items by expectation-maximisation, in long form."""
     from .plans.train import train
 
-    fit = train(reads(spark, sf_dir).repartition(16, "idx"), _both(spark, sf_dir), max_iter=3)
+    fit = train(reads(spark, sf_dir), _both(spark, sf_dir), max_iter=3)
     return spark.createDataFrame(fit.params.rows(), "param string, ref_base string, ctx string, p double, q double, r double")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +41,44 @@ def null_model(reads: DataFrame) -> NullModel:
     return NullModel.fit(hist, reads.count())
 
 
-def reference_blocks(refs: DataFrame, most_bases: int = 64_000_000) -> Iterator[list[tuple[int, str, str, bool]]]:
-    """References (idx, name of the original, seq, reversed) in blocks of bounded size, in order of idx."""
-    block, size = [], 0
-    original = F.coalesce(F.col("source.name"), F.col("name")).alias("origin")
-    for r in refs.select("idx", original, "seq", (~F.col("is_orig")).alias("rev")).orderBy("idx").toLocalIterator():
-        if block and size + len(r["seq"]) > most_bases:
-            yield block
-            block, size = [], 0
-        block.append(tuple(r))
-        size += len(r["seq"])
-    if block:
-        yield block
+def reference_rows(refs: DataFrame) -> DataFrame:
+    """idx, name of the original, seq, reversed."""
+    return refs.select(F.col("idx").cast("long").alias("idx"), F.coalesce(F.col("source.name"), F.col("name")).alias("origin"), "seq", (~F.col("is_orig")).alias("rev"))
+
+
+def in_blocks(rows: DataFrame, name: str, most_bases: int) -> DataFrame:
+    """``rows`` in one array column: what stands together in a partition, cut at about ``most_bases`` bases of seq."""
+    columns = rows.columns
+    kind = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, at = np.cumsum(pc.binary_length(b["seq"]).to_numpy(zero_copy_only=False)), 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bases, "right")))
+                part = pa.StructArray.from_arrays([b[c].slice(at, to - at) for c in columns], columns)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), part)], [name])
+                at = to
+
+    return rows.mapInArrow(run, f"{name} array<struct<{kind}>>")
+
+
+def reference_parts(refs: DataFrame) -> int:
+    """Partitions for work over ``refs``: two for each core, fewer where these would be small, more where they would be large."""
+    bases = refs.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0
+    return max(1, -(-bases // 4_000_000), min(2 * refs.sparkSession.sparkContext.defaultParallelism, bases // 250_000))
+
+
+def block_pairs(reads: DataFrame, refs: DataFrame, parts: int, *, ref_bases: int = 2_000_000, read_bases: int = 100_000) -> DataFrame:
+    """(refs, reads): every block of references beside every block of reads; both stay partitioned."""
+    return in_blocks(refs.repartition(parts, "idx"), "refs", ref_bases).crossJoin(in_blocks(reads, "reads", read_bases))
+
+
+def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict]]]:
+    """References in order of idx, and reads, of each row of ``block_pairs``."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            yield sorted(batch["refs"][n].as_py(), key=lambda r: r["idx"]), batch["reads"][n].as_py()
 
 
 def lanes_of(refs: list[np.ndarray], y: np.ndarray, config: EnvelopeConfig) -> list[tuple[int, int, int]]:
@@ -81,55 +108,48 @@ def rows_of_path(path: list[tuple[int, int, str]], x: str, y: str, qual: str | N
 def align(reads: DataFrame, refs: DataFrame, *, params: Params | None = None, null: NullModel | None = None, config: EnvelopeConfig | None = None, local: bool = True, best_only: bool = True, threshold: float | None = 0.0, use_quals: bool = True) -> DataFrame:
     """Every read against every reference: the best alignment of each read, or all. Columns: ALIGNMENT.
 
-    ``refs`` is ``with_revcomps`` of the references, or just those for one strand. Blocks of references of bounded
-    size are broadcast; each task takes reads through all of a block, so nothing but results is shuffled.
+    ``refs`` is ``with_revcomps`` of the references, or just those for one strand. A task takes blocks of references and
+    blocks of reads, of bounded size; of each such pair only results are shuffled.
     """
     params, config = params or Params.default(), config or EnvelopeConfig()
     null = null or null_model(reads)
-    spark, out = reads.sparkSession, None
     scores = Scores.of(params)
-    rows = reads.select(F.col("idx").cast("long").alias("idx"), "name", "seq", ("qual" if use_quals else F.lit(None).cast("string").alias("qual")))
-    for block in reference_blocks(refs):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found = shared.value
-            xs = [tokens(r[2]) for r in found]
-            names = [f.split()[0] for f in ALIGNMENT.split(", ")]
-            for batch in batches:
-                got: list[tuple] = []
-                for read in batch.to_pylist():
-                    y, q = tokens(read["seq"]), quals(read["qual"], len(read["seq"]))
-                    lanes = lanes_of(xs, y, config)
-                    score = np.full(len(lanes), -np.inf)
-                    for group in lane_groups(lanes):
-                        score[group] = Sweep(y, q, xs, [lanes[k] for k in group], scores, local=local).viterbi(trace=False)[0]
-                    base = null.log_likelihood(y, q)
-                    best: dict[int, int] = {}
-                    for k, (n, _, _) in enumerate(lanes):
-                        if np.isfinite(score[k]) and (n not in best or score[k] > score[best[n]]):
-                            best[n] = k
-                    chosen = sorted(best, key=lambda n: (-score[best[n]], n))
-                    for n in chosen[:1] if best_only else chosen:
-                        if threshold is not None and score[best[n]] - base < threshold:
-                            continue
-                        sweep = Sweep(y, q, xs, [lanes[best[n]]], scores, local=local)
-                        raw, end, back = sweep.viterbi()
-                        path = sweep.path(0, int(end[0]), back)
-                        idx, origin, seq, rev = found[n]
-                        a, b, quality = rows_of_path(path, seq, read["seq"], read["qual"] if q is not None else None)
-                        start, stop = path[0][0], path[-1][0]
-                        if rev:
-                            start, stop = len(seq) - stop + 1, len(seq) - start + 1
-                        got.append((idx, origin, read["idx"], read["name"], float(raw[0]), base, float(raw[0]) - base, a, b, quality, start, stop, rev, 1, len(y)))
-                kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
-                types = [kinds[f.split()[1]] for f in ALIGNMENT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(types)], names)
-
-        part = rows.mapInArrow(run, ALIGNMENT)
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], ALIGNMENT)
+    rows = reads.select(F.col("idx").cast("long").alias("idx"), "name", "seq", (F.col("qual") if use_quals else F.lit(None).cast("string").alias("qual")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in ALIGNMENT.split(", ")]
+        for found, some in pairs_of(batches):
+            xs = [tokens(r["seq"]) for r in found]
+            got: list[tuple] = []
+            for read in some:
+                y, q = tokens(read["seq"]), quals(read["qual"], len(read["seq"]))
+                lanes = lanes_of(xs, y, config)
+                score = np.full(len(lanes), -np.inf)
+                for group in lane_groups(lanes):
+                    score[group] = Sweep(y, q, xs, [lanes[k] for k in group], scores, local=local).viterbi(trace=False)[0]
+                base = null.log_likelihood(y, q)
+                best: dict[int, int] = {}
+                for k, (n, _, _) in enumerate(lanes):
+                    if np.isfinite(score[k]) and (n not in best or score[k] > score[best[n]]):
+                        best[n] = k
+                chosen = sorted(best, key=lambda n: (-score[best[n]], n))
+                for n in chosen[:1] if best_only else chosen:
+                    if threshold is not None and score[best[n]] - base < threshold:
+                        continue
+                    sweep = Sweep(y, q, xs, [lanes[best[n]]], scores, local=local)
+                    raw, end, back = sweep.viterbi()
+                    path = sweep.path(0, int(end[0]), back)
+                    seq, rev = found[n]["seq"], found[n]["rev"]
+                    a, b, quality = rows_of_path(path, seq, read["seq"], read["qual"] if q is not None else None)
+                    start, stop = path[0][0], path[-1][0]
+                    if rev:
+                        start, stop = len(seq) - stop + 1, len(seq) - start + 1
+                    got.append((found[n]["idx"], found[n]["origin"], read["idx"], read["name"], float(raw[0]), base, float(raw[0]) - base, a, b, quality, start, stop, rev, 1, len(y)))
+            kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+            types = [kinds[f.split()[1]] for f in ALIGNMENT.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(types)], names)
+
+    out = block_pairs(rows, reference_rows(refs), reference_parts(refs)).mapInArrow(run, ALIGNMENT)
     return sq.best_per_group(out, "y_idx", "score", "x_idx") if best_only else out
 
 
