@@ -21,6 +21,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,13 +168,18 @@ N_FEATURES = 12 + 2 * (len(TAGS) + 1) + 2 * len(PARTS) + DIM
 def features(nodes: list[Node]) -> np.ndarray:
     x = np.zeros((len(nodes), N_FEATURES), np.float32)
     place = {id(n): i for i, n in enumerate(nodes)}
-    depth = np.zeros(len(nodes), np.int64)
+    depth, among = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+    kin, alike = Counter(), Counter()  # child elements of each parent, in all and by tag
+    for i, n in enumerate(nodes):  # siblings come in page order
+        if n.parent:
+            among[i] = kin[id(n.parent)]
+            kin[id(n.parent)] += 1
+            alike[id(n.parent), n.tag] += 1
     total = max(1, nodes[0].chars)
     a, b, c = 12, 12 + len(TAGS) + 1, 12 + 2 * (len(TAGS) + 1)
     above, d = c + len(PARTS), c + 2 * len(PARTS)
     for i, n in enumerate(nodes):
         row, up = x[i], n.parent
-        kin = [k for k in up.kids if type(k) is Node] if up and len(up.kids) < 50 else None
         if up:
             over = x[place[id(up)]]
             depth[i] = depth[place[id(up)]] + 1
@@ -184,9 +190,8 @@ def features(nodes: list[Node]) -> np.ndarray:
             row[8] = up.links / max(1, up.chars)
             row[9] = math.log1p(len(up.kids))
             row[b + _TAG.get(up.tag, len(TAGS))] = 1
-            if kin:
-                row[10] = sum(k.tag == n.tag for k in kin) / len(kin)
-                row[11] = next(j for j, k in enumerate(kin) if k is n) / len(kin)
+            row[10] = alike[id(up), n.tag] / kin[id(up)]
+            row[11] = among[i] / kin[id(up)]
         row[a + _TAG.get(n.tag, len(TAGS))] = 1
         for w in n.words:
             row[d + _slot(w)] = 1
