@@ -310,12 +310,12 @@ def align_sam(spark, sf_dir):
 
 @query()
 def overlap_reads(spark, sf_dir):
-    """Overlaps of the benchmark items and their reverse complements that share a seed diagonal."""
+    """Overlaps of the benchmark items and their reverse complements, searched in every pair."""
     from .operators.align import overlap
 
     items = reads(spark, sf_dir)
     n = table(spark, sf_dir, "benchmark").agg(F.max("item_id") + 1).first()[0] or 0
-    found = overlap(sq.with_revcomps(items, n), n, require_seed=True)
+    found = overlap(sq.with_revcomps(items, n), n)
     return found.select("x_idx", "y_idx", "y_complemented", F.round("score", 4).alias("score"), "x_start", "x_end", "y_start", "y_end")
 
 
@@ -348,7 +348,7 @@ def trained_params(spark, sf_dir):
     """The model fitted to the benchmark items by expectation-maximisation, in long form."""
     from .plans.train import train
 
-    fit = train(reads(spark, sf_dir), _both(spark, sf_dir), max_iter=3)
+    fit = train(reads(spark, sf_dir), _both(spark, sf_dir))
     return spark.createDataFrame(fit.params.rows(), "param string, ref_base string, ctx string, p double, q double, r double")
 
 

@@ -188,7 +188,10 @@ def overlap(seqs: DataFrame, originals: int, *, params: Params | None = None, nu
             kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kinds[t]) for k, t in enumerate(types)], list(names))
 
-    return full.repartition(F.col("x_idx"), F.col("y_idx")).mapInArrow(run, schema)
+    # a stated number of partitions: by bytes alone, many pairs of short reads would share a task
+    spark = seqs.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return full.repartition(parts, "x_idx", "y_idx").mapInArrow(run, schema)
 
 
 def squashed(path: list[tuple[int, int, str]], x: str, y: str) -> tuple[str, str]:
