@@ -7,18 +7,21 @@ decompressed size and checksum (low 32 bits of XXH64 of the content) for each
 frame. Any zstd decoder reads the file from its start; our reader reads the
 tail and then only the frames asked for, and checks them.
 
-Documents are range-partitioned and sorted by id; one task writes one file.
-File names carry the attempt, and the manifest that Spark commits names the
-files of the attempts that counted, so retries and lost executors leave at
-most unused files. Starts come from running sums over the manifest.
+Documents are range-partitioned and sorted by id; a task writes a file, or
+several where its texts are long. File names carry the attempt, and the
+manifest that Spark commits names the files of the attempts that counted, so
+retries and lost executors leave at most unused files. Starts come from
+running sums over the manifest, in two levels.
 
 Defined results: a null or empty text is just the end id; a null document id
-sorts first and is read back as null; equal ids are neighbours, ordered by
-text; an empty table writes no files.
+sorts first and is read back as null; equal ids are neighbours, ordered by how
+their texts begin (64 characters); a very long text is one frame of up to 4 GiB; an empty
+table writes no files; further columns are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -34,7 +37,6 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, table
 
 IDS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class FileWriter:
@@ -100,20 +102,39 @@ def open_reader(path: str) -> FileReader:
     return FileReader(store.open_input_file(at))
 
 
+#: The normaliser and splitter that the short way below stands for; with any other the tokenizer does all.
+SHORT_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SHORT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters, digits, marks and white space that NFC leaves alone and that Python and the tokenizer lower-case alike.
+_LETTERS = "a-zß-öø-įı-ſ"
+PLAIN = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿À-įı-ſ‐-‧‰-⁞€]*")
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it can be printed, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in shown else next(rest) for b in range(256)}
+
+
 class Encoder:
-    """Ids of whole texts as bytes. The tokenizer drops white space, lower-cases and parts letters from marks, so each
-    distinct run of letters is encoded once: words are looked up, new words are parted, and only new parts are encoded."""
+    """Ids of whole texts as bytes. Texts of plain characters are parted here, in the tokenizer's way, and only parts
+    that are not remembered go to its model; texts with other characters go to the tokenizer whole."""
 
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, tokenizer: str, words: int = 300_000, parts: int = 600_000):
+    def __init__(self, tokenizer: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(tokenizer), (words, parts)
-        self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        self.tokenizer, self.most, self.letters = Tokenizer.from_file(tokenizer), most, _byte_letters()
         self.parts: dict[str, bytes] = {}
+        told = json.loads(self.tokenizer.to_str())
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        splits = len(steps) == 2 and steps[0].get("pattern") == {"Regex": SHORT_SPLIT} and steps[0].get("invert") and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"]
+        self.short = told["normalizer"] == SHORT_NORMALISER and splits and told["model"]["type"] == "BPE" and not told["model"]["dropout"] and not told["post_processor"]
+        self.added = [t["content"] for t in told["added_tokens"]]
 
     @classmethod
     def of(cls, tokenizer: str) -> Encoder:
@@ -122,74 +143,89 @@ class Encoder:
             cls._kept[tokenizer] = cls(tokenizer)
         return cls._kept[tokenizer]
 
-    def _part(self, part: str) -> bytes:
-        """Ids of ASCII letters in lower case: these pass the tokenizer's normaliser and splitter unchanged."""
-        ids = self.parts.get(part)
-        if ids is None:
-            tokens = self.model.tokenize(part)
-            ids = self.parts[part] = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
-        return ids
-
-    def _learn(self, missing: list[str]) -> None:
-        hard = []
-        for w in missing:
-            core = w.rstrip(".,;:!?")
-            if core.isascii() and core.isalpha():
-                ids = self._part(core.lower())
-                if len(core) < len(w):
-                    marks = w[len(core) :]
-                    if marks not in self.parts:
-                        found = self.tokenizer.encode(marks, add_special_tokens=False).ids
-                        self.parts[marks] = struct.pack(f"<{len(found)}I", *found)
-                    ids += self.parts[marks]
-                self.words[w] = ids
-            else:
-                hard.append(w)
-        for w, e in zip(hard, self.tokenizer.encode_batch(hard, add_special_tokens=False)):
-            self.words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    def _plain(self, text: str) -> bool:
+        return self.short and PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def _learn(self, parts: Iterable[str]) -> None:
+        tokenize, letters, kept = self.tokenizer.model.tokenize, self.letters, self.parts
+        for part in parts:
+            tokens = tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(letters))
+            kept[part] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        split = [WORDS.findall(t) if t else () for t in texts]
-        self._learn([w for w in {w for words in split for w in words} if w not in self.words])
-        end, known = struct.pack("<I", end_id), self.words.__getitem__
-        out = [b"".join(map(known, words)) + end for words in split]
-        for kept, most in zip((self.words, self.parts), self.most):
-            if len(kept) > most:
-                kept.clear()
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        end, out, odd = struct.pack("<I", end_id), [], []
+        known = self.parts.__getitem__
+        for t in texts:
+            if not t:
+                out.append(end)
+            elif self._plain(t):
+                split = PARTS.findall(t.lower())
+                try:
+                    ids = b"".join(map(known, split))
+                except KeyError:
+                    self._learn({*split}.difference(self.parts))
+                    ids = b"".join(map(known, split))
+                out.append(ids + end)
+            else:
+                odd.append(len(out))
+                out.append(b"")
+        for at, e in zip(odd, self.tokenizer.encode_batch_fast([texts[at] for at in odd], add_special_tokens=False)):
+            out[at] = struct.pack(f"<{len(e.ids)}I", *e.ids) + end
         return out
 
 
-def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text", docs_per_file: int = 5_000) -> DataFrame:
-    """Write ``docs`` in ascending id order; the manifest: part, file, n_docs, n_ids (lazily: the writing is its job)."""
-    files = max(1, -(-docs.count() // docs_per_file))
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange(files, "id").sortWithinPartitions("id", "text")
+def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text", file_bytes: int = 8 << 20) -> DataFrame:
+    """Write ``docs`` in ascending id order; the manifest: part, nth, file, n_docs, n_ids (lazily: the writing is its job).
+
+    A task takes a range of about ``file_bytes`` of text, and begins a new file after as many bytes of ids.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    tasks = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + F.lit(1))).first()[0] or 0) // file_bytes))
+    # rows of one id are dealt by how their texts begin and then by their place in the input, so that no id fills one task
+    keyed = rows.select("*", F.substring("text", 1, 64).alias("begin"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange(tasks, "id", "begin", "row").sortWithinPartitions("id", "text").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = writer = None
-        context = TaskContext.get()
-        file = f"{path}/part-{context.partitionId():07d}-{context.taskAttemptId()}.tok.zst"
-        n_ids = 0
+        encoder, writer, context, nth, n_ids, file = Encoder.of(tokenizer), None, TaskContext.get(), 0, 0, ""
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pydict({"part": [context.partitionId()], "nth": [nth], "file": [file], "n_docs": [len(writer.ids)], "n_ids": [n_ids]})
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
                 if writer is None:
+                    file = f"{path}/part-{context.partitionId():08d}-{nth:04d}-{context.taskAttemptId()}.tok.zst"
                     store, name = fs.FileSystem.from_uri(file)
                     store.create_dir(name.rpartition("/")[0], recursive=True)
-                    encoder, writer = Encoder.of(tokenizer), FileWriter(store.open_output_stream(name, compression=None))
+                    writer = FileWriter(store.open_output_stream(name, compression=None))
                 for doc_id, ids in zip(piece["id"].to_pylist(), encoder.encode(piece["text"].to_pylist(), end_id)):
                     writer.add(doc_id, ids)
                     n_ids += len(ids) // 4
+                if 4 * n_ids >= 2 * file_bytes:
+                    yield closed()
+                    writer, nth, n_ids = None, nth + 1, 0
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [file], "n_docs": [len(writer.ids)], "n_ids": [n_ids]})
+            yield closed()
+
+    return dealt.mapInArrow(write, "part long, nth long, file string, n_docs long, n_ids long")
+
 
-    return dealt.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
+def with_starts(manifest: DataFrame, *, block: int = 1024) -> DataFrame:
+    """``manifest`` with ``base``: the ids before each file. Sums over blocks of parts come first, so one task sees a row a block."""
+    first = (Window.unboundedPreceding, -1)
+    blocked = manifest.withColumn("block", F.floor(F.col("part") / block))
+    blocks = blocked.groupBy("block").agg(F.sum("n_ids").alias("in_block"))
+    before = blocks.select(F.col("block").alias("b"), F.coalesce(F.sum("in_block").over(Window.partitionBy().orderBy("block").rowsBetween(*first)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("block").orderBy("part", "nth").rowsBetween(*first)), F.lit(0))
+    return blocked.withColumn("inside", inside).join(before, F.col("block") == F.col("b")).withColumn("base", F.col("before") + F.col("inside")).drop("b", "block", "before", "inside")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """One row a document, from the files: doc_id, file, frame, start, n_tokens, ids_crc32."""
-    before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +238,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     start += n
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("frame", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))
 
-    spread = based.repartition(max(1, min(manifest.count(), 4096)))
+    spread = with_starts(manifest).repartition(max(1, min(manifest.count(), 4096)))
     return spread.mapInArrow(read, "doc_id long, file string, frame long, start long, n_tokens long, ids_crc32 long")
 
 
