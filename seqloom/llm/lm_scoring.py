@@ -1,24 +1,33 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Counts are gathered from all training texts: of every token, and of every pair
-of neighbours among the ``vocabulary`` most frequent tokens (others stand
-together as one unknown). Counts are quantised to powers of ``base``; the
-filter holds (n-gram, 1), (n-gram, 2) ... up to its level, so a count is read
-back by probing levels until one is absent. Pairs seen once are left out; if
-the filter would outgrow ``max_bytes``, so are the next rarer ones. It is built
-in segments of 64 KiB, each by one task from its share of n-grams, and is what
-scoring workers get, next to the bounded table of the most frequent tokens.
-
-A pair's probability is its count, filled up by ``prior`` pseudo-counts of the
-token's own probability, over the context's count.
-
-The base score needs the exact count of every token. Frequent tokens (at most
-``head``) are looked up in that broadcast table; for the rest each document
-sends its distinct rare tokens to a join. Both give the same exact counts.
+of neighbours. No token and no pair is left out. A pair's count is quantised
+to one of the ``thresholds`` (1, 2, 3 ... exact at first, then 15 % apart); the
+filter holds (pair, 1), (pair, 2) ... up to its level, so a count is read back
+by probing levels until one is absent. Bits grow with the number of entries,
+and the number of hashes with the vocabulary, so a context expects less than
+one false positive among all tokens.
+
+The filter has two parts. The most frequent pairs, as many as fit into
+``head_bytes``, are one filter that workers get as a broadcast. All others are
+in slices of ``slice_bytes``, a table in the shared folder. Scoring deals texts
+into pieces; a piece asks each slice once for the pairs that the broadcast part
+doesn't hold, and gets one byte for each. So what a worker holds is bounded
+whatever the corpus, and no n-gram so common that every piece asks for it
+travels. Exact token counts go the same way: the ``head`` most frequent ones
+by broadcast, the others by slice.
+
+The model: P(b) = (n(b) + 1) / (N + V + 1), where all unknown tokens together
+are one; P(b | a) = (q(ab) + prior * P(b)) / (n(a) + prior + e), q the pair's
+quantised count and e the expected number of false positives over the whole
+vocabulary. Over all b this adds up to 1, but for quantising (at most 7.5 %, where
+one pair has all of a context's count) and chance in the false positives. A text's score is the sum of
+log10 P over its tokens and the end, the first after an end.
 
 Tokens are told apart by 64-bit hashes. Defined results: a null or empty text
 is the end token alone; with nothing to learn from N and V are 0; repeated
-rows are scored each by itself, and each counts in training; ids may be null.
+rows are scored each by itself, and each counts in training; ids may be null;
+a very long text is a piece by itself; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,7 +46,24 @@ from .workspace import Workspace, table
 END = np.uint64(0x5E0FD0C5)
 SEGMENT = 1 << 16
 _LEVEL = np.uint64(0x9E3779B97F4A7C15)
-UNKNOWN, LAST = 0, 1  # ids; words follow
+TOKENS, PAIRS = 0, 1  # kinds of questions and of answers
+
+
+def thresholds(step: float = 1.15, most: int = 1 << 62) -> np.ndarray:
+    """The least count of each level; level 1 is the first."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * step))))
+    return np.array(out, np.int64)
+
+
+THRESHOLDS = thresholds()
+#: What a level is read as: the middle of its counts; 0 for level 0.
+VALUES = np.concatenate([[0.0], (THRESHOLDS[:-1] + (THRESHOLDS[1:] - 1)) / 2])
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(THRESHOLDS, counts, "right").astype(np.uint8)
 
 
 def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,15 +72,22 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, at[1:], END), at + np.arange(len(at))
 
 
-class LogBloom:
-    """A Bloom filter over (key, level), in segments; ``bits`` is an array of bytes."""
+def pair_keys(stream: np.ndarray) -> np.ndarray:
+    """A hash of each token with the one before it; the first of a text comes after an END."""
+    before = np.concatenate([[END], stream[:-1]])
+    return mixed(before * np.uint64(0xC2B2AE3D27D4EB4F) + stream)
 
-    def __init__(self, bits: np.ndarray, *, base: float, hashes: int = 4):
-        self.bits, self.base, self.hashes, self.segments = bits, base, hashes, max(1, len(bits) // SEGMENT)
 
-    @staticmethod
-    def level(count, base: float):
-        return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(base) + 1e-9).astype(np.int64)
+def share(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` a key belongs to: parts are ranges of keys, so sorted keys visit them in order."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+class LogBloom:
+    """A Bloom filter over (key, level) in segments of 64 KiB, each for a range of keys: from the one numbered ``first`` on, of ``segments``."""
+
+    def __init__(self, bits: np.ndarray, *, hashes: int, segments: int, first: int = 0):
+        self.bits, self.hashes, self.segments, self.first = bits, hashes, segments, first
 
     @staticmethod
     def places(keys: np.ndarray, level: int, hashes: int) -> Iterator[np.ndarray]:
@@ -64,204 +97,296 @@ class LogBloom:
         for i in range(hashes):
             yield ((h + np.uint64(i) * step) & np.uint64(8 * SEGMENT - 1)).astype(np.int64)
 
-    @staticmethod
-    def segment(keys: np.ndarray, segments: int) -> np.ndarray:
-        return (mixed(keys ^ _LEVEL) % np.uint64(segments)).astype(np.int64)
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of the highest level that is there; 0 where not even the first is."""
-        level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        start = self.segment(keys, self.segments) * SEGMENT
-        for n in range(1, 200):
-            if not len(alive) or not len(self.bits):
-                break
-            held = np.ones(len(alive), bool)
-            for bit in self.places(keys[alive], n, self.hashes):
-                held &= (self.bits[start[alive] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-            alive = alive[held]
-            level[alive] = n
-        low = np.ceil(self.base ** (level - 1.0) - 1e-9)
-        return np.where(level > 0, (low + np.maximum(low, np.ceil(self.base**level - 1e-9) - 1)) / 2, 0.0)
-
-
-def _segment_bits(base: float, hashes: int):
-    def run(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(SEGMENT, np.uint8)
-        keys, level = rows["key"].to_numpy().view(np.uint64), rows["level"].to_numpy()
-        for n in range(1, int(level.max()) + 1):
-            for bit in LogBloom.places(keys[level >= n], n, hashes):
-                np.bitwise_or.at(bits, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-        return pa.table({"segment": rows["segment"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    return run
-
-
-def build_filter(ngrams: DataFrame, *, base: float, hashes: int = 4, bits_per_entry: int = 12, max_bytes: int = 64 << 20) -> LogBloom:
-    """``ngrams``: key long, n long, pair boolean. All tokens go in; pairs from the level on at which everything fits."""
-    levelled = ngrams.withColumn("level", (1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(base)) + 1e-9)).cast("long"))
-    sizes = levelled.groupBy("pair", "level").count().collect()  # a few dozen rows
-    least, fits = 0, 8 * max_bytes // bits_per_entry
-    entries = lambda k: sum(r["count"] * r["level"] for r in sizes if not r["pair"] or r["level"] >= k)
-    while entries(least) > fits and least < 200:
-        least += 1
-    segments = max(1, -(-entries(least) * bits_per_entry // (8 * SEGMENT)))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["key"], b["level"], pa.array(LogBloom.segment(b["key"].to_numpy().view(np.uint64), segments))], ["key", "level", "segment"])
-
-    kept = levelled.filter(~F.col("pair") | (F.col("level") >= least)).select("key", "level")
-    dealt = kept.mapInArrow(assign, "key long, level long, segment long")
-    got = dealt.groupBy("segment").applyInArrow(_segment_bits(base, hashes), "segment long, bits binary").toArrow()  # at most max_bytes in all
-    bits = np.zeros(segments * SEGMENT, np.uint8)
-    for at, content in zip(got["segment"].to_pylist(), got["bits"].to_pylist()):
-        bits[at * SEGMENT : (at + 1) * SEGMENT] = np.frombuffer(content, np.uint8)
-    return LogBloom(bits, base=base, hashes=hashes)
-
-
-def _lookup(head: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(count, id) of each token in the table of frequent ones; (0, UNKNOWN) if it isn't there."""
-    hashes, counts, ids = head
-    if not len(hashes):
-        return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
-    at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
-    there = hashes[at] == tokens
-    return np.where(there, counts[at], 0), np.where(there, ids[at], UNKNOWN)
-
-
-def unigram_key(ids: np.ndarray) -> np.ndarray:
-    return mixed(ids.astype(np.uint64) + np.uint64(1 << 60))
-
-
-def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first.astype(np.uint64) << np.uint64(24) | second.astype(np.uint64))
+    @classmethod
+    def of(cls, keys: np.ndarray, levels: np.ndarray, *, hashes: int, total: int, first: int, segments: int) -> LogBloom:
+        """The filter of ``segments`` segments from ``first`` on, of ``total``; all keys lie in these."""
+        flags = np.zeros(segments * 8 * SEGMENT, bool)
+        start = (share(keys, total) - first) * (8 * SEGMENT)
+        for n in range(1, int(levels.max(initial=0)) + 1):
+            some = levels >= n
+            for bit in cls.places(keys[some], n, hashes):
+                flags[start[some] + bit] = True
+        return cls(np.packbits(flags, bitorder="little"), hashes=hashes, segments=total, first=first)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level up to which all are there; 0 where not even the first is."""
+        level = np.zeros(len(keys), np.uint8)
+        if not len(self.bits) or not len(keys):
+            return level
+        alive = np.arange(len(keys))
+        start = (share(keys, self.segments) - self.first) * SEGMENT
+        n = 1
+        while len(alive):
+            held = alive
+            for i in range(self.hashes):  # most that are absent go at the first bits
+                h = mixed(keys[held] + np.uint64(n * int(_LEVEL) % 2**64))
+                step = (h >> np.uint64(32)) | np.uint64(1)
+                bit = ((h + np.uint64(i) * step) & np.uint64(8 * SEGMENT - 1)).astype(np.int64)
+                held = held[(self.bits[start[held] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
+                if not len(held):
+                    break
+            level[held] = n
+            alive, n = held, n + 1
+        return level
+
+
+class Frequent(LogBloom):
+    """The broadcast part. All that is in it has ``least`` levels or more, so fewer are false."""
+
+    def __init__(self, bits: np.ndarray, hashes: int, segments: int, least: int):
+        super().__init__(bits, hashes=hashes, segments=segments)
+        self.least = least
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        found = super().levels(keys)
+        return np.where(found >= self.least, found, 0).astype(np.uint8)
+
+
+def _group_sizes(most: int, at_most: int, sizes: dict[int, int]) -> tuple[int, int]:
+    """The least level from which on all entries fit into ``most``; and the number of those. ``sizes``: pairs by level."""
+    total, least = 0, at_most + 1
+    for level in sorted(sizes, reverse=True):
+        if total + sizes[level] * level > most:
+            break
+        total, least = total + sizes[level] * level, level
+    return least, total
 
 
 class BloomModel:
     """A model fitted on ``train`` (all rows of it)."""
 
-    def __init__(self, train: DataFrame, *, text: str = "text", vocabulary: int = 1 << 16, head: int = 300_000, base: float = 1.5, prior: float = 50.0, max_bytes: int = 64 << 20):
-        self.work, self.prior, spark = Workspace(train.sparkSession, "lm"), prior, train.sparkSession
-        rows = train.select(F.col(text).alias("text"))
+    def __init__(self, train: DataFrame, *, text: str = "text", head: int = 300_000, prior: float = 300.0, head_bytes: int = 48 << 20, slice_bytes: int = 8 << 20):
+        self.work, self.prior = Workspace(train.sparkSession, "lm"), prior
+        spark, rows = train.sparkSession, train.select(F.col(text).alias("text"))
 
-        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                each = [token_stream(p["text"])[0] for p in pieces(batch, "text")]
-                if each:
-                    t, n = np.unique(np.concatenate(each), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["token", "n"])
+        def counted(key_of):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    each = [key_of(token_stream(p["text"])[0]) for p in pieces(batch, "text")]
+                    if each:
+                        keys, n = np.unique(np.concatenate(each), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+
+            return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-        self.counts = self.work.save(rows.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+        self.counts = self.work.save(counted(lambda s: s), "counts")
         totals = self.counts.agg(F.sum("n"), F.count("*")).first()
         self.n, self.v = totals[0] or 0, totals[1]
-        # the least count at which at most ``head`` tokens are left, from a histogram over levels of the count
-        by_level = self.counts.groupBy(F.when(F.col("n") < 1000, F.col("n")).otherwise((1000 * F.pow(F.lit(1.1), F.floor(F.log(F.col("n") / 1000.0) / F.log(F.lit(1.1))))).cast("long")).alias("low")).count().collect()
+        self._frequent_tokens(spark, head)
+
+        def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b["key"], pa.array(levels_of(b["n"].to_numpy()).astype(np.int32))], ["key", "level"])
+
+        pairs = self.work.save(counted(pair_keys).mapInArrow(levelled, "key long, level int"), "pairs")
+        self._build(spark, pairs, head_bytes, slice_bytes)
+        self.work.drop("pairs")
+
+    def _frequent_tokens(self, spark: SparkSession, head: int) -> None:
+        """Broadcast (hashes, counts) of the tokens from the count on at which at most ``head`` are left."""
+        of_count = F.when(F.col("n") < 1000, F.col("n")).otherwise((1000 * F.pow(F.lit(1.1), F.floor(F.log(F.col("n") / 1000.0) / F.log(F.lit(1.1))))).cast("long"))
         above, self.least = 0, 1
-        for r in sorted(by_level, key=lambda r: -r["low"]):
+        for r in sorted(self.counts.groupBy(of_count.alias("low")).count().collect(), key=lambda r: -r["low"]):  # at most 2000 rows
             if above + r["count"] > head:
                 break
             above, self.least = above + r["count"], r["low"]
         else:
             self.least = 1
         got = self.counts.filter(F.col("n") >= self.least).toArrow()  # at most ``head`` rows
-        hashes, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
+        hashes, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
         order = np.argsort(hashes)
-        hashes, n = hashes[order], n[order].astype(np.int64)
-        ids = np.full(len(hashes), UNKNOWN, np.int64)
-        frequent = np.lexsort((hashes, -n))
-        frequent = frequent[hashes[frequent] != END][:vocabulary]
-        ids[frequent] = np.arange(len(frequent)) + 2
-        ids[hashes == END] = LAST
-        self.words = len(frequent)
-        self.head = spark.sparkContext.broadcast((hashes, n, ids))
-        shared = self.head
-
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                each = []
-                for p in pieces(batch, "text"):
-                    stream, _ = token_stream(p["text"])
-                    _, kinds = _lookup(shared.value, stream)
-                    first = np.concatenate([[LAST], kinds[:-1]])
-                    each.append(first << 24 | kinds)
-                if each:
-                    k, c = np.unique(np.concatenate(each), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["pair", "n"])
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.head = spark.sparkContext.broadcast((hashes[order], n[order].astype(np.int64)))
+
+    def _build(self, spark: SparkSession, pairs: DataFrame, head_bytes: int, slice_bytes: int) -> None:
+        sizes = {r["level"]: r["count"] for r in pairs.groupBy("level").count().collect()}  # a row a level
+        self.hashes = max(8, int(2 * self.v).bit_length())
+        bits = -(-self.hashes * 1443 // 1000)  # a bit is set with probability 1/2 where a filter is full
+        entries = sum(k * n for k, n in sizes.items())
+        self.head_level, in_head = _group_sizes(8 * head_bytes // bits, len(VALUES), sizes)
+        segments = -(-in_head * bits // (8 * SEGMENT))
+        tail, few = (entries - in_head) * bits, self.counts.filter(F.col("n") < self.least)
+        # a slice is small where there are few, so that all cores have some, and bounded where there are many
+        n_slices = max(1, -(-tail // (8 * slice_bytes)), min(64, -(-tail // (8 * SEGMENT))), -(-few.count() // 100_000))
+        of_slice = -(-tail // (8 * SEGMENT * n_slices))  # segments
+        hashes = self.hashes
+
+        def made(total: int, each: int):
+            """Segments ``each * part`` on, of ``total``, as one row: part, bits."""
+
+            def run(rows: pa.Table) -> pa.Table:
+                part = rows["part"][0].as_py()
+                keys = rows["key"].to_numpy().view(np.uint64)
+                bloom = LogBloom.of(keys, rows["level"].to_numpy(), hashes=hashes, total=total, first=part * each, segments=each)
+                return pa.table({"part": pa.array([part], pa.int64()), "bits": pa.array([bloom.bits.tobytes()], pa.binary())})
+
+            return run
+
+        def parted(parts: int):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array(share(b["key"].to_numpy().view(np.uint64), parts)), b["key"], b["level"]], ["part", "key", "level"])
+
+            return run
+
+        def built(which: DataFrame, parts: int, each: int) -> DataFrame:
+            dealt = which.mapInArrow(parted(parts), "part long, key long, level int")
+            return dealt.groupBy("part").applyInArrow(made(parts * each, each), "part long, bits binary")
+
+        of_head = np.zeros(segments * SEGMENT, np.uint8)
+        if segments:
+            each = 16  # segments a task
+            parts = -(-segments // each)
+            segments = parts * each
+            of_head = np.zeros(segments * SEGMENT, np.uint8)
+            for r in built(pairs.filter(F.col("level") >= self.head_level), parts, each).toLocalIterator():  # at most head_bytes in all
+                of_head[r["part"] * each * SEGMENT : (r["part"] + 1) * each * SEGMENT] = np.frombuffer(r["bits"], np.uint8)
+        self.shared_filter = spark.sparkContext.broadcast((of_head, hashes, segments, self.head_level))
+        self.slices, self.of_slice = n_slices, of_slice
+        slices = self.work.save(built(pairs.filter(F.col("level") < self.head_level), n_slices, of_slice), "slices")
+
+        def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                k = b["pair"].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(pair_key(k >> 24, k & 0xFFFFFF).view(np.int64)), b["n"]], ["key", "n"])
-
-        seen = rows.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter("n >= 2")
-        known = ids != UNKNOWN
-        singles = pa.table({"key": unigram_key(ids[known]).view(np.int64), "n": n[known]})
-        rest = self.n - int(n[known].sum())
-        if rest > 0:
-            singles = pa.concat_tables([singles, pa.table({"key": unigram_key(np.array([UNKNOWN])).view(np.int64), "n": [rest]})])
-        ngrams = seen.mapInArrow(keyed, "key long, n long").withColumn("pair", F.lit(True))
-        if len(singles):
-            ngrams = ngrams.union(spark.createDataFrame(singles).withColumn("pair", F.lit(False)))
-        ngrams = self.work.save(ngrams, "ngrams")
-        self.filter = build_filter(ngrams, base=base, max_bytes=max_bytes)
-        self.work.drop("ngrams")
-        self.shared_filter = spark.sparkContext.broadcast((self.filter.bits, base))
-
-    def score(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-        """One row a document: id, n_tokens, n_known, base_score, score."""
-        head, filtered = self.head, self.shared_filter
-        n, v, words, prior = self.n, self.v, self.words, self.prior
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits, base = filtered.value
-            bloom = LogBloom(bits, base=base)
-            own = bloom.counts(unigram_key(np.arange(words + 2)))
-            single = (own + 1) / (own.sum() + words + 2)
-            single[UNKNOWN] /= max(1, v - words)  # one of the tokens outside the vocabulary, or a new one
-            for batch in batches:
-                for p in pieces(batch, "text"):
-                    stream, at = token_stream(p["text"])
-                    distinct, back = np.unique(stream, return_inverse=True)
-                    count, kind = _lookup(head.value, distinct)
-                    kinds, starts = kind[back], at[:-1]
-                    first = np.concatenate([[LAST], kinds[:-1]])
-                    pair, of = np.unique(first << 24 | kinds, return_inverse=True)
-                    a, b = pair >> 24, pair & 0xFFFFFF
-                    seen = np.minimum(bloom.counts(pair_key(a, b)), own[a])
-                    logs = np.log10((seen + prior * single[b]) / (own[a] + prior))[of]
-                    rare = count[back] == 0
-                    owner = np.repeat(np.arange(len(starts)), np.diff(at))
-                    tail_doc, tail = owner[rare], stream[rare]
-                    order = np.lexsort((tail, tail_doc))
-                    tail_doc, tail = tail_doc[order], tail[order]
-                    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(tail)), bool), (tail[1:] != tail[:-1]) | (tail_doc[1:] != tail_doc[:-1])]))
-                    times = np.diff(np.append(new, len(tail)))
-                    cuts = np.searchsorted(tail_doc[new], np.arange(len(starts) + 1))
-                    rare_tokens = pa.StructArray.from_arrays([pa.array(tail[new].view(np.int64)), pa.array(times, pa.int64())], ["token", "times"])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            p["id"],
-                            pa.array(np.diff(at)),
-                            pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
-                            pa.array(np.add.reduceat(np.log10(count[back] + 1.0), starts)),
-                            pa.array(np.add.reduceat(logs, starts)),
-                            pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), rare_tokens),
-                        ],
-                        ["id", "n_tokens", "known", "logs", "score", "rare"],
-                    )
-
+                yield pa.RecordBatch.from_arrays([pa.array(share(b["key"].to_numpy().view(np.uint64), n_slices)), b["key"], b["n"]], ["slice", "key", "n"])
+
+        def packed(rows: pa.Table) -> pa.Table:
+            keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+            order = np.argsort(keys)
+            return pa.table({"slice": rows["slice"][:1], "kind": pa.array([TOKENS], pa.int32()), "a": pa.array([keys[order].tobytes()], pa.binary()), "b": pa.array([n[order].tobytes()], pa.binary())})
+
+        few = few.mapInArrow(by_slice, "slice long, key long, n long")
+        few = few.groupBy("slice").applyInArrow(packed, "slice long, kind int, a binary, b binary")
+        bits_rows = slices.select(F.col("part").alias("slice"), F.lit(PAIRS).alias("kind"), F.col("bits").alias("a"), F.lit(None).cast("binary").alias("b"))
+        #: What is known about tokens and pairs outside the broadcast parts: slice, kind, a, b (sorted tokens and their counts, or the filter's bits).
+        self.known = self.work.save(few.union(bits_rows), "known")
+        self.work.drop("slices")
+        # expected false positives over the vocabulary, for one context: what the bits that are set make of them
+        chance = 0.0
+        if segments:
+            chance += (int(np.bitwise_count(of_head).sum()) / (8 * len(of_head))) ** (hashes * self.head_level) * VALUES[self.head_level]
+        if entries > in_head:
+            chance += (1 - np.exp(-(entries - in_head) * hashes / (8 * SEGMENT * of_slice * n_slices))) ** hashes
+        self.probability = Probability(self.n, self.v, self.prior, float(self.v * chance))
+
+    def score(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 2 << 20) -> DataFrame:
+        """One row a document: id, n_tokens, n_known, train_tokens, base_score, score."""
+        head, shared, slices, of_slice, hashes = self.head, self.shared_filter, self.slices, self.of_slice, self.hashes
+        n, v, probability = self.n, self.v, self.probability
         rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
-        scored = rows.mapInArrow(run, f"id {kind}, n_tokens long, known long, logs double, score double, rare array<struct<token:long,times:long>>")
-        scored = self.work.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-        # tokens that the head doesn't hold: their exact counts by a join
-        rare = scored.select("row", F.inline("rare"))
-        few = self.counts.filter(F.col("n") < self.least)
-        found = rare.join(few, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs_more"))
-        full = scored.join(found, "row", "left")
-        known = F.col("known") + F.coalesce(F.col("more"), F.lit(0))
-        base = F.col("logs") + F.coalesce(F.col("logs_more"), F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-        return full.select(F.col("id").alias(id_col), "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        has_slices = self.known.limit(1).count() > 0
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for p in pieces(batch, "text", piece_bytes):
+                    one = pa.array([0, p.num_rows], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, p["id"]), pa.ListArray.from_arrays(one, p["text"])], ["ids", "texts"])
+
+        dealt = rows.mapInArrow(deal, f"ids array<{kind}>, texts array<string>").withColumn("piece", F.monotonically_increasing_id())
+        dealt = self.work.save(dealt, "pieces")
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frequent = Frequent(*shared.value)
+            for batch in batches:
+                for piece, texts in zip(batch["piece"].to_pylist(), batch["texts"]):
+                    stream, _ = token_stream(texts.values)
+                    out = {"slice": [], "piece": [], "kind": [], "keys": []}
+                    for what, keys in _open_questions(stream, head.value[0], frequent):
+                        cuts = np.searchsorted(share(keys, slices), np.arange(slices + 1)) if slices <= len(keys) else None
+                        if cuts is None:  # fewer keys than slices
+                            of, first = np.unique(share(keys, slices), return_index=True)
+                            bounds = zip(of.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])
+                        else:
+                            bounds = ((k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a)
+                        for k, a, b in bounds:
+                            for column, value in zip(out.values(), (k, piece, what, keys[a:b].tobytes())):
+                                column.append(value)
+                    yield pa.RecordBatch.from_arrays([pa.array(out["slice"], pa.int64()), pa.array(out["piece"], pa.int64()), pa.array(out["kind"], pa.int32()), pa.array(out["keys"], pa.binary())], [*out])
+
+        def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+            tokens, counts, bloom = np.empty(0, np.uint64), np.empty(0, np.int64), None
+            for r in known.to_pylist():
+                if r["kind"] == TOKENS:
+                    tokens, counts = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.int64)
+                else:
+                    bloom = LogBloom(np.frombuffer(r["a"], np.uint8), hashes=hashes, segments=slices * of_slice, first=r["slice"] * of_slice)
+            found = []
+            for what, keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist()):
+                keys = np.frombuffer(keys, np.uint64)
+                if what == TOKENS:
+                    found.append(_counts_of(keys, tokens, counts).tobytes())
+                else:
+                    found.append((bloom.levels(keys) if bloom else np.zeros(len(keys), np.uint8)).tobytes())
+            return pa.table({"piece": asked["piece"], "kind": asked["kind"], "slice": asked["slice"], "found": pa.array(found, pa.binary())})
+
+        def rate(texts: pa.Array, ids: pa.Array, answers: dict[int, bytes], frequent: Frequent) -> pa.RecordBatch:
+            stream, at = token_stream(texts)
+            tokens, of_token = np.unique(stream, return_inverse=True)
+            count = _counts_of(tokens, *head.value)
+            asked = count == 0
+            if TOKENS in answers:
+                count[asked] = np.frombuffer(answers[TOKENS], np.int64)
+            pairs, first, of_pair = np.unique(pair_keys(stream), return_index=True, return_inverse=True)
+            level = frequent.levels(pairs)
+            if PAIRS in answers:
+                level[level == 0] = np.frombuffer(answers[PAIRS], np.uint8)
+            each = count[of_token]
+            before = np.concatenate([[count[np.searchsorted(tokens, END)]], each[:-1]])
+            logs = np.log10(probability(level, each[first], before[first]))[of_pair]
+            start = at[:-1]
+            base = np.log10((each + 1.0) / (n + v + 1))
+            columns = (np.diff(at), np.add.reduceat((each > 0).astype(np.int64), start), np.add.reduceat(base, start), np.add.reduceat(logs, start))
+            return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], ["id", "n_tokens", "n_known", "base_score", "score"])
+
+        schema = f"id {kind}, n_tokens long, n_known long, base_score double, score double"
+        if not has_slices:  # nothing is outside the broadcast parts
+            def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                frequent = Frequent(*shared.value)
+                for batch in batches:
+                    for ids, texts in zip(batch["ids"], batch["texts"]):
+                        yield rate(texts.values, ids.values, {}, frequent)
+
+            scored = dealt.mapInArrow(alone, schema)
+        else:
+            asked = dealt.select("piece", "texts").mapInArrow(ask, "slice long, piece long, kind int, keys binary")
+            answers = asked.groupBy("slice").cogroup(self.known.groupBy("slice")).applyInArrow(answer, "piece long, kind int, slice long, found binary")
+
+            def joined(piece: pa.Table, found: pa.Table) -> pa.Table:
+                by_kind: dict[int, bytes] = {}
+                for r in sorted(found.to_pylist(), key=lambda r: r["slice"]):
+                    by_kind[r["kind"]] = by_kind.get(r["kind"], b"") + r["found"]
+                return pa.Table.from_batches([rate(texts.values, ids.values, by_kind, Frequent(*shared.value)) for ids, texts in zip(piece["ids"], piece["texts"])])
+
+            scored = dealt.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(joined, schema)
+        return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+class Probability:
+    """P(b | a) from the pair's level and the exact counts of b and a."""
+
+    def __init__(self, n: int, v: int, prior: float, false: float):
+        self.n, self.v, self.prior, self.false = n, v, prior, false
+
+    def __call__(self, level: np.ndarray, of_token: np.ndarray, of_context: np.ndarray) -> np.ndarray:
+        single = (of_token + 1) / (self.n + self.v + 1)
+        return (VALUES[level] + self.prior * single) / (of_context + self.prior + self.false)
+
+
+def _counts_of(keys: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each key in a sorted table; 0 if it isn't there."""
+    if not len(tokens):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(tokens, keys), len(tokens) - 1)
+    return np.where(tokens[at] == keys, counts[at], 0)
+
+
+def _open_questions(stream: np.ndarray, head: np.ndarray, frequent: Frequent) -> Iterator[tuple[int, np.ndarray]]:
+    """Sorted tokens and pairs of a piece that the broadcast parts don't hold."""
+    tokens = np.unique(stream)
+    if len(head):
+        tokens = tokens[head[np.minimum(np.searchsorted(head, tokens), len(head) - 1)] != tokens]
+    yield TOKENS, tokens
+    pairs = np.unique(pair_keys(stream))
+    yield PAIRS, pairs[frequent.levels(pairs) == 0]
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

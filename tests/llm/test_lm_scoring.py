@@ -5,11 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm.language_id import fold
-from seqloom.llm.lm_scoring import BloomModel, LogBloom, unigram_key
+from seqloom.llm.lm_scoring import END, THRESHOLDS, VALUES, BloomModel, Frequent, LogBloom, levels_of, mixed, pair_keys, share, token_stream
 
 SCHEMA = "doc_id long, text string"
 
@@ -28,34 +29,84 @@ def brute(rows):
     return n, {i: (len(words(t)), sum(c[w] > 0 for w in words(t)), sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words(t))) for i, t in rows}
 
 
-@pytest.mark.parametrize("head", [300_000, 40])
-def test_base_score_is_exact_with_and_without_a_tail(spark, head):
-    rows = texts()
+def scores(rows, prior):
+    """By document: the sum of log10 P with exact tables, counts quantised as in the filter, no false positives."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) + [None]
+    train = [words(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([None, *t], t))
+    n, v = sum(c.values()), len(c)
+    p = lambda a, b: (VALUES[levels_of(np.array([pairs[a, b]]))[0]] + prior * (c[b] + 1) / (n + v + 1)) / (c[a] + prior)
+    return {i: sum(math.log10(p(a, b)) for a, b in zip([None, *words(t)], words(t))) for i, t in rows}
+
+
+SMALL = [dict(), dict(head=40, head_bytes=4_000, slice_bytes=1 << 16), dict(head=0, head_bytes=0, slice_bytes=1 << 16)]
+
+
+@pytest.mark.parametrize("parts", SMALL)
+def test_scores_are_those_of_exact_tables_wherever_the_counts_lie(spark, parts):
+    rows = texts() + [(500, " ".join(f"w{i % 300}" for i in range(60_000)))]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = BloomModel(docs.filter(fold(F.col("doc_id"), 7) != 2), head=head, vocabulary=100).score(docs).collect()
-    n, expected = brute(rows)
+    model = BloomModel(docs.filter(fold(F.col("doc_id"), 7) != 2), **parts)
+    got = model.score(docs, piece_bytes=3_000).collect()
+    (n, expected), score = brute(rows), scores(rows, model.prior)
     assert len(got) == len(rows)
     for r in got:
         size, known, base = expected[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (size, known, n)
-        assert r["base_score"] == pytest.approx(base, abs=1e-6)
-        assert r["score"] < 0 and math.isfinite(r["score"])
-
-
-def test_filter_reads_counts_back():
-    keys = unigram_key(np.arange(20_000))
-    counts = np.random.default_rng(1).integers(1, 5000, 20_000)
-    level = LogBloom.level(counts, 1.5)
-    segments = 8
-    bits = np.zeros(segments * 65536, np.uint8)
-    for k in range(1, level.max() + 1):
-        use = keys[level >= k]
-        for bit in LogBloom.places(use, k, 4):
-            np.bitwise_or.at(bits, LogBloom.segment(use, segments) * 65536 + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
-    bloom = LogBloom(bits, base=1.5)
-    back = bloom.counts(keys)
-    assert np.all(LogBloom.level(back, 1.5) >= level) and np.mean(LogBloom.level(back, 1.5) == level) > 0.9
-    assert np.mean(bloom.counts(unigram_key(np.arange(10**6, 10**6 + 20_000))) > 0) < 0.1
+        assert r["base_score"] == pytest.approx(base, abs=1e-5)
+        assert r["score"] == pytest.approx(score[r["doc_id"]], rel=2e-3, abs=0.02)
+
+
+def test_levels():
+    counts = np.array([0, 1, 2, 3, 5, 6, 7, 8, 9, 100, 10**9])
+    level = levels_of(counts)
+    assert level[0] == 0 and np.all(THRESHOLDS[level[1:] - 1] <= counts[1:]) and np.all(counts[1:] < THRESHOLDS[level[1:]])
+    assert np.all(VALUES[level[:6]] == counts[:6]) and np.all(np.abs(VALUES[level] - counts) <= 0.075 * counts)
+
+
+def test_filter_reads_levels_back():
+    keys = mixed(np.arange(20_000, dtype=np.uint64))
+    levels = np.random.default_rng(1).integers(1, 9, 20_000)
+    segments = 4
+    parts = [share(keys, 2) == k for k in range(2)]
+    halves = [LogBloom.of(keys[p], levels[p], hashes=16, total=segments, first=2 * k, segments=2) for k, p in enumerate(parts)]
+    whole = LogBloom(np.concatenate([h.bits for h in halves]), hashes=16, segments=segments)
+    assert np.array_equal(whole.levels(keys), levels)
+    for k, p in enumerate(parts):
+        assert np.array_equal(halves[k].levels(keys[p]), levels[p])
+    others = mixed(np.arange(10**6, 10**6 + 200_000, dtype=np.uint64))
+    assert np.mean(whole.levels(others) > 0) < 1e-3
+    assert np.array_equal(Frequent(whole.bits, 16, segments, 3).levels(keys), np.where(levels >= 3, levels, 0))
+
+
+def test_probabilities_of_a_context_add_up_to_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = BloomModel(docs)
+    counts = {r["key"]: r["n"] for r in model.counts.collect()}
+    tokens = np.array([*counts], np.int64).view(np.uint64)
+    n = np.array([*counts.values()])
+    bits = Frequent(*model.shared_filter.value)
+    rare, frequent = tokens[np.argsort(n)[:20]], tokens[np.argsort(-n)[:20]]
+    for a in [*rare, *frequent, np.uint64(12345)]:
+        level = bits.levels(mixed(np.full(len(tokens), a) * np.uint64(0xC2B2AE3D27D4EB4F) + tokens))
+        of_a = counts.get(int(np.array([a], np.uint64).view(np.int64)[0]), 0)
+        total = model.probability(level, n, of_a).sum() + model.probability(np.array([0]), np.array([0]), of_a)[0]
+        assert abs(total - 1) < 0.02
+    assert model.counts.count() == model.v and sum(counts.values()) == model.n
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_unseen_documents_are_likelier_than_by_single_tokens(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = BloomModel(docs.filter(fold(F.col("doc_id"), 7) != 2)).score(docs).filter(fold(F.col("doc_id"), 7) == 2)
+    r = got.agg(F.avg(F.col("score") / F.col("n_tokens")).alias("score"), F.avg(F.col("base_score") / F.col("n_tokens")).alias("base"), F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r["score"] > r["base"] + 0.2 and r["s"] > r["b"]
+
+
+def test_first_token_comes_after_an_end():
+    stream, at = token_stream(pa.array(["a b", None, "a"]))
+    keys = pair_keys(stream)
+    assert list(at) == [0, 3, 4, 6] and stream[2] == END and keys[0] == keys[4] and len(keys) == 6
 
 
 def test_edge_rows(spark):
