@@ -5,17 +5,17 @@ of neighbours. No token and no pair is left out. A pair's count is quantised
 to one of the ``thresholds`` (1, 2, 3 ... exact at first, then 15 % apart); the
 filter holds (pair, 1), (pair, 2) ... up to its level, so a count is read back
 by probing levels until one is absent. Bits grow with the number of entries,
-and the number of hashes with the vocabulary, so a context expects less than
-one false positive among all tokens.
+and bits an entry with the vocabulary, so that a context expects about one
+false positive or less among all tokens.
 
 The filter has two parts. The most frequent pairs, as many as fit into
 ``head_bytes``, are one filter that workers get as a broadcast. All others are
-in slices of ``slice_bytes``, a table in the shared folder. Scoring deals texts
-into pieces; a piece asks each slice once for the pairs that the broadcast part
+in parts, each for a range of keys, a table in the shared folder. Scoring deals
+texts into pieces; a piece asks each part once for the pairs that the broadcast
 doesn't hold, and gets one byte for each. So what a worker holds is bounded
 whatever the corpus, and no n-gram so common that every piece asks for it
 travels. Exact token counts go the same way: the ``head`` most frequent ones
-by broadcast, the others by slice.
+by broadcast, the others from their part.
 
 The model: P(b) = (n(b) + 1) / (N + V + 1), where all unknown tokens together
 are one; P(b | a) = (q(ab) + prior * P(b)) / (n(a) + prior + e), q the pair's
@@ -32,10 +32,13 @@ a very long text is a piece by itself; further columns are not looked at.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,57 +87,66 @@ def share(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 class LogBloom:
-    """A Bloom filter over (key, level) in segments of 64 KiB, each for a range of keys: from the one numbered ``first`` on, of ``segments``."""
+    """A Bloom filter over (key, level) in segments of 64 KiB, each for a range of keys: from the one numbered ``first`` on, of ``segments``.
 
-    def __init__(self, bits: np.ndarray, *, hashes: int, segments: int, first: int = 0):
-        self.bits, self.hashes, self.segments, self.first = bits, hashes, segments, first
+    An entry sets ``each`` bits in each of four 64-bit words of its segment, so a probe reads four words at most.
+    """
 
-    @staticmethod
-    def places(keys: np.ndarray, level: int, hashes: int) -> Iterator[np.ndarray]:
-        """Bits inside the key's segment."""
-        h = mixed(keys + np.uint64(level * int(_LEVEL) % 2**64))
-        step = (h >> np.uint64(32)) | np.uint64(1)
-        for i in range(hashes):
-            yield ((h + np.uint64(i) * step) & np.uint64(8 * SEGMENT - 1)).astype(np.int64)
+    WORDS = SEGMENT // 8
+
+    def __init__(self, words: np.ndarray, *, each: int, segments: int, first: int = 0):
+        self.words, self.each, self.segments, self.first = words, each, segments, first
+
+    @classmethod
+    def masks(cls, keys: np.ndarray, level: int, each: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Four times: the word in the segment, and its bits."""
+        at = mixed(keys + np.uint64(level * int(_LEVEL) % 2**64))
+        h = mixed(at ^ _LEVEL)
+        for j in range(4):
+            mask, groups = np.zeros(len(keys), np.uint64), h * np.uint64(2 * j + 1)
+            for i in range(each):
+                mask |= np.uint64(1) << (groups >> np.uint64(64 - 6 * (i + 1)) & np.uint64(63))
+            yield (at >> np.uint64(13 * j) & np.uint64(cls.WORDS - 1)).astype(np.int64), mask
 
     @classmethod
-    def of(cls, keys: np.ndarray, levels: np.ndarray, *, hashes: int, total: int, first: int, segments: int) -> LogBloom:
+    def of(cls, keys: np.ndarray, levels: np.ndarray, *, each: int, total: int, first: int, segments: int) -> LogBloom:
         """The filter of ``segments`` segments from ``first`` on, of ``total``; all keys lie in these."""
-        flags = np.zeros(segments * 8 * SEGMENT, bool)
-        start = (share(keys, total) - first) * (8 * SEGMENT)
+        words = np.zeros(segments * cls.WORDS, np.uint64)
+        start = (share(keys, total) - first) * cls.WORDS
         for n in range(1, int(levels.max(initial=0)) + 1):
             some = levels >= n
-            for bit in cls.places(keys[some], n, hashes):
-                flags[start[some] + bit] = True
-        return cls(np.packbits(flags, bitorder="little"), hashes=hashes, segments=total, first=first)
+            for word, mask in cls.masks(keys[some], n, each):
+                np.bitwise_or.at(words, start[some] + word, mask)
+        return cls(words, each=each, segments=total, first=first)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which all are there; 0 where not even the first is."""
         level = np.zeros(len(keys), np.uint8)
-        if not len(self.bits) or not len(keys):
+        if not len(self.words):
             return level
-        alive = np.arange(len(keys))
-        start = (share(keys, self.segments) - self.first) * SEGMENT
-        n = 1
+        alive, n = np.arange(len(keys)), 1
+        start = (share(keys, self.segments) - self.first) * self.WORDS
         while len(alive):
-            held = alive
-            for i in range(self.hashes):  # most that are absent go at the first bits
-                h = mixed(keys[held] + np.uint64(n * int(_LEVEL) % 2**64))
-                step = (h >> np.uint64(32)) | np.uint64(1)
-                bit = ((h + np.uint64(i) * step) & np.uint64(8 * SEGMENT - 1)).astype(np.int64)
-                held = held[(self.bits[start[held] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
-                if not len(held):
+            at = mixed(keys[alive] + np.uint64(n * int(_LEVEL) % 2**64))
+            begin = start[alive]
+            for j in range(4):  # most that are absent go at the first word
+                mask, groups = np.zeros(len(alive), np.uint64), mixed(at ^ _LEVEL) * np.uint64(2 * j + 1)
+                for i in range(self.each):
+                    mask |= np.uint64(1) << (groups >> np.uint64(64 - 6 * (i + 1)) & np.uint64(63))
+                held = self.words[begin + (at >> np.uint64(13 * j) & np.uint64(self.WORDS - 1)).astype(np.int64)] & mask == mask
+                alive, at, begin = alive[held], at[held], begin[held]
+                if not len(alive):
                     break
-            level[held] = n
-            alive, n = held, n + 1
+            level[alive] = n
+            n += 1
         return level
 
 
 class Frequent(LogBloom):
     """The broadcast part. All that is in it has ``least`` levels or more, so fewer are false."""
 
-    def __init__(self, bits: np.ndarray, hashes: int, segments: int, least: int):
-        super().__init__(bits, hashes=hashes, segments=segments)
+    def __init__(self, words: np.ndarray, each: int, segments: int, least: int):
+        super().__init__(words, each=each, segments=segments)
         self.least = least
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
@@ -142,224 +154,258 @@ class Frequent(LogBloom):
         return np.where(found >= self.least, found, 0).astype(np.uint8)
 
 
-def _group_sizes(most: int, at_most: int, sizes: dict[int, int]) -> tuple[int, int]:
-    """The least level from which on all entries fit into ``most``; and the number of those. ``sizes``: pairs by level."""
-    total, least = 0, at_most + 1
-    for level in sorted(sizes, reverse=True):
-        if total + sizes[level] * level > most:
-            break
-        total, least = total + sizes[level] * level, level
-    return least, total
+def _least_level(sizes: np.ndarray, weights: np.ndarray, most: int) -> int:
+    """The least level from which on all together weigh at most ``most``. ``sizes``: how many there are of each level."""
+    total = 0
+    for level in range(len(sizes) - 1, 0, -1):
+        total += int(sizes[level]) * int(weights[level])
+        if total > most:
+            return level + 1
+    return 1
+
+
+def _cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of sorted keys."""
+    of, first = np.unique(share(keys, parts), return_index=True)
+    yield from zip(of.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(pa.py_buffer(blob)).read_next_batch()
 
 
 class BloomModel:
     """A model fitted on ``train`` (all rows of it)."""
 
-    def __init__(self, train: DataFrame, *, text: str = "text", head: int = 300_000, prior: float = 300.0, head_bytes: int = 48 << 20, slice_bytes: int = 8 << 20):
-        self.work, self.prior = Workspace(train.sparkSession, "lm"), prior
-        spark, rows = train.sparkSession, train.select(F.col(text).alias("text"))
-
-        def counted(key_of):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    each = [key_of(token_stream(p["text"])[0]) for p in pieces(batch, "text")]
-                    if each:
-                        keys, n = np.unique(np.concatenate(each), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
-
-            return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-        self.counts = self.work.save(counted(lambda s: s), "counts")
-        totals = self.counts.agg(F.sum("n"), F.count("*")).first()
-        self.n, self.v = totals[0] or 0, totals[1]
-        self._frequent_tokens(spark, head)
-
-        def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b["key"], pa.array(levels_of(b["n"].to_numpy()).astype(np.int32))], ["key", "level"])
-
-        pairs = self.work.save(counted(pair_keys).mapInArrow(levelled, "key long, level int"), "pairs")
-        self._build(spark, pairs, head_bytes, slice_bytes)
-        self.work.drop("pairs")
-
-    def _frequent_tokens(self, spark: SparkSession, head: int) -> None:
-        """Broadcast (hashes, counts) of the tokens from the count on at which at most ``head`` are left."""
-        of_count = F.when(F.col("n") < 1000, F.col("n")).otherwise((1000 * F.pow(F.lit(1.1), F.floor(F.log(F.col("n") / 1000.0) / F.log(F.lit(1.1))))).cast("long"))
-        above, self.least = 0, 1
-        for r in sorted(self.counts.groupBy(of_count.alias("low")).count().collect(), key=lambda r: -r["low"]):  # at most 2000 rows
-            if above + r["count"] > head:
-                break
-            above, self.least = above + r["count"], r["low"]
-        else:
-            self.least = 1
-        got = self.counts.filter(F.col("n") >= self.least).toArrow()  # at most ``head`` rows
-        hashes, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
-        order = np.argsort(hashes)
-        self.head = spark.sparkContext.broadcast((hashes[order], n[order].astype(np.int64)))
-
-    def _build(self, spark: SparkSession, pairs: DataFrame, head_bytes: int, slice_bytes: int) -> None:
-        sizes = {r["level"]: r["count"] for r in pairs.groupBy("level").count().collect()}  # a row a level
-        self.hashes = max(8, int(2 * self.v).bit_length())
-        bits = -(-self.hashes * 1443 // 1000)  # a bit is set with probability 1/2 where a filter is full
-        entries = sum(k * n for k, n in sizes.items())
-        self.head_level, in_head = _group_sizes(8 * head_bytes // bits, len(VALUES), sizes)
-        segments = -(-in_head * bits // (8 * SEGMENT))
-        tail, few = (entries - in_head) * bits, self.counts.filter(F.col("n") < self.least)
-        # a slice is small where there are few, so that all cores have some, and bounded where there are many
-        n_slices = max(1, -(-tail // (8 * slice_bytes)), min(64, -(-tail // (8 * SEGMENT))), -(-few.count() // 100_000))
-        of_slice = -(-tail // (8 * SEGMENT * n_slices))  # segments
-        hashes = self.hashes
-
-        def made(total: int, each: int):
-            """Segments ``each * part`` on, of ``total``, as one row: part, bits."""
-
-            def run(rows: pa.Table) -> pa.Table:
-                part = rows["part"][0].as_py()
-                keys = rows["key"].to_numpy().view(np.uint64)
-                bloom = LogBloom.of(keys, rows["level"].to_numpy(), hashes=hashes, total=total, first=part * each, segments=each)
-                return pa.table({"part": pa.array([part], pa.int64()), "bits": pa.array([bloom.bits.tobytes()], pa.binary())})
-
-            return run
-
-        def parted(parts: int):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    yield pa.RecordBatch.from_arrays([pa.array(share(b["key"].to_numpy().view(np.uint64), parts)), b["key"], b["level"]], ["part", "key", "level"])
-
-            return run
-
-        def built(which: DataFrame, parts: int, each: int) -> DataFrame:
-            dealt = which.mapInArrow(parted(parts), "part long, key long, level int")
-            return dealt.groupBy("part").applyInArrow(made(parts * each, each), "part long, bits binary")
-
-        of_head = np.zeros(segments * SEGMENT, np.uint8)
-        if segments:
-            each = 16  # segments a task
-            parts = -(-segments // each)
-            segments = parts * each
-            of_head = np.zeros(segments * SEGMENT, np.uint8)
-            for r in built(pairs.filter(F.col("level") >= self.head_level), parts, each).toLocalIterator():  # at most head_bytes in all
-                of_head[r["part"] * each * SEGMENT : (r["part"] + 1) * each * SEGMENT] = np.frombuffer(r["bits"], np.uint8)
-        self.shared_filter = spark.sparkContext.broadcast((of_head, hashes, segments, self.head_level))
-        self.slices, self.of_slice = n_slices, of_slice
-        slices = self.work.save(built(pairs.filter(F.col("level") < self.head_level), n_slices, of_slice), "slices")
-
-        def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(share(b["key"].to_numpy().view(np.uint64), n_slices)), b["key"], b["n"]], ["slice", "key", "n"])
-
-        def packed(rows: pa.Table) -> pa.Table:
-            keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-            order = np.argsort(keys)
-            return pa.table({"slice": rows["slice"][:1], "kind": pa.array([TOKENS], pa.int32()), "a": pa.array([keys[order].tobytes()], pa.binary()), "b": pa.array([n[order].tobytes()], pa.binary())})
-
-        few = few.mapInArrow(by_slice, "slice long, key long, n long")
-        few = few.groupBy("slice").applyInArrow(packed, "slice long, kind int, a binary, b binary")
-        bits_rows = slices.select(F.col("part").alias("slice"), F.lit(PAIRS).alias("kind"), F.col("bits").alias("a"), F.lit(None).cast("binary").alias("b"))
-        #: What is known about tokens and pairs outside the broadcast parts: slice, kind, a, b (sorted tokens and their counts, or the filter's bits).
-        self.known = self.work.save(few.union(bits_rows), "known")
-        self.work.drop("slices")
-        # expected false positives over the vocabulary, for one context: what the bits that are set make of them
-        chance = 0.0
+    def __init__(self, train: DataFrame, *, text: str = "text", head: int = 300_000, prior: float = 300.0, head_bytes: int = 48 << 20, part_bytes: int = 16 << 20):
+        self.work, self.spark = Workspace(train.sparkSession, "lm"), train.sparkSession
+        rows = train.select(F.col(text).alias("text"))
+        self.parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+        self._count(rows)
+        got = {r["kind"]: (r["n"], np.array(r["sizes"])) for r in self._totals().collect()}  # two rows
+        self.n, tokens = got.get(TOKENS, (0, np.zeros(len(VALUES), np.int64)))
+        _, pairs = got.get(PAIRS, (0, np.zeros(len(VALUES), np.int64)))
+        self.v = int(tokens.sum())
+        self.least = int(THRESHOLDS[_least_level(tokens, np.ones(len(tokens)), head) - 1])
+        self.each = max(3, (self.v.bit_length() + 6) // 4)  # the more tokens, the rarer a false positive has to be
+        bits = -(-4 * self.each * 1443 // 1000)  # where half of all bits are set
+        steps = np.arange(len(pairs))
+        self.head_level = _least_level(pairs, steps, 8 * head_bytes // bits)
+        entries, in_head = int((pairs * steps).sum()), int((pairs * steps)[self.head_level :].sum())
+        self._broadcast_tokens()
+        self._broadcast_pairs(-(-in_head * bits // (8 * SEGMENT)))
+        self.of_part = -(-(entries - in_head) * bits // (8 * SEGMENT * self.parts))  # segments
+        self._keep_the_rest()
+        self.probability = Probability(self.n, self.v, prior, self.v * self.chance)
+        self.work.drop("counted")
+
+    def _count(self, rows: DataFrame) -> None:
+        """The table ``counted``: kind, part (a range of keys), sorted keys, their counts, and how many have each level."""
+        parts = self.parts
+
+        def emitted(keys: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for kind, some in keys.items():
+                each, n = np.unique(np.concatenate(some), return_counts=True)
+                n = n.astype(np.uint32)
+                cuts = [*_cut(each, parts)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(cuts), pa.int32()), pa.array([k for k, _, _ in cuts], pa.int64()), pa.array([each[a:b].tobytes() for _, a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in cuts], pa.binary())],
+                    ["kind", "part", "keys", "n"],
+                )
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept, size = {TOKENS: [], PAIRS: []}, 0
+            for batch in batches:
+                for p in pieces(batch, "text"):
+                    stream = token_stream(p["text"])[0]
+                    kept[TOKENS].append(stream)
+                    kept[PAIRS].append(pair_keys(stream))
+                    size += len(stream)
+                    if size > 2_000_000:
+                        yield from emitted(kept)
+                        kept, size = {TOKENS: [], PAIRS: []}, 0
+            if size:
+                yield from emitted(kept)
+
+        def summed(some: pa.Table) -> pa.Table:
+            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in some["keys"].to_pylist()])
+            n = np.concatenate([np.frombuffer(x, np.uint32) for x in some["n"].to_pylist()]).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, n = keys[first], np.add.reduceat(n, first)
+            sizes = np.bincount(levels_of(n), minlength=len(VALUES))
+            row = {"kind": some["kind"][:1], "part": some["part"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "total": pa.array([int(n.sum())], pa.int64())}
+            return pa.table(row | {"sizes": pa.array([sizes.tolist()], pa.list_(pa.int64()))})
+
+        dealt = rows.mapInArrow(run, "kind int, part long, keys binary, n binary").groupBy("kind", "part")
+        self.counted = self.work.save(dealt.applyInArrow(summed, "kind int, part long, keys binary, n binary, total long, sizes array<long>"), "counted")
+
+    def _totals(self) -> DataFrame:
+        levels = [F.sum(F.get("sizes", F.lit(k))).alias(f"s{k}") for k in range(len(VALUES))]
+        return self.counted.groupBy("kind").agg(F.sum("total").alias("n"), *levels).select("kind", "n", F.array(*(F.col(f"s{k}") for k in range(len(VALUES)))).alias("sizes"))
+
+    def token_counts(self, least: int = 1) -> DataFrame:
+        """Tokens (their hashes) that occur ``least`` times or more: key, n."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for keys, n in zip(batch["keys"].to_pylist(), batch["n"].to_pylist()):
+                    n = np.frombuffer(n, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)[n >= least]), pa.array(n[n >= least])], ["key", "n"])
+
+        return self.counted.filter(F.col("kind") == TOKENS).select("keys", "n").mapInArrow(run, "key long, n long")
+
+    def _broadcast_tokens(self) -> None:
+        got = self.token_counts(self.least).toArrow()  # at most ``head`` rows
+        keys, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
+        order = np.argsort(keys)
+        self.head = self.spark.sparkContext.broadcast((keys[order], n[order].astype(np.int64)))
+
+    def _broadcast_pairs(self, segments: int) -> None:
+        """The frequent pairs' filter, at most ``head_bytes`` and a segment, gathered by the driver segment by segment."""
+        least, each, whole = self.head_level, self.each, np.zeros(segments * LogBloom.WORDS, np.uint64)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for keys, n in zip(batch["keys"].to_pylist(), batch["n"].to_pylist()):
+                    keys, level = np.frombuffer(keys, np.uint64), levels_of(np.frombuffer(n, np.int64))
+                    keys, level = keys[level >= least], level[level >= least]
+                    cuts = [*_cut(keys, segments)]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in cuts], pa.binary()) for x in (keys, level))], ["segment", "keys", "level"])
+
+        def made(some: pa.Table) -> pa.Table:
+            keys, level = (np.concatenate([np.frombuffer(x, kind) for x in some[c].to_pylist()]) for c, kind in (("keys", np.uint64), ("level", np.uint8)))
+            bloom = LogBloom.of(keys, level, each=each, total=segments, first=some["segment"][0].as_py(), segments=1)
+            return pa.table({"segment": some["segment"][:1], "bits": pa.array([bloom.words.tobytes()], pa.binary())})
+
         if segments:
-            chance += (int(np.bitwise_count(of_head).sum()) / (8 * len(of_head))) ** (hashes * self.head_level) * VALUES[self.head_level]
-        if entries > in_head:
-            chance += (1 - np.exp(-(entries - in_head) * hashes / (8 * SEGMENT * of_slice * n_slices))) ** hashes
-        self.probability = Probability(self.n, self.v, self.prior, float(self.v * chance))
+            frequent = self.counted.filter(F.col("kind") == PAIRS).select("keys", "n").mapInArrow(dealt, "segment long, keys binary, level binary")
+            for r in frequent.groupBy("segment").applyInArrow(made, "segment long, bits binary").toLocalIterator():
+                whole[r["segment"] * LogBloom.WORDS : (r["segment"] + 1) * LogBloom.WORDS] = np.frombuffer(r["bits"], np.uint64)
+        self.shared_filter = self.spark.sparkContext.broadcast((whole, each, segments, least))
+        fill = np.bitwise_count(whole.reshape(-1, LogBloom.WORDS)).mean() / 64 if segments else 0.0
+        self.chance = _false_chance(fill, each) ** least * VALUES[least] if segments else 0.0
+
+    def _keep_the_rest(self) -> None:
+        """The table ``known``: for each part the tokens outside the broadcast with their counts, and the filter of its other pairs."""
+        frequent, least, each, of_part, parts = self.least, self.head_level, self.each, self.of_part, self.parts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for kind, part, keys, n in zip(*(batch[c].to_pylist() for c in ("kind", "part", "keys", "n"))):
+                    keys, n = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)
+                    if kind == TOKENS:
+                        some = n < frequent
+                        a, b, fill = keys[some], n[some], 0.0
+                    else:
+                        level = levels_of(n)
+                        some = level < least
+                        bloom = LogBloom.of(keys[some], level[some], each=each, total=parts * of_part, first=part * of_part, segments=of_part)
+                        a, b, fill = bloom.words, n[:0], float(np.bitwise_count(bloom.words).mean()) / 64 if of_part else 0.0
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([kind], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary()), pa.array([fill])], ["part", "kind", "a", "b", "fill"])
+
+        rest = self.counted.select("kind", "part", "keys", "n").mapInArrow(run, "part long, kind int, a binary, b binary, fill double")
+        self.known = self.work.save(rest, "known")
+        fill = self.known.filter(F.col("kind") == PAIRS).agg(F.avg("fill")).first()[0]
+        self.chance += _false_chance(fill or 0.0, each)
+        self.has_rest = self.known.limit(1).count() > 0
 
     def score(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 2 << 20) -> DataFrame:
         """One row a document: id, n_tokens, n_known, train_tokens, base_score, score."""
-        head, shared, slices, of_slice, hashes = self.head, self.shared_filter, self.slices, self.of_slice, self.hashes
+        head, shared, parts, of_part, each = self.head, self.shared_filter, self.parts, self.of_part, self.each
         n, v, probability = self.n, self.v, self.probability
         rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-        kind = rows.schema["id"].dataType.simpleString()
-        has_slices = self.known.limit(1).count() > 0
+        schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
 
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rate(batch: pa.RecordBatch, answers: dict[int, bytes], frequent: Frequent) -> pa.RecordBatch:
+            stream, at = token_stream(batch["text"])
+            tokens, of_token = np.unique(stream, return_inverse=True)
+            count = _counts_of(tokens, *head.value)
+            if TOKENS in answers:
+                count[count == 0] = np.frombuffer(answers[TOKENS], np.int64)
+            pairs, first, of_pair = np.unique(pair_keys(stream), return_index=True, return_inverse=True)
+            level = frequent.levels(pairs)
+            if PAIRS in answers:
+                level[level == 0] = np.frombuffer(answers[PAIRS], np.uint8)
+            of = count[of_token]
+            before = np.concatenate([[count[np.searchsorted(tokens, END)]], of[:-1]])
+            logs = np.log10(probability(level, of[first], before[first]))[of_pair]
+            start = at[:-1]
+            base = np.log10((of + 1.0) / (n + v + 1))
+            columns = (np.diff(at), np.add.reduceat((of > 0).astype(np.int64), start), np.add.reduceat(base, start), np.add.reduceat(logs, start))
+            return pa.RecordBatch.from_arrays([batch["id"], *map(pa.array, columns)], ["id", "n_tokens", "n_known", "base_score", "score"])
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frequent = Frequent(*shared.value)
             for batch in batches:
                 for p in pieces(batch, "text", piece_bytes):
-                    one = pa.array([0, p.num_rows], pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, p["id"]), pa.ListArray.from_arrays(one, p["text"])], ["ids", "texts"])
+                    yield rate(p, {}, frequent)
 
-        dealt = rows.mapInArrow(deal, f"ids array<{kind}>, texts array<string>").withColumn("piece", F.monotonically_increasing_id())
-        dealt = self.work.save(dealt, "pieces")
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for p in pieces(batch, "text", piece_bytes):
+                    yield pa.RecordBatch.from_arrays([pa.array([_packed(p)], pa.binary())], ["texts"])
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             frequent = Frequent(*shared.value)
             for batch in batches:
-                for piece, texts in zip(batch["piece"].to_pylist(), batch["texts"]):
-                    stream, _ = token_stream(texts.values)
-                    out = {"slice": [], "piece": [], "kind": [], "keys": []}
-                    for what, keys in _open_questions(stream, head.value[0], frequent):
-                        cuts = np.searchsorted(share(keys, slices), np.arange(slices + 1)) if slices <= len(keys) else None
-                        if cuts is None:  # fewer keys than slices
-                            of, first = np.unique(share(keys, slices), return_index=True)
-                            bounds = zip(of.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])
-                        else:
-                            bounds = ((k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a)
-                        for k, a, b in bounds:
-                            for column, value in zip(out.values(), (k, piece, what, keys[a:b].tobytes())):
-                                column.append(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(out["slice"], pa.int64()), pa.array(out["piece"], pa.int64()), pa.array(out["kind"], pa.int32()), pa.array(out["keys"], pa.binary())], [*out])
+                for piece, texts in zip(batch["piece"].to_pylist(), batch["texts"].to_pylist()):
+                    stream, _ = token_stream(_unpacked(texts)["text"])
+                    for kind, keys in _open_questions(stream, head.value[0], frequent):
+                        cuts = [*_cut(keys, parts)]
+                        columns = (pa.array([k for k, _, _ in cuts], pa.int64()), pa.array([piece] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in cuts], pa.binary()))
+                        yield pa.RecordBatch.from_arrays([*columns], ["part", "piece", "kind", "keys"])
 
         def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-            tokens, counts, bloom = np.empty(0, np.uint64), np.empty(0, np.int64), None
-            for r in known.to_pylist():
-                if r["kind"] == TOKENS:
-                    tokens, counts = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.int64)
+            tokens, counts, bloom = np.empty(0, np.uint64), np.empty(0, np.int64), LogBloom(np.empty(0, np.uint64), each=each, segments=1)
+            for part, kind, a, b in zip(*(known[c].to_pylist() for c in ("part", "kind", "a", "b"))):
+                if kind == TOKENS:
+                    tokens, counts = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)
                 else:
-                    bloom = LogBloom(np.frombuffer(r["a"], np.uint8), hashes=hashes, segments=slices * of_slice, first=r["slice"] * of_slice)
+                    bloom = LogBloom(np.frombuffer(a, np.uint64), each=each, segments=parts * of_part, first=part * of_part)
             found = []
-            for what, keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist()):
+            for kind, keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist()):
                 keys = np.frombuffer(keys, np.uint64)
-                if what == TOKENS:
-                    found.append(_counts_of(keys, tokens, counts).tobytes())
-                else:
-                    found.append((bloom.levels(keys) if bloom else np.zeros(len(keys), np.uint8)).tobytes())
-            return pa.table({"piece": asked["piece"], "kind": asked["kind"], "slice": asked["slice"], "found": pa.array(found, pa.binary())})
-
-        def rate(texts: pa.Array, ids: pa.Array, answers: dict[int, bytes], frequent: Frequent) -> pa.RecordBatch:
-            stream, at = token_stream(texts)
-            tokens, of_token = np.unique(stream, return_inverse=True)
-            count = _counts_of(tokens, *head.value)
-            asked = count == 0
-            if TOKENS in answers:
-                count[asked] = np.frombuffer(answers[TOKENS], np.int64)
-            pairs, first, of_pair = np.unique(pair_keys(stream), return_index=True, return_inverse=True)
-            level = frequent.levels(pairs)
-            if PAIRS in answers:
-                level[level == 0] = np.frombuffer(answers[PAIRS], np.uint8)
-            each = count[of_token]
-            before = np.concatenate([[count[np.searchsorted(tokens, END)]], each[:-1]])
-            logs = np.log10(probability(level, each[first], before[first]))[of_pair]
-            start = at[:-1]
-            base = np.log10((each + 1.0) / (n + v + 1))
-            columns = (np.diff(at), np.add.reduceat((each > 0).astype(np.int64), start), np.add.reduceat(base, start), np.add.reduceat(logs, start))
-            return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], ["id", "n_tokens", "n_known", "base_score", "score"])
-
-        schema = f"id {kind}, n_tokens long, n_known long, base_score double, score double"
-        if not has_slices:  # nothing is outside the broadcast parts
-            def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                frequent = Frequent(*shared.value)
-                for batch in batches:
-                    for ids, texts in zip(batch["ids"], batch["texts"]):
-                        yield rate(texts.values, ids.values, {}, frequent)
-
-            scored = dealt.mapInArrow(alone, schema)
-        else:
-            asked = dealt.select("piece", "texts").mapInArrow(ask, "slice long, piece long, kind int, keys binary")
-            answers = asked.groupBy("slice").cogroup(self.known.groupBy("slice")).applyInArrow(answer, "piece long, kind int, slice long, found binary")
-
-            def joined(piece: pa.Table, found: pa.Table) -> pa.Table:
-                by_kind: dict[int, bytes] = {}
-                for r in sorted(found.to_pylist(), key=lambda r: r["slice"]):
-                    by_kind[r["kind"]] = by_kind.get(r["kind"], b"") + r["found"]
-                return pa.Table.from_batches([rate(texts.values, ids.values, by_kind, Frequent(*shared.value)) for ids, texts in zip(piece["ids"], piece["texts"])])
-
+                found.append((_counts_of(keys, tokens, counts) if kind == TOKENS else bloom.levels(keys)).tobytes())
+            return pa.table({"piece": asked["piece"], "kind": asked["kind"], "part": asked["part"], "found": pa.array(found, pa.binary())})
+
+        def joined(piece: pa.Table, found: pa.Table) -> pa.Table:
+            by_kind: dict[int, list[bytes]] = {}
+            for _, kind, blob in sorted(zip(*(found[c].to_pylist() for c in ("part", "kind", "found")))):
+                by_kind.setdefault(kind, []).append(blob)
+            whole = {k: b"".join(x) for k, x in by_kind.items()}
+            return pa.Table.from_batches([rate(_unpacked(texts), whole, Frequent(*shared.value)) for texts in piece["texts"].to_pylist()])
+
+        if self.has_rest:
+            dealt = self.work.save(rows.mapInArrow(deal, "texts binary").withColumn("piece", F.monotonically_increasing_id()), f"pieces-{uuid.uuid4().hex[:8]}")
+            asked = dealt.select("piece", "texts").mapInArrow(ask, "part long, piece long, kind int, keys binary")
+            answers = asked.groupBy("part").cogroup(self.known.select("part", "kind", "a", "b").groupBy("part")).applyInArrow(answer, "piece long, kind int, part long, found binary")
             scored = dealt.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(joined, schema)
+        else:  # all that is known is in the broadcast parts
+            scored = rows.mapInArrow(alone, schema)
         return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _false_chance(fill: float, each: int) -> float:
+    """The probability that four words hold ``each`` bits that nobody put there for this key, where entries fall on words by chance."""
+    if not fill:
+        return 0.0
+    # entries in a word: Poisson, with a mean that gives this fill on average
+    mean = -np.log1p(-fill) / -np.log1p(-((1 - (1 - 1 / 64) ** each)))
+    k = np.arange(0, int(mean + 12 * np.sqrt(mean) + 20))
+    weight = np.exp(k * np.log(mean) - mean - np.array([math.lgamma(i + 1) for i in k]))
+    return float((weight * (1 - (1 - 1 / 64) ** (each * k)) ** each).sum() ** 4)
+
+
 class Probability:
     """P(b | a) from the pair's level and the exact counts of b and a."""
 

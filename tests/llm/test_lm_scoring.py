@@ -39,7 +39,7 @@ def scores(rows, prior):
     return {i: sum(math.log10(p(a, b)) for a, b in zip([None, *words(t)], words(t))) for i, t in rows}
 
 
-SMALL = [dict(), dict(head=40, head_bytes=4_000, slice_bytes=1 << 16), dict(head=0, head_bytes=0, slice_bytes=1 << 16)]
+SMALL = [dict(), dict(head=40, head_bytes=4_000, part_bytes=3_000), dict(head=0, head_bytes=0, part_bytes=100_000)]
 
 
 @pytest.mark.parametrize("parts", SMALL)
@@ -48,7 +48,7 @@ def test_scores_are_those_of_exact_tables_wherever_the_counts_lie(spark, parts):
     docs = spark.createDataFrame(rows, SCHEMA)
     model = BloomModel(docs.filter(fold(F.col("doc_id"), 7) != 2), **parts)
     got = model.score(docs, piece_bytes=3_000).collect()
-    (n, expected), score = brute(rows), scores(rows, model.prior)
+    (n, expected), score = brute(rows), scores(rows, model.probability.prior)
     assert len(got) == len(rows)
     for r in got:
         size, known, base = expected[r["doc_id"]]
@@ -67,22 +67,23 @@ def test_levels():
 def test_filter_reads_levels_back():
     keys = mixed(np.arange(20_000, dtype=np.uint64))
     levels = np.random.default_rng(1).integers(1, 9, 20_000)
-    segments = 4
+    segments = 32
     parts = [share(keys, 2) == k for k in range(2)]
-    halves = [LogBloom.of(keys[p], levels[p], hashes=16, total=segments, first=2 * k, segments=2) for k, p in enumerate(parts)]
-    whole = LogBloom(np.concatenate([h.bits for h in halves]), hashes=16, segments=segments)
+    halves = [LogBloom.of(keys[p], levels[p], each=5, total=segments, first=16 * k, segments=16) for k, p in enumerate(parts)]
+    whole = LogBloom(np.concatenate([h.words for h in halves]), each=5, segments=segments)
     assert np.array_equal(whole.levels(keys), levels)
     for k, p in enumerate(parts):
         assert np.array_equal(halves[k].levels(keys[p]), levels[p])
     others = mixed(np.arange(10**6, 10**6 + 200_000, dtype=np.uint64))
     assert np.mean(whole.levels(others) > 0) < 1e-3
-    assert np.array_equal(Frequent(whole.bits, 16, segments, 3).levels(keys), np.where(levels >= 3, levels, 0))
+    assert np.array_equal(Frequent(whole.words, 5, segments, 3).levels(keys), np.where(levels >= 3, levels, 0))
 
 
 def test_probabilities_of_a_context_add_up_to_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     model = BloomModel(docs)
-    counts = {r["key"]: r["n"] for r in model.counts.collect()}
+    words = [token_stream(pa.array([r["text"]]))[0] for r in docs.collect()]
+    counts = Counter(w for s in words for w in s.view(np.int64).tolist())
     tokens = np.array([*counts], np.int64).view(np.uint64)
     n = np.array([*counts.values()])
     bits = Frequent(*model.shared_filter.value)
@@ -92,7 +93,7 @@ def test_probabilities_of_a_context_add_up_to_one(spark):
         of_a = counts.get(int(np.array([a], np.uint64).view(np.int64)[0]), 0)
         total = model.probability(level, n, of_a).sum() + model.probability(np.array([0]), np.array([0]), of_a)[0]
         assert abs(total - 1) < 0.02
-    assert model.counts.count() == model.v and sum(counts.values()) == model.n
+    assert len(counts) == model.v and sum(counts.values()) == model.n
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
