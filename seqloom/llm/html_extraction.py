@@ -1,9 +1,9 @@
 """HTML extraction: gradient-boosted trees over DOM nodes, then a consistent choice over the tree.
 
 A page is read into a tree of elements (void and implied ends, unclosed tags).
-Each element gets features: its tag and attribute tokens (hashed), those of
-its parent, depth, text and link density of its subtree, and place and kind
-among its siblings. Boosted trees, trained here on pages built from templates
+Each element gets features: its tag and that of its parent, what its tag and
+attribute tokens name (and those of any ancestor), depth, text and link density
+of its subtree, and its place, kind and share of the text among its siblings. Boosted trees, trained here on pages built from templates
 with known parts, give the probability that an element is unwanted by itself.
 Decoding walks the tree once from the leaves: an element is kept or cut with
 everything below it, whichever is likelier for the whole subtree, so nothing
@@ -11,7 +11,7 @@ is kept inside something that is cut.
 
 Defined results: a null or empty page has the empty text; malformed markup is
 read as far as it goes; a page without elements is its text; repeated rows are
-alike; very long pages are read whole.
+alike; very long pages are read whole; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import html as entities
 import math
 import random
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,15 +30,20 @@ from pyspark.sql import functions as F
 
 from .workspace import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|type|itemprop|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-NAME = re.compile(r"[a-z]+")
+#: Quotes hold a value only after "="; a value with "<" in it counts only if what follows its end can follow a value.
+_ATTRIBUTES = r"""(?>=\s*(?:"[^"<]*"|'[^'<]*'|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))|[^>])*"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NAMING = {"class", "id", "role", "type", "itemprop", "aria-label"}
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements by kind, in their HTML meaning.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: Never text of the page.
 UNSEEN = {"script", "style", "noscript", "template", "iframe", "head", "title", "textarea", "svg", "object", "select", "option", "button", "input"}
+#: What may stand in ``head``; anything else ends it.
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 P_ENDS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", "figure", "details"}
 SAME_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -54,6 +58,18 @@ class Node:
         self.size = 1
 
 
+def attribute_words(attributes: str) -> list[str]:
+    """Words of the attributes that name an element's part, in lower case; "hidden" for one that isn't shown."""
+    out = []
+    for name, value in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in NAMING:
+            out += [w.lower() for w in NAME.findall(value)]
+        elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            out.append("hidden")
+    return out
+
+
 def parse(page: str) -> Node:
     """The tree of a page; strings have their character references decoded."""
     root = top = Node("#root", [], None)
@@ -85,7 +101,7 @@ def parse(page: str) -> Node:
                 top.kids.append(Node("p", [], top))
             continue
         top = _implied(top, tag, root)
-        words = [w for a in ATTRIBUTE.finditer(m[3]) for w in (NAME.findall((a[2] or a[1]).lower()) if a[1].lower() != "style" else ["hidden"] * bool(re.search(r"display\s*:\s*none", a[2] or "", re.I)))] if m[3] else []
+        words = attribute_words(m[3]) if m[3] else []
         node = Node(tag, words, top)
         top.kids.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in ("p", "div", "a", "span"):
@@ -112,6 +128,12 @@ def _crosses(top: Node, up: Node) -> bool:
 
 def _implied(top: Node, tag: str, root: Node) -> Node:
     """Where ``tag`` begins, after the ends that it implies."""
+    if tag not in IN_HEAD:
+        up = top
+        while up is not root and up.tag != "head":
+            up = up.parent
+        if up is not root:
+            top = up.parent
     if tag in P_ENDS:
         up = top
         while up is not root and up.tag != "p" and up.tag in INLINE:
@@ -145,59 +167,63 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
-DIM = 64
 TAGS = ("html", "body", "div", "p", "section", "article", "main", "aside", "nav", "header", "footer", "ul", "ol", "li", "a", "h1", "h2", "h3", "h4", "form", "table", "tr", "td", "span", "b", "blockquote", "figure", "img", "button", "dialog")
 _TAG = {t: i for i, t in enumerate(TAGS)}
-_SLOT: dict[str, int] = {}
-
-
-def _slot(word: str) -> int:
-    if word not in _SLOT:
-        if len(_SLOT) > 100_000:
-            _SLOT.clear()
-        _SLOT[word] = zlib.crc32(word.encode()) % DIM
-    return _SLOT[word]
-
-
-#: Attribute tokens that name a part of a page; each is a feature, besides the hashed slots of all tokens.
-PARTS = ("ad", "ads", "advert", "sponsor", "promo", "banner", "nav", "menu", "breadcrumb", "header", "masthead", "footer", "copyright", "sidebar", "widget", "related", "comment", "comments", "reply", "respond", "disqus", "cookie", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "share", "social", "form", "search", "login", "hidden", "content", "article", "post", "entry", "main", "story", "body", "text", "title", "author", "tags", "pagination", "toolbar", "skip")
-_PART = {p: i for i, p in enumerate(PARTS)}
-N_FEATURES = 12 + 2 * (len(TAGS) + 1) + 2 * len(PARTS) + DIM
+#: What a tag or an attribute token says of a part of a page: words in common use, by kind.
+KINDS = {
+    "advert": "ad ads adv advert advertisement advertising sponsor sponsored promo promoted promotion banner",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar skip tabs",
+    "header": "header masthead topbar logo",
+    "footer": "footer copyright legal colophon contentinfo",
+    "side": "aside sidebar widget rail related recommended recommendations trending popular teaser complementary",
+    "comments": "comment comments reply replies respond disqus discussion commentlist responses",
+    "notice": "dialog cookie cookies consent gdpr notice alert popup modal overlay toast alertdialog",
+    "form": "form newsletter subscribe subscription signup login search",
+    "share": "share sharing social follow tags",
+    "hidden": "hidden",
+    "content": "article main content post entry story body text prose articlebody",
+}
+_KIND = {w: i for i, words in enumerate(KINDS.values()) for w in words.split()}
+N_FEATURES = 16 + 2 * (len(TAGS) + 1) + 2 * len(KINDS)
 
 
 def features(nodes: list[Node]) -> np.ndarray:
+    """A row a node: 16 numbers, then tag, parent's tag, kinds named by itself, kinds named by any ancestor."""
+    n_tags, n_kinds = len(TAGS) + 1, len(KINDS)
+    a, b = 16, 16 + n_tags
+    c = b + n_tags
+    d = c + n_kinds
     x = np.zeros((len(nodes), N_FEATURES), np.float32)
     place = {id(n): i for i, n in enumerate(nodes)}
-    depth, among = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
-    kin, alike = Counter(), Counter()  # child elements of each parent, in all and by tag
-    for i, n in enumerate(nodes):  # siblings come in page order
-        if n.parent:
-            among[i] = kin[id(n.parent)]
-            kin[id(n.parent)] += 1
-            alike[id(n.parent), n.tag] += 1
-    total = max(1, nodes[0].chars)
-    a, b, c = 12, 12 + len(TAGS) + 1, 12 + 2 * (len(TAGS) + 1)
-    above, d = c + len(PARTS), c + 2 * len(PARTS)
-    for i, n in enumerate(nodes):
-        row, up = x[i], n.parent
-        if up:
-            over = x[place[id(up)]]
-            depth[i] = depth[place[id(up)]] + 1
-            row[above:d] = np.maximum(over[c:above], over[above:d])  # parts named by any ancestor
-        row[:7] = min(depth[i], 30), math.log1p(n.chars), n.links / max(1, n.chars), math.log1p(n.size), math.log1p(n.chars / n.size), n.chars / total, len(n.words)
-        if up:
-            row[7] = n.chars / max(1, up.chars)
-            row[8] = up.links / max(1, up.chars)
-            row[9] = math.log1p(len(up.kids))
-            row[b + _TAG.get(up.tag, len(TAGS))] = 1
-            row[10] = alike[id(up), n.tag] / kin[id(up)]
-            row[11] = among[i] / kin[id(up)]
-        row[a + _TAG.get(n.tag, len(TAGS))] = 1
-        for w in n.words:
-            row[d + _slot(w)] = 1
-            p = _PART.get(w)
-            if p is not None:
-                row[c + p] = 1
+    up_of = np.array([place[id(n.parent)] if n.parent else -1 for n in nodes])
+    chars, links, size = (np.array([getattr(n, k) for n in nodes], np.float64) for k in ("chars", "links", "size"))
+    tag = np.array([_TAG.get(n.tag, len(TAGS)) for n in nodes])
+    depth, among = np.zeros(len(nodes)), np.zeros(len(nodes))
+    kin, most, alike = np.zeros(len(nodes)), np.zeros(len(nodes)), Counter()  # child elements and the longest of them, for each parent
+    whole = 0.0
+    for i, (n, up) in enumerate(zip(nodes, up_of.tolist())):  # parents come before their children, siblings in page order
+        found = [_KIND[w] for w in (n.tag, *n.words) if w in _KIND]
+        if found:
+            x[i, [c + k for k in found]] = 1
+        if n.tag in ("article", "main"):
+            whole = 1.0
+        if up >= 0:
+            depth[i] = depth[up] + 1
+            among[i] = kin[up]
+            kin[up] += 1
+            most[up] = max(most[up], chars[i])
+            alike[up, n.tag] += 1
+            x[i, d:] = np.maximum(x[up, c:d], x[up, d:])
+    over = np.maximum(up_of, 0)
+    x[:, 0], x[:, 1], x[:, 2], x[:, 3] = np.minimum(depth, 30), np.log1p(chars), links / np.maximum(1, chars), np.log1p(size)
+    x[:, 4], x[:, 5], x[:, 6] = np.log1p(chars / size), chars / max(1, chars[0]), whole
+    x[:, 7], x[:, 8], x[:, 9] = chars / np.maximum(1, chars[over]), links[over] / np.maximum(1, chars[over]), np.log1p(kin[over])
+    x[:, 10] = [alike[up, n.tag] / max(1, kin[up]) if up >= 0 else 0 for n, up in zip(nodes, up_of.tolist())]
+    x[:, 11], x[:, 12] = among / np.maximum(1, kin[over]), chars / np.maximum(1, most[over])
+    x[:, 13], x[:, 14], x[:, 15] = kin, np.log1p(chars[over]), chars[over] / max(1, chars[0])
+    x[np.arange(len(nodes)), a + tag] = 1
+    x[np.arange(1, len(nodes)), b + tag[over[1:]]] = 1
+    x[0, 7:16] = 0
     return x
 
 
@@ -264,14 +290,18 @@ class Boosted:
 
 #: Training pages: parts that belong to no article, as (tag, attributes, kind of content); the words in attributes are those in common use.
 UNWANTED = (
-    ("nav", "", "links"), ("nav", 'class="menu"', "links"), ("div", 'class="nav"', "links"), ("ul", 'id="menu"', "links"), ("div", 'class="breadcrumb"', "links"), ("header", "", "short"), ("header", 'class="masthead"', "links"), ("div", 'id="header"', "short"),
-    ("footer", "", "short"), ("footer", "", "links"), ("div", 'class="footer"', "short"), ("div", 'class="copyright"', "short"), ("aside", "", "text"), ("aside", "", "links"), ("aside", 'class="sidebar"', "links"), ("div", 'class="sidebar"', "text"), ("div", 'id="sidebar"', "links"), ("div", 'class="widget"', "links"), ("div", 'class="related"', "links"), ("section", 'class="related"', "links"),
-    ("div", 'class="ad"', "short"), ("div", 'class="ad"', "text"), ("div", 'class="ads"', "short"), ("div", 'class="advert"', "text"), ("div", 'class="sponsor"', "short"), ("div", 'class="promo"', "text"), ("div", 'id="banner"', "short"), ("aside", 'class="ad"', "text"), ("section", 'class="advert"', "text"),
-    ("div", 'class="cookie-notice"', "text"), ("div", 'class="cookie"', "short"), ("div", 'id="consent"', "text"), ("div", 'class="notice"', "short"), ("div", 'class="alert"', "text"), ("div", 'role="alert"', "short"), ("div", 'class="popup"', "text"), ("dialog", "", "text"), ("div", 'class="modal"', "text"), ("section", 'class="notice"', "text"), ("p", 'class="notice"', "plain"), ("p", 'class="ad"', "plain"),
-    ("form", "", "form"), ("form", 'class="search"', "form"), ("div", 'class="newsletter"', "form"), ("div", 'class="subscribe"', "form"), ("div", 'class="login"', "form"), ("div", 'class="share"', "links"), ("div", 'class="social"', "links"), ("ul", 'class="tags"', "links"), ("div", 'class="pagination"', "links"),
-    ("div", 'class="comments"', "comments"), ("section", 'id="comments"', "comments"), ("section", 'class="comments"', "comments"), ("div", 'id="comments"', "comments"), ("ol", 'class="commentlist"', "comments"), ("div", 'id="respond"', "form"), ("div", 'id="disqus"', "comments"), ("div", 'class="comment"', "text"), ("div", 'style="display:none"', "text"),
+    ("nav", "", "links"), ("nav", "", "links"), ("div", "menu", "links"), ("ul", "menu", "links"), ("header", "", "short"), ("header", "", "links"), ("div", "header", "links"), ("div", "header", "short"),
+    ("footer", "", "short"), ("footer", "", "links"), ("footer", "", "text"), ("div", "footer", "short"), ("div", "footer", "links"),
+    ("aside", "", "text"), ("aside", "", "links"), ("aside", "side", "links"), ("div", "side", "text"), ("div", "side", "links"), ("section", "side", "links"), ("section", "side", "text"),
+    ("div", "advert", "short"), ("div", "advert", "text"), ("div", "advert", "plain"), ("aside", "advert", "text"), ("section", "advert", "text"), ("p", "advert", "plain"), ("span", "advert", "plain"),
+    ("div", "notice", "text"), ("div", "notice", "short"), ("div", "notice", "plain"), ("dialog", "", "text"), ("section", "notice", "text"), ("p", "notice", "plain"),
+    ("form", "", "form"), ("form", "form", "form"), ("div", "form", "form"), ("div", "share", "links"), ("ul", "share", "links"),
+    ("div", "comments", "comments"), ("section", "comments", "comments"), ("ol", "comments", "comments"), ("ul", "comments", "comments"), ("div", "comments", "text"), ("div", "comments", "form"), ("div", "hidden", "text"),
+    ("div", "", "links"), ("ul", "", "links"), ("div", "", "links"),
 )
-ARTICLES = (("article", ""), ("article", 'class="post"'), ("main", ""), ("div", 'class="content"'), ("div", 'id="content"'), ("div", 'class="article"'), ("div", 'class="entry-content"'), ("section", 'class="article-body"'), ("div", 'class="post"'), ("div", ""))
+ARTICLES = (("article", ""), ("article", "content"), ("main", ""), ("div", "content"), ("div", "content"), ("section", "content"), ("div", ""), ("div", "other"), ("section", "other"), ("td", ""), ("", ""))
+#: Class names that say nothing of a part.
+OTHER = "row col container wrapper page inner outer grid box block section left right clearfix site app root large small dark fluid x1 lead".split()
 
 
 class Templates:
@@ -284,70 +314,98 @@ class Templates:
         r = self.rng
         return " ".join("".join(r.choice("aeiourstlnmdé") for _ in range(r.randrange(1, 10))) for _ in range(r.randrange(low, high))).capitalize() + "."
 
-    def part(self, tag: str, attributes: str, kind: str) -> str:
+    def named(self, kind: str) -> str:
+        """Attributes with a word of ``kind``, among others that say nothing."""
+        r = self.rng
+        said = [r.choice(KINDS[kind].split())] if kind in KINDS else [r.choice(OTHER)] * (kind == "other")
+        if kind == "hidden":
+            return r.choice(("hidden", 'style="display:none"', 'class="hidden"'))
+        said += r.sample(OTHER, r.choice((0, 0, 0, 1, 2)))
+        r.shuffle(said)
+        return f'{r.choice(("class", "class", "id"))}="{r.choice(("-", " ", "_")).join(said)}"' if said else ""
+
+    def part(self, tag: str, kind: str, content: str) -> str:
         r, w = self.rng, self.words
         link = lambda: f'<a data-x href="/{r.randrange(99)}">{w(1, 4)}</a>'
-        if kind == "plain":
+        if content == "plain":
             inner = w(4, 30)
-        elif kind == "links":
-            item = "li" if tag in ("ul", "ol") or r.random() < 0.5 else "div"
-            inner = "".join(f"<{item} data-x>{link()}</{item}>" if r.random() < 0.8 else link() for _ in range(r.randrange(2, 12)))
+        elif content == "links":
+            item = "li" if tag in ("ul", "ol") or r.random() < 0.5 else r.choice(("div", "span", ""))
+            one = lambda: f"<{item} data-x>{link()}</{item}>" if item else link()
+            inner = r.choice(("", " ", " | ")).join(one() for _ in range(r.randrange(2, 14)))
             inner = f"<ul data-x>{inner}</ul>" if item == "li" and tag not in ("ul", "ol") else inner
-            inner = f"<h3 data-x>{w(1, 4)}</h3>" * (r.random() < 0.3) + inner
-        elif kind == "short":
-            inner = r.choice((w(2, 14), f"<p data-x>{w(2, 14)}</p>", f"&copy; 2024 {w(2, 10)}", f"<h2 data-x>{w(1, 4)}</h2>"))
-        elif kind == "form":
+            inner = f"<h3 data-x>{w(1, 4)}</h3>" * (tag not in ("ul", "ol") and r.random() < 0.3) + inner
+        elif content == "short":
+            inner = r.choice((w(2, 14), f"<p data-x>{w(2, 14)}</p>", f"&copy; 2024 {w(2, 10)}", f"<h2 data-x>{w(1, 4)}</h2>", f"<h1 data-x>{w(1, 4)}</h1>", link() + w(1, 5)))
+        elif content == "form":
             inner = f"<label data-x>{w(1, 5)}</label><input data-x name=q><button data-x>{w(1, 2)}</button>" + f"<p data-x>{w(3, 20)}</p>" * r.randrange(2)
             inner = f"<form data-x>{inner}</form>" if tag != "form" else inner
-        elif kind == "comments":
-            item = "li" if tag == "ol" else r.choice(("div", "article", "p"))
-            one = lambda: f'<{item} data-x class="{r.choice(("comment", "reply", "comment-body"))}">' + (w(3, 60) if item == "p" else f"<b data-x>{w(1, 2)}</b><p data-x>{w(3, 60)}</p>") + f"</{item}>"
-            inner = f"<h2 data-x>{w(1, 3)}</h2>" * r.randrange(2) + "".join(one() for _ in range(r.randrange(1, 6)))
+        elif content == "comments":
+            item = "li" if tag in ("ol", "ul") else r.choice(("div", "article", "p"))
+            one = lambda: f"<{item} data-x {self.named(r.choice(('comments', '')))}>" + (w(3, 60) if item == "p" else f"<b data-x>{w(1, 2)}</b><p data-x>{w(3, 60)}</p>") + f"</{item}>"
+            inner = f"<h2 data-x>{w(1, 3)}</h2>" * (tag not in ("ol", "ul") and r.random() < 0.5) + "".join(one() for _ in range(r.randrange(1, 8)))
         else:
-            inner = "".join(f"<p data-x>{w(4, 40)}</p>" for _ in range(r.randrange(1, 4))) if r.random() < 0.7 else w(5, 40)
-        return f"<{tag} data-x {attributes}>{inner}</{tag}>"
+            inner = f"<h3 data-x>{w(1, 4)}</h3>" * (r.random() < 0.3) + ("".join(f"<p data-x>{w(4, 60)}</p>" for _ in range(r.randrange(1, 4))) if r.random() < 0.7 else w(5, 60))
+        return f"<{tag} data-x {self.named(kind)}>{inner}</{tag}>"
 
-    def article(self) -> str:
+    def blocks(self) -> list[str]:
         r, w = self.rng, self.words
-        tag, attributes = r.choice(ARTICLES)
-        out = [f"<h1>{w(3, 12)}</h1>"] * (r.random() < 0.8)
-        out += [f"<header><h1>{w(3, 12)}</h1></header>"] * (r.random() < 0.05)
-        for _ in range(r.choice((1, 2, 4, 8, 16))):
+        out = []
+        for _ in range(r.choice((1, 2, 2, 4, 8, 16, 60))):
             kind = r.random()
             if kind < 0.55:
-                out.append(f"<p>{w(1, r.choice((2, 4, 12, 120)))}</p>")
-            elif kind < 0.62:
+                out.append(f"<p>{w(1, r.choice((2, 4, 12, 40, 120)))}</p>")
+            elif kind < 0.61:
                 out.append(f"<p><b>{w(1, r.choice((3, 40)))}<br>")
-            elif kind < 0.69:
+            elif kind < 0.67:
                 out.append(f"<h2>{w(1, 8)}</h2>")
-            elif kind < 0.75:
+            elif kind < 0.72:
                 out.append("<ul>" + "".join(f"<li>{w(2, 25)}</li>" for _ in range(r.randrange(2, 7))) + "</ul>")
-            elif kind < 0.80:
+            elif kind < 0.76:
                 out.append(f"<blockquote><p>{w(5, 40)}</p></blockquote>")
-            elif kind < 0.85:
+            elif kind < 0.81:
                 out.append(f'<p>{w(3, 20)} <a href="/x">{w(1, 5)}</a> {w(3, 20)} <em>{w(1, 3)}</em></p>')
-            elif kind < 0.89:
+            elif kind < 0.84:
                 out.append("<table>" + "".join(f"<tr><td>{w(1, 4)}</td><td>{w(1, 4)}</td></tr>" for _ in range(r.randrange(2, 5))) + "</table>")
-            elif kind < 0.92:
+            elif kind < 0.87:
                 out.append(f"<section><h3>{w(1, 6)}</h3><p>{w(10, 60)}</p></section>")
-            elif kind < 0.95:
-                out.append(f"<div>{w(10, 80)}</div>")
+            elif kind < 0.90:
+                out.append(f"<div {self.named('other') if r.random() < 0.5 else ''}>{r.choice((w(10, 80), f'<p>{w(10, 80)}</p>', f'<span>{w(10, 80)}</span>'))}</div>")
+            elif kind < 0.92:
+                out.append(f'<figure><img src="/i.png"><figcaption>{w(3, 15)}</figcaption></figure>')
+            elif kind < 0.94:
+                out.append(f"{w(10, 60)}<br><br>{w(10, 60)}<br>")
             else:
                 out.append(self.part(*r.choice(UNWANTED)))
-        return f"<{tag} {attributes}>{''.join(out)}</{tag}>"
+        return out
+
+    def article(self) -> str:
+        r, w = self.rng, self.words
+        tag, kind = r.choice(ARTICLES)
+        title = f"<h1>{w(1, 12)}</h1>" if r.random() < 0.8 else ""
+        if title and tag in ("article", "main") and r.random() < 0.2:
+            title = f"<header>{title}{r.choice(('', f'<p>{w(2, 12)}</p>'))}</header>"
+        inner = "".join(self.blocks())
+        for _ in range(r.choice((0, 0, 0, 1, 2))):
+            inner = f"<div {self.named(r.choice(('', 'other', 'content')))}>{inner}</div>"
+        if not tag:
+            return title + inner
+        if tag == "td":
+            return f"<table><tr><td>{title}{inner}</td></tr></table>"
+        return f"<{tag} {self.named(kind)}>{title}{inner}</{tag}>"
 
     def page(self) -> str:
         r = self.rng
-        parts = [self.part(*r.choice(UNWANTED)) for _ in range(r.randrange(0, 7))]
+        parts = [self.part(*r.choice(UNWANTED)) for _ in range(r.choice((0, 1, 2, 2, 3, 4, 6, 8)))]
         parts.insert(r.randrange(len(parts) + 1), self.article())
+        if r.random() < 0.15:  # columns of a row
+            parts = [f"<div {self.named('other')}>{p}</div>" if "data-x" not in p[:60] else p for p in parts]
         body = "".join(parts)
-        for _ in range(r.choice((0, 0, 1, 2))):
-            body = f'<div {r.choice(("", "class=wrapper", "id=page", "class=container", "id=main"))}>{body}</div>'
+        for _ in range(r.choice((0, 0, 1, 2, 3))):
+            body = f"<div {self.named(r.choice(('', 'other', 'content')))}>{body}</div>"
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body>{body}</body></html>"
 
 
-
-
 def train(pages: int = 600, seed: int = 10) -> Boosted:
     """The model, trained on pages from the templates; the same everywhere."""
     made, xs, ys = Templates(seed), [], []
