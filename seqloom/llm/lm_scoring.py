@@ -184,7 +184,7 @@ def _unpacked(blob: bytes) -> pa.RecordBatch:
 class BloomModel:
     """A model fitted on ``train`` (all rows of it)."""
 
-    def __init__(self, train: DataFrame, *, text: str = "text", head: int = 300_000, prior: float = 300.0, head_bytes: int = 48 << 20, part_bytes: int = 16 << 20):
+    def __init__(self, train: DataFrame, *, text: str = "text", head: int = 300_000, prior: float = 300.0, head_bytes: int = 48 << 20, part_bytes: int = 4 << 20):
         self.work, self.spark = Workspace(train.sparkSession, "lm"), train.sparkSession
         rows = train.select(F.col(text).alias("text"))
         self.parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
@@ -207,7 +207,7 @@ class BloomModel:
         self.work.drop("counted")
 
     def _count(self, rows: DataFrame) -> None:
-        """The table ``counted``: kind, part (a range of keys), sorted keys, their counts, and how many have each level."""
+        """The table ``counted``: kind, part (a range of keys), sorted keys, their counts (of pairs: levels), and how many have each level."""
         parts = self.parts
 
         def emitted(keys: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +241,11 @@ class BloomModel:
             keys, n = keys[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, n = keys[first], np.add.reduceat(n, first)
-            sizes = np.bincount(levels_of(n), minlength=len(VALUES))
-            row = {"kind": some["kind"][:1], "part": some["part"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "total": pa.array([int(n.sum())], pa.int64())}
+            level = levels_of(n)
+            sizes, total = np.bincount(level, minlength=len(VALUES)), int(n.sum())
+            if some["kind"][0].as_py() == PAIRS:
+                n = level
+            row = {"kind": some["kind"][:1], "part": some["part"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "total": pa.array([total], pa.int64())}
             return pa.table(row | {"sizes": pa.array([sizes.tolist()], pa.list_(pa.int64()))})
 
         dealt = rows.mapInArrow(run, "kind int, part long, keys binary, n binary").groupBy("kind", "part")
@@ -276,7 +279,7 @@ class BloomModel:
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for keys, n in zip(batch["keys"].to_pylist(), batch["n"].to_pylist()):
-                    keys, level = np.frombuffer(keys, np.uint64), levels_of(np.frombuffer(n, np.int64))
+                    keys, level = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.uint8)
                     keys, level = keys[level >= least], level[level >= least]
                     cuts = [*_cut(keys, segments)]
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in cuts], pa.binary()) for x in (keys, level))], ["segment", "keys", "level"])
@@ -301,13 +304,12 @@ class BloomModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for kind, part, keys, n in zip(*(batch[c].to_pylist() for c in ("kind", "part", "keys", "n"))):
-                    keys, n = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)
+                    keys, n = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64 if kind == TOKENS else np.uint8)
                     if kind == TOKENS:
                         some = n < frequent
                         a, b, fill = keys[some], n[some], 0.0
                     else:
-                        level = levels_of(n)
-                        some = level < least
+                        level, some = n, n < least
                         bloom = LogBloom.of(keys[some], level[some], each=each, total=parts * of_part, first=part * of_part, segments=of_part)
                         a, b, fill = bloom.words, n[:0], float(np.bitwise_count(bloom.words).mean()) / 64 if of_part else 0.0
                     if len(a):
