@@ -48,7 +48,7 @@ from .workspace import Workspace, table
 
 END = np.uint64(0x5E0FD0C5)
 SEGMENT = 1 << 16
-_LEVEL = np.uint64(0x9E3779B97F4A7C15)
+_LEVEL, _SHORT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 TOKENS, PAIRS = 0, 1  # kinds of questions and of answers
 
 
@@ -87,15 +87,15 @@ def share(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 class LogBloom:
-    """A Bloom filter over (key, level) in segments of 64 KiB, each for a range of keys: from the one numbered ``first`` on, of ``segments``.
+    """A Bloom filter over (key, level) in segments of 64 KiB.
 
     An entry sets ``each`` bits in each of four 64-bit words of its segment, so a probe reads four words at most.
     """
 
     WORDS = SEGMENT // 8
 
-    def __init__(self, words: np.ndarray, *, each: int, segments: int, first: int = 0):
-        self.words, self.each, self.segments, self.first = words, each, segments, first
+    def __init__(self, words: np.ndarray, *, each: int, segments: int):
+        self.words, self.each, self.segments = words, each, segments
 
     @classmethod
     def masks(cls, keys: np.ndarray, level: int, each: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -109,15 +109,14 @@ class LogBloom:
             yield (at >> np.uint64(13 * j) & np.uint64(cls.WORDS - 1)).astype(np.int64), mask
 
     @classmethod
-    def of(cls, keys: np.ndarray, levels: np.ndarray, *, each: int, total: int, first: int, segments: int) -> LogBloom:
-        """The filter of ``segments`` segments from ``first`` on, of ``total``; all keys lie in these."""
+    def of(cls, keys: np.ndarray, levels: np.ndarray, *, each: int, segments: int) -> LogBloom:
         words = np.zeros(segments * cls.WORDS, np.uint64)
-        start = (share(keys, total) - first) * cls.WORDS
+        start = share(mixed(keys), segments) * cls.WORDS
         for n in range(1, int(levels.max(initial=0)) + 1):
             some = levels >= n
             for word, mask in cls.masks(keys[some], n, each):
                 np.bitwise_or.at(words, start[some] + word, mask)
-        return cls(words, each=each, segments=total, first=first)
+        return cls(words, each=each, segments=segments)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level up to which all are there; 0 where not even the first is."""
@@ -125,7 +124,7 @@ class LogBloom:
         if not len(self.words):
             return level
         alive, n = np.arange(len(keys)), 1
-        start = (share(keys, self.segments) - self.first) * self.WORDS
+        start = share(mixed(keys), self.segments) * self.WORDS
         while len(alive):
             at = mixed(keys[alive] + np.uint64(n * int(_LEVEL) % 2**64))
             begin = start[alive]
@@ -154,14 +153,15 @@ class Frequent(LogBloom):
         return np.where(found >= self.least, found, 0).astype(np.uint8)
 
 
-def _least_level(sizes: np.ndarray, weights: np.ndarray, most: int) -> int:
-    """The least level from which on all together weigh at most ``most``. ``sizes``: how many there are of each level."""
-    total = 0
-    for level in range(len(sizes) - 1, 0, -1):
-        total += int(sizes[level]) * int(weights[level])
-        if total > most:
-            return level + 1
-    return 1
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of one occurrence of each, and for each occurrence which key it is."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], which
 
 
 def _cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
@@ -170,6 +170,18 @@ def _cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(of.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])
 
 
+def _shorten(keys: np.ndarray) -> bytes:
+    """Six bytes a key: a hash of 48 bits, enough to tell the keys of one part apart."""
+    low = mixed(keys ^ _SHORT)
+    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _short(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -184,41 +196,42 @@ def _unpacked(blob: bytes) -> pa.RecordBatch:
 class BloomModel:
     """A model fitted on ``train`` (all rows of it)."""
 
-    def __init__(self, train: DataFrame, *, text: str = "text", head: int = 300_000, prior: float = 300.0, head_bytes: int = 48 << 20, part_bytes: int = 4 << 20):
+    def __init__(self, train: DataFrame, *, text: str = "text", head: int = 300_000, prior: float = 300.0, head_bytes: int = 16 << 20, part_bytes: int = 4 << 20):
         self.work, self.spark = Workspace(train.sparkSession, "lm"), train.sparkSession
         rows = train.select(F.col(text).alias("text"))
-        self.parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+        size, n_rows = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+        most = (size or 0) // 2 + 1 + 2 * n_rows  # tokens at most: words have gaps between them, and each text an end
+        self.parts = max(1, -(-(size or 0) // part_bytes))
+        self.each = max(3, (most.bit_length() + 6) // 4)  # the more tokens there may be, the rarer a false positive has to be
+        self.bits = -(-4 * self.each * 1443 // 1000)  # bits for an entry, where half of all are set
+        # of n things counted at most n / t have a count of t or more: so these thresholds bound what is broadcast
+        self.often = most // max(1, head) + 1
+        steps = np.arange(1, len(THRESHOLDS) + 1)
+        fits = most * steps / THRESHOLDS <= 8 * head_bytes // self.bits
+        self.head_level = int(np.argmax(fits)) + 1 if fits.any() else len(THRESHOLDS)
         self._count(rows)
-        got = {r["kind"]: (r["n"], np.array(r["sizes"])) for r in self._totals().collect()}  # two rows
-        self.n, tokens = got.get(TOKENS, (0, np.zeros(len(VALUES), np.int64)))
-        _, pairs = got.get(PAIRS, (0, np.zeros(len(VALUES), np.int64)))
-        self.v = int(tokens.sum())
-        self.least = int(THRESHOLDS[_least_level(tokens, np.ones(len(tokens)), head) - 1])
-        self.each = max(3, (self.v.bit_length() + 6) // 4)  # the more tokens, the rarer a false positive has to be
-        bits = -(-4 * self.each * 1443 // 1000)  # where half of all bits are set
-        steps = np.arange(len(pairs))
-        self.head_level = _least_level(pairs, steps, 8 * head_bytes // bits)
-        entries, in_head = int((pairs * steps).sum()), int((pairs * steps)[self.head_level :].sum())
-        self._broadcast_tokens()
-        self._broadcast_pairs(-(-in_head * bits // (8 * SEGMENT)))
-        self.of_part = -(-(entries - in_head) * bits // (8 * SEGMENT * self.parts))  # segments
-        self._keep_the_rest()
+        totals = {r["kind"]: r for r in self.known.groupBy("kind").agg(F.sum("total").alias("n"), F.sum("entries").alias("v"), F.avg("fill").alias("fill"), F.sum(F.length("rest")).alias("rest")).collect()}  # two rows
+        self.n, self.v = (totals[TOKENS]["n"], totals[TOKENS]["v"]) if TOKENS in totals else (0, 0)
+        self.has_rest = any(r["rest"] for r in totals.values())
+        self.chance = _false_chance(totals[PAIRS]["fill"] or 0.0, self.each) if PAIRS in totals else 0.0
+        self._broadcast()
         self.probability = Probability(self.n, self.v, prior, self.v * self.chance)
-        self.work.drop("counted")
 
     def _count(self, rows: DataFrame) -> None:
-        """The table ``counted``: kind, part (a range of keys), sorted keys, their counts (of pairs: levels), and how many have each level."""
-        parts = self.parts
+        """The table ``known``, a row for each kind and part (a range of keys).
+
+        ``head``, ``head_n``: what is broadcast, and counts (of pairs: levels). ``rest``, ``rest_n``: of tokens all others, short
+        and sorted, and their counts; of pairs the words of a filter of all others. ``fill``: how many of its bits are set.
+        """
+        parts, often, head_level, each, bits = self.parts, self.often, self.head_level, self.each, self.bits
 
         def emitted(keys: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             for kind, some in keys.items():
-                each, n = np.unique(np.concatenate(some), return_counts=True)
+                distinct, n = np.unique(np.concatenate(some), return_counts=True)
+                cuts = [*_cut(distinct, parts)]
                 n = n.astype(np.uint32)
-                cuts = [*_cut(each, parts)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(cuts), pa.int32()), pa.array([k for k, _, _ in cuts], pa.int64()), pa.array([each[a:b].tobytes() for _, a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in cuts], pa.binary())],
-                    ["kind", "part", "keys", "n"],
-                )
+                columns = [pa.array([kind] * len(cuts), pa.int32()), pa.array([k for k, _, _ in cuts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[a:b].tobytes() for _, a, b in cuts], pa.binary()) for x in (distinct, n))], ["kind", "part", "keys", "n"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept, size = {TOKENS: [], PAIRS: []}, 0
@@ -228,122 +241,87 @@ class BloomModel:
                     kept[TOKENS].append(stream)
                     kept[PAIRS].append(pair_keys(stream))
                     size += len(stream)
-                    if size > 2_000_000:
+                    if size > 3_000_000:
                         yield from emitted(kept)
                         kept, size = {TOKENS: [], PAIRS: []}, 0
             if size:
                 yield from emitted(kept)
 
         def summed(some: pa.Table) -> pa.Table:
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in some["keys"].to_pylist()])
-            n = np.concatenate([np.frombuffer(x, np.uint32) for x in some["n"].to_pylist()]).astype(np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
+            kind, part = some["kind"][0].as_py(), some["part"][0].as_py()
+            keys, n = (np.concatenate([np.frombuffer(x, t) for x in some[c].to_pylist()]) for c, t in (("keys", np.uint64), ("n", np.uint32)))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, n = keys[first], np.add.reduceat(n, first)
-            level = levels_of(n)
-            sizes, total = np.bincount(level, minlength=len(VALUES)), int(n.sum())
-            if some["kind"][0].as_py() == PAIRS:
-                n = level
-            row = {"kind": some["kind"][:1], "part": some["part"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "total": pa.array([total], pa.int64())}
-            return pa.table(row | {"sizes": pa.array([sizes.tolist()], pa.list_(pa.int64()))})
+            total, fill = int(n.sum()), None
+            if kind == TOKENS:
+                top = n >= often
+                short = _short(_shorten(keys[~top]))
+                by = np.argsort(short)
+                rest, rest_n = short[by], n[~top][by]
+            else:
+                n = levels_of(n)
+                top = n >= head_level
+                entries = int(n[~top].sum(dtype=np.int64))
+                segments = -(-entries * bits // (8 * SEGMENT))
+                rest, rest_n = LogBloom.of(_short(_shorten(keys[~top])), n[~top], each=each, segments=segments).words, n[:0]
+                fill = float(np.bitwise_count(rest).mean()) / 64 if segments else None
+            blobs = {"head": keys[top], "head_n": n[top], "rest": rest, "rest_n": rest_n}
+            row = {"kind": pa.array([kind], pa.int32()), "part": [part], "total": [total], "entries": [len(keys)], "fill": pa.array([fill], pa.float64())}
+            return pa.table(row | {k: pa.array([x.tobytes()], pa.binary()) for k, x in blobs.items()})
 
         dealt = rows.mapInArrow(run, "kind int, part long, keys binary, n binary").groupBy("kind", "part")
-        self.counted = self.work.save(dealt.applyInArrow(summed, "kind int, part long, keys binary, n binary, total long, sizes array<long>"), "counted")
-
-    def _totals(self) -> DataFrame:
-        levels = [F.sum(F.get("sizes", F.lit(k))).alias(f"s{k}") for k in range(len(VALUES))]
-        return self.counted.groupBy("kind").agg(F.sum("total").alias("n"), *levels).select("kind", "n", F.array(*(F.col(f"s{k}") for k in range(len(VALUES)))).alias("sizes"))
-
-    def token_counts(self, least: int = 1) -> DataFrame:
-        """Tokens (their hashes) that occur ``least`` times or more: key, n."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for keys, n in zip(batch["keys"].to_pylist(), batch["n"].to_pylist()):
-                    n = np.frombuffer(n, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)[n >= least]), pa.array(n[n >= least])], ["key", "n"])
-
-        return self.counted.filter(F.col("kind") == TOKENS).select("keys", "n").mapInArrow(run, "key long, n long")
-
-    def _broadcast_tokens(self) -> None:
-        got = self.token_counts(self.least).toArrow()  # at most ``head`` rows
-        keys, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
-        order = np.argsort(keys)
-        self.head = self.spark.sparkContext.broadcast((keys[order], n[order].astype(np.int64)))
-
-    def _broadcast_pairs(self, segments: int) -> None:
-        """The frequent pairs' filter, at most ``head_bytes`` and a segment, gathered by the driver segment by segment."""
-        least, each, whole = self.head_level, self.each, np.zeros(segments * LogBloom.WORDS, np.uint64)
-
-        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for keys, n in zip(batch["keys"].to_pylist(), batch["n"].to_pylist()):
-                    keys, level = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.uint8)
-                    keys, level = keys[level >= least], level[level >= least]
-                    cuts = [*_cut(keys, segments)]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in cuts], pa.binary()) for x in (keys, level))], ["segment", "keys", "level"])
-
-        def made(some: pa.Table) -> pa.Table:
-            keys, level = (np.concatenate([np.frombuffer(x, kind) for x in some[c].to_pylist()]) for c, kind in (("keys", np.uint64), ("level", np.uint8)))
-            bloom = LogBloom.of(keys, level, each=each, total=segments, first=some["segment"][0].as_py(), segments=1)
-            return pa.table({"segment": some["segment"][:1], "bits": pa.array([bloom.words.tobytes()], pa.binary())})
-
+        made = dealt.applyInArrow(summed, "kind int, part long, total long, entries long, fill double, head binary, head_n binary, rest binary, rest_n binary")
+        self.known = self.work.save(made, "known")
+        self.work.release()
+
+    def _broadcast(self) -> None:
+        """What workers get: frequent tokens with their counts (``head`` at most), and the frequent pairs' filter (about ``head_bytes`` at most)."""
+        found = {TOKENS: ([], []), PAIRS: ([], [])}
+        for r in self.known.filter(F.length("head") > 0).select("kind", "head", "head_n").toLocalIterator():  # bounded as these are
+            found[r["kind"]][0].append(np.frombuffer(r["head"], np.uint64))
+            found[r["kind"]][1].append(np.frombuffer(r["head_n"], np.int64 if r["kind"] == TOKENS else np.uint8))
+        (tokens, counts), (pairs, level) = ((np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *n])) for keys, n in found.values())
+        order = np.argsort(tokens)
+        segments = -(-int(level.sum()) * self.bits // (8 * SEGMENT))
+        bloom = LogBloom.of(pairs, level, each=self.each, segments=segments)
+        self.head = self.spark.sparkContext.broadcast((tokens[order], counts[order]))
+        self.shared_filter = self.spark.sparkContext.broadcast((bloom.words, self.each, segments, self.head_level))
         if segments:
-            frequent = self.counted.filter(F.col("kind") == PAIRS).select("keys", "n").mapInArrow(dealt, "segment long, keys binary, level binary")
-            for r in frequent.groupBy("segment").applyInArrow(made, "segment long, bits binary").toLocalIterator():
-                whole[r["segment"] * LogBloom.WORDS : (r["segment"] + 1) * LogBloom.WORDS] = np.frombuffer(r["bits"], np.uint64)
-        self.shared_filter = self.spark.sparkContext.broadcast((whole, each, segments, least))
-        fill = np.bitwise_count(whole.reshape(-1, LogBloom.WORDS)).mean() / 64 if segments else 0.0
-        self.chance = _false_chance(fill, each) ** least * VALUES[least] if segments else 0.0
-
-    def _keep_the_rest(self) -> None:
-        """The table ``known``: for each part the tokens outside the broadcast with their counts, and the filter of its other pairs."""
-        frequent, least, each, of_part, parts = self.least, self.head_level, self.each, self.of_part, self.parts
+            self.chance += _false_chance(float(np.bitwise_count(bloom.words).mean()) / 64, self.each) ** self.head_level * VALUES[self.head_level]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for kind, part, keys, n in zip(*(batch[c].to_pylist() for c in ("kind", "part", "keys", "n"))):
-                    keys, n = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64 if kind == TOKENS else np.uint8)
-                    if kind == TOKENS:
-                        some = n < frequent
-                        a, b, fill = keys[some], n[some], 0.0
-                    else:
-                        level, some = n, n < least
-                        bloom = LogBloom.of(keys[some], level[some], each=each, total=parts * of_part, first=part * of_part, segments=of_part)
-                        a, b, fill = bloom.words, n[:0], float(np.bitwise_count(bloom.words).mean()) / 64 if of_part else 0.0
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([kind], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary()), pa.array([fill])], ["part", "kind", "a", "b", "fill"])
-
-        rest = self.counted.select("kind", "part", "keys", "n").mapInArrow(run, "part long, kind int, a binary, b binary, fill double")
-        self.known = self.work.save(rest, "known")
-        fill = self.known.filter(F.col("kind") == PAIRS).agg(F.avg("fill")).first()[0]
-        self.chance += _false_chance(fill or 0.0, each)
-        self.has_rest = self.known.limit(1).count() > 0
-
-    def score(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 2 << 20) -> DataFrame:
+    def score(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 4 << 20) -> DataFrame:
         """One row a document: id, n_tokens, n_known, train_tokens, base_score, score."""
-        head, shared, parts, of_part, each = self.head, self.shared_filter, self.parts, self.of_part, self.each
-        n, v, probability = self.n, self.v, self.probability
+        head, shared, parts, each, least = self.head, self.shared_filter, self.parts, self.each, int(THRESHOLDS[self.head_level - 1])
+        n, v, often, probability = self.n, self.v, self.often, self.probability
         rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
         schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
 
-        def rate(batch: pa.RecordBatch, answers: dict[int, bytes], frequent: Frequent) -> pa.RecordBatch:
-            stream, at = token_stream(batch["text"])
-            tokens, of_token = np.unique(stream, return_inverse=True)
+        def looked_up(stream: np.ndarray, frequent: Frequent) -> tuple:
+            """What the broadcast parts say of a piece: (tokens, counts, which) and (pairs, levels, which), 0 for what they don't hold."""
+            tokens, _, of_token = _distinct(stream)
             count = _counts_of(tokens, *head.value)
+            pairs, at, of_pair = _distinct(pair_keys(stream))
+            # a pair is at most as frequent as either of its tokens; those that aren't broadcast occur less than ``often``
+            enough = ((count >= least) | (count == 0) & (often > least))[of_token]
+            before = np.concatenate([[True], enough[:-1]])
+            level, may = np.zeros(len(pairs), np.uint8), np.flatnonzero(enough[at] & before[at])
+            level[may] = frequent.levels(pairs[may])
+            return (tokens, count, of_token), (pairs, level, of_pair, at)
+
+        def rate(batch: pa.RecordBatch, answers: dict[int, bytes], frequent: Frequent) -> pa.RecordBatch:
+            stream, start = token_stream(batch["text"])
+            (tokens, count, of_token), (_, level, of_pair, at) = looked_up(stream, frequent)
             if TOKENS in answers:
                 count[count == 0] = np.frombuffer(answers[TOKENS], np.int64)
-            pairs, first, of_pair = np.unique(pair_keys(stream), return_index=True, return_inverse=True)
-            level = frequent.levels(pairs)
             if PAIRS in answers:
                 level[level == 0] = np.frombuffer(answers[PAIRS], np.uint8)
             of = count[of_token]
             before = np.concatenate([[count[np.searchsorted(tokens, END)]], of[:-1]])
-            logs = np.log10(probability(level, of[first], before[first]))[of_pair]
-            start = at[:-1]
-            base = np.log10((of + 1.0) / (n + v + 1))
-            columns = (np.diff(at), np.add.reduceat((of > 0).astype(np.int64), start), np.add.reduceat(base, start), np.add.reduceat(logs, start))
+            logs = np.log10(probability(level, of[at], before[at]))[of_pair]
+            base = np.log10(count + 1.0)[of_token] - np.log10(n + v + 1.0)
+            columns = (np.diff(start), *(np.add.reduceat(x, start[:-1]) for x in ((of > 0).astype(np.int64), base, logs)))
             return pa.RecordBatch.from_arrays([batch["id"], *map(pa.array, columns)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,23 +339,22 @@ class BloomModel:
             frequent = Frequent(*shared.value)
             for batch in batches:
                 for piece, texts in zip(batch["piece"].to_pylist(), batch["texts"].to_pylist()):
-                    stream, _ = token_stream(_unpacked(texts)["text"])
-                    for kind, keys in _open_questions(stream, head.value[0], frequent):
+                    for kind, (keys, known, *_) in enumerate(looked_up(token_stream(_unpacked(texts)["text"])[0], frequent)):
+                        keys = keys[known == 0]
                         cuts = [*_cut(keys, parts)]
-                        columns = (pa.array([k for k, _, _ in cuts], pa.int64()), pa.array([piece] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in cuts], pa.binary()))
+                        columns = (pa.array([k for k, _, _ in cuts], pa.int64()), pa.array([piece] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()), pa.array([_shorten(keys[a:b]) for _, a, b in cuts], pa.binary()))
                         yield pa.RecordBatch.from_arrays([*columns], ["part", "piece", "kind", "keys"])
 
         def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
             tokens, counts, bloom = np.empty(0, np.uint64), np.empty(0, np.int64), LogBloom(np.empty(0, np.uint64), each=each, segments=1)
-            for part, kind, a, b in zip(*(known[c].to_pylist() for c in ("part", "kind", "a", "b"))):
+            for kind, rest, rest_n in zip(*(known[c].to_pylist() for c in ("kind", "rest", "rest_n"))):
                 if kind == TOKENS:
-                    tokens, counts = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)
+                    tokens, counts = np.frombuffer(rest, np.uint64), np.frombuffer(rest_n, np.int64)
                 else:
-                    bloom = LogBloom(np.frombuffer(a, np.uint64), each=each, segments=parts * of_part, first=part * of_part)
+                    bloom = LogBloom(np.frombuffer(rest, np.uint64), each=each, segments=len(rest) // SEGMENT)
             found = []
             for kind, keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist()):
-                keys = np.frombuffer(keys, np.uint64)
-                found.append((_counts_of(keys, tokens, counts) if kind == TOKENS else bloom.levels(keys)).tobytes())
+                found.append((_counts_of(_short(keys), tokens, counts) if kind == TOKENS else bloom.levels(_short(keys))).tobytes())
             return pa.table({"piece": asked["piece"], "kind": asked["kind"], "part": asked["part"], "found": pa.array(found, pa.binary())})
 
         def joined(piece: pa.Table, found: pa.Table) -> pa.Table:
@@ -390,7 +367,7 @@ class BloomModel:
         if self.has_rest:
             dealt = self.work.save(rows.mapInArrow(deal, "texts binary").withColumn("piece", F.monotonically_increasing_id()), f"pieces-{uuid.uuid4().hex[:8]}")
             asked = dealt.select("piece", "texts").mapInArrow(ask, "part long, piece long, kind int, keys binary")
-            answers = asked.groupBy("part").cogroup(self.known.select("part", "kind", "a", "b").groupBy("part")).applyInArrow(answer, "piece long, kind int, part long, found binary")
+            answers = asked.groupBy("part").cogroup(self.known.select("part", "kind", "rest", "rest_n").groupBy("part")).applyInArrow(answer, "piece long, kind int, part long, found binary")
             scored = dealt.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(joined, schema)
         else:  # all that is known is in the broadcast parts
             scored = rows.mapInArrow(alone, schema)
@@ -427,16 +404,6 @@ def _counts_of(keys: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.n
     return np.where(tokens[at] == keys, counts[at], 0)
 
 
-def _open_questions(stream: np.ndarray, head: np.ndarray, frequent: Frequent) -> Iterator[tuple[int, np.ndarray]]:
-    """Sorted tokens and pairs of a piece that the broadcast parts don't hold."""
-    tokens = np.unique(stream)
-    if len(head):
-        tokens = tokens[head[np.minimum(np.searchsorted(head, tokens), len(head) - 1)] != tokens]
-    yield TOKENS, tokens
-    pairs = np.unique(pair_keys(stream))
-    yield PAIRS, pairs[frequent.levels(pairs) == 0]
-
-
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = BloomModel(docs.filter(fold(F.col("doc_id"), 7) != 2)).score(docs)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def release(self) -> None:
+        """Let Spark drop the shuffle files of finished steps now: it does so when the driver's JVM finds that nothing refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         self._remove(f"{self.path}/{name}")
 

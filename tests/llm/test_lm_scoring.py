@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm.language_id import fold
-from seqloom.llm.lm_scoring import END, THRESHOLDS, VALUES, BloomModel, Frequent, LogBloom, levels_of, mixed, pair_keys, share, token_stream
+from seqloom.llm.lm_scoring import _short, _shorten, END, THRESHOLDS, VALUES, BloomModel, Frequent, LogBloom, levels_of, mixed, pair_keys, token_stream
 
 SCHEMA = "doc_id long, text string"
 
@@ -39,7 +39,7 @@ def scores(rows, prior):
     return {i: sum(math.log10(p(a, b)) for a, b in zip([None, *words(t)], words(t))) for i, t in rows}
 
 
-SMALL = [dict(), dict(head=40, head_bytes=4_000, part_bytes=3_000), dict(head=0, head_bytes=0, part_bytes=100_000)]
+SMALL = [dict(), dict(head=40, head_bytes=400_000, part_bytes=3_000), dict(head=0, head_bytes=0, part_bytes=100_000), dict(head=10**9, head_bytes=1 << 30)]
 
 
 @pytest.mark.parametrize("parts", SMALL)
@@ -68,12 +68,8 @@ def test_filter_reads_levels_back():
     keys = mixed(np.arange(20_000, dtype=np.uint64))
     levels = np.random.default_rng(1).integers(1, 9, 20_000)
     segments = 32
-    parts = [share(keys, 2) == k for k in range(2)]
-    halves = [LogBloom.of(keys[p], levels[p], each=5, total=segments, first=16 * k, segments=16) for k, p in enumerate(parts)]
-    whole = LogBloom(np.concatenate([h.words for h in halves]), each=5, segments=segments)
+    whole = LogBloom.of(keys, levels, each=5, segments=segments)
     assert np.array_equal(whole.levels(keys), levels)
-    for k, p in enumerate(parts):
-        assert np.array_equal(halves[k].levels(keys[p]), levels[p])
     others = mixed(np.arange(10**6, 10**6 + 200_000, dtype=np.uint64))
     assert np.mean(whole.levels(others) > 0) < 1e-3
     assert np.array_equal(Frequent(whole.words, 5, segments, 3).levels(keys), np.where(levels >= 3, levels, 0))
@@ -81,19 +77,20 @@ def test_filter_reads_levels_back():
 
 def test_probabilities_of_a_context_add_up_to_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    model = BloomModel(docs)
     words = [token_stream(pa.array([r["text"]]))[0] for r in docs.collect()]
-    counts = Counter(w for s in words for w in s.view(np.int64).tolist())
-    tokens = np.array([*counts], np.int64).view(np.uint64)
-    n = np.array([*counts.values()])
-    bits = Frequent(*model.shared_filter.value)
+    counts = Counter(w for s in words for w in s.tolist())
+    tokens, n = np.array([*counts], np.uint64), np.array([*counts.values()])
     rare, frequent = tokens[np.argsort(n)[:20]], tokens[np.argsort(-n)[:20]]
-    for a in [*rare, *frequent, np.uint64(12345)]:
-        level = bits.levels(mixed(np.full(len(tokens), a) * np.uint64(0xC2B2AE3D27D4EB4F) + tokens))
-        of_a = counts.get(int(np.array([a], np.uint64).view(np.int64)[0]), 0)
-        total = model.probability(level, n, of_a).sum() + model.probability(np.array([0]), np.array([0]), of_a)[0]
-        assert abs(total - 1) < 0.02
-    assert len(counts) == model.v and sum(counts.values()) == model.n
+    for parts in (dict(head_bytes=1 << 30, head=10**9), dict(head_bytes=0, part_bytes=1 << 30)):
+        model = BloomModel(docs, **parts)
+        assert (len(counts), sum(counts.values())) == (model.v, model.n)
+        rest = model.known.filter("kind = 1").first()["rest"]
+        filters = [(Frequent(*model.shared_filter.value), lambda k: k), (LogBloom(np.frombuffer(rest, np.uint64), each=model.each, segments=len(rest) >> 16), lambda k: _short(_shorten(k)))]
+        for a in [*rare, *frequent, np.uint64(12345)]:
+            keys = mixed(np.full(len(tokens), a) * np.uint64(0xC2B2AE3D27D4EB4F) + tokens)
+            level = np.maximum(*(f.levels(of(keys)) for f, of in filters))
+            total = model.probability(level, n, counts.get(int(a), 0)).sum() + model.probability(np.array([0]), np.array([0]), counts.get(int(a), 0))[0]
+            assert abs(total - 1) < 0.02
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
