@@ -171,17 +171,21 @@ def _cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _shorten(keys: np.ndarray) -> bytes:
-    """Six bytes a key: a hash of 48 bits, enough to tell the keys of one part apart."""
-    low = mixed(keys ^ _SHORT)
-    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Five bytes a key: a hash of 40 bits tells the pairs of one part apart, but for one in a million, which ``chance`` counts."""
+    return mixed(keys ^ _SHORT).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def _short(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
     return out.view(np.uint64).ravel()
 
 
+def _of_part(short: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    """Short keys of several parts as keys of one filter."""
+    return mixed(short ^ (np.asarray(part).astype(np.uint64) << np.uint64(40)))
+
+
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -202,36 +206,38 @@ class BloomModel:
         size, n_rows = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
         most = (size or 0) // 2 + 1 + 2 * n_rows  # tokens at most: words have gaps between them, and each text an end
         self.parts = max(1, -(-(size or 0) // part_bytes))
-        self.each = max(3, (most.bit_length() + 6) // 4)  # the more tokens there may be, the rarer a false positive has to be
+        self.each = max(3, most.bit_length() // 5 + 1)  # the more tokens there may be, the rarer a false positive has to be
         self.bits = -(-4 * self.each * 1443 // 1000)  # bits for an entry, where half of all are set
         # of n things counted at most n / t have a count of t or more: so these thresholds bound what is broadcast
-        self.often = most // max(1, head) + 1
+        self.often = min(most // max(1, head) + 1, 1 << 32)
         steps = np.arange(1, len(THRESHOLDS) + 1)
         fits = most * steps / THRESHOLDS <= 8 * head_bytes // self.bits
         self.head_level = int(np.argmax(fits)) + 1 if fits.any() else len(THRESHOLDS)
         self._count(rows)
-        totals = {r["kind"]: r for r in self.known.groupBy("kind").agg(F.sum("total").alias("n"), F.sum("entries").alias("v"), F.avg("fill").alias("fill"), F.sum(F.length("rest")).alias("rest")).collect()}  # two rows
+        self.work.release()
+        totals = {r["kind"]: r for r in self.known.groupBy("kind").agg(F.sum("total").alias("n"), F.sum("entries").alias("v"), F.max("entries").alias("most"), F.avg("fill").alias("fill"), F.sum(F.length("rest")).alias("rest")).collect()}  # two rows
         self.n, self.v = (totals[TOKENS]["n"], totals[TOKENS]["v"]) if TOKENS in totals else (0, 0)
         self.has_rest = any(r["rest"] for r in totals.values())
-        self.chance = _false_chance(totals[PAIRS]["fill"] or 0.0, self.each) if PAIRS in totals else 0.0
+        # of a false positive: that its bits are set, or that it is short for the same as another pair
+        self.chance = _false_chance(totals[PAIRS]["fill"] or 0.0, self.each) + totals[PAIRS]["most"] / 2**40 if PAIRS in totals else 0.0
         self._broadcast()
         self.probability = Probability(self.n, self.v, prior, self.v * self.chance)
 
     def _count(self, rows: DataFrame) -> None:
         """The table ``known``, a row for each kind and part (a range of keys).
 
-        ``head``, ``head_n``: what is broadcast, and counts (of pairs: levels). ``rest``, ``rest_n``: of tokens all others, short
-        and sorted, and their counts; of pairs the words of a filter of all others. ``fill``: how many of its bits are set.
+        ``head``, ``head_n``: what is broadcast, and counts (of pairs: levels). ``rest``, ``rest_n``: of tokens all others, sorted,
+        and their counts; of pairs the words of a filter of all others. ``fill``: how many of its bits are set.
         """
         parts, often, head_level, each, bits = self.parts, self.often, self.head_level, self.each, self.bits
 
         def emitted(keys: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             for kind, some in keys.items():
                 distinct, n = np.unique(np.concatenate(some), return_counts=True)
-                cuts = [*_cut(distinct, parts)]
-                n = n.astype(np.uint32)
+                cuts, n, packed = [*_cut(distinct, parts)], n.astype(np.uint32), np.ndarray.tobytes if kind == TOKENS else _shorten
                 columns = [pa.array([kind] * len(cuts), pa.int32()), pa.array([k for k, _, _ in cuts], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[a:b].tobytes() for _, a, b in cuts], pa.binary()) for x in (distinct, n))], ["kind", "part", "keys", "n"])
+                columns += [pa.array([packed(distinct[a:b]) for _, a, b in cuts], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "part", "keys", "n"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept, size = {TOKENS: [], PAIRS: []}, 0
@@ -249,7 +255,8 @@ class BloomModel:
 
         def summed(some: pa.Table) -> pa.Table:
             kind, part = some["kind"][0].as_py(), some["part"][0].as_py()
-            keys, n = (np.concatenate([np.frombuffer(x, t) for x in some[c].to_pylist()]) for c, t in (("keys", np.uint64), ("n", np.uint32)))
+            keys = np.concatenate([np.frombuffer(x, np.uint64) if kind == TOKENS else _short(x) for x in some["keys"].to_pylist()])
+            n = np.concatenate([np.frombuffer(x, np.uint32) for x in some["n"].to_pylist()])
             order = np.argsort(keys)
             keys, n = keys[order], n[order].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -257,24 +264,21 @@ class BloomModel:
             total, fill = int(n.sum()), None
             if kind == TOKENS:
                 top = n >= often
-                short = _short(_shorten(keys[~top]))
-                by = np.argsort(short)
-                rest, rest_n = short[by], n[~top][by]
+                head, rest, rest_n = keys[top], keys[~top], n[~top].astype(np.uint32)
             else:
                 n = levels_of(n)
                 top = n >= head_level
                 entries = int(n[~top].sum(dtype=np.int64))
                 segments = -(-entries * bits // (8 * SEGMENT))
-                rest, rest_n = LogBloom.of(_short(_shorten(keys[~top])), n[~top], each=each, segments=segments).words, n[:0]
+                head, rest, rest_n = _of_part(keys[top], part), LogBloom.of(keys[~top], n[~top], each=each, segments=segments).words, n[:0]
                 fill = float(np.bitwise_count(rest).mean()) / 64 if segments else None
-            blobs = {"head": keys[top], "head_n": n[top], "rest": rest, "rest_n": rest_n}
+            blobs = {"head": head, "head_n": n[top], "rest": rest, "rest_n": rest_n}
             row = {"kind": pa.array([kind], pa.int32()), "part": [part], "total": [total], "entries": [len(keys)], "fill": pa.array([fill], pa.float64())}
             return pa.table(row | {k: pa.array([x.tobytes()], pa.binary()) for k, x in blobs.items()})
 
         dealt = rows.mapInArrow(run, "kind int, part long, keys binary, n binary").groupBy("kind", "part")
         made = dealt.applyInArrow(summed, "kind int, part long, total long, entries long, fill double, head binary, head_n binary, rest binary, rest_n binary")
         self.known = self.work.save(made, "known")
-        self.work.release()
 
     def _broadcast(self) -> None:
         """What workers get: frequent tokens with their counts (``head`` at most), and the frequent pairs' filter (about ``head_bytes`` at most)."""
@@ -307,14 +311,14 @@ class BloomModel:
             enough = ((count >= least) | (count == 0) & (often > least))[of_token]
             before = np.concatenate([[True], enough[:-1]])
             level, may = np.zeros(len(pairs), np.uint8), np.flatnonzero(enough[at] & before[at])
-            level[may] = frequent.levels(pairs[may])
+            level[may] = frequent.levels(_of_part(_short(_shorten(pairs[may])), share(pairs[may], parts)))
             return (tokens, count, of_token), (pairs, level, of_pair, at)
 
         def rate(batch: pa.RecordBatch, answers: dict[int, bytes], frequent: Frequent) -> pa.RecordBatch:
             stream, start = token_stream(batch["text"])
             (tokens, count, of_token), (_, level, of_pair, at) = looked_up(stream, frequent)
             if TOKENS in answers:
-                count[count == 0] = np.frombuffer(answers[TOKENS], np.int64)
+                count[count == 0] = np.frombuffer(answers[TOKENS], np.uint32)
             if PAIRS in answers:
                 level[level == 0] = np.frombuffer(answers[PAIRS], np.uint8)
             of = count[of_token]
@@ -340,21 +344,21 @@ class BloomModel:
             for batch in batches:
                 for piece, texts in zip(batch["piece"].to_pylist(), batch["texts"].to_pylist()):
                     for kind, (keys, known, *_) in enumerate(looked_up(token_stream(_unpacked(texts)["text"])[0], frequent)):
-                        keys = keys[known == 0]
+                        keys, packed = keys[known == 0], np.ndarray.tobytes if kind == TOKENS else _shorten
                         cuts = [*_cut(keys, parts)]
-                        columns = (pa.array([k for k, _, _ in cuts], pa.int64()), pa.array([piece] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()), pa.array([_shorten(keys[a:b]) for _, a, b in cuts], pa.binary()))
+                        columns = (pa.array([k for k, _, _ in cuts], pa.int64()), pa.array([piece] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()), pa.array([packed(keys[a:b]) for _, a, b in cuts], pa.binary()))
                         yield pa.RecordBatch.from_arrays([*columns], ["part", "piece", "kind", "keys"])
 
         def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
             tokens, counts, bloom = np.empty(0, np.uint64), np.empty(0, np.int64), LogBloom(np.empty(0, np.uint64), each=each, segments=1)
             for kind, rest, rest_n in zip(*(known[c].to_pylist() for c in ("kind", "rest", "rest_n"))):
                 if kind == TOKENS:
-                    tokens, counts = np.frombuffer(rest, np.uint64), np.frombuffer(rest_n, np.int64)
+                    tokens, counts = np.frombuffer(rest, np.uint64), np.frombuffer(rest_n, np.uint32)
                 else:
                     bloom = LogBloom(np.frombuffer(rest, np.uint64), each=each, segments=len(rest) // SEGMENT)
             found = []
             for kind, keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist()):
-                found.append((_counts_of(_short(keys), tokens, counts) if kind == TOKENS else bloom.levels(_short(keys))).tobytes())
+                found.append((_counts_of(np.frombuffer(keys, np.uint64), tokens, counts).astype(np.uint32) if kind == TOKENS else bloom.levels(_short(keys))).tobytes())
             return pa.table({"piece": asked["piece"], "kind": asked["kind"], "part": asked["part"], "found": pa.array(found, pa.binary())})
 
         def joined(piece: pa.Table, found: pa.Table) -> pa.Table:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm.language_id import fold
-from seqloom.llm.lm_scoring import _short, _shorten, END, THRESHOLDS, VALUES, BloomModel, Frequent, LogBloom, levels_of, mixed, pair_keys, token_stream
+from seqloom.llm.lm_scoring import _of_part, _short, _shorten, END, THRESHOLDS, VALUES, BloomModel, Frequent, LogBloom, levels_of, mixed, pair_keys, share, token_stream
 
 SCHEMA = "doc_id long, text string"
 
@@ -85,7 +85,7 @@ def test_probabilities_of_a_context_add_up_to_one(spark):
         model = BloomModel(docs, **parts)
         assert (len(counts), sum(counts.values())) == (model.v, model.n)
         rest = model.known.filter("kind = 1").first()["rest"]
-        filters = [(Frequent(*model.shared_filter.value), lambda k: k), (LogBloom(np.frombuffer(rest, np.uint64), each=model.each, segments=len(rest) >> 16), lambda k: _short(_shorten(k)))]
+        filters = [(Frequent(*model.shared_filter.value), lambda k: _of_part(_short(_shorten(k)), share(k, model.parts))), (LogBloom(np.frombuffer(rest, np.uint64), each=model.each, segments=len(rest) >> 16), lambda k: _short(_shorten(k)))]
         for a in [*rare, *frequent, np.uint64(12345)]:
             keys = mixed(np.full(len(tokens), a) * np.uint64(0xC2B2AE3D27D4EB4F) + tokens)
             level = np.maximum(*(f.levels(of(keys)) for f, of in filters))
