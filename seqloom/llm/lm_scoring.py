@@ -170,14 +170,17 @@ def _cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(of.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])
 
 
-def _shorten(keys: np.ndarray) -> bytes:
-    """Five bytes a key: a hash of 40 bits tells the pairs of one part apart, but for one in a million, which ``chance`` counts."""
-    return mixed(keys ^ _SHORT).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+#: Bytes that tell the keys of one part apart: tokens for sure, pairs but for one in a million, which ``chance`` counts.
+SHORT = {TOKENS: 6, PAIRS: 5}
 
 
-def _short(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+def _shorten(keys: np.ndarray, kind: int = PAIRS) -> bytes:
+    return mixed(keys ^ _SHORT).view(np.uint8).reshape(-1, 8)[:, : SHORT[kind]].tobytes()
+
+
+def _short(blob: bytes, kind: int = PAIRS) -> np.ndarray:
+    out = np.zeros((len(blob) // SHORT[kind], 8), np.uint8)
+    out[:, : SHORT[kind]] = np.frombuffer(blob, np.uint8).reshape(-1, SHORT[kind])
     return out.view(np.uint64).ravel()
 
 
@@ -188,7 +191,7 @@ def _of_part(short: np.ndarray, part: np.ndarray | int) -> np.ndarray:
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -206,7 +209,7 @@ class BloomModel:
         size, n_rows = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
         most = (size or 0) // 2 + 1 + 2 * n_rows  # tokens at most: words have gaps between them, and each text an end
         self.parts = max(1, -(-(size or 0) // part_bytes))
-        self.each = max(3, most.bit_length() // 5 + 1)  # the more tokens there may be, the rarer a false positive has to be
+        self.each = max(3, most.bit_length() // 6 + 1)  # the more tokens there may be, the rarer a false positive has to be
         self.bits = -(-4 * self.each * 1443 // 1000)  # bits for an entry, where half of all are set
         # of n things counted at most n / t have a count of t or more: so these thresholds bound what is broadcast
         self.often = min(most // max(1, head) + 1, 1 << 32)
@@ -226,8 +229,8 @@ class BloomModel:
     def _count(self, rows: DataFrame) -> None:
         """The table ``known``, a row for each kind and part (a range of keys).
 
-        ``head``, ``head_n``: what is broadcast, and counts (of pairs: levels). ``rest``, ``rest_n``: of tokens all others, sorted,
-        and their counts; of pairs the words of a filter of all others. ``fill``: how many of its bits are set.
+        ``head``, ``head_n``: what is broadcast, and counts (of pairs: levels). ``rest``, ``rest_n``: of tokens all others, short
+        and sorted, and their counts; of pairs the words of a filter of all others. ``fill``: how many of its bits are set.
         """
         parts, often, head_level, each, bits = self.parts, self.often, self.head_level, self.each, self.bits
 
@@ -264,7 +267,9 @@ class BloomModel:
             total, fill = int(n.sum()), None
             if kind == TOKENS:
                 top = n >= often
-                head, rest, rest_n = keys[top], keys[~top], n[~top].astype(np.uint32)
+                short = _short(_shorten(keys[~top], TOKENS), TOKENS)
+                by = np.argsort(short)
+                head, rest, rest_n = keys[top], short[by], n[~top][by].astype(np.uint32)
             else:
                 n = levels_of(n)
                 top = n >= head_level
@@ -295,8 +300,12 @@ class BloomModel:
         if segments:
             self.chance += _false_chance(float(np.bitwise_count(bloom.words).mean()) / 64, self.each) ** self.head_level * VALUES[self.head_level]
 
-    def score(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 4 << 20) -> DataFrame:
-        """One row a document: id, n_tokens, n_known, train_tokens, base_score, score."""
+    def score(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 4 << 20, stable: bool = False) -> DataFrame:
+        """One row a document: id, n_tokens, n_known, train_tokens, base_score, score.
+
+        Pieces are read twice, to ask and to rate. They are saved in between, unless ``docs`` is said to be ``stable``:
+        a table in files, of which every reading deals the same rows. Answers that don't fit a piece raise an error.
+        """
         head, shared, parts, each, least = self.head, self.shared_filter, self.parts, self.each, int(THRESHOLDS[self.head_level - 1])
         n, v, often, probability = self.n, self.v, self.often, self.probability
         rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
@@ -344,9 +353,9 @@ class BloomModel:
             for batch in batches:
                 for piece, texts in zip(batch["piece"].to_pylist(), batch["texts"].to_pylist()):
                     for kind, (keys, known, *_) in enumerate(looked_up(token_stream(_unpacked(texts)["text"])[0], frequent)):
-                        keys, packed = keys[known == 0], np.ndarray.tobytes if kind == TOKENS else _shorten
+                        keys = keys[known == 0]
                         cuts = [*_cut(keys, parts)]
-                        columns = (pa.array([k for k, _, _ in cuts], pa.int64()), pa.array([piece] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()), pa.array([packed(keys[a:b]) for _, a, b in cuts], pa.binary()))
+                        columns = (pa.array([k for k, _, _ in cuts], pa.int64()), pa.array([piece] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()), pa.array([_shorten(keys[a:b], kind) for _, a, b in cuts], pa.binary()))
                         yield pa.RecordBatch.from_arrays([*columns], ["part", "piece", "kind", "keys"])
 
         def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -356,9 +365,15 @@ class BloomModel:
                     tokens, counts = np.frombuffer(rest, np.uint64), np.frombuffer(rest_n, np.uint32)
                 else:
                     bloom = LogBloom(np.frombuffer(rest, np.uint64), each=each, segments=len(rest) // SEGMENT)
-            found = []
-            for kind, keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist()):
-                found.append((_counts_of(np.frombuffer(keys, np.uint64), tokens, counts).astype(np.uint32) if kind == TOKENS else bloom.levels(_short(keys))).tobytes())
+            kinds, asks = np.array(asked["kind"].to_pylist()), asked["keys"].to_pylist()
+            found: list[bytes] = [b""] * len(asks)
+            for kind in (TOKENS, PAIRS):  # all at once, then cut by question
+                mine = np.flatnonzero(kinds == kind).tolist()
+                keys = _short(b"".join(asks[i] for i in mine), kind)
+                each_found = _counts_of(keys, tokens, counts).astype(np.uint32) if kind == TOKENS else bloom.levels(keys)
+                ends = np.cumsum([len(asks[i]) // SHORT[kind] for i in mine]).tolist()
+                for i, a, b in zip(mine, [0, *ends], ends):
+                    found[i] = each_found[a:b].tobytes()
             return pa.table({"piece": asked["piece"], "kind": asked["kind"], "part": asked["part"], "found": pa.array(found, pa.binary())})
 
         def joined(piece: pa.Table, found: pa.Table) -> pa.Table:
@@ -369,7 +384,8 @@ class BloomModel:
             return pa.Table.from_batches([rate(_unpacked(texts), whole, Frequent(*shared.value)) for texts in piece["texts"].to_pylist()])
 
         if self.has_rest:
-            dealt = self.work.save(rows.mapInArrow(deal, "texts binary").withColumn("piece", F.monotonically_increasing_id()), f"pieces-{uuid.uuid4().hex[:8]}")
+            dealt = rows.mapInArrow(deal, "texts binary").withColumn("piece", F.monotonically_increasing_id())
+            dealt = dealt if stable else self.work.save(dealt, f"pieces-{uuid.uuid4().hex[:8]}")
             asked = dealt.select("piece", "texts").mapInArrow(ask, "part long, piece long, kind int, keys binary")
             answers = asked.groupBy("part").cogroup(self.known.select("part", "kind", "rest", "rest_n").groupBy("part")).applyInArrow(answer, "piece long, kind int, part long, found binary")
             scored = dealt.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(joined, schema)
@@ -410,5 +426,5 @@ def _counts_of(keys: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.n
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = BloomModel(docs.filter(fold(F.col("doc_id"), 7) != 2)).score(docs)
+    scored = BloomModel(docs.filter(fold(F.col("doc_id"), 7) != 2)).score(docs, stable=True)
     return scored.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

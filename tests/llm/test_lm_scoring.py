@@ -57,6 +57,14 @@ def test_scores_are_those_of_exact_tables_wherever_the_counts_lie(spark, parts):
         assert r["score"] == pytest.approx(score[r["doc_id"]], rel=2e-3, abs=0.02)
 
 
+def test_a_table_in_files_needs_no_saved_pieces(spark, tmp_path):
+    spark.createDataFrame(texts(), SCHEMA).repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    model = BloomModel(docs, head=0, head_bytes=0, part_bytes=5_000)
+    saved, stable = (sorted(model.score(docs, piece_bytes=2_000, stable=s).collect(), key=lambda r: r["doc_id"]) for s in (False, True))
+    assert saved == stable and len(saved) == len(texts())
+
+
 def test_levels():
     counts = np.array([0, 1, 2, 3, 5, 6, 7, 8, 9, 100, 10**9])
     level = levels_of(counts)
