@@ -203,7 +203,7 @@ def _unpacked(blob: bytes) -> pa.RecordBatch:
 class BloomModel:
     """A model fitted on ``train`` (all rows of it)."""
 
-    def __init__(self, train: DataFrame, *, text: str = "text", head: int = 300_000, prior: float = 300.0, head_bytes: int = 16 << 20, part_bytes: int = 4 << 20):
+    def __init__(self, train: DataFrame, *, text: str = "text", head: int = 300_000, prior: float = 300.0, head_bytes: int = 8 << 20, part_bytes: int = 2 << 20):
         self.work, self.spark = Workspace(train.sparkSession, "lm"), train.sparkSession
         rows = train.select(F.col(text).alias("text"))
         size, n_rows = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
@@ -250,7 +250,7 @@ class BloomModel:
                     kept[TOKENS].append(stream)
                     kept[PAIRS].append(pair_keys(stream))
                     size += len(stream)
-                    if size > 3_000_000:
+                    if size > 1_500_000:
                         yield from emitted(kept)
                         kept, size = {TOKENS: [], PAIRS: []}, 0
             if size:
@@ -300,7 +300,7 @@ class BloomModel:
         if segments:
             self.chance += _false_chance(float(np.bitwise_count(bloom.words).mean()) / 64, self.each) ** self.head_level * VALUES[self.head_level]
 
-    def score(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 4 << 20, stable: bool = False) -> DataFrame:
+    def score(self, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 2 << 20, stable: bool = False) -> DataFrame:
         """One row a document: id, n_tokens, n_known, train_tokens, base_score, score.
 
         Pieces are read twice, to ask and to rate. They are saved in between, unless ``docs`` is said to be ``stable``:
