@@ -23,33 +23,61 @@ from .workspace import let, table
 #: (rule, verdict): the part before the first ``/`` is a host, the rest a path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: The labelled URL table: words seen in unwanted and in wanted host names. Each gets the same ends and paths, so that those teach nothing.
-UNWANTED = """casino-win casino free-bets best-bets bets online-casino poker-room slots jackpot-win cheap-pills pills cheap-meds pharma-deal viagra-shop
-spam-farm spam link-farm spam-mail ads-track ads ad-server adserve track-click tracker click-bait popup-ads banner-ads adult-x adult xxx-video porn-tube
-sex-chat escort-dates hot-dates free-money win-prize free-prize lottery-win loan-fast payday-loan cheap-loan cheap-watches replica-bags crack-keys
-warez torrent-free malware phish-login get-rich fast-cash seo-links buy-followers weight-loss diet-pills hack-tool keygen gamble-now bet-win""".split()
-WANTED = """news library university garden science history museum weather kitchen travel journal school research archive market city
-ther then than that this thing tion and ander ents ing her on the ion ent over their there other theirs nation station season
-water winter summer mountain river forest letter paper number member center matter either brother weather gather leather
-ththen thering thontion theand tionther ththe onthe inger ereth esther enthon ththin thern thened thand ththly thour
-data docs code wiki forum people health music sport photo books story local world today maison jardin schule garten casa
-escuela livre histoire zeitung wissenschaft medicine nurse teacher student engine bridge street house window table light
-blether erond ndthe inthat ofthe onereth stthe reand hetion whether another teaching learning reading writing walking
-english fashion british spanish finish publish fish shelter shop first west forest east best coast artist question motion action shoulder cushion mansion tension
-fourth north south month earth youth health truth cloth worth month band land hand wind sound ground friend""".split()
-STARTS, ENDS = ("", "www.", "blog.", "m."), ("com", "org", "net", "example.com", "example.org", "example.net")
+#: The labelled URL table: words and names in common use, none taken from a test table. Unwanted ones by theme (games of chance,
+#: drugs, sex, advertising, easy money, pirated goods), wanted ones by what sites are about; then sites that everybody knows, and everyday words.
+UNWANTED = """
+casino poker roulette blackjack slots slotmachine bet bets betting sportsbet jackpot lottery lotto bingo gamble gambling wager bookmaker craps baccarat spins
+pills meds viagra cialis xanax valium tramadol pharmacy pharma painkiller steroids hgh weightloss slimming dietpills keto detox enlargement potency kamagra
+adult sex sexy xxx porn porno nude naked escort escorts camgirls webcam hookup milf erotic fetish dating hotgirls swingers strip lingerie
+spam ads adserver adclick adnetwork banner popup popunder tracker tracking clickbait clicks affiliate traffic backlinks linkfarm seo mailer bulkmail autoresponder leads
+free freebies prize winner win giveaway sweepstakes cash money rich millionaire loan loans payday credit debt bitcoin crypto doubler forex invest profit earn payout bonus promo
+cheap discount replica rolex knockoff outlet coupon bargain clearance crack cracked keygen serial warez torrent pirate hack hacks cheats malware phishing scam iptv unlocked
+""".split()
+WANTED = """
+news times daily herald gazette journal tribune review press magazine library archive museum gallery history science research institute university college school academy
+health hospital clinic medicine nursing nature garden weather climate ocean river forest mountain travel hotel railway airport maps city county council government parliament
+law court justice police army church charity foundation society union market bank insurance energy engineering software systems computing data code docs developer wiki forum community
+music opera theatre film photo design art books poetry stories writing reading language dictionary grammar kitchen recipes bread coffee wine fashion knitting football cricket tennis cycling running chess
+house home street bridge window table light paper letter number people family children teacher student friend summer winter morning evening north south east west world earth water
+station nation motion question attention foundation collection education information organisation
+leather weather whether brother mother another other father gather together
+house mouse blouse hospital thousand island England Ireland Holland under thunder wonder learning morning evening building painting
+Schule Garten Zeitung Wissenschaft Geschichte Buecher Reise Haus Strasse Freund ecole jardin maison journal histoire science livres voyage cuisine escuela jardin casa ciudad historia libros viaje cocina ciencia
+""".lower().split()
+SITES = """
+wikipedia arxiv stackoverflow nytimes github mozilla apache python debian bbc guardian reuters lemonde spiegel elpais nasa noaa harvard stanford oxford cambridge
+mit berkeley ieee acm nature sciencemag springer elsevier jstor pubmed britannica imdb gutenberg openstreetmap craigslist linkedin microsoft google apple amazon ebay
+""".split()
+STARTS, ENDS = ("", "www.", "blog.", "m.", "en."), ("com", "org", "net", "info", "co.uk", "de", "fr", "top", "example.com", "example.org", "example.net")
 PATHS = ("/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}", "/", "/{}/index.html")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
+def labelled_urls(spark: SparkSession, held_out: bool | None = None) -> DataFrame:
+    """(url, label): 1 is unwanted. Every fifth word is set aside where ``held_out`` is said: True gives only those, False the others.
+
+    Words stand alone, in pairs, run together or with a hyphen, with a number, in the host or, under a host of the other kind, in
+    the path. Places, ends, hyphens and numbers are dealt alike to both classes, so that they teach nothing. Wanted ones
+    are also names made of halves of two words: most names are in no list, and no reason to block.
+    """
     rows = []
-    for label, words in ((1, UNWANTED), (0, WANTED)):
+    classes = {1: UNWANTED, 0: [*dict.fromkeys([*WANTED, *SITES])]}
+    for label in classes:
+        chosen = {k: [w for i, w in enumerate(v) if held_out is None or (i % 5 == 4) == held_out] for k, v in classes.items()}
+        words, wanted = chosen[label], chosen[0]
         for i, w in enumerate(words):
-            for k in range(8):  # 24 hosts in all pairs of start and end; each word takes eight of them
-                n = i + 5 * k
-                # and as many compounds, in either class, so that a hyphen teaches nothing
-                for host in (w, f"{w}-{words[(i + 11 * k + 1) % len(words)]}"):
-                    rows.append((f"https://{STARTS[n % 4]}{host}.{ENDS[(n // 4 + k) % 6]}{PATHS[(i + k) % 6].format(17 * i + 131 * k)}", label))
+            other = [words[(i * 7 + 13 * k + 1) % len(words)] for k in range(3)]
+            mild = [wanted[(i * 11 + 17 * k + 3) % len(wanted)] for k in range(4)]
+            # an unwanted word next to an ordinary one is as unwanted
+            hosts = [w, w, f"{w}-{other[0]}", f"{other[1]}-{w}", f"{w}{other[2]}", f"{mild[0]}-{w}", f"{w}{mild[1]}", f"{w}{i % 90 + 10}"]
+            for k, host in enumerate(hosts):
+                rows.append((f"https://{STARTS[(i + k) % 5]}{host}.{ENDS[(3 * i + 5 * k) % 11]}{PATHS[(i + k) % 6].format(17 * i + 131 * k)}", label))
+            made = [a[: len(a) // 2 + k % 2] + b[len(b) // 2 - k % 2 :] for k in range(8) for a, b in [(wanted[(i * 3 + 31 * k + 5) % len(wanted)], wanted[(i * 5 + 29 * k + 7) % len(wanted)])]]
+            # names that nobody knows are wanted, unless an unwanted word stands in them
+            more = [f"{w}-{m}" if k % 4 == 0 else f"{m}-{w}" if k % 4 == 1 else f"{w}{m}" if k % 4 == 2 else f"{m}{w}" for k, m in enumerate(made)] if label else [*made, *(f"{m}-{mild[k]}" for k, m in enumerate(made[:3])), *(f"{w}{m}" for m in made[3:6])]
+            for k, host in enumerate(more, 8):
+                rows.append((f"https://{STARTS[(i + k) % 5]}{host}.{ENDS[(3 * i + 5 * k) % 11]}{PATHS[(i + k) % 6].format(17 * i + 131 * k)}", label))
+            for k, path in enumerate((f"/{w}/{other[0]}", f"/{mild[2]}/{w}-{other[1]}.html", f"/{w}-{mild[3]}/{i}", f"/{other[2]}/{w}", f"/en/{w}/", f"/{mild[0]}/{w}/{i}", f"/{made[0]}-{w}.html", f"/{w}-{made[1]}/")):
+                rows.append((f"http://{STARTS[(i + k) % 5]}{[*mild, *made][k]}.{ENDS[(3 * i + 5 * k) % 11]}{path}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -77,13 +105,17 @@ def ngram_slots(host: Column, path: Column, dim: int, sizes: tuple[int, ...] = (
     """Distinct slots, 0 to dim - 1, of the character n-grams of host and of path (hashed apart)."""
 
     def grams(kind: str, text: Column) -> Column:
-        framed = F.concat(F.lit("^"), F.translate(F.lower(text), "123456789", "000000000"), F.lit("$"))  # a number's digits say nothing
+        framed = F.concat(F.lit("^"), F.regexp_replace(F.lower(text), "[0-9]+", "0"), F.lit("$"))  # which number it is says nothing
+
+        def of(c: Column) -> Column:  # characters: taking n-grams out of a long string by place would cost its length each
+            def slots(n: int) -> Column:
+                taken = lambda i: F.pmod(F.xxhash64(F.lit(kind), F.concat(*(F.get(c, i + j) for j in range(n)))), F.lit(dim))
+                return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), taken)).otherwise(F.array().cast("array<bigint>"))
 
-        def of(t: Column) -> Column:
-            each = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=F.lit(n): F.pmod(F.xxhash64(F.lit(kind), F.substring(t, i, n)), F.lit(dim)))).otherwise(F.array().cast("array<bigint>")) for n in sizes]
+            each = [slots(n) for n in sizes]
             return F.concat(*each)
 
-        return let(framed, of)
+        return let(F.split(framed, ""), of)
 
     return F.array_distinct(F.concat(grams("host", host), grams("path", path)))
 
@@ -95,20 +127,19 @@ class UrlModel:
         self.weights, self.intercept, self.dim = weights, intercept, dim
 
     @classmethod
-    def fit(cls, urls: DataFrame, *, dim: int = 8192, reg: float = 0.001, max_iter: int = 60) -> UrlModel:
+    def fit(cls, urls: DataFrame, *, dim: int = 1 << 15, reg: float = 0.001, max_iter: int = 60) -> UrlModel:
         slots = ngram_slots(url_host(F.col("url")), url_path(F.col("url")), dim)
-        rows = urls.filter("label in (0, 1)").select("label", slots.alias("s"))
+        rows = urls.filter("label in (0, 1)").select("label", slots.alias("s")).coalesce(2)  # a small table: each step of the fit is a short job
         sizes = dict(rows.groupBy("label").count().collect())
         classes = list(sizes)
         if len(classes) < 2:
             return cls([0.0] * dim, (9.0 if classes[:1] == [1] else -9.0), dim)
-        weight = F.when(F.col("label") == 1, sum(sizes.values()) / (2 * sizes[1])).otherwise(sum(sizes.values()) / (2 * sizes[0]))  # either class counts alike
         vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], "s", "features").setBinary(True).transform(rows.withColumn("s", F.col("s").cast("array<string>")))  # slot i is feature i
-        model = LogisticRegression(maxIter=max_iter, regParam=reg, standardization=False, weightCol="w").fit(vectors.select(F.col("label").cast("double"), weight.alias("w"), "features"))
+        model = LogisticRegression(maxIter=max_iter, regParam=reg, standardization=False).fit(vectors.select(F.col("label").cast("double"), "features"))
         return cls([round(float(w), 6) for w in model.coefficients.toArray()], float(model.intercept), dim)
 
     def score(self, host: Column, path: Column) -> Column:
-        weights = F.lit(self.weights)
+        weights = F.split(F.lit(",".join(map(repr, self.weights))), ",").cast("array<double>")  # one literal, folded once
         total = lambda s: F.aggregate(s, F.lit(0.0), lambda a, i: a + F.get(weights, i.cast("int")))
         z = let(ngram_slots(host, path, self.dim), total) + self.intercept
         return 1 / (1 + F.exp(-z))
