@@ -223,13 +223,13 @@ class BloomModel:
         self.has_rest = any(r["rest"] for r in totals.values())
         # of a false positive: that its bits are set, or that it is short for the same as another pair
         self.chance = _false_chance(totals[PAIRS]["fill"] or 0.0, self.each) + totals[PAIRS]["most"] / 2**40 if PAIRS in totals else 0.0
-        self._broadcast()
+        self._broadcast(head)
         self.probability = Probability(self.n, self.v, prior, self.v * self.chance)
 
     def _count(self, rows: DataFrame) -> None:
         """The table ``known``, a row for each kind and part (a range of keys).
 
-        ``head``, ``head_n``: what is broadcast, and counts (of pairs: levels). ``rest``, ``rest_n``: of tokens all others, short
+        ``head``, ``head_n``: what may be broadcast, and counts (of pairs: levels). ``rest``, ``rest_n``: of tokens all others, short
         and sorted, and their counts; of pairs the words of a filter of all others. ``fill``: how many of its bits are set.
         """
         parts, often, head_level, each, bits = self.parts, self.often, self.head_level, self.each, self.bits
@@ -250,7 +250,7 @@ class BloomModel:
                     kept[TOKENS].append(stream)
                     kept[PAIRS].append(pair_keys(stream))
                     size += len(stream)
-                    if size > 1_500_000:
+                    if size > 2_000_000:
                         yield from emitted(kept)
                         kept, size = {TOKENS: [], PAIRS: []}, 0
             if size:
@@ -266,10 +266,10 @@ class BloomModel:
             keys, n = keys[first], np.add.reduceat(n, first)
             total, fill = int(n.sum()), None
             if kind == TOKENS:
-                top = n >= often
-                short = _short(_shorten(keys[~top], TOKENS), TOKENS)
+                rare, top = n < often, n >= often // 64
+                short = _short(_shorten(keys[rare], TOKENS), TOKENS)
                 by = np.argsort(short)
-                head, rest, rest_n = keys[top], short[by], n[~top][by].astype(np.uint32)
+                head, rest, rest_n = keys[top], short[by], n[rare][by].astype(np.uint32)
             else:
                 n = levels_of(n)
                 top = n >= head_level
@@ -285,10 +285,35 @@ class BloomModel:
         made = dealt.applyInArrow(summed, "kind int, part long, total long, entries long, fill double, head binary, head_n binary, rest binary, rest_n binary")
         self.known = self.work.save(made, "known")
 
-    def _broadcast(self) -> None:
+    def _broadcast(self, head: int) -> None:
         """What workers get: frequent tokens with their counts (``head`` at most), and the frequent pairs' filter (about ``head_bytes`` at most)."""
+        some = self.known.filter(F.length("head") > 0).select("kind", "head", "head_n")
+
+        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch["head_n"].to_pylist():
+                    n = np.bincount(levels_of(np.frombuffer(blob, np.int64)), minlength=len(VALUES))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["level", "n"])
+
+        # how many tokens there are from each level on; those of ``often`` and more are few enough in any corpus
+        total, least = 0, self.often
+        for r in some.filter(F.col("kind") == TOKENS).mapInArrow(sizes, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+            total += r["n"]
+            if total > head:
+                break
+            least = min(least, int(THRESHOLDS[r["level"] - 1]))
+        least = max(least, self.often // 64)
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for kind, keys, n in zip(*(batch[c].to_pylist() for c in ("kind", "head", "head_n"))):
+                    if kind == TOKENS:
+                        n = np.frombuffer(n, np.int64)
+                        keys, n = np.frombuffer(keys, np.uint64)[n >= least].tobytes(), n[n >= least].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([keys], pa.binary()), pa.array([n], pa.binary())], ["kind", "head", "head_n"])
+
         found = {TOKENS: ([], []), PAIRS: ([], [])}
-        for r in self.known.filter(F.length("head") > 0).select("kind", "head", "head_n").toLocalIterator():  # bounded as these are
+        for r in some.mapInArrow(frequent, "kind int, head binary, head_n binary").toLocalIterator():  # bounded as these are
             found[r["kind"]][0].append(np.frombuffer(r["head"], np.uint64))
             found[r["kind"]][1].append(np.frombuffer(r["head_n"], np.int64 if r["kind"] == TOKENS else np.uint8))
         (tokens, counts), (pairs, level) = ((np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *n])) for keys, n in found.values())

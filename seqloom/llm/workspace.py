@@ -48,8 +48,9 @@ class Workspace:
 
     def release(self) -> None:
         """Let Spark drop the shuffle files of finished steps now: it does so when the driver's JVM finds that nothing refers to them."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
 
     def drop(self, name: str) -> None:
         self._remove(f"{self.path}/{name}")
