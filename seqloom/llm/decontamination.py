@@ -12,9 +12,14 @@ Items are taken in blocks of bounded size, one broadcast and one narrow pass
 over the texts for each block; nothing is shuffled.
 
 Both sides are compared lower-cased, with runs of white space as one space.
-Defined results: null or empty texts match nothing; items shorter than
-``min_chars`` are set aside, as such strings occur by chance; repeated rows
-are judged each by itself; equal items are all reported; null ids are kept.
+Short items have a small budget: under 10 characters none, so they have to
+occur exactly, and under ``whole_words`` characters they also have to stand
+between word boundaries, as else they would be found inside words.
+Defined results: null or empty texts match nothing; an empty item matches
+nothing; items shorter than ``min_chars`` are set aside (by default none is);
+repeated rows are judged each by itself; equal items are all reported, one of
+several equal matches is the first; null ids are kept; very long texts are
+searched whole; further columns are kept or not looked at.
 """
 
 from __future__ import annotations
@@ -95,6 +100,11 @@ class Item:
         n = budget + 1
         return after, len(other) + budget, [other[len(other) * i // n : len(other) * (i + 1) // n] for i in range(n)]
 
+    def bounded(self, text: str, start: int, end: int) -> bool:
+        """Whether what lies there is not a part of words (scripts from U+2E80 on have no gaps between words)."""
+        inside = lambda k: 0 < k < len(text) and all(c.isalnum() and c < "\u2e80" for c in text[k - 1 : k + 1])
+        return not inside(start) and not inside(end)
+
     def verify(self, text: str, piece: int, at: int) -> tuple[int, int] | None:
         """(distance, end in text) if the item lies around its ``piece`` found at ``at``."""
         end = at + self.cuts[piece + 1] - self.cuts[piece]
@@ -117,9 +127,11 @@ class Item:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], edit_rate: float):
+    def __init__(self, items: list[tuple[int, str]], edit_rate: float, whole_words: int = 25):
         import ahocorasick
 
+        self.whole_words = whole_words
+
         self.items = [Item(i, t, edit_rate) for i, t in items]
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
@@ -144,12 +156,14 @@ class Matcher:
                 if n in best and (best[n][0] == 0 or abs(best[n][1] - (at + len(item.text) - item.cuts[p])) <= 2 * item.budget):
                     continue  # found already, or part of what was found
                 found = item.verify(text, p, at)
+                if found and len(item.text) < self.whole_words and not item.bounded(text, max(0, found[1] - len(item.text)), found[1]):
+                    continue
                 if found and (n not in best or found < best[n]):
                     best[n] = found
         return [(self.items[n].id, d, max(0, end - len(self.items[n].text)), end) for n, (d, end) in sorted(best.items())]
 
 
-def item_blocks(items: DataFrame, *, id_col: str = "item_id", text: str = "text", min_chars: int = 25, block_chars: int = 1_000_000) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, *, id_col: str = "item_id", text: str = "text", min_chars: int = 1, block_chars: int = 1_000_000) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of at most ``block_chars`` characters (or one item), read one partition at a time."""
     block, size = [], 0
     for r in items.select(id_col, text).orderBy(id_col, text).toLocalIterator():

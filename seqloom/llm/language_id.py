@@ -12,7 +12,8 @@ so what is shuffled and broadcast is bounded by languages x slots.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0
 (and so is everything if nothing can be learned); ties go to the first code;
-texts of a null language are not learned from; repeated rows are alike.
+texts of a null language are not learned from; repeated rows are alike; a very
+long text is read whole, in memory of a few dozen bytes a character.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ _LETTERS: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
-    """By code point: whether it is a letter."""
+    """By code point, of all planes: whether it is a letter."""
     global _LETTERS
     if _LETTERS is None:
-        _LETTERS = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x32000)])
+        _LETTERS = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
     return _LETTERS
 
 
@@ -43,7 +44,7 @@ def slots_of(text: str | None, slots: int) -> np.ndarray:
     """Slots of the letter 1-, 2- and 3-grams of a text, with one blank for all between words; empty if it has no letter."""
     letters = _letters()
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(letters[np.minimum(codes, len(letters) - 1)], codes, np.uint32(32))
+    codes = np.where(letters[codes], codes, np.uint32(32))
     if not (codes != 32).any():
         return np.empty(0, np.int64)
     codes = np.concatenate([[np.uint32(32)], codes, [np.uint32(32)]]).astype(np.uint64)

@@ -5,10 +5,15 @@ handful of small aggregations: each growing step counts labelled rows by
 (feature, bin, label), so one job weighs every threshold of every feature.
 The learned list becomes one ordered ``CASE WHEN``.
 
+The list is learned from labelled rows that pass the base rule, as it has no
+say about the others.
+
 Defined results: a null text counts as empty (all statistics 0, rejected by
 the base rule); labels that contradict each other for one id are set aside;
-with no low label, or with labels of one kind only, the list is empty and the
-base rule alone decides; repeated rows are judged each by itself.
+with no low label, with labels of one kind only, or with too few low ones to
+grow and to test a rule on (``min_cover``), the list is empty and the base rule
+alone decides; repeated rows are judged each by itself; very long texts are
+read whole; further columns are kept or not looked at.
 """
 
 from __future__ import annotations
@@ -224,13 +229,20 @@ def judge(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
     """One row a document: ``id_col``, STATS, base_failed, kept and reason; and the list that was learned."""
     work = Workspace(docs.sparkSession, "quality")
     stats = work.save(with_stats(docs.select(F.col(id_col), F.col(text)), text).select(id_col, *STATS), "stats")
-    learned = learn(labelled_stats(stats, labels, id_col), workspace=work)
+    learned = learn(labelled_stats(stats, labels, id_col).filter(~base_failed()), workspace=work)
     return stats.withColumn("base_failed", base_failed()).withColumn("reason", learned.reason()).withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull()), learned
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    _, learned = judge(docs, labels, text=text, id_col=id_col)
+    """The rows of ``docs`` that pass, with their own columns.
+
+    Statistics of labelled rows alone are computed to learn from, then those of all rows, once, to judge.
+    """
+    work = Workspace(docs.sparkSession, "quality")
+    ids = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
+    some = docs.select(F.col(id_col), F.col(text)).join(ids, F.col(id_col) == F.col("__id"), "left_semi")
+    stats = work.save(with_stats(some, text).select(id_col, *STATS), "stats")
+    learned = learn(labelled_stats(stats, labels, id_col).filter(~base_failed()), workspace=work)
     own = docs.columns
     judged = with_stats(docs, text, prefix="__q_")
     return judged.filter(~base_failed("__q_") & learned.reason("__q_").isNull()).select(*own)

@@ -1,0 +1,36 @@
+import random
+
+from test_decontamination import edited, fewest_edits
+
+from seqloom.llm.decontamination import Matcher, contamination, drop_contaminated, normalised
+
+
+def test_short_items_are_found_between_word_boundaries(spark):
+    items = spark.createDataFrame([(1, "Who is it?"), (2, "cat"), (3, "東京はどこの国の首都ですか"), (4, ""), (5, None)], "item_id long, text string")
+    rows = [(1, "And  who is IT? I asked."), (2, "concatenated"), (3, "a cat, a dog"), (4, "問題：東京はどこの国の首都ですか。"), (5, "nothing"), (6, "who is itt"), (7, "Who was it?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in contamination(docs, items).collect())
+    assert got == [(1, 1, 0), (3, 2, 0), (4, 3, 0)]
+    assert sorted(r["doc_id"] for r in drop_contaminated(docs, items).collect()) == [2, 5, 6, 7]
+    assert contamination(docs, items, min_chars=25).count() == 0
+
+
+def test_distance_is_the_least_in_the_text():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(rng.randrange(8, 16))) for i in range(6)]
+    matcher = Matcher(items, 0.1)
+    for _ in range(80):
+        i, item = rng.choice(items)
+        copies = " ".join(edited(rng, item, rng.randrange(0, 6)) + " " + text(rng.randrange(0, 4)) for _ in range(3))
+        doc = normalised(copies)
+        for j, distance, _, _ in matcher.matches(doc):
+            assert distance == fewest_edits(dict(items)[j], doc)
+
+
+def test_very_long_text():
+    item = "which of the two boats was the first to reach the harbour that day"
+    doc = "filler words of no use " * 200_000 + item.replace("boats", "boots") + " more" * 100_000
+    [(i, distance, _, _)] = Matcher([(3, item)], 0.1).matches(doc)
+    assert (i, distance) == (3, 1)

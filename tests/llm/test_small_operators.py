@@ -225,3 +225,39 @@ def test_oracles_match(spark):
         assert sorted(names) == columns
         order = [names.index(c) for c in columns]
         assert sorted(repr(tuple(r[k] for k in order)) for r in expected.fetchall()) == sorted(repr(tuple(r[c] for c in columns)) for r in got.collect())
+
+
+# quality rules where little is labelled, and what they are learned from
+
+
+def test_rules_say_nothing_of_what_the_base_rule_rejects(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
+    good = [(i, " ".join(word() for _ in range(rng.randrange(80, 200)))) for i in range(100)]
+    repeated = [(i, "one two three " * 60) for i in range(100, 140)]
+    marked = [(i, " ".join(word() + "###" for _ in range(100))) for i in range(140, 180)]
+    docs = spark.createDataFrame(good + repeated + marked, DOCS)
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(180)], "doc_id long, quality int")
+    judged, learned = quality_rules.judge(docs, labels)
+    assert {c.feature for rule in learned.rules for c in rule} and not any(c.feature == "repeat_share" for rule in learned.rules for c in rule)
+    assert {r["doc_id"] for r in judged.filter("kept").collect()} == set(range(100))
+    _, few = quality_rules.judge(docs, labels.filter("doc_id < 100 or doc_id in (140, 141, 142)"))
+    assert few.rules == ()
+
+
+def test_learned_list_is_the_best_of_a_search_over_all_thresholds(spark):
+    """One feature parts the classes: what the list keeps is what any best threshold keeps, found here by trying all."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(5))
+    rows = [(i, " ".join(word() + "!" * (rng.random() < (0.2 if i < 120 else 0.5)) for _ in range(100))) for i in range(200)]
+    judged, learned = quality_rules.judge(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i < 120)) for i in range(200)], "doc_id long, quality int"))
+    kept = {r["doc_id"] for r in judged.filter("kept").collect()}
+    share = {i: t.count("!") for i, t in rows}
+    best = max(sum((share[i] > cut) == (i >= 120) for i in share) for cut in share.values())
+    assert sum((i not in kept) == (i >= 120) for i in share) >= best - 2
+
+
+def test_letters_of_all_planes():
+    assert len(language_id.slots_of("\U000e0041 1", 1 << 10)) == 0 and len(language_id.slots_of("\U00020000", 1 << 10)) > 0
+    long = language_id.slots_of("wort " * 300_000, 1 << 10)
+    assert len(long) > 300_000 * 4
