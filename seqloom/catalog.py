@@ -125,9 +125,12 @@ f AS (SELECT l_linestatus, mean / var AS p, mean * (mean / var) / (1 - mean / va
 SELECT l_linestatus, round(p, 6) AS p, round(r, 6) AS r, round(r * (1 - p) / p, 6) AS nb_mean, round(r * (1 - p) / (p * p), 6) AS nb_variance FROM f""")
 def nb_moment_fit(spark, sf_dir):
     hist = table(spark, sf_dir, "lineitem").groupBy("l_linestatus", F.col("l_quantity").cast("int").alias("k")).agg(F.count("*").alias("f"))
-    m = sq.histogram_moments(hist, ["l_linestatus"], "k", "f").withColumn("p", F.col("mean") / F.col("variance"))
-    m = m.withColumn("r", F.col("mean") * F.col("p") / (1 - F.col("p")))
-    return m.select("l_linestatus", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"), F.round(dna.nb_mean(F.col("p"), F.col("r")), 6).alias("nb_mean"), F.round(dna.nb_variance(F.col("p"), F.col("r")), 6).alias("nb_variance"))
+    from .functions.stats import moment_fit
+
+    m = sq.histogram_moments(hist, ["l_linestatus"], "k", "f").collect()  # a row a status
+    fits = [(r["l_linestatus"], *map(float, moment_fit(r["mean"], r["variance"]))) for r in m]
+    f = spark.createDataFrame(fits, "l_linestatus string, p double, r double")
+    return f.select("l_linestatus", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"), F.round(dna.nb_mean(F.col("p"), F.col("r")), 6).alias("nb_mean"), F.round(dna.nb_variance(F.col("p"), F.col("r")), 6).alias("nb_variance"))
 
 
 def kmer_sql(name: str, k: int) -> str:
@@ -172,9 +175,11 @@ def band_envelopes(spark, sf_dir):
     return _bands(spark, sf_dir).select("x_idx", "y_idx", F.array_join(F.col("diagonals").cast("array<string>"), ",").alias("diagonals"))
 
 
-@query(f"""WITH {BANDS_SQL}, r AS (SELECT x_idx, y_idx, x_len, ds, unnest(range(1, y_len + 1)) AS j FROM env),
-c AS (SELECT x_idx, y_idx, j, len(list_filter(ds, lambda d: d + j >= 1 AND d + j <= x_len))::BIGINT AS cells FROM r)
-SELECT x_idx, y_idx, j::INT AS j, cells, coalesce(sum(cells) OVER (PARTITION BY x_idx, y_idx ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM c""")
+@query(f"""WITH {BANDS_SQL}, p AS (SELECT x_idx, y_idx, x_len, y_len, list_sort(list_distinct(flatten(list_transform(ds, lambda d: [d - 1, d, d + 1])))) AS stored FROM env),
+r AS (SELECT x_idx, y_idx, x_len, stored, unnest(range(0, y_len + 1)) AS j FROM p),
+c AS (SELECT x_idx, y_idx, j, stored, list_filter(stored, lambda d: d + j >= 0 AND d + j <= x_len) AS inside FROM r)
+SELECT x_idx, y_idx, j::INT AS j, len(inside)::BIGINT AS cells, coalesce(sum(len(inside)) OVER (PARTITION BY x_idx, y_idx ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+CASE WHEN len(inside) > 0 THEN list_position(stored, inside[1]) - 1 ELSE -1 END::INT AS first FROM c""")
 def storage_layout(spark, sf_dir):
     return sq.storage_layout(_bands(spark, sf_dir))
 
@@ -301,6 +306,14 @@ def align_best(spark, sf_dir):
     return align(reads(spark, sf_dir), _both(spark, sf_dir), use_quals=False).select("y_idx", "x_idx", F.round("score", 4).alias("score"), "ref_start", "ref_end", "ref_rev", dna.cigar(F.col("ref_row"), F.col("read_row")).alias("cigar"))
 
 
+@query()
+def align_seeded(spark, sf_dir):
+    """With qualities, whatever the score, for pairs with 8 common 12-mers on one diagonal: found by a join, not in all pairs."""
+    from .operators.align import align
+
+    return align(reads(spark, sf_dir), _both(spark, sf_dir), seed=(12, 8), threshold=None).select("y_idx", "x_idx", F.round("score", 4).alias("score"), "ref_start", "ref_end", "ref_rev", dna.cigar(F.col("ref_row"), F.col("read_row")).alias("cigar"))
+
+
 @query()
 def align_sam(spark, sf_dir):
     from .operators.align import align, sam_lines
@@ -308,14 +321,28 @@ def align_sam(spark, sf_dir):
     return sam_lines(align(reads(spark, sf_dir), _both(spark, sf_dir), use_quals=False)).select("y_idx", "value")
 
 
+def overlapping_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Two reads of each benchmark item, its first and its last seven tenths, the last one turned where the item's number is odd."""
+    items = reads(spark, sf_dir)
+    n = F.length("seq")
+    cut = lambda c: F.array(F.substring(c, F.lit(1), F.ceil(n * 0.7).cast("int")), F.substring(c, (F.floor(n * 0.3) + 1).cast("int"), n))
+    both = items.select("idx", "name", F.posexplode(F.arrays_zip(cut("seq").alias("seq"), cut("qual").alias("qual"))).alias("half", "r"))
+    turned = (F.col("half") == 1) & (F.col("idx") % 2 == 1)
+    rows = both.select((2 * F.col("idx") + F.col("half")).alias("idx"), F.concat("name", F.lit("/"), "half").alias("name"), F.when(turned, dna.revcomp(F.col("r.seq"))).otherwise(F.col("r.seq")).alias("seq"), F.when(turned, F.reverse("r.qual")).otherwise(F.col("r.qual")).alias("qual"))
+    return sq.drop_empty(rows), 2 * (table(spark, sf_dir, "benchmark").agg(F.max("item_id") + 1).first()[0] or 0)
+
+
 @query()
 def overlap_reads(spark, sf_dir):
-    """Overlaps of the benchmark items and their reverse complements, searched in every pair."""
-    from .operators.align import overlap
+    """Overlaps of two reads of each benchmark item, and of their reverse complements: pairs with a seed diagonal, from a join.
 
-    items = reads(spark, sf_dir)
-    n = table(spark, sf_dir, "benchmark").agg(F.max("item_id") + 1).first()[0] or 0
-    found = overlap(sq.with_revcomps(items, n), n)
+    Qualities shape the null model alone: made-up ones say nothing of the bases.
+    """
+    from .operators.align import null_model, overlap
+
+    some, n = overlapping_reads(spark, sf_dir)
+    bare = sq.with_revcomps(some.withColumn("qual", F.lit(None).cast("string")), n)
+    found = overlap(bare, n, null=null_model(some), require_seed=True)
     return found.select("x_idx", "y_idx", "y_complemented", F.round("score", 4).alias("score"), "x_start", "x_end", "y_start", "y_end")
 
 

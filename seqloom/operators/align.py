@@ -105,11 +105,13 @@ def rows_of_path(path: list[tuple[int, int, str]], x: str, y: str, qual: str | N
     return a, b, None if qual is None else "".join("~" if s == "D" else qual[j - 1] for _, j, s in path)
 
 
-def align(reads: DataFrame, refs: DataFrame, *, params: Params | None = None, null: NullModel | None = None, config: EnvelopeConfig | None = None, local: bool = True, best_only: bool = True, threshold: float | None = 0.0, use_quals: bool = True) -> DataFrame:
+def align(reads: DataFrame, refs: DataFrame, *, params: Params | None = None, null: NullModel | None = None, config: EnvelopeConfig | None = None, local: bool = True, best_only: bool = True, threshold: float | None = 0.0, use_quals: bool = True, seed: tuple[int, int] | None = None) -> DataFrame:
     """Every read against every reference: the best alignment of each read, or all. Columns: ALIGNMENT.
 
     ``refs`` is ``with_revcomps`` of the references, or just those for one strand. A task takes blocks of references and
-    blocks of reads, of bounded size; of each such pair only results are shuffled.
+    blocks of reads, of bounded size; of each such pair only results are shuffled. With ``seed`` (k, n) only those pairs
+    are aligned, in the same way, that have n common k-mers on one diagonal; they come from a join, and a read that
+    has no such pair is lost.
     """
     params, config = params or Params.default(), config or EnvelopeConfig()
     null = null or null_model(reads)
@@ -149,7 +151,15 @@ def align(reads: DataFrame, refs: DataFrame, *, params: Params | None = None, nu
             types = [kinds[f.split()[1]] for f in ALIGNMENT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(types)], names)
 
-    out = block_pairs(rows, reference_rows(refs), reference_parts(refs)).mapInArrow(run, ALIGNMENT)
+    found, parts = reference_rows(refs), reference_parts(refs)
+    if seed:
+        pairs = sq.seed_diagonals(sq.diagonal_counts(refs, reads, seed[0]), seed[1]).select("x_idx", "y_idx").distinct()
+        both = pairs.join(found.select(F.col("idx").alias("x_idx"), F.struct("idx", "origin", "seq", "rev").alias("x")), "x_idx")
+        both = both.join(rows.select(F.col("idx").alias("y_idx"), F.struct("idx", "name", "seq", "qual").alias("y")), "y_idx")
+        blocks = both.repartition(parts, "x_idx", "y_idx").select(F.array("x").alias("refs"), F.array("y").alias("reads"))
+    else:
+        blocks = block_pairs(rows, found, parts)
+    out = blocks.mapInArrow(run, ALIGNMENT)
     return sq.best_per_group(out, "y_idx", "score", "x_idx") if best_only else out
 
 

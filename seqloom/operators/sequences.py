@@ -40,9 +40,13 @@ def base_composition(seqs: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def quality_histogram(seqs: DataFrame) -> DataFrame:
-    """base, q, n over all positions."""
-    pairs = F.explode(F.arrays_zip(F.filter(F.split("seq", ""), lambda c: c != "").alias("b"), dna.qual_scores(F.col("qual")).alias("q")))
-    return seqs.select(pairs.alias("x")).groupBy(F.col("x.b").alias("base"), F.col("x.q").alias("q")).agg(F.count("*").alias("n"))
+    """base, q, n over all positions. Each row is counted before its counts are shuffled, at most 94 for each base."""
+    pairs = F.arrays_zip(F.filter(F.split("seq", ""), lambda c: c != "").alias("b"), dna.qual_scores(F.col("qual")).alias("q"))
+    sorted_pairs = F.array_sort(F.transform(pairs, lambda x: F.struct(x["b"].alias("b"), x["q"].alias("q"))))
+    last = F.filter(F.transform("p", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("end"), F.get("p", i + 1).alias("next"))), lambda y: ~y["x"].eqNullSafe(y["next"]))
+    runs = seqs.select(sorted_pairs.alias("p")).select(last.alias("r"))
+    counted = F.transform("r", lambda y, i: F.struct(y["x"]["b"].alias("base"), y["x"]["q"].alias("q"), (y["end"] - F.coalesce(F.get("r", i - 1)["end"], F.lit(0))).alias("n")))
+    return runs.select(F.explode(counted).alias("x")).groupBy(F.col("x.base").alias("base"), F.col("x.q").alias("q")).agg(F.sum("x.n").alias("n"))
 
 
 def kmer_index(seqs: DataFrame, k: int, key: str = "idx") -> DataFrame:
@@ -76,11 +80,17 @@ def bands(seeds: DataFrame, lengths_x: DataFrame, lengths_y: DataFrame, band: in
 
 
 def storage_layout(pairs: DataFrame) -> DataFrame:
-    """Rows of the sparse matrix: x_idx, y_idx, j, cells, offset (cells of earlier rows). ``pairs``: x_len, y_len, diagonals."""
-    row = pairs.select("x_idx", "y_idx", "x_len", "diagonals", F.explode(F.sequence(F.lit(1), F.col("y_len"))).alias("j"))
-    cells = F.size(F.filter("diagonals", lambda d: (d + F.col("j") >= 1) & (d + F.col("j") <= F.col("x_len"))))
+    """Rows 0 to y_len of the sparse matrix: x_idx, y_idx, j, cells, offset (cells of earlier rows), first (of the stored diagonals, -1 without any).
+
+    ``pairs``: x_len, y_len, diagonals. Stored are these and both neighbours of each, so that a sweep finds every cell's predecessors.
+    """
+    stored = F.array_sort(F.array_distinct(F.flatten(F.transform("diagonals", lambda d: F.array(d - 1, d, d + 1)))))
+    row = pairs.withColumn("stored", stored).select("x_idx", "y_idx", "x_len", "stored", F.explode(F.sequence(F.lit(0), F.col("y_len"))).alias("j"))
+    inside = F.filter("stored", lambda d: (d + F.col("j") >= 0) & (d + F.col("j") <= F.col("x_len")))
     upto = Window.partitionBy("x_idx", "y_idx").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    return row.withColumn("cells", cells.cast("long")).withColumn("offset", F.coalesce(F.sum("cells").over(upto), F.lit(0))).select("x_idx", "y_idx", "j", "cells", "offset")
+    row = row.withColumn("inside", inside).withColumn("cells", F.size("inside").cast("long"))
+    first = F.when(F.col("cells") > 0, F.array_position("stored", F.get("inside", 0)) - 1).otherwise(-1).cast("int")
+    return row.withColumn("offset", F.coalesce(F.sum("cells").over(upto), F.lit(0))).select("x_idx", "y_idx", "j", "cells", "offset", first.alias("first"))
 
 
 def triangular_pairs(seqs: DataFrame, originals: int) -> DataFrame:
