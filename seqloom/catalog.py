@@ -294,6 +294,52 @@ def null_log_likelihood(spark, sf_dir):
     return reads(spark, sf_dir).select("idx", F.round(total, 5).alias("null_ll"))
 
 
+def _path_sql(best: bool) -> str:
+    """The recursion over rows of the matrix, in probabilities: of the best path (products and maxima) or of all (sums)."""
+    from .plans.model import Params
+
+    p = Params.default()
+    bi, bd, ei, ed = float(p.begin_insert[0]), float(p.begin_delete[0]), float(p.extend_insert), float(p.extend_delete)
+    cells = lambda t: "[" + ", ".join(map(str, t)) + "]"
+    match = "[" + ", ".join(cells(float(p.match[a, b, 0]) for b in range(4)) for a in range(4)) + "]"
+    insert = cells(float(p.insert[b, 0]) for b in range(4))
+    any_of = "list_max" if best else "list_sum"
+    base = lambda s, k: f"instr('ACGT', substr({s}, ({k})::INT, 1))"
+    return f"""r AS (
+  SELECT idx, x, y, 0 AS j, list_transform(range(0, 13), lambda k: 0.0::DOUBLE) AS m, list_transform(range(0, 13), lambda k: 0.0::DOUBLE) AS i, list_transform(range(0, 13), lambda k: 0.0::DOUBLE) AS d FROM pairs
+  UNION ALL
+  SELECT idx, x, y, j, m, i, list_transform(range(0, 13), lambda k: CASE WHEN k < 2 THEN 0.0::DOUBLE ELSE {any_of}(list_transform(range(1, k), lambda h: m[h + 1] * {bd} * {1 - bi} * pow({ed}::DOUBLE, k - 1 - h))) END) FROM (
+    SELECT idx, x, y, j + 1 AS j,
+      list_transform(range(0, 13), lambda k: CASE WHEN k < 1 THEN 0.0::DOUBLE ELSE {match}[{base('x', 'k')}][{base('y', 'j + 1')}] * {any_of}([m[k] * {(1 - bi) * (1 - bd)}, i[k] * {1 - ei}, d[k] * {1 - ed}, CASE WHEN j = 0 THEN 1.0 ELSE 0.0 END]) END) AS m,
+      list_transform(range(0, 13), lambda k: CASE WHEN k < 1 THEN 0.0::DOUBLE ELSE {insert}[{base('y', 'j + 1')}] * {any_of}([i[k + 1] * {ei}, m[k + 1] * {bi}]) END) AS i
+    FROM r WHERE j < length(y))
+), ends AS (SELECT idx, ln({any_of}(list_transform(m, lambda v: v * {bi}))) AS score FROM r WHERE j = length(y))"""
+
+
+PAIRS_SQL = f"""{SHORT_SQL}, pairs AS (SELECT idx, substr(seq, 1, 12) AS x, translate(substr(upper(md5('y' || idx)), 1, 4), '0123456789ABCDEF', 'ACGTACGTACGTACGT') || substr(seq, 4, 6) AS y FROM short)"""
+
+
+def _short_pairs(spark, sf_dir):
+    """12 bases, and a read of 10: four made-up bases and six of the same sequence."""
+    s, key = short_seqs(spark, sf_dir), F.concat(F.lit("y"), F.col("idx").cast("string"))
+    made = F.translate(F.substring(F.upper(F.md5(key)), 1, 4), "0123456789ABCDEF", "ACGTACGTACGTACGT")
+    return s.select(F.col("idx").alias("x_idx"), F.substring("seq", 1, 12).alias("x_seq"), F.col("idx").alias("y_idx"), F.concat(made, F.substring("seq", 4, 6)).alias("y_seq"))
+
+
+@query(f"WITH RECURSIVE {PAIRS_SQL}, {_path_sql(True)} SELECT idx, round(score, 6) AS viterbi FROM ends")
+def viterbi_scores(spark, sf_dir):
+    from .operators.align import pair_scores
+
+    return pair_scores(_short_pairs(spark, sf_dir)).select(F.col("x_idx").alias("idx"), F.round("viterbi", 6).alias("viterbi"))
+
+
+@query(f"WITH RECURSIVE {PAIRS_SQL}, {_path_sql(False)} SELECT idx, round(score, 6) AS forward FROM ends")
+def forward_likelihoods(spark, sf_dir):
+    from .operators.align import pair_scores
+
+    return pair_scores(_short_pairs(spark, sf_dir)).select(F.col("x_idx").alias("idx"), F.round("forward", 6).alias("forward"))
+
+
 def _both(spark, sf_dir):
     return sq.with_revcomps(references(spark, sf_dir), 1_000_000_000)
 

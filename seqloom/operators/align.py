@@ -163,6 +163,24 @@ def align(reads: DataFrame, refs: DataFrame, *, params: Params | None = None, nu
     return sq.best_per_group(out, "y_idx", "score", "x_idx") if best_only else out
 
 
+def pair_scores(pairs: DataFrame, *, params: Params | None = None, config: EnvelopeConfig | None = None, local: bool = True) -> DataFrame:
+    """For each row (x_idx, x_seq, y_idx, y_seq), without qualities: score of the best path and log likelihood over all paths."""
+    scores, config = Scores.of(params or Params.default()), config or EnvelopeConfig(full=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, all_paths = [], []
+            for a, b in zip(batch["x_seq"].to_pylist(), batch["y_seq"].to_pylist()):
+                x, y = tokens(a), tokens(b)
+                sweep = Sweep(y, None, [x], lanes_of([x], y, config), scores, local=local)
+                best.append(float(sweep.viterbi(trace=False)[0].max()))
+                all_paths.append(float(np.logaddexp.reduce(sweep.forward()[0])))
+            yield pa.RecordBatch.from_arrays([batch["x_idx"], batch["y_idx"], pa.array(best, pa.float64()), pa.array(all_paths, pa.float64())], ["x_idx", "y_idx", "viterbi", "forward"])
+
+    rows = pairs.select(F.col("x_idx").cast("long").alias("x_idx"), "x_seq", F.col("y_idx").cast("long").alias("y_idx"), "y_seq")
+    return rows.mapInArrow(run, "x_idx long, y_idx long, viterbi double, forward double")
+
+
 def overlap(seqs: DataFrame, originals: int, *, params: Params | None = None, null: NullModel | None = None, config: EnvelopeConfig | None = None, threshold: float | None = 0.0, compat: bool = True, require_seed: bool = False) -> DataFrame:
     """Overlaps of reads. ``seqs``: originals, then their reverse complements (``with_revcomps``).
 

@@ -22,11 +22,11 @@ def test_stored_diagonals_have_both_neighbours(spark):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", ["storage_layout", "quality_histogram", "nb_moment_fit"])
+@pytest.mark.parametrize("name", ["storage_layout", "quality_histogram", "nb_moment_fit", "viterbi_scores", "forward_likelihoods"])
 def test_queries_equal_their_sql(spark, name):
     got = catalog.queries()[name](spark, SF)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "lineitem"):
+    for t in ("documents", "benchmark", "lineitem", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     wanted = con.execute(catalog.oracle_sql()[name]).df()[got.columns]
     assert sorted(map(tuple, got.collect())) == sorted(wanted.itertuples(index=False, name=None))
