@@ -52,6 +52,11 @@ class Workspace:
             gc.collect()
             self.spark._jvm.System.gc()
 
+    def close(self) -> None:
+        """Remove all of its tables; results that still read them can't be computed afterwards."""
+        self._remove(self.path)
+        atexit.unregister(self._remove)
+
     def drop(self, name: str) -> None:
         self._remove(f"{self.path}/{name}")
 
