@@ -4,14 +4,14 @@ Each source gets a share of all words by weight, capped at ``max_epochs`` times
 its own words; the excess goes to the others by weight (water-filling, solved
 in closed form over sources sorted by cap/weight). A source first takes whole
 epochs; what remains is a prefix of its documents in ascending order of the
-exponential keys ``-ln(u) / quality``. The prefix sums are found in two steps,
-over key ranges and then inside each range, so a source that holds a third of
-all rows is dealt over many tasks.
+exponential keys ``-ln(u) / quality``. The prefix sums are found in three steps,
+over blocks of key ranges, over ranges and inside each range, so a source that
+holds a third of all rows is dealt over many tasks.
 
 Keys come from md5 of the id and the seed: reruns agree. Defined results: a
 null text or a text without words has size 0 and is taken with its range;
 repeated rows are documents of their own (ties in the order are broken by key,
-id and size; equal rows are interchangeable); a null source is a source, last
+id and size; equal rows are interchangeable and counted together); a null source is a source, last
 in order; a null id hashes as the empty string; a null or non-positive quality
 counts as 1; an empty table gives an empty mix.
 """
@@ -49,28 +49,43 @@ def targets(sources: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), max_e
     return levels.withColumn("target", F.least(F.col("cap"), F.coalesce(final * F.col("w"), F.col("cap")))).select("source", "source_size", F.col("w").alias("weight"), "target")
 
 
-def mix(docs: DataFrame, *, size: Column, quality: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 8, rows_per_range: int = 2_000) -> DataFrame:
-    """One row a document: id, source, size, source_size, target, epochs, copies (how often the mix holds it), taken."""
+def mix_groups(docs: DataFrame, *, size: Column, quality: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 8, rows_per_range: int = 2_000) -> DataFrame:
+    """A row for each id, source and size: id, source, size, n (documents alike in these), source_size, target, epochs, extra (how many of the n are taken once more)."""
     work = Workspace(docs.sparkSession, "mixing")
     key = -F.log(uniform(F.col(id_col), seed)) / F.when(quality > 0, quality).otherwise(1.0)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), key.alias("key"))
-    rows = work.save(rows, "rows")
-    by_source = work.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, max_epochs=max_epochs), "sources")
+    # documents alike are interchangeable: counted, so that an id that very many have is a few rows
+    rows = work.save(rows.groupBy("source", "id", "size", "key").agg(F.count("*").alias("n")), "rows")
+    words = F.col("size") * F.col("n")
+    by_source = work.save(targets(rows.groupBy("source").agg(F.sum(words).alias("source_size")), weights=weights, max_epochs=max_epochs), "sources")
     ranges = max(1, -(-rows.count() // rows_per_range))
     # 1 - exp(-key) grows with the key and is near uniform: ranges of it hold like numbers of rows
     ranged = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("long"))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
-    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("base", F.coalesce(F.sum("in_range").over(upto), F.lit(0).cast("long")))
-    bases = bases.join(by_source, bases["source"].eqNullSafe(by_source["source"])).select(bases["source"].alias("s"), F.col("range").alias("r"), "base", "source_size", "target")
+    sums = ranged.groupBy("source", "range").agg(F.sum(words).alias("in_range")).withColumn("block", F.floor(F.col("range") / 1024))
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda what, *by: F.coalesce(F.sum(what).over(upto(*by)), F.lit(0).cast("long"))
+    blocks = sums.groupBy("source", "block").agg(F.sum("in_range").alias("in_block"))
+    blocks = blocks.select(F.col("source").alias("bs"), F.col("block").alias("bb"), before("in_block", "source", "block").alias("in_blocks"))
+    bases = sums.withColumn("in_ranges", before("in_range", "source", "block", "range")).join(blocks, F.col("source").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb")))
+    bases = bases.join(by_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    bases = bases.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.col("in_blocks") + F.col("in_ranges")).alias("base"), "source_size", "target")
     inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    run = ranged.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
+    run = ranged.withColumn("run", F.coalesce(F.sum(words).over(inside), F.lit(0).cast("long")))
     full = run.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    over = F.col("target") - F.col("epochs") * F.col("source_size")
+    over, start = F.col("target") - F.col("epochs") * F.col("source_size"), F.col("base") + F.col("run")
     # the middle of the document lies before the budget's end: the prefix that comes nearest
-    chosen = (F.col("base") + F.col("run") + F.col("size") / 2.0 <= over) & (over > 0) & (F.col("epochs") < max_epochs)
-    out = full.withColumn("epochs", epochs).withColumn("copies", F.col("epochs") + F.when(chosen, 1).otherwise(0))
+    chosen = (start + F.col("size") / 2.0 <= over) & (over > 0) & (F.col("epochs") < max_epochs)
+    fit = F.when(F.col("size") > 0, F.floor((over - start - F.col("size") / 2.0) / F.col("size")) + 1).otherwise(F.col("n"))
+    out = full.withColumn("epochs", epochs).withColumn("extra", F.when(chosen, F.greatest(F.lit(1), F.least(F.col("n"), fit))).otherwise(0).cast("long"))
+    return out.select("id", "source", "size", "n", "source_size", "target", "epochs", "extra")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
+    """One row a document: id, source, size, source_size, target, epochs, copies (how often the mix holds it), taken."""
+    groups = mix_groups(docs, id_col=id_col, source_col=source_col, **how)
+    each = groups.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    out = each.withColumn("copies", F.col("epochs") + F.when(F.col("nth") <= F.col("extra"), 1).otherwise(0))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "epochs", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -91,12 +106,13 @@ def repeat_taken(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows that share an id are told apart by source and size; those equal in these are interchangeable.
     """
-    mixed = mix(slim(docs, labels), size=F.col("__size"), quality=F.coalesce(F.col("__quality"), F.lit(1.0)))
-    copies = mixed.select(F.col("doc_id").alias("__id"), "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "copies")).alias("__k"))
-    by_id = Window.partitionBy("doc_id").orderBy("source", "__size")
-    numbered = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__n", F.row_number().over(by_id))
-    joined = numbered.join(copies.filter("copies > 0"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__k")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    groups = mix_groups(slim(docs, labels), size=F.col("__size"), quality=F.coalesce(F.col("__quality"), F.lit(1.0)))
+    groups = groups.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), "epochs", "extra").filter("epochs + extra > 0")
+    alike = Window.partitionBy("doc_id", "source", "__size").orderBy("doc_id")
+    numbered = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__n", F.row_number().over(alike))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words"))
+    joined = numbered.join(groups, same).withColumn("__copies", F.col("epochs") + F.when(F.col("__n") <= F.col("extra"), 1).otherwise(0)).filter("__copies > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
