@@ -49,7 +49,7 @@ def targets(sources: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), max_e
     return levels.withColumn("target", F.least(F.col("cap"), F.coalesce(final * F.col("w"), F.col("cap")))).select("source", "source_size", F.col("w").alias("weight"), "target")
 
 
-def mix_groups(docs: DataFrame, *, size: Column, quality: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 8, rows_per_range: int = 2_000) -> DataFrame:
+def mix_groups(docs: DataFrame, *, size: Column, quality: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 8, rows_per_range: int = 500) -> DataFrame:
     """A row for each id, source and size: id, source, size, n (documents alike in these), source_size, target, epochs, extra (how many of the n are taken once more)."""
     work = Workspace(docs.sparkSession, "mixing")
     key = -F.log(uniform(F.col(id_col), seed)) / F.when(quality > 0, quality).otherwise(1.0)
