@@ -236,16 +236,14 @@ def judge(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
 def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns.
 
-    Statistics of labelled rows alone are computed to learn from, then those of all rows, once, to judge.
+    Rows are saved beside their statistics, which are computed once: to learn, only those columns are read again, and
+    no text is shuffled.
     """
-    work = Workspace(docs.sparkSession, "quality")
-    ids = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
-    some = docs.select(F.col(id_col), F.col(text)).join(ids, F.col(id_col) == F.col("__id"), "left_semi")
-    stats = work.save(with_stats(some, text).select(id_col, *STATS), "stats")
+    work, own, prefix = Workspace(docs.sparkSession, "quality"), docs.columns, "__q_"
+    judged = work.save(with_stats(docs, text, prefix=prefix), "judged")
+    stats = judged.select(F.col(id_col), *(F.col(prefix + k).alias(k) for k in STATS))
     learned = learn(labelled_stats(stats, labels, id_col).filter(~base_failed()), workspace=work)
-    own = docs.columns
-    judged = with_stats(docs, text, prefix="__q_")
-    return judged.filter(~base_failed("__q_") & learned.reason("__q_").isNull()).select(*own)
+    return judged.filter(~base_failed(prefix) & learned.reason(prefix).isNull()).select(*own)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
