@@ -340,6 +340,15 @@ def forward_likelihoods(spark, sf_dir):
     return pair_scores(_short_pairs(spark, sf_dir)).select(F.col("x_idx").alias("idx"), F.round("forward", 6).alias("forward"))
 
 
+@query(f"WITH {SHORT_SQL} SELECT idx, j::INT AS j, 1.0::DOUBLE AS mass FROM short, range(1, 11) r(j)")
+def posterior_mass(spark, sf_dir):
+    """Every base of a read is matched or inserted somewhere: over the reference the probabilities add up to 1."""
+    from .operators.align import pair_cells
+
+    cells = pair_cells(_short_pairs(spark, sf_dir))
+    return cells.groupBy(F.col("x_idx").alias("idx"), "j").agg(F.round(F.sum(F.col("post_match") + F.col("post_insert")), 6).alias("mass"))
+
+
 def _both(spark, sf_dir):
     return sq.with_revcomps(references(spark, sf_dir), 1_000_000_000)
 

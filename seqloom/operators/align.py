@@ -181,6 +181,41 @@ def pair_scores(pairs: DataFrame, *, params: Params | None = None, config: Envel
     return rows.mapInArrow(run, "x_idx long, y_idx long, viterbi double, forward double")
 
 
+def pair_cells(pairs: DataFrame, *, params: Params | None = None, config: EnvelopeConfig | None = None, local: bool = True) -> DataFrame:
+    """The matrix of each row (x_idx, x_seq, y_idx, y_seq), without qualities: a row a cell inside the envelope.
+
+    x_idx, y_idx, i, j, log sums over all paths up to the cell (mat, ins, del), and the probability of each state there given
+    the pair (post_match, post_insert, post_delete). Lanes of an envelope are summed apart and weighted by their share.
+    """
+    scores, config = Scores.of(params or Params.default()), config or EnvelopeConfig(full=True)
+    names = ["x_idx", "y_idx", "i", "j", "mat", "ins", "del", "post_match", "post_insert", "post_delete"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for xi, a, yi, b in zip(*(batch[c].to_pylist() for c in ("x_idx", "x_seq", "y_idx", "y_seq"))):
+                x, y = tokens(a), tokens(b)
+                sweep = Sweep(y, None, [x], lanes_of([x], y, config), scores, local=local)
+                lanes, kept = sweep.forward(keep=True)
+                whole = np.logaddexp.reduce(lanes)
+                if not np.isfinite(whole):
+                    continue
+                cells: list = []
+                sweep.backward_counts(kept, lanes, cells)
+                lane, i, j, mat, ins, dele, *posts = (np.concatenate(c) for c in zip(*cells))
+                weight = np.exp(lanes - whole)[lane]
+                columns = (np.full(len(i), xi), np.full(len(i), yi), i.astype(np.int32), j.astype(np.int32), mat, ins, dele, *(np.nan_to_num(q) * weight for q in posts))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    rows = pairs.select(F.col("x_idx").cast("long").alias("x_idx"), "x_seq", F.col("y_idx").cast("long").alias("y_idx"), "y_seq")
+    return rows.mapInArrow(run, "x_idx long, y_idx long, i int, j int, mat double, ins double, del double, post_match double, post_insert double, post_delete double")
+
+
+def cell_lines(cells: DataFrame) -> DataFrame:
+    """A text line for each cell: place and the three log sums."""
+    number = lambda c: F.format_string("%.6g", F.col(c))
+    return cells.select("x_idx", "y_idx", "i", "j", F.concat(F.lit("i="), F.col("i"), F.lit(" j="), F.col("j"), F.lit("\tmat "), number("mat"), F.lit("\tins "), number("ins"), F.lit("\tdel "), number("del")).alias("value"))
+
+
 def overlap(seqs: DataFrame, originals: int, *, params: Params | None = None, null: NullModel | None = None, config: EnvelopeConfig | None = None, threshold: float | None = 0.0, compat: bool = True, require_seed: bool = False) -> DataFrame:
     """Overlaps of reads. ``seqs``: originals, then their reverse complements (``with_revcomps``).
 

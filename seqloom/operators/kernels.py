@@ -204,9 +204,13 @@ class Sweep:
                 total = np.logaddexp(total, np.logaddexp.reduce(np.where(ends, mat + s_.m2e[g], -np.inf), axis=1))
         return total, kept
 
-    def backward_counts(self, kept: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log likelihood from the other side, count vector) of each lane, each weighted to its own ``total``; needs qualities."""
-        if self.q is None:
+    def backward_counts(self, kept: np.ndarray, total: np.ndarray, cells: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(log likelihood from the other side, count vector) of each lane, each weighted to its own ``total``; needs qualities.
+
+        With a list of ``cells`` instead, qualities or not, what it gets is (lanes, i, j, log sums up to there in M, I and D,
+        posterior probabilities of M, I and D) of the live cells, a step each.
+        """
+        if self.q is None and cells is None:
             raise ValueError("counts need qualities")
         s_, lanes = self.s, len(self.first)
         n_match, n_gap = s_.match.shape[1], len(s_.m2m)
@@ -230,6 +234,14 @@ class Sweep:
                 b_m = np.logaddexp(np.logaddexp(m_m, m_i), np.logaddexp(m_d, end))
                 b_i, b_d = np.logaddexp(i_i, i_m), np.logaddexp(d_d, d_m)
                 base = self.bases(i)
+                if cells is not None:
+                    lane, at = np.nonzero(live)
+                    posts = [np.exp(a + b)[lane, at] for a, b in zip(f, (b_m, b_i, b_d))]
+                    cells.append((lane, i[lane, at], j[at], *((x + norm)[lane, at] for x in f), *posts))
+                if self.q is None:
+                    into = np.where(live, b_m + self.emit[j, base], -np.inf)
+                    m[:, own], ins[:, own], dele[:, own] = into, np.where(live, b_i, -np.inf), np.where(live, b_d, -np.inf)
+                    continue
                 np.add.at(match, (row, base, self.context[j - 1][None, :], self.q[j - 1][None, :]), np.exp(f[0] + b_m))
                 np.add.at(insert, (row, self.y[j - 1][None, :], self.q[j - 1][None, :]), np.exp(f[1] + b_i))
                 into = np.where(live, b_m + self.emit[j, base], -np.inf)

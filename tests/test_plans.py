@@ -22,7 +22,7 @@ def test_stored_diagonals_have_both_neighbours(spark):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", ["storage_layout", "quality_histogram", "nb_moment_fit", "viterbi_scores", "forward_likelihoods"])
+@pytest.mark.parametrize("name", ["storage_layout", "quality_histogram", "nb_moment_fit", "viterbi_scores", "forward_likelihoods", "posterior_mass"])
 def test_queries_equal_their_sql(spark, name):
     got = catalog.queries()[name](spark, SF)
     con = duckdb.connect()
@@ -53,3 +53,40 @@ def test_overlaps_have_the_places_they_were_cut_from(spark):
         if r:
             found += abs(r["x_start"] - (int(length * 0.3) + 1)) <= 5 and abs(r["x_end"] - size[2 * i]) <= 5
     assert found >= 0.9 * len(whole)
+
+
+def test_cells_are_those_of_plain_recursions_and_enumerated_paths(spark):
+    """Posteriors against all paths through a tiny matrix, one by one."""
+    import math
+
+    import numpy as np
+
+    from seqloom.operators.align import cell_lines, pair_cells
+    from seqloom.operators.kernels import Scores, tokens
+    from seqloom.plans.model import Params
+
+    x, y, s = "ACGT", "AGT", Scores.of(Params.default())
+    tx, ty = tokens(x), tokens(y)
+    paths: list = []
+
+    def walk(i, j, state, p, seen):
+        if j == len(y) and state == "M":
+            paths.append((p + s.m2e[0], seen))
+        step = {"M": (s.m2m[0], s.m2i[0], s.m2d[0]), "I": (s.i2m, s.i2i, None), "D": (s.d2m, None, s.d2d)}[state]
+        if i < len(x) and j < len(y):
+            walk(i + 1, j + 1, "M", p + step[0] + s.match[tx[i], ty[j], -1], [*seen, (i + 1, j + 1, "M")])
+        if j < len(y) and step[1] is not None:
+            walk(i, j + 1, "I", p + step[1] + s.insert[ty[j], -1], [*seen, (i, j + 1, "I")])
+        if i < len(x) and step[2] is not None:
+            walk(i + 1, j, "D", p + step[2], [*seen, (i + 1, j, "D")])
+
+    for i in range(len(x)):
+        walk(i + 1, 1, "M", s.match[tx[i], ty[0], -1], [(i + 1, 1, "M")])
+    total = np.logaddexp.reduce([p for p, _ in paths])
+    pairs = spark.createDataFrame([(1, x, 2, y)], "x_idx long, x_seq string, y_idx long, y_seq string")
+    cells = pair_cells(pairs)
+    for r in cells.collect():
+        for state, name in (("M", "post_match"), ("I", "post_insert"), ("D", "post_delete")):
+            wanted = sum(math.exp(p - total) for p, seen in paths if (r["i"], r["j"], state) in seen)
+            assert r[name] == pytest.approx(wanted, abs=1e-9)
+    assert cell_lines(cells).filter("value like 'i=1 j=1%mat%ins%del%'").count() == 1
