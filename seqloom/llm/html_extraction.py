@@ -17,7 +17,6 @@ alike; very long pages are read whole; further columns are not looked at.
 from __future__ import annotations
 
 import html as entities
-import math
 import random
 import re
 from collections import Counter

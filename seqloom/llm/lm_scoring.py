@@ -20,11 +20,13 @@ by broadcast, the others from their part.
 The model: P(b) = (n(b) + 1) / (N + V + 1), where all unknown tokens together
 are one; P(b | a) = (q(ab) + prior * P(b)) / (n(a) + prior + e), q the pair's
 quantised count and e the expected number of false positives over the whole
-vocabulary. Over all b this adds up to 1, but for quantising (at most 7.5 %, where
-one pair has all of a context's count) and chance in the false positives. A text's score is the sum of
-log10 P over its tokens and the end, the first after an end.
+vocabulary. Over all b this adds up to 1, but for quantising (at most 7.5 %,
+where one pair has all of a context's count) and chance in the false positives.
+A text's score is the sum of log10 P over its tokens and the end, the first
+after an end.
 
-Tokens are told apart by 64-bit hashes. Defined results: a null or empty text
+Tokens are told apart by 64-bit hashes (48 bits inside a part), pairs by 40 bits
+inside a part. Defined results: a null or empty text
 is the end token alone; with nothing to learn from N and V are 0; repeated
 rows are scored each by itself, and each counts in training; ids may be null;
 a very long text is a piece by itself; further columns are not looked at.
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.ipc
+from pyarrow import ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,13 +193,13 @@ def _of_part(short: np.ndarray, part: np.ndarray | int) -> np.ndarray:
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+    with ipc.new_stream(sink, batch.schema, options=ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
 def _unpacked(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(pa.py_buffer(blob)).read_next_batch()
+    return ipc.open_stream(pa.py_buffer(blob)).read_next_batch()
 
 
 class BloomModel:
