@@ -233,17 +233,23 @@ def judge(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str
     return stats.withColumn("base_failed", base_failed()).withColumn("reason", learned.reason()).withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull()), learned
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", max_labelled: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns.
 
-    Rows are saved beside their statistics, which are computed once: to learn, only those columns are read again, and
-    no text is shuffled.
+    Statistics to learn from are computed for labelled rows alone, found by a broadcast of their ids: of more than about
+    ``max_labelled``, those whose hash is lowest. No text is shuffled or written.
     """
-    work, own, prefix = Workspace(docs.sparkSession, "quality"), docs.columns, "__q_"
-    judged = work.save(with_stats(docs, text, prefix=prefix), "judged")
-    stats = judged.select(F.col(id_col), *(F.col(prefix + k).alias(k) for k in STATS))
+    work = Workspace(docs.sparkSession, "quality")
+    ids = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("__id")).distinct()
+    ids = work.save(ids, "labelled")
+    share = min(1.0, max_labelled / max(1, ids.count()))
+    some = ids if share == 1 else ids.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = docs.select(F.col(id_col), F.col(text)).join(F.broadcast(some), F.col(id_col) == F.col("__id"), "left_semi")
+    stats = work.save(with_stats(found, text).select(id_col, *STATS), "stats")
     learned = learn(labelled_stats(stats, labels, id_col).filter(~base_failed()), workspace=work)
-    return judged.filter(~base_failed(prefix) & learned.reason(prefix).isNull()).select(*own)
+    own = docs.columns
+    judged = with_stats(docs, text, prefix="__q_")
+    return judged.filter(~base_failed("__q_") & learned.reason("__q_").isNull()).select(*own)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
