@@ -2,16 +2,18 @@ import random
 
 from test_decontamination import edited, fewest_edits
 
-from seqloom.llm.decontamination import Matcher, contamination, drop_contaminated, normalised
+from seqloom.llm.decontamination import Matcher, contamination, drop_contaminated, inside_word, normalised
 
 
 def test_short_items_are_found_between_word_boundaries(spark):
     items = spark.createDataFrame([(1, "Who is it?"), (2, "cat"), (3, "東京はどこの国の首都ですか"), (4, ""), (5, None)], "item_id long, text string")
     rows = [(1, "And  who is IT? I asked."), (2, "concatenated"), (3, "a cat, a dog"), (4, "問題：東京はどこの国の首都ですか。"), (5, "nothing"), (6, "who is itt"), (7, "Who was it?")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in contamination(docs, items).collect())
-    assert got == [(1, 1, 0), (3, 2, 0), (4, 3, 0)]
-    assert sorted(r["doc_id"] for r in drop_contaminated(docs, items).collect()) == [2, 5, 6, 7]
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in contamination(docs, items, whole_words=25).collect())
+    # "who is itt" is one edit from "who is it?", which has a budget of one
+    assert got == [(1, 1, 0), (3, 2, 0), (4, 3, 0), (6, 1, 1)]
+    assert sorted(r["doc_id"] for r in drop_contaminated(docs, items, whole_words=25).collect()) == [2, 5, 7]
+    assert sorted(r["doc_id"] for r in drop_contaminated(docs, items).collect()) == [5, 7]
     assert contamination(docs, items, min_chars=25).count() == 0
 
 
@@ -34,3 +36,71 @@ def test_very_long_text():
     doc = "filler words of no use " * 200_000 + item.replace("boats", "boots") + " more" * 100_000
     [(i, distance, _, _)] = Matcher([(3, item)], 0.1).matches(doc)
     assert (i, distance) == (3, 1)
+
+
+def all_edits(item, part):
+    """Edit distance of two whole strings."""
+    row = [*range(len(part) + 1)]
+    for i, p in enumerate(item, 1):
+        new = [i]
+        for j, t in enumerate(part, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (p != t)))
+        row = new
+    return row[-1]
+
+
+def spans(item, doc, budget, whole):
+    """{distance: (start, end), ...} of all substrings within the budget, at word boundaries if ``whole``."""
+    out = []
+    for s in range(len(doc)):
+        for e in range(max(s, s + len(item) - budget), min(len(doc), s + len(item) + budget) + 1):
+            if e > s and not (whole and (inside_word(doc, s) or inside_word(doc, e))):
+                d = all_edits(item, doc[s:e])
+                if d <= budget:
+                    out.append((d, s, e))
+    return out
+
+
+def test_short_items_with_edits_are_those_of_brute_force():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    for whole in (0, 25):
+        found = 0
+        for _ in range(120):
+            item = normalised(text(8))[: rng.randrange(5, 25)].strip()
+            doc = normalised(text(rng.randrange(3)) + " " + edited(rng, item, rng.randrange(int(len(item) * 0.1) + 2)) + rng.choice((" ", "", "x")) + text(rng.randrange(3)))
+            wanted = spans(item, doc, int(len(item) * 0.1), whole)
+            got = Matcher([(1, item)], 0.1, whole).matches(doc)
+            assert len(got) == bool(wanted), (item, doc)
+            if wanted:
+                found += 1
+                _, distance, start, end = got[0]
+                assert distance == min(wanted)[0] and (distance, start, end) in wanted and end == min(e for d, _, e in wanted if d == distance)
+        assert found > 30
+
+
+def test_matches_begin_where_they_do():
+    cases = [("first man on moon", "he was the firrst man on moon then", "firrst man on moon"), ("who is it to day", "xx who is it too day zz", "who is it too day")]
+    for item, doc, part in cases:
+        for whole in (0, 25):
+            [(_, distance, start, end)] = Matcher([(1, item)], 0.1, whole).matches(doc)
+            assert (distance, doc[start:end]) == (1, part)
+    item = "which of the two boats was first"
+    doc = f"and {item.replace('boats', 'bboatss')} to come"
+    [(_, distance, start, end)] = Matcher([(1, item)], 0.1).matches(doc)
+    assert (distance, doc[start:end]) == (2, item.replace("boats", "bboatss"))
+
+
+def test_items_of_many_files_in_one_stage(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    items = [(i, text(12)) for i in range(30)] + [(3, None), (None, text(9))]
+    docs = [(i, text(5) + " " + items[i % 30][1] + " " + text(5)) for i in range(45)] + [(None, items[31][1]), (99, None), (100, text(30))]
+    frame, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = Matcher([(i, normalised(t)) for i, t in items if t], 0.1)
+    wanted = sorted(((d, *m) for d, t in docs for m in one.matches(t)), key=str)
+    found = contamination(frame, table, block_chars=200)
+    assert sorted(map(tuple, found.collect()), key=str) == wanted and len(wanted) >= 46
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r["doc_id"] for r in drop_contaminated(frame, table, block_chars=200).collect()) == [99, 100]
