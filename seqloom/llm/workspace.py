@@ -60,6 +60,18 @@ class Workspace:
     def drop(self, name: str) -> None:
         self._remove(f"{self.path}/{name}")
 
+    def has(self, name: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
+    def drop_others(self, *names: str) -> None:
+        """Remove all tables but those named: what a finished step leaves."""
+        with contextlib.suppress(Exception):
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            for found in place.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(place):
+                if found.getPath().getName() not in names:
+                    self.drop(found.getPath().getName())
+
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row, however often the body uses it."""
