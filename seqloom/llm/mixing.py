@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, table, word_count
+from .workspace import Workspace, row_key, table, word_count
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -49,18 +49,28 @@ def targets(sources: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), max_e
     return levels.withColumn("target", F.least(F.col("cap"), F.coalesce(final * F.col("w"), F.col("cap")))).select("source", "source_size", F.col("w").alias("weight"), "target")
 
 
+def ranged_rows(docs: DataFrame, *, size: Column, quality: Column, work: Workspace | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = 8, rows_per_range: int = 500) -> DataFrame:
+    """A row for each id, source and size: id, source, size, key, n (documents alike in these) and range, which grows with the key."""
+    work = work or Workspace(docs.sparkSession, "mixing")
+    good = F.when(quality > 0, quality.cast("double")).otherwise(1.0)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), (-F.log(uniform(F.col(id_col), seed)) / good).alias("key"), good.alias("quality"))
+    # documents alike are interchangeable: counted, so that an id that very many have is a few rows
+    rows = work.save(rows.groupBy("source", "id", "size", "key").agg(F.first("quality").alias("quality"), F.count("*").alias("n")), "rows")
+    ranges = max(1, -(-rows.count() // rows_per_range))
+    # key * quality is exponential, so the share of keys below one is the mean of 1 - exp(-key * quality) over the qualities:
+    # ranges of that hold like numbers of rows (any growing function of the key is right, so the commonest qualities do)
+    kinds = rows.groupBy("quality").count().orderBy(F.desc("count"), "quality").limit(64).collect()
+    everyone = sum(r["count"] for r in kinds) or 1
+    below = sum((F.lit(r["count"] / everyone) * (1 - F.exp(-F.col("key") * F.lit(r["quality"]))) for r in kinds), F.lit(0.0))
+    return rows.drop("quality").withColumn("range", F.floor(below * ranges).cast("long"))
+
+
 def mix_groups(docs: DataFrame, *, size: Column, quality: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 8, rows_per_range: int = 500) -> DataFrame:
     """A row for each id, source and size: id, source, size, n (documents alike in these), source_size, target, epochs, extra (how many of the n are taken once more)."""
     work = Workspace(docs.sparkSession, "mixing")
-    key = -F.log(uniform(F.col(id_col), seed)) / F.when(quality > 0, quality).otherwise(1.0)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), key.alias("key"))
-    # documents alike are interchangeable: counted, so that an id that very many have is a few rows
-    rows = work.save(rows.groupBy("source", "id", "size", "key").agg(F.count("*").alias("n")), "rows")
+    ranged = ranged_rows(docs, size=size, quality=quality, work=work, id_col=id_col, source_col=source_col, seed=seed, rows_per_range=rows_per_range)
     words = F.col("size") * F.col("n")
-    by_source = work.save(targets(rows.groupBy("source").agg(F.sum(words).alias("source_size")), weights=weights, max_epochs=max_epochs), "sources")
-    ranges = max(1, -(-rows.count() // rows_per_range))
-    # 1 - exp(-key) grows with the key and is near uniform: ranges of it hold like numbers of rows
-    ranged = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("long"))
+    by_source = work.save(targets(ranged.groupBy("source").agg(F.sum(words).alias("source_size")), weights=weights, max_epochs=max_epochs), "sources")
     sums = ranged.groupBy("source", "range").agg(F.sum(words).alias("in_range")).withColumn("block", F.floor(F.col("range") / 1024))
     upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda what, *by: F.coalesce(F.sum(what).over(upto(*by)), F.lit(0).cast("long"))
@@ -101,18 +111,42 @@ def slim(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(label_quality(labels), rows["doc_id"] == F.col("__id"), "left").drop("__id")
 
 
-def repeat_taken(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def repeat_taken(docs: DataFrame, labels: DataFrame, *, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` as often as the mix takes them: rows repeat for whole epochs, and those not taken go.
 
-    Rows that share an id are told apart by source and size; those equal in these are interchangeable.
+    Rows that share an id are told apart by source and size. Where the budget ends among rows alike in these (once
+    a source at most), the rest goes to those with the least hashes of all columns. The texts are read in one
+    narrow pass while the choice fits a broadcast of ``broadcast_rows``, else joined once.
     """
+    work, key = Workspace(docs.sparkSession, "repeat"), ("__id", "__source", "__words")
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     groups = mix_groups(slim(docs, labels), size=F.col("__size"), quality=F.coalesce(F.col("__quality"), F.lit(1.0)))
-    groups = groups.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), "epochs", "extra").filter("epochs + extra > 0")
-    alike = Window.partitionBy("doc_id", "source", "__size").orderBy("doc_id")
-    numbered = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__n", F.row_number().over(alike))
+    groups = groups.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), "n", "epochs", "extra").filter("epochs + extra > 0")
+    groups = work.save(groups.withColumn("parted", (F.col("extra") > 0) & (F.col("extra") < F.col("n"))), "groups")
+    rows = docs.withColumn("__size", word_count(F.col("text")))
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words"))
-    joined = numbered.join(groups, same).withColumn("__copies", F.col("epochs") + F.when(F.col("__n") <= F.col("extra"), 1).otherwise(0)).filter("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    whole = F.col("epochs") + F.when((F.col("extra") > 0) & ~F.col("parted"), 1).otherwise(0)
+    repeated = lambda df, times: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*docs.columns)
+    taken = groups.filter((F.col("epochs") > 0) | ~F.col("parted")).select(*key, whole.alias("__times"))
+    out = repeated(rows.join(small(taken), same).filter("__times > 0"), F.col("__times"))
+    parted = groups.filter("parted").select(*key, "extra")
+    if parted.isEmpty():
+        return out
+    # rows alike by the hash of all columns, in ranges of hashes whose sums come first: no range holds more than a small share
+    hashed = rows.withColumn("__row", row_key(docs)).join(small(parted), same)
+    classes = hashed.groupBy(*key, "extra", "__row").agg(F.count("*").alias("m")).withColumn("range", F.shiftright("__row", 54))
+    classes = work.save(classes, "classes")
+    upto = lambda *by: Window.partitionBy(*key, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = classes.groupBy(*key, "range").agg(F.sum("m").alias("in_range"))
+    base = sums.select(*(F.col(c).alias(f"{c}_of") for c in (*key, "range")), F.coalesce(F.sum("in_range").over(upto("range")), F.lit(0)).alias("base"))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*key, "range")]
+    placed = classes.withColumn("run", F.coalesce(F.sum("m").over(upto("range", "__row")), F.lit(0))).join(base, on)
+    rest = F.least(F.col("m"), F.col("extra") - F.col("base") - F.col("run"))
+    rest = work.save(placed.select(F.col("__row").alias("__of"), "m", rest.alias("rest")).filter("rest > 0"), "rest")
+    hashed = rows.withColumn("__row", row_key(docs)).join(small(rest), F.col("__row") == F.col("__of"))
+    # copies in all columns are interchangeable: one of them stands for those of the class where not all are taken
+    some = hashed.filter("rest < m").dropDuplicates(["__row"])
+    return out.union(hashed.filter("rest = m").select(*docs.columns)).union(repeated(some, F.col("rest")))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,30 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from seqloom.llm.mixing import mix, ranged_rows, repeat_taken, slim
+
+
+def test_rows_alike_repeat_as_often_as_the_mix_says(spark):
+    rows = [(None, f"t{i % 40} a b", "x", "s1", 3) for i in range(300)] + [(None, "copy of one text", None, None, 4)] * 90 + [(5, f"same id {i}", "x", "s2", 3) for i in range(20)]
+    rows += [(100 + i, "some words " * (i % 7), "x", f"s{i % 3}", i) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100, 160)], "doc_id long, quality int, toxic int")
+    groups = mix(slim(docs, labels), size=F.col("__size"), quality=F.coalesce(F.col("__quality"), F.lit(1.0)))
+    wanted = Counter()
+    for r in groups.collect():
+        wanted[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    for limit in (500_000, 0):
+        got = repeat_taken(docs, labels, broadcast_rows=limit).collect()
+        assert Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in got) == +wanted
+        each, there = Counter(map(tuple, got)), Counter(rows)
+        assert all(n <= 3 * there[r] for r, n in each.items())
+        # rows alike in id, source and size but not in text are taken about equally often
+        spread = [sum(n for r, n in each.items() if r[1] == f"t{k} a b") for k in range(40)]
+        assert max(spread) - min(spread) <= 8
+
+
+def test_ranges_hold_like_numbers_of_rows_whatever_the_qualities(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 3).alias("q"))
+    sizes = [r["count"] for r in ranged_rows(docs, size=F.lit(1), quality=F.when(F.col("q") == 0, 1000.0).when(F.col("q") == 1, 0.001).otherwise(1.0), rows_per_range=500).groupBy("range").count().collect()]
+    assert max(sizes) < 700 and len(sizes) == 40
