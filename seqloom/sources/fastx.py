@@ -2,98 +2,180 @@
 
 from __future__ import annotations
 
-import gzip
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.types import StructType
+
+from .splits import GZIP, Bytes, inflated, lines_of, record_ranges, records
 
 SCHEMA = "filename string, filepos long, name string, comment string, seq string, qual string"
+#: Besides, the range that a record was read in and its place among those of it that have bases.
+FULL = f"{SCHEMA}, split long, place long"
 
 
 def parse_fastx(content: bytes) -> Iterator[tuple[int, str, str, str, str | None]]:
-    """(offset, name, comment, seq, qual) of each record of one file's bytes.
+    """(offset, name, comment, seq, qual) of each record of one file's bytes, plain or gzip."""
+    chunks = iter([content])
+    return records(lines_of(inflated(chunks) if content[:2] == GZIP else chunks, 0))
+
+
+@dataclass
+class Range(InputPartition):
+    """Records of a file from ``entry`` on up to ``stop`` (None: to the end); a gzip file is inflated from a member on. ``most`` records at most."""
+
+    filename: str
+    split: int
+    entry: int
+    stop: int | None
+    restart_at: int | None = None
+    restart_pos: int | None = None
+    most: int | None = None
+
+    def records(self, file: Bytes) -> Iterator[tuple[int, str, str, str, str | None]]:
+        if file.read(0, 2) == GZIP:
+            at = self.restart_pos or 0
+            chunks = inflated(file.chunks(self.restart_at or 0, size=1 << 16))
+        else:
+            at, chunks = self.entry, file.chunks(self.entry, self.stop, size=1 << 16 if self.most else 1 << 20)
+        return islice(records(lines_of(_cut(chunks, at, self.entry, self.stop), self.entry)), self.most)
+
+    def batches(self, file: Bytes, *, rows: int = 1000, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+        """Arrow batches, small ones: no more is held than a batch and a record."""
+        columns, size, place = [[] for _ in range(8)], 0, 0
+        for r in self.records(file):
+            for column, value in zip(columns, (self.filename, *r, self.split, place)):
+                column.append(value)
+            place += bool(r[3])
+            size += 2 * len(r[3])
+            if len(columns[0]) == rows or size >= most_bytes:
+                yield _batch(columns)
+                columns, size = [[] for _ in range(8)], 0
+        yield _batch(columns)
 
-    One reader for both formats, which may be mixed: a record begins at a line of ``>`` or ``@``; its sequence is all
-    printable characters up to a line that begins with ``>``, ``@`` or ``+``; after ``+`` as many quality characters
-    follow as there are bases. A record whose quality ends early, or is longer, has none.
-    """
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    lines, offset = content.split(b"\n"), 0
-    offsets = []
-    for line in lines:
-        offsets.append(offset)
-        offset += len(line) + 1
-    i = 0
-    while i < len(lines):
-        if lines[i][:1] not in (b">", b"@"):
-            i += 1
-            continue
-        at = offsets[i]
-        head = lines[i][1:].decode("latin-1").rstrip("\r")
-        name, _, comment = head.partition(" ") if "\t" not in head.partition(" ")[0] else head.partition("\t")
-        i += 1
-        seq = []
-        while i < len(lines) and lines[i][:1] not in (b">", b"@", b"+"):
-            seq.append(bytes(c for c in lines[i] if 33 <= c <= 126))
-            i += 1
-        bases, qual = b"".join(seq), None
-        if i < len(lines) and lines[i][:1] == b"+":
-            i += 1
-            got = b""
-            while i < len(lines) and len(got) < len(bases):
-                got += bytes(c for c in lines[i] if 33 <= c <= 127)
-                i += 1
-            qual = got.decode("latin-1") if len(got) == len(bases) else None
-        yield at, name, comment, bases.decode("latin-1"), qual or None
-
-
-def read_fastx(spark: SparkSession, *paths: str) -> DataFrame:
-    """All records of ``paths``: one task a file, as gzip can't be split; files must fit in memory one by one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"]):
-                rows: list[list] = [[] for _ in range(6)]
-                for r in parse_fastx(content.as_py()):
-                    for column, value in zip(rows, (path, *r)):
-                        column.append(value)
-                    if len(rows[0]) == 1000:
-                        yield _batch(rows)
-                        rows = [[] for _ in range(6)]
-                yield _batch(rows)
-
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
-
-
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["filename", "filepos", "name", "comment", "seq", "qual"])
-
-
-def load_sequences(spark: SparkSession, paths: list[str], *, use_quals: bool = True) -> DataFrame:
-    """idx (in file and record order), name, comment, seq, qual, filename, filepos; empty sequences go."""
-    from pyspark.sql import Window
-
-    order = {p: n for n, p in enumerate(paths)}
-    rows = read_fastx(spark, *paths).filter(F.length("seq") > 0)
-    place = F.lit(len(order))
-    for p, n in order.items():
-        place = F.when(F.col("filename").endswith(p.split("://")[-1]), n).otherwise(place)
-    numbered = rows.withColumn("__file", place)
-    counts = numbered.groupBy("__file").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy().orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    base = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__file").orderBy("filepos")) - 1
-    qual = F.col("qual") if use_quals else F.lit(None).cast("string")
-    return numbered.withColumn("__i", inside).join(base, "__file").select((F.col("__base") + F.col("__i")).alias("idx"), "name", "comment", "seq", qual.alias("qual"), "filename", "filepos")
+
+def _cut(chunks: Iterator[bytes], at: int, start: int, stop: int | None) -> Iterator[bytes]:
+    """What of ``chunks``, which begin at ``at``, lies from ``start`` on and before ``stop``."""
+    for chunk in chunks:
+        if stop is not None and at >= stop:
+            return
+        end = at + len(chunk)
+        if end > start:
+            yield chunk[max(0, start - at) : None if stop is None else stop - at]
+        at = end
+
+
+class FastxReader(DataSourceReader):
+    """Reads the ranges that a table names. Equal conditions on filename and filepos are pushed down: then a record is read, not a range."""
+
+    def __init__(self, options: dict):
+        self.ranges = [Range(*r) for r in json.loads(options["ranges"])]
+        self.filename, self.filepos = None, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802  the interface's name
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("filepos",):
+                self.filepos = f.value
+            elif isinstance(f, EqualTo) and f.attribute == ("filename",):
+                self.filename = f.value
+            yield f  # Spark checks them too
+
+    def partitions(self) -> list[Range]:
+        found = [r for r in self.ranges if self.filename is None or r.filename == self.filename]
+        if self.filepos is not None:
+            found = [Range(r.filename, r.split, self.filepos, None, r.restart_at, r.restart_pos, 1) for r in found if r.entry <= self.filepos and (r.stop is None or self.filepos < r.stop)]
+        return found or [Range("", 0, 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if partition.filename:
+            yield from partition.batches(Bytes(partition.filename))
+
+
+class Fastx(DataSource):
+    """The data source ``fastx``: ``ranges`` is a list of [filename, split, entry, stop, restart_at, restart_pos] as JSON."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fastx"
+
+    def schema(self) -> str:
+        return FULL
+
+    def reader(self, schema: StructType) -> FastxReader:
+        return FastxReader(self.options)
 
 
-def record_at(spark: SparkSession, path: str, filepos: int) -> DataFrame:
-    return read_fastx(spark, path).filter(F.col("filepos") == filepos)
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["filename", "filepos", "name", "comment", "seq", "qual", "split", "place"])
+
+
+def _register(spark: SparkSession) -> None:
+    spark.dataSource.register(Fastx)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark asks for it where a source takes conditions
+
+
+def files_of(spark: SparkSession, *paths: str) -> DataFrame:
+    """filename, length and nth (the number of the path that names it) of all files; nothing of them is read."""
+    listed = [spark.read.format("binaryFile").load(p).select(F.col("path").alias("filename"), "length", F.lit(n).alias("nth")) for n, p in enumerate(paths)]
+    out = listed[0]
+    for more in listed[1:]:
+        out = out.union(more)
+    return out
+
+
+def fastx_ranges(spark: SparkSession, *paths: str, split_bytes: int = 32 << 20, gzip_members: bool = False) -> DataFrame:
+    """The ranges of all files, to be kept and given to ``read_fastx`` again. With ``gzip_members`` gzip files of several members (as bgzip writes them) are split too."""
+    return record_ranges(spark, files_of(spark, *paths), split_bytes, gzip_members=gzip_members)
+
+
+def read_ranges(spark: SparkSession, ranges: DataFrame) -> DataFrame:
+    """Records of ``ranges`` with split and place: a task a range."""
+    _register(spark)
+    listed = [list(r) for r in ranges.select("filename", "split", "entry", "stop", "restart_at", "restart_pos").orderBy("filename", "split").collect()]  # a row for each task
+    return spark.read.format("fastx").option("ranges", json.dumps(listed)).load()
+
+
+def read_fastx(spark: SparkSession, *paths: str, split_bytes: int = 32 << 20, gzip_members: bool = False) -> DataFrame:
+    """All records of ``paths``. Plain files are split at records about every ``split_bytes``; a task streams its range, so
+    it holds a batch and a record, whatever the size of the file, inflated or not."""
+    return read_ranges(spark, fastx_ranges(spark, *paths, split_bytes=split_bytes, gzip_members=gzip_members)).drop("split", "place")
+
+
+def load_sequences(spark: SparkSession, paths: list[str], *, use_quals: bool = True, split_bytes: int = 32 << 20) -> DataFrame:
+    """idx (in file and record order), name, comment, seq, qual, filename, filepos; empty sequences go.
+
+    Records are numbered where they are read; only sums over ranges are put in order.
+    """
+    files = files_of(spark, *paths)
+    rows = read_ranges(spark, record_ranges(spark, files, split_bytes)).filter(F.length("seq") > 0)
+    counts = rows.groupBy("filename", "split").agg(F.count("*").alias("__n")).join(files.select("filename", "nth"), "filename")
+    # a file named by two paths is loaded for each
+    each = Window.partitionBy("nth").orderBy("filename", "split").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    inside = counts.withColumn("__before", F.coalesce(F.sum("__n").over(each), F.lit(0)))
+    whole = counts.groupBy("nth").agg(F.sum("__n").alias("__all"))
+    base = whole.select("nth", F.coalesce(F.sum("__all").over(Window.partitionBy().orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # a row a path
+    starts = inside.join(base, "nth").select(F.col("filename").alias("__f"), F.col("split").alias("__s"), (F.col("__base") + F.col("__before")).alias("__start"))
+    qual = F.col("qual") if use_quals else F.lit(None).cast("string")
+    numbered = rows.join(F.broadcast(starts), (F.col("filename") == F.col("__f")) & (F.col("split") == F.col("__s")))  # as many rows as tasks
+    return numbered.select((F.col("__start") + F.col("place")).alias("idx"), "name", "comment", "seq", qual.alias("qual"), "filename", "filepos")
+
+
+def record_at(spark: SparkSession, path: str, filepos: int, *, ranges: DataFrame | None = None) -> DataFrame:
+    """The record at a place of a file. Of a plain file little more is read than the record; a gzip file is inflated up to it from its
+    beginning, or from the last member before it where ``ranges`` (of ``fastx_ranges`` with ``gzip_members``) has one."""
+    if ranges is None:
+        ranges = files_of(spark, path).select("filename", F.lit(0).cast("long").alias("split"), F.lit(0).cast("long").alias("entry"), *(F.lit(None).cast("long").alias(c) for c in ("stop", "restart_at", "restart_pos")))
+    one = (F.col("entry") <= filepos) & (F.col("stop").isNull() | (F.col("stop") > filepos))
+    _register(spark)
+    listed = [[r["filename"], r["split"], filepos, None, r["restart_at"], r["restart_pos"], 1] for r in ranges.filter(one).collect()]
+    return spark.read.format("fastx").option("ranges", json.dumps(listed)).load().filter(F.col("filepos") == filepos).drop("split", "place")
 
 
 def _header(seqs: DataFrame, mark: str) -> Column:

@@ -1,0 +1,143 @@
+import gzip
+import random
+import resource
+
+import pytest
+from pyspark.sql import functions as F
+
+from seqloom.sources.fastx import EqualTo, FastxReader, Range, fastx_ranges, load_sequences, parse_fastx, read_fastx, read_ranges, record_at
+from seqloom.sources.splits import Bytes, gzip_ranges, inflated, lines_of, range_map, records
+
+
+def made(rng, n):
+    """Records of either format with qualities that begin with any mark, wrapped lines, cut qualities, junk and empty sequences."""
+    out = []
+    for i in range(n):
+        size, wrap, kind, end = rng.choice([0, 1, 3, 20, 60]), rng.choice([1000, 7, 4]), rng.random(), rng.choice(["\n", "\n", "\r\n", "\n\n"])
+        lines = lambda s, w=wrap: "\n".join(s[a : a + w] for a in range(0, len(s), w))
+        seq, qual = ("".join(rng.choice(letters) for _ in range(size)) for letters in ("ACGT", "@>+I!~5"))
+        if kind < 0.7:
+            out.append(f"@r{i} c\n{lines(seq)}\n+\n{lines(qual)[: None if kind < 0.6 else -1]}{end}")
+        else:
+            out.append(f">r{i}\td e\n{lines(seq)}{end}" if kind < 0.9 else rng.choice(["junk\n", "\n", "+\n", "@\n"]))
+    return "".join(out).encode()[: None if rng.random() < 0.7 else -rng.randrange(1, 5)]
+
+
+def test_ranges_of_any_size_give_the_records_of_one_reader(tmp_path):
+    rng, path = random.Random(1), tmp_path / "x"
+    for _ in range(600):
+        content, split = made(rng, rng.randrange(12)), rng.choice([1, 2, 5, 17, 40, 100, 1000])
+        path.write_bytes(content)
+        file, x, got = Bytes(str(path)), 0, []
+        for start in range(0, len(content), split):
+            end = min(len(content), start + split)
+            goes = range_map(file, start, end, more=rng.choice([1, 4, 64]))
+            if x < end:
+                to = next(g for upto, g in goes if upto >= x)
+                got += records(lines_of(file.chunks(x, to, rng.choice([1, 3, 1000])), x))
+                x = to
+        assert got == [*parse_fastx(content)]
+
+
+def test_gzip_members_and_chunks(tmp_path):
+    rng, path = random.Random(2), tmp_path / "x.gz"
+    for _ in range(100):
+        content, packed, at = made(rng, rng.randrange(30)), b"", 0
+        while at < len(content):
+            to = at + rng.randrange(1, 200)
+            packed, at = packed + gzip.compress(content[at:to]), to
+        path.write_bytes(packed or gzip.compress(b""))
+        wanted = [*parse_fastx(content)]
+        chunks = Bytes(str(path)).chunks(0, None, rng.choice([1, 7, 100_000]))
+        assert [*records(lines_of(inflated(chunks, [], rng.choice([1, 50, 10_000])), 0))] == wanted
+        ranges = [Range(str(path), *r) for r in gzip_ranges(str(path), rng.choice([1, 50, 300]))]
+        assert [x for r in ranges for x in r.records(Bytes(str(path)))] == wanted
+    path.write_bytes(packed[:-3])
+    with pytest.raises(ValueError, match="ends inside"):
+        [*inflated(Bytes(str(path)).chunks(0))]
+
+
+@pytest.fixture(scope="module")
+def large(tmp_path_factory):
+    """200 MB of FASTQ, wrapped, with qualities that begin with marks."""
+    rng, path = random.Random(3), tmp_path_factory.mktemp("fastx") / "large.fq"
+    reads = []
+    for i in range(200):
+        size = rng.randrange(400, 12_000)
+        seq, qual = "".join(rng.choices("ACGT", k=size)), "".join(rng.choices("@>+ABCDEFGHI", k=size))
+        reads.append("@r%d-{} x\n%s\n+\n%s\n" % (i, "\n".join(seq[k : k + 80] for k in range(0, size, 80)), "\n".join(qual[k : k + 80] for k in range(0, size, 80))))
+    block = "".join(reads)
+    with open(path, "w") as f:
+        for n in range(-(-(200 << 20) // len(block))):
+            f.write(block.replace("-{}", f"-{n}"))
+    return str(path)
+
+
+def test_one_large_file_over_tasks(spark, large):
+    digest = lambda df: df.select(F.count("*"), F.bit_xor(F.xxhash64("filepos", "name", "comment", "seq", "qual")), F.countDistinct("name")).first()
+    split = 13 << 20
+    ranges = fastx_ranges(spark, large, split_bytes=split).orderBy("split").collect()
+    assert len(ranges) >= 16 and max(r["stop"] - r["entry"] for r in ranges) < split + 100_000
+    assert ranges[0]["entry"] == 0 and all(a["stop"] == b["entry"] for a, b in zip(ranges, ranges[1:]))
+    many = read_fastx(spark, large, split_bytes=split)
+    assert many.rdd.getNumPartitions() >= 16
+    one = read_fastx(spark, large, split_bytes=1 << 30)
+    assert digest(many) == digest(one) and digest(one)[0] == digest(one)[2]
+
+
+def test_a_large_gzip_file_in_bounded_memory(large, tmp_path):
+    path = tmp_path / "large.fq.gz"
+    with open(large, "rb") as f, gzip.open(path, "wb", compresslevel=1) as out:
+        while chunk := f.read(1 << 20):
+            out.write(chunk)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    plain = Range(large, 0, 0, None).batches(Bytes(large))
+    packed = Range(str(path), 0, 0, None).batches(Bytes(str(path)))
+    n = 0
+    for a, b in zip(plain, packed, strict=True):
+        assert a.drop_columns(["filename"]) == b.drop_columns(["filename"])
+        n += a.num_rows
+    assert n > 10_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 120_000  # KB, of over 200 MB
+
+
+def test_a_record_is_read_alone(spark, large, tmp_path):
+    rows = read_fastx(spark, large).filter("name like 'r7-%'").orderBy("filepos").collect()
+    wanted = rows[len(rows) // 2]
+    assert [tuple(r) for r in record_at(spark, large, wanted["filepos"]).collect()] == [tuple(wanted)]
+    file = Bytes(large)
+    assert [r[0] for r in Range(large, 0, wanted["filepos"], None, most=1).records(file)] == [wanted["filepos"]]
+    assert file.read_bytes <= 3 * (1 << 16)
+    # pushed down: one partition of one record
+    reader = FastxReader({"ranges": f'[["{large}", 0, 0, 100], ["{large}", 1, 100, null]]'})
+    assert len([*reader.pushFilters([EqualTo(("filename",), large), EqualTo(("filepos",), wanted["filepos"])])]) == 2
+    [only] = reader.partitions()
+    assert only == Range(large, 1, wanted["filepos"], None, None, None, 1)
+    assert read_fastx(spark, large).filter((F.col("filename") == wanted["filename"]) & (F.col("filepos") == wanted["filepos"])).rdd.getNumPartitions() == 1
+    # a gzip file of many members: inflated from the last one before the record
+    path = tmp_path / "members.fq.gz"
+    with open(large, "rb") as f:
+        content = f.read(30 << 20)
+    path.write_bytes(b"".join(gzip.compress(content[k : k + (1 << 16)], 1) for k in range(0, len(content), 1 << 16)))
+    ranges = fastx_ranges(spark, str(path), split_bytes=1 << 20, gzip_members=True)
+    kept = [r for r in ranges.orderBy("split").collect()]
+    assert len(kept) > 20
+    assert read_ranges(spark, ranges).count() == read_fastx(spark, str(path)).count()
+    there = [r for r in rows if r["filepos"] < (29 << 20)][-1]
+    [found] = record_at(spark, str(path), there["filepos"], ranges=spark.createDataFrame(kept)).collect()
+    assert (found["name"], found["seq"], found["qual"]) == (there["name"], there["seq"], there["qual"])
+    near = [r for r in kept if r["entry"] <= there["filepos"]][-1]
+    file = Bytes(str(path))
+    assert [r[0] for r in Range(str(path), 0, there["filepos"], None, near["restart_at"], near["restart_pos"], 1).records(file)] == [there["filepos"]]
+    assert file.read_bytes < (3 << 20) < file.size
+
+
+def test_numbers_over_files_and_ranges(spark, tmp_path):
+    rng = random.Random(4)
+    contents = {"b.fq": made(rng, 60), "a.fa.gz": gzip.compress(made(rng, 30)), "empty.fq": b"", "c.fq": made(rng, 40)}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    paths = [str(tmp_path / n) for n in contents]
+    wanted = [(r[1], r[0]) for c in contents.values() for r in parse_fastx(c) if r[3]]
+    for split in (50, 1 << 20):
+        got = load_sequences(spark, paths, split_bytes=split).orderBy("idx").collect()
+        assert [(r["name"], r["filepos"]) for r in got] == wanted and [r["idx"] for r in got] == [*range(len(wanted))]
