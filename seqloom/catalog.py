@@ -158,6 +158,18 @@ def seed_diagonals(spark, sf_dir):
     return sq.seed_diagonals(sq.diagonal_counts(references(spark, sf_dir), reads(spark, sf_dir), DIAG_K), 14)
 
 
+@query(f"""WITH {DIAGS_SQL}, p AS (SELECT d.*, length(x.seq) AS x_len, length(y.seq) AS y_len FROM diags d JOIN refs x ON x.idx = d.x_idx JOIN reads y ON y.idx = d.y_idx),
+lv AS (SELECT DISTINCT x_idx, y_idx, x_len, y_len, cnt AS level FROM p),
+st AS (SELECT lv.x_idx, lv.y_idx, lv.x_len, lv.y_len, level, list_distinct(list_concat([-1, 0, 1], flatten(list(range(greatest(diag - 32, 1 - p.y_len) - 1, least(diag + 32, p.x_len - 1) + 2))))) AS ds
+  FROM lv JOIN p ON p.x_idx = lv.x_idx AND p.y_idx = lv.y_idx AND p.cnt >= level GROUP BY ALL)
+SELECT x_idx, y_idx, min(CASE WHEN len(ds) * least(x_len, y_len) * 24 < 600000 THEN level END)::BIGINT AS threshold,
+  coalesce(max(CASE WHEN len(ds) * least(x_len, y_len) * 24 < 600000 THEN len(ds) END), 3)::BIGINT AS stored FROM st GROUP BY x_idx, y_idx""")
+def memory_thresholds(spark, sf_dir):
+    x, y = references(spark, sf_dir), reads(spark, sf_dir)
+    lx, ly = x.select(F.col("idx").alias("x_idx"), F.length("seq").alias("x_len")), y.select(F.col("idx").alias("y_idx"), F.length("seq").alias("y_len"))
+    return sq.memory_thresholds(sq.diagonal_counts(x, y, DIAG_K), lx, ly, band=64, max_bytes=600_000)
+
+
 BANDS_SQL = f"""{DIAGS_SQL}, s AS (SELECT d.x_idx, d.y_idx, length(x.seq) AS x_len, length(y.seq) AS y_len, d.diag FROM diags d JOIN refs x ON x.idx = d.x_idx JOIN reads y ON y.idx = d.y_idx WHERE cnt >= 14),
 w AS (SELECT x_idx, y_idx, x_len, y_len, unnest(range(greatest(diag - 32, 1 - y_len), least(diag + 32, x_len - 1) + 1)) AS d FROM s UNION SELECT x_idx, y_idx, x_len, y_len, 0 FROM s),
 env AS (SELECT x_idx, y_idx, any_value(x_len) AS x_len, any_value(y_len) AS y_len, list_sort(list(d)) AS ds FROM w GROUP BY x_idx, y_idx)"""

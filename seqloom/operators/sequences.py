@@ -54,11 +54,63 @@ def kmer_index(seqs: DataFrame, k: int, key: str = "idx") -> DataFrame:
     return seqs.select(key, F.posexplode(dna.kmers(F.col("seq"), k)).alias("pos", "kmer"))
 
 
-def diagonal_counts(x: DataFrame, y: DataFrame, k: int) -> DataFrame:
-    """x_idx, y_idx, diag, cnt: matching k-mers of each pair by diagonal pos_x - pos_y (an equi-join, counted map-side)."""
-    kx = kmer_index(x, k).select(F.col("idx").alias("x_idx"), F.col("pos").alias("px"), "kmer")
-    ky = kmer_index(y, k).select(F.col("idx").alias("y_idx"), F.col("pos").alias("py"), "kmer")
-    return kx.join(ky, "kmer").groupBy("x_idx", "y_idx", (F.col("px") - F.col("py")).alias("diag")).agg(F.count("*").alias("cnt"))
+def kmer_hits(x: DataFrame, y: DataFrame, k: int, *, block: int = 1024, task_hits: int = 20_000_000, broadcast_rows: int = 500_000) -> DataFrame:
+    """x_idx, px, y_idx, py: places with the same k-mer (as a number where it has up to 31 bases).
+
+    K-mers are counted on both sides first. One with many places on a side is cut into blocks of about ``block`` places of
+    either side, and each pair of blocks is a key of its own: a run of one base is dealt over as many tasks as its product
+    asks for. The number of tasks follows the number of hits.
+    """
+    def side(seqs: DataFrame, name: str) -> DataFrame:
+        found = kmer_index(seqs, k).select(F.col("idx").alias(f"{name}_idx"), F.col("pos").alias(f"p{name}"), "kmer")
+        return found.withColumn("kmer", dna.kmer_encode(F.col("kmer"))) if k <= 31 else found
+
+    kx, ky = side(x, "x"), side(y, "y")
+    counted = kx.groupBy("kmer").agg(F.count("*").alias("nx")).join(ky.groupBy("kmer").agg(F.count("*").alias("ny")), "kmer")
+    heavy = counted.filter((F.col("nx") > block) | (F.col("ny") > block)).select(F.col("kmer").alias("heavy"), *(F.ceil(F.col(n) / block).cast("int").alias(to) for n, to in (("nx", "bx"), ("ny", "by"))))
+    hits, n_heavy = counted.agg(F.sum(F.col("nx") * F.col("ny")), F.count_if((F.col("nx") > block) | (F.col("ny") > block))).first()
+    spark = x.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(hits or 0) // task_hits))
+
+    def dealt(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """With the block of either side: its own by its place, and every one of the other's."""
+        if not n_heavy:
+            return rows.withColumn("block_x", F.lit(0)).withColumn("block_y", F.lit(0)).repartition(tasks, "kmer", "block_x", "block_y")
+        marked = rows.join(F.broadcast(heavy) if n_heavy <= broadcast_rows else heavy, F.col("kmer") == F.col("heavy"), "left")
+        mine = F.coalesce(F.pmod(F.xxhash64(f"{name}_idx", f"p{name}"), F.col(f"b{own}")), F.lit(0)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"b{other}"), F.lit(1)) - 1))
+        return marked.withColumn(f"block_{own}", mine).withColumn(f"block_{other}", each).select(*rows.columns, "block_x", "block_y").repartition(tasks, "kmer", "block_x", "block_y")
+
+    keys = ["kmer", "block_x", "block_y"]
+    return dealt(kx, "x", "x", "y").join(dealt(ky, "y", "y", "x"), keys).select("x_idx", "px", "y_idx", "py")
+
+
+def diagonal_counts(x: DataFrame, y: DataFrame, k: int, **how) -> DataFrame:
+    """x_idx, y_idx, diag, cnt: matching k-mers of each pair by diagonal pos_x - pos_y (counted before they are shuffled)."""
+    return kmer_hits(x, y, k, **how).groupBy("x_idx", "y_idx", (F.col("px") - F.col("py")).alias("diag")).agg(F.count("*").alias("cnt"))
+
+
+def memory_thresholds(diags: DataFrame, lengths_x: DataFrame, lengths_y: DataFrame, *, band: int, max_bytes: int, cell: int = 24) -> DataFrame:
+    """For each pair the least count of k-mers that a seed needs so that the stored diagonals stay below ``max_bytes``.
+
+    Counts are taken from the highest on, each with all its seeds, and the first that reaches the limit and all below it are out.
+    x_idx, y_idx, threshold (null if even the highest is out), stored (diagonals then). A diagonal is stored from the highest count of a seed
+    in whose widened, clipped band, or beside it, it lies; diagonal 0 and its neighbours always are. So what is
+    stored at a count is what came at that count or before: a running sum.
+    """
+    sized = diags.join(lengths_x, "x_idx").join(lengths_y, "y_idx")
+    low, high = F.greatest(F.col("diag") - band // 2, 1 - F.col("y_len")), F.least(F.col("diag") + band // 2, F.col("x_len") - 1)
+    near = sized.filter(low <= high).select("x_idx", "y_idx", "x_len", "y_len", "cnt", F.explode(F.sequence(low - 1, high + 1)).alias("d"))
+    always = near.select("x_idx", "y_idx", "x_len", "y_len", F.lit(None).cast("long").alias("cnt"), F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("d"))
+    came = near.union(always).groupBy("x_idx", "y_idx", "x_len", "y_len", "d").agg(F.max("cnt").alias("cnt"), F.max(F.col("cnt").isNull()).alias("always"))
+    levels = came.groupBy("x_idx", "y_idx", "x_len", "y_len", F.when(~F.col("always"), F.col("cnt")).alias("cnt")).agg(F.count("*").alias("n"))
+    counts = diags.select("x_idx", "y_idx", F.col("cnt")).distinct().withColumn("n", F.lit(0).cast("long"))
+    lengths = lambda df: df.join(lengths_x, "x_idx").join(lengths_y, "y_idx").select("x_idx", "y_idx", "x_len", "y_len", "cnt", "n")
+    summed = levels.union(lengths(counts)).groupBy("x_idx", "y_idx", "x_len", "y_len", "cnt").agg(F.sum("n").alias("n"))
+    down = Window.partitionBy("x_idx", "y_idx").orderBy(F.col("cnt").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    running = summed.withColumn("stored", F.sum("n").over(down))
+    fits = F.col("stored") * F.least("x_len", "y_len") * cell < max_bytes
+    return running.groupBy("x_idx", "y_idx").agg(F.min(F.when(fits & F.col("cnt").isNotNull(), F.col("cnt"))).alias("threshold"), F.max(F.when(fits | F.col("cnt").isNull(), F.col("stored"))).alias("stored"))
 
 
 def count_distribution(diags: DataFrame) -> DataFrame:

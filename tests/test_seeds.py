@@ -1,0 +1,60 @@
+import random
+from collections import Counter
+from statistics import median
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqloom.operators import sequences as sq
+from seqloom.operators.kernels import choose_diagonals, tokens
+
+SEQS = "idx long, name string, seq string, qual string"
+
+
+def frame(spark, seqs):
+    return spark.createDataFrame([(i, f"s{i}", s, None) for i, s in enumerate(seqs)], SEQS)
+
+
+def by_hand(xs, ys, k):
+    at = lambda seqs: [(i, p, s[p : p + k]) for i, s in enumerate(seqs) for p in range(len(s) - k + 1)]
+    places = {}
+    for j, q, w in at(ys):
+        places.setdefault(w, []).append((j, q))
+    return Counter((i, j, p - q) for i, p, w in at(xs) for j, q in places.get(w, ()))
+
+
+@pytest.mark.parametrize(("k", "block"), [(3, 8), (6, 1024), (32, 4)])
+def test_diagonals_with_runs_of_one_base(spark, k, block):
+    rng = random.Random(k)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    xs, ys = ["A" * 150, text(80), text(40) + "A" * 60, "", "ac"], ["A" * 90, text(60), "A" * 35 + text(50)]
+    got = sq.diagonal_counts(frame(spark, xs), frame(spark, ys), k, block=block)
+    assert {(r["x_idx"], r["y_idx"], r["diag"]): r["cnt"] for r in got.collect()} == by_hand(xs, ys, k)
+
+
+def test_no_task_has_much_more_of_a_run_than_the_others(spark):
+    xs, ys = ["A" * 3000, "ACGT" * 50], ["A" * 2000] * 2
+    hits = sq.kmer_hits(frame(spark, xs), frame(spark, ys), 8, block=128, task_hits=250_000)
+    each = [r["n"] for r in hits.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(each) == (3000 - 7) * 2 * (2000 - 7) and max(each) <= 5 * median(each) and len(each) >= 40
+
+
+def test_memory_thresholds_are_those_of_the_kernel(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    xs = [text(rng.randrange(60, 200)) for _ in range(6)]
+    ys = [(x[10:50] + text(30) + x[52:90])[: rng.randrange(40, 100)] for x in xs]
+    x, y = frame(spark, xs), frame(spark, ys)
+    lengths = lambda df, n: df.select(F.col("idx").alias(f"{n}_idx"), F.length("seq").alias(f"{n}_len"))
+    diags = sq.diagonal_counts(x, y, 5).cache()
+    counts = by_hand(xs, ys, 5)
+    for limit in (1, 9_000, 30_000, 60_000, 10**9):
+        got = {(r["x_idx"], r["y_idx"]): r for r in sq.memory_thresholds(diags, lengths(x, "x"), lengths(y, "y"), band=16, max_bytes=limit).collect()}
+        assert {p[:2] for p in counts} == set(got)
+        for (i, j), r in got.items():
+            chosen = choose_diagonals(tokens(xs[i]), tokens(ys[j]), k=5, threshold=None, band=16, max_bytes=limit)
+            seeds = np.array([d for a, b, d in counts if (a, b) == (i, j) and r["threshold"] is not None and counts[a, b, d] >= r["threshold"]], np.int64)
+            wide = np.unique(np.append(np.clip((seeds[:, None] + np.arange(-8, 9)).ravel(), 1 - len(ys[j]), len(xs[i]) - 1), 0))
+            assert wide.tolist() == chosen.tolist()
+            assert r["stored"] == len(np.unique((wide[:, None] + np.arange(-1, 2)).ravel()))
