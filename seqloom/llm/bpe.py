@@ -4,10 +4,10 @@ A byte-pair encoding can be grown a byte at a time: of all tokens that end at a
 place of a word exactly one can be its prefix's last token, namely the one that
 stands beside the last token of what is before it, i.e. whose merges, run on the two together,
 leave both as they are. So a prefix's state is its last token and the prefix before that.
-Distinct words are put into a trie in order, which walks it depth first; a node
-gets its state from those above it, once, and every word that begins like that
-uses it. The ids of a word are read off its node upwards. Tries are kept by the
-worker process for its later batches, up to ``most_nodes``.
+The distinct new words of a batch are put into a trie in order, which walks it
+depth first; a node gets its state and its ids from those above it, once, and
+every word that begins like that uses them. Ids of words are kept by the worker process for its
+later batches, up to ``most_words``.
 
 Texts are parted into words in the tokenizer's way: special tokens first, then its pattern; plain
 texts by the same pattern here, others by the tokenizer's own splitter. Word
@@ -70,9 +70,6 @@ class Vocabulary:
             self.merged[self.ids[a], self.ids[b]] = self.ids[a + b]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.table = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        # what ends some token: going back from a place, nothing longer can be a token once this has no entry
-        self.endings = {t[k:] for t in self.ids for k in range(len(t))}
-        self.longest = max(map(len, self.ids))
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         tokenizer = Tokenizer.from_file(path)
         self._split = lambda text: [as_bytes(w).decode() for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
@@ -123,97 +120,116 @@ class Vocabulary:
 
 
 class Trie:
-    """Words by their bytes; each node has the last token of its prefix and the node before that token."""
+    """Encodes batches of texts; their new words make a trie, walked depth first.
 
-    def __init__(self, vocabulary: Vocabulary, *, most_nodes: int = 400_000, most_pairs: int = 1_000_000, long: int = 4096):
-        self.vocabulary, self.most_nodes, self.most_pairs, self.long = vocabulary, most_nodes, most_pairs, long
+    What is kept for later batches: ids of words, whether two tokens stay side by side, and the moves of an automaton over
+    the vocabulary, whose state is the longest end of a prefix that begins some token: the tokens that end there are its ends.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, *, most_words: int = 300_000, most_pairs: int = 1_000_000, long: int = 4096):
+        self.vocabulary, self.most_words, self.most_pairs, self.long = vocabulary, most_words, most_pairs, long
         self.stays: dict[int, bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.next: dict[int, int] = {}  # by node * 256 + byte
-        self.last, self.before = array("i", [-1]), array("i", [0])
-        self.known: dict[str, list[int]] = {}
-
-    def _last(self, prefix: bytes, path, last: array) -> tuple[int, int]:
-        """(last token, node before it) of a prefix: ``path[k]`` is the node of its first k bytes, or of the first so many of its last bytes that a token can have."""
-        ids, endings, stays, end, found = self.vocabulary.ids, self.vocabulary.endings, self.stays, len(prefix), []
-        for k in range(end - 1, -1, -1):
-            part = prefix[k:]
-            if part not in endings:
-                break
-            if part in ids:
-                found.append((ids[part], path[k]))
-        for token, node in reversed(found):  # the longest first
+        self.known: dict[str, bytes] = {}
+        self.begins = {t[:k] for t in vocabulary.ids for k in range(1, len(t) + 1)} | {b""}
+        self.moves: dict[int, int] = {}  # by state * 256 + byte
+        self.state_of, self.texts = {b"": 0}, [b""]
+        self.tokens: list[list[tuple[int, int]]] = [[]]  # of each state: (token, size) of all that end there, the longest first
+
+    def _move(self, state: int, byte: int) -> int:
+        text = self.texts[state] + bytes([byte])
+        while text not in self.begins:
+            text = text[1:]
+        to = self.state_of.setdefault(text, len(self.texts))
+        if to == len(self.texts):
+            ids = self.vocabulary.ids
+            self.texts.append(text)
+            self.tokens.append([(ids[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in ids])
+        self.moves[state << 8 | byte] = to
+        return to
+
+    def _last(self, state: int, last: list | array, path, depth: int) -> tuple[int, int]:
+        """(last token of a prefix of ``depth`` bytes, node before it); ``path[k]`` is the node of its first k bytes."""
+        stays = self.stays
+        for token, size in self.tokens[state]:
+            node = path[depth - size]
             pair = (last[node] + 1) << 32 | token
             stay = stays.get(pair)
             if stay is None:
                 stay = stays[pair] = self.vocabulary.stay(last[node], token)
             if stay:
                 return token, node
-        raise ValueError(f"no token ends {prefix!r}")
-
-    def insert(self, word: bytes) -> int:
-        """The node of ``word``; nodes that are new get their states."""
-        node, path, children, most = 0, [0], self.next, self.vocabulary.longest
-        for at, byte in enumerate(word, 1):
-            key = node << 8 | byte
-            node = children.get(key, 0)
-            if not node:
-                token, before = self._last(word[max(0, at - most) : at], path[-most:], self.last)
-                node = children[key] = len(self.last)
-                self.last.append(token)
-                self.before.append(before)
-            path.append(node)
-        return node
-
-    def _long(self, word: bytes) -> list[int]:
-        """Ids of one very long word, which would fill the trie alone: the same states, by place."""
-        most, last, before = self.vocabulary.longest, array("i", [-1]), array("i", [0])
-        for at in range(1, len(word) + 1):
-            start = max(0, at - most)
-            token, node = self._last(word[start:at], range(start, at), last)
+        raise ValueError("no token ends a prefix")
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Put words in: in order, so a word's prefixes are on the path of the word before it, or new."""
+        moves, last, encoded = self.moves, [-1], [()]
+        path, states, before = [0], [0], b""
+        for content, word in sorted((w.encode(), w) for w in words):
+            if len(content) > self.long:
+                self.known[word] = self._long(content).tobytes()
+                continue
+            at, common = 0, min(len(before), len(content))
+            while at < common and before[at] == content[at]:
+                at += 1
+            del path[at + 1 :], states[at + 1 :]
+            state = states[at]
+            for depth in range(at + 1, len(content) + 1):
+                byte = content[depth - 1]
+                to = moves.get(state << 8 | byte)
+                state = self._move(state, byte) if to is None else to
+                token, node = self._last(state, last, path, depth)
+                path.append(len(last))
+                states.append(state)
+                last.append(token)
+                encoded.append((*encoded[node], token))
+            self.known[word] = array("i", encoded[path[len(content)]]).tobytes()
+            before = content
+
+    def _long(self, word: bytes) -> array:
+        """Ids of one very long word, with its own places as nodes: without the ids of every prefix."""
+        last, before, state, moves = array("i", [-1]), array("i", [0]), 0, self.moves
+        for depth in range(1, len(word) + 1):
+            to = moves.get(state << 8 | word[depth - 1])
+            state = self._move(state, word[depth - 1]) if to is None else to
+            token, node = self._last(state, last, range(depth), depth)
             last.append(token)
             before.append(node)
-        return self._up(len(word), last, before)
-
-    @staticmethod
-    def _up(node: int, last: array, before: array) -> list[int]:
-        ids = []
+        ids, node = array("i"), len(word)
         while node:
             ids.append(last[node])
             node = before[node]
         ids.reverse()
         return ids
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Put words in; in order, so that the trie is walked depth first."""
-        for word in sorted(words):
-            content = word.encode()
-            self.known[word] = self._long(content) if len(content) > self.long else self._up(self.insert(content), self.last, self.before)
-
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text."""
-        if len(self.last) > self.most_nodes:
-            self.clear()
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, as 32-bit integers of this machine."""
+        if len(self.known) > self.most_words:
+            self.known.clear()
         if len(self.stays) > self.most_pairs:
             self.stays.clear()
-        apart, special, out = self.vocabulary.apart, self.vocabulary.special, []
-        for part in apart.split(text or "") if apart else [text or ""]:
-            if part in special:
-                out.append(special[part])
-                continue
-            words, known = self.vocabulary.words(part), self.known
-            new = {*words}.difference(known)
-            if new:
-                self.learn(new)
-            for word in words:
-                out += known[word]
-            for word in new:
-                if len(word) > self.long:
-                    del known[word]
+        apart, special = self.vocabulary.apart, {t: array("i", [i]).tobytes() for t, i in self.vocabulary.special.items()}
+        split = []  # of each text: lists of words, and special tokens between them
+        for text in texts:
+            parts = apart.split(text or "") if apart else [text or ""]
+            split.append([part if part in special else self.vocabulary.words(part) for part in parts])
+        known, new = self.known, set()
+        for parts in split:
+            for words in parts:
+                if type(words) is list:
+                    new.update(words)
+        new = new.difference(known)
+        self.learn(new)
+        of = known.__getitem__
+        out = [b"".join([special[words] if type(words) is str else b"".join(map(of, words)) for words in parts]) for parts in split]
+        for word in new:
+            if len(word) > self.long:
+                del known[word]
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a whole text."""
+        return array("i", self.encode_batch([text])[0]).tolist()
+
     def decode(self, ids: Iterable[int]) -> str:
         of = self.vocabulary.table
         return b"".join([of.get(i, b"") for i in ids]).decode("utf-8", "replace")
@@ -242,8 +258,10 @@ def encode(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_
         trie = Trie.of(path)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                ids = [np.array(trie.encode(t), np.int32) for t in piece["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece["id"], pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+                ids = trie.encode_batch(piece["text"].to_pylist())
+                places = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(places, np.frombuffer(b"".join(ids), np.int32))
+                yield pa.RecordBatch.from_arrays([piece["id"], listed], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
