@@ -36,6 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import pieces
 from .workspace import Workspace, table
 
 MATCHES = "item_id long, distance int, match_start long, match_end long"
@@ -252,9 +253,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             for matcher in files.matchers():
-                found = [(i, *m) for i, t in zip(ids, texts) for m in matcher.matches(t)]
+                found = [(i, *m) for piece in pieces(batch, "text") for i, t in zip(piece["doc_id"].to_pylist(), piece["text"].to_pylist()) for m in matcher.matches(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], schema.field(k).type) for k in range(5)], schema=schema)
 
     return rows.mapInArrow(run, f"doc_id long, {MATCHES}").withColumnRenamed("doc_id", id_col)
@@ -267,7 +267,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for matcher in files.matchers():
-                batch = batch.filter(pa.array([not matcher.matches(t) for t in batch[text].to_pylist()], pa.bool_()))
+                clean = [not matcher.matches(t) for piece in pieces(batch, text) for t in piece[text].to_pylist()]
+                batch = batch.filter(pa.array(clean, pa.bool_()))
             yield batch
 
     return docs.mapInArrow(run, docs.schema)
