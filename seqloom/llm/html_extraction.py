@@ -2,8 +2,9 @@
 
 A page is read into a tree of elements (void and implied ends, unclosed tags).
 Each element gets features: its tag and that of its parent, what its tag and
-attribute tokens name (and those of any ancestor), depth, text and link density
-of its subtree, and its place, kind and share of the text among its siblings. Boosted trees, trained here on pages built from templates
+attribute tokens name (and those of any ancestor; a class like "has-sidebar", or one of what
+holds nearly all text, names no part), depth, text and link density of its subtree, titles and
+legal lines in it, and its place, kind and share of the text among its siblings. Boosted trees, trained here on pages built from templates
 with known parts, give the probability that an element is unwanted by itself.
 Decoding walks the tree once from the leaves: an element is kept or cut with
 everything below it, whichever is likelier for the whole subtree, so nothing
@@ -11,7 +12,8 @@ is kept inside something that is cut.
 
 Defined results: a null or empty page has the empty text; malformed markup is
 read as far as it goes; a page without elements is its text; repeated rows are
-alike; very long pages are read whole; further columns are not looked at.
+alike; where keeping and cutting are equally likely, the element is kept; very long pages are read whole; an empty table gives no
+rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAMING = {"class", "id", "role", "type", "itemprop", "aria-label"}
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: With one of these a class speaks of what is around, or isn't: "has-sidebar", "no-comments", "ad-free".
+MODIFIERS = {"has", "have", "with", "without", "no", "not", "non", "hide", "free", "open", "closed", "enabled", "disabled", "visible", "layout"}
+LEGAL = re.compile(r"©|\(c\) *[12]\d\d\d|\b(?:copyright|all rights reserved|impressum|datenschutz|privacy policy|terms of (?:use|service)|legal notice)\b", re.I)
 #: Elements by kind, in their HTML meaning.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
@@ -48,13 +53,13 @@ SAME_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "kids", "chars", "links", "size")
+    __slots__ = ("tag", "words", "parent", "kids", "chars", "links", "size", "titles", "legal")
 
     def __init__(self, tag: str, words: list[str], parent: Node | None):
         self.tag, self.words, self.parent = tag, words, parent
         self.kids: list = []  # nodes and strings
-        self.chars = self.links = 0
-        self.size = 1
+        self.chars = self.links = self.legal = 0
+        self.size, self.titles = 1, int(tag == "h1")
 
 
 def attribute_words(attributes: str) -> list[str]:
@@ -63,7 +68,9 @@ def attribute_words(attributes: str) -> list[str]:
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in NAMING:
-            out += [w.lower() for w in NAME.findall(value)]
+            for part in value.strip("\"'").split():
+                words = [w.lower() for w in NAME.findall(part)]
+                out += words if MODIFIERS.isdisjoint(words) else ()
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             out.append("hidden")
     return out
@@ -150,7 +157,7 @@ def _implied(top: Node, tag: str, root: Node) -> Node:
 
 
 def nodes_of(root: Node) -> list[Node]:
-    """Elements in page order, with the characters, linked characters and elements of their subtrees."""
+    """Elements in page order, with the characters, linked characters, elements, h1 elements and legal lines of their subtrees."""
     out, stack = [], [root]
     while stack:
         n = stack.pop()
@@ -159,10 +166,11 @@ def nodes_of(root: Node) -> list[Node]:
     for n in reversed(out):
         for k in n.kids:
             if type(k) is Node:
-                n.chars, n.size = n.chars + k.chars, n.size + k.size
+                n.chars, n.size, n.titles, n.legal = n.chars + k.chars, n.size + k.size, n.titles + k.titles, n.legal + k.legal
                 n.links += k.chars if k.tag == "a" else k.links
             elif n.tag not in UNSEEN:
                 n.chars += len(k.strip())
+                n.legal += LEGAL.search(k) is not None
     return out
 
 
@@ -183,13 +191,17 @@ KINDS = {
     "content": "article main content post entry story body text prose articlebody",
 }
 _KIND = {w: i for i, words in enumerate(KINDS.values()) for w in words.split()}
-N_FEATURES = 16 + 2 * (len(TAGS) + 1) + 2 * len(KINDS)
+N_NUMBERS = 20
+N_FEATURES = N_NUMBERS + 2 * (len(TAGS) + 1) + 2 * len(KINDS)
 
 
 def features(nodes: list[Node]) -> np.ndarray:
-    """A row a node: 16 numbers, then tag, parent's tag, kinds named by itself, kinds named by any ancestor."""
+    """A row a node: numbers, then tag, parent's tag, kinds named by itself, kinds named by any ancestor.
+
+    What holds nearly all text, or the title and half of it, is no part beside the text: of its kinds only that of content counts.
+    """
     n_tags, n_kinds = len(TAGS) + 1, len(KINDS)
-    a, b = 16, 16 + n_tags
+    a, b = N_NUMBERS, N_NUMBERS + n_tags
     c = b + n_tags
     d = c + n_kinds
     x = np.zeros((len(nodes), N_FEATURES), np.float32)
@@ -199,9 +211,16 @@ def features(nodes: list[Node]) -> np.ndarray:
     tag = np.array([_TAG.get(n.tag, len(TAGS)) for n in nodes])
     depth, among = np.zeros(len(nodes)), np.zeros(len(nodes))
     kin, most, alike = np.zeros(len(nodes)), np.zeros(len(nodes)), Counter()  # child elements and the longest of them, for each parent
-    whole = 0.0
+    whole, content = 0.0, [*KINDS].index("content")
+    heads, before = np.array([n.titles for n in nodes]), 0  # h1 elements in each subtree, and those that ended or began before
+    last = np.zeros(len(nodes))
     for i, (n, up) in enumerate(zip(nodes, up_of.tolist())):  # parents come before their children, siblings in page order
         found = [_KIND[w] for w in (n.tag, *n.words) if w in _KIND]
+        if n.tag in ("html", "body") or n.chars >= (0.5 if n.titles else 0.9) * max(1, nodes[0].chars):
+            found = [k for k in found if k == content]
+        # whether the last h1 of the page is in it
+        last[i] = n.titles > 0 and before + n.titles == nodes[0].titles
+        before += n.tag == "h1"
         if found:
             x[i, [c + k for k in found]] = 1
         if n.tag in ("article", "main"):
@@ -220,6 +239,8 @@ def features(nodes: list[Node]) -> np.ndarray:
     x[:, 10] = [alike[up, n.tag] / max(1, kin[up]) if up >= 0 else 0 for n, up in zip(nodes, up_of.tolist())]
     x[:, 11], x[:, 12] = among / np.maximum(1, kin[over]), chars / np.maximum(1, most[over])
     x[:, 13], x[:, 14], x[:, 15] = kin, np.log1p(chars[over]), chars[over] / max(1, chars[0])
+    x[:, 16], x[:, 17] = heads, last
+    x[:, 18], x[:, 19] = min(3, nodes[0].titles), [n.legal > 0 and n.chars < 400 for n in nodes]
     x[np.arange(len(nodes)), a + tag] = 1
     x[np.arange(1, len(nodes)), b + tag[over[1:]]] = 1
     x[0, 7:16] = 0
@@ -295,9 +316,14 @@ UNWANTED = (
     ("div", "advert", "short"), ("div", "advert", "text"), ("div", "advert", "plain"), ("aside", "advert", "text"), ("section", "advert", "text"), ("p", "advert", "plain"), ("span", "advert", "plain"),
     ("div", "notice", "text"), ("div", "notice", "short"), ("div", "notice", "plain"), ("dialog", "", "text"), ("section", "notice", "text"), ("p", "notice", "plain"),
     ("form", "", "form"), ("form", "form", "form"), ("div", "form", "form"), ("div", "share", "links"), ("ul", "share", "links"),
-    ("div", "comments", "comments"), ("section", "comments", "comments"), ("ol", "comments", "comments"), ("ul", "comments", "comments"), ("div", "comments", "text"), ("div", "comments", "form"), ("div", "hidden", "text"),
+    ("div", "comments", "comments"), ("section", "comments", "comments"), ("ol", "comments", "comments"), ("ul", "comments", "comments"), ("div", "comments", "text"), ("div", "comments", "form"), ("div", "hidden", "text"), ("p", "hidden", "plain"), ("div", "hidden", "plain"),
     ("div", "", "links"), ("ul", "", "links"), ("div", "", "links"),
+    ("p", "", "legal"), ("div", "", "legal"), ("div", "other", "legal"), ("table", "", "legal"), ("div", "footer", "legal"),
 )
+#: What boxes of a title are called.
+TITLES = ("article-header", "entry-header", "post-header", "page-header", "content-header", "header", "banner", "hero", "title", "headline", "masthead", "top", "intro", "promo-header")
+#: Classes of what holds the page or the article that speak of other parts.
+AROUND = ("right-sidebar", "left-sidebar", "sidebar-right", "header-fixed", "footer-dark", "footer-widgets", "admin-bar", "cookie-notice", "header-layout-2", "nav-down", "comments-area-below", "two-columns", "logged-in", "menu-top")
 ARTICLES = (("article", ""), ("article", "content"), ("main", ""), ("div", "content"), ("div", "content"), ("section", "content"), ("div", ""), ("div", "other"), ("section", "other"), ("td", ""), ("", ""))
 #: Class names that say nothing of a part.
 OTHER = "row col container wrapper page inner outer grid box block section left right clearfix site app root large small dark fluid x1 lead".split()
@@ -334,6 +360,11 @@ class Templates:
             inner = r.choice(("", " ", " | ")).join(one() for _ in range(r.randrange(2, 14)))
             inner = f"<ul data-x>{inner}</ul>" if item == "li" and tag not in ("ul", "ol") else inner
             inner = f"<h3 data-x>{w(1, 4)}</h3>" * (tag not in ("ul", "ol") and r.random() < 0.3) + inner
+        elif content == "legal":
+            said = r.choice(("&copy; {}", "© {} All rights reserved.", "Copyright {}. All rights reserved.", "(c) 2019 {}", '<a data-x href="/i">Impressum</a> {}', '<a data-x href="/p">Privacy policy</a> <a data-x href="/t">Terms of use</a> {}'))
+            inner = said.format(f"{r.randrange(1990, 2025)} {w(1, 6)}")
+            inner = r.choice((inner, f"<small data-x>{inner}</small>", f"<p data-x>{inner}</p>")) if tag != "p" else inner
+            inner = f"<tr data-x><td data-x>{inner}</td></tr>" if tag == "table" else inner
         elif content == "short":
             inner = r.choice((w(2, 14), f"<p data-x>{w(2, 14)}</p>", f"&copy; 2024 {w(2, 10)}", f"<h2 data-x>{w(1, 4)}</h2>", f"<h1 data-x>{w(1, 4)}</h1>", link() + w(1, 5)))
         elif content == "form":
@@ -372,17 +403,22 @@ class Templates:
                 out.append(f"<div {self.named('other') if r.random() < 0.5 else ''}>{r.choice((w(10, 80), f'<p>{w(10, 80)}</p>', f'<span>{w(10, 80)}</span>'))}</div>")
             elif kind < 0.92:
                 out.append(f'<figure><img src="/i.png"><figcaption>{w(3, 15)}</figcaption></figure>')
-            elif kind < 0.94:
+            elif kind < 0.925:
                 out.append(f"{w(10, 60)}<br><br>{w(10, 60)}<br>")
+            elif kind < 0.955:  # inside an article such a line is the author's
+                out.append(f"<p>{r.choice(('All rights reserved.', 'Copyright ' + w(1, 6), '(c) 2019 ' + w(1, 4), w(2, 9) + ' All rights reserved.'))}</p>")
             else:
-                out.append(self.part(*r.choice(UNWANTED)))
+                out.append(self.part(*r.choice([u for u in UNWANTED if u[2] != "legal"])))
         return out
 
     def article(self) -> str:
         r, w = self.rng, self.words
         tag, kind = r.choice(ARTICLES)
         title = f"<h1>{w(1, 12)}</h1>" if r.random() < 0.8 else ""
-        if title and tag in ("article", "main") and r.random() < 0.2:
+        if title and r.random() < 0.25:
+            box = r.choice(("div", "div", "section", "header"))
+            title = f'<{box} class="{r.choice(TITLES)}">{title}{r.choice(("", "", f"<p>{w(2, 30)}</p>"))}</{box}>'
+        elif title and tag in ("article", "main") and r.random() < 0.2:
             title = f"<header>{title}{r.choice(('', f'<p>{w(2, 12)}</p>'))}</header>"
         inner = "".join(self.blocks())
         for _ in range(r.choice((0, 0, 0, 1, 2))):
@@ -390,22 +426,33 @@ class Templates:
         if not tag:
             return title + inner
         if tag == "td":
-            return f"<table><tr><td>{title}{inner}</td></tr></table>"
+            legal = r.choice(("", "", f"<tr data-x><td data-x>Copyright {r.randrange(1990, 2025)} {w(1, 6)} All rights reserved.</td></tr>", f"<tr data-x><td data-x><font data-x>&copy; {w(1, 6)}</font></td></tr>"))
+            return f"<table><tr><td>{title}{inner}</td></tr>{legal}</table>"
         return f"<{tag} {self.named(kind)}>{title}{inner}</{tag}>"
 
     def page(self) -> str:
         r = self.rng
         parts = [self.part(*r.choice(UNWANTED)) for _ in range(r.choice((0, 1, 2, 2, 3, 4, 6, 8)))]
-        parts.insert(r.randrange(len(parts) + 1), self.article())
+        article, at = self.article(), r.randrange(len(parts) + 1)
+        titled = "<h1>" in article
+        # other parts have an h1 only before the one of the article: the last one is the title
+        parts = [p if titled and k < at else p.replace("h1", "h2") for k, p in enumerate(parts)]
+        parts.insert(at, article.replace("<h1 data-x", "<h2 data-x"))
         if r.random() < 0.15:  # columns of a row
             parts = [f"<div {self.named('other')}>{p}</div>" if "data-x" not in p[:60] else p for p in parts]
         body = "".join(parts)
         for _ in range(r.choice((0, 0, 1, 2, 3))):
-            body = f"<div {self.named(r.choice(('', 'other', 'content')))}>{body}</div>"
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body>{body}</body></html>"
+            body = f"<div {self.around() if r.random() < 0.3 else self.named(r.choice(('', 'other', 'content')))}>{body}</div>"
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body {self.around() if r.random() < 0.3 else ''}>{body}</body></html>"
+
+    def around(self) -> str:
+        """The class of what holds a page."""
+        r, kinds = self.rng, [k for k in KINDS if k not in ("hidden", "content")]
+        said = [f"{r.choice(('has', 'with', 'no', 'without'))}-{r.choice(KINDS[r.choice(kinds)].split())}" for _ in range(r.randrange(3))]
+        return f'class="{" ".join([*said, *r.sample(AROUND, r.randrange(3)), *r.sample(OTHER, 1)])}"'
 
 
-def train(pages: int = 600, seed: int = 10) -> Boosted:
+def train(pages: int = 800, seed: int = 10) -> Boosted:
     """The model, trained on pages from the templates; the same everywhere."""
     made, xs, ys = Templates(seed), [], []
     for _ in range(pages):

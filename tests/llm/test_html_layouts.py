@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from html_layouts import LAYOUTS
+from html_layouts_more import MORE
 
 from seqloom.llm import html_extraction as hx
 
@@ -16,12 +17,51 @@ def model():
 
 def test_layouts_outside_the_templates(model):
     right = 0
-    for name, page, wanted in LAYOUTS:
+    for name, page, wanted in LAYOUTS + MORE:
         got = hx.extract([page], model)[0]
         same = sum(m.size for m in difflib.SequenceMatcher(None, got, wanted, autojunk=False).get_matching_blocks())
         assert same >= 0.95 * max(len(got), len(wanted)), (name, got)
         right += got == wanted
-    assert len(LAYOUTS) >= 20 and right >= len(LAYOUTS) - 2
+    assert len(LAYOUTS) >= 20 and len(MORE) >= 30 and right >= len(LAYOUTS + MORE) - 2
+
+
+def test_classes_that_speak_of_other_parts():
+    words = lambda c: hx.attribute_words(f' class="{c}"')
+    assert words("post has-comments no-sidebar ad-free") == ["post"] and words("comments") == ["comments"] and words("site-header") == ["site", "header"]
+    kinds = [*hx.KINDS]
+    for share, named in ((1, True), (30, False)):
+        nodes = hx.nodes_of(hx.parse(f"<body><div class=sidebar>{'text ' * share}</div><p>{'more ' * 10 if share == 1 else ''}</p></body>"))
+        x = hx.features(nodes)[[n.tag for n in nodes].index("div")]
+        assert x[-2 * len(kinds) + kinds.index("side")] == named
+
+
+def test_features_and_trees_against_plain_ones():
+    made, rng = hx.Templates(5), np.random.default_rng(5)
+    nodes = hx.nodes_of(hx.parse(made.page().replace(" data-x", "")))
+    x = hx.features(nodes)
+    text = lambda n: 0 if n.tag in hx.UNSEEN and all(type(k) is str for k in n.kids) else sum((0 if n.tag in hx.UNSEEN else len(k.strip())) if type(k) is str else text(k) for k in n.kids)
+    under = lambda n: 1 + sum(under(k) for k in n.kids if type(k) is not str)
+    depth = lambda n: 0 if n.parent is None else 1 + depth(n.parent)
+    for n, row in zip(nodes, x):
+        kin = [k for k in n.parent.kids if type(k) is not str] if n.parent else []
+        assert row[0] == min(30, depth(n)) and row[1] == pytest.approx(np.log1p(text(n)), rel=1e-5) and row[3] == pytest.approx(np.log1p(under(n)), rel=1e-5)
+        if kin:
+            assert row[13] == sum(type(k) is not str for k in n.kids) and row[9] == pytest.approx(np.log1p(len(kin)), rel=1e-5)
+            assert row[11] == pytest.approx(kin.index(n) / len(kin), rel=1e-5) and row[12] == pytest.approx(text(n) / max(1, *map(text, kin)), rel=1e-5)
+    a = rng.normal(size=(300, 4))
+    y = (a[:, 0] > 0) ^ (a[:, 1] > 0.3)
+    fit = hx.Boosted.fit(a, y.astype(float), rounds=12, depth=3)
+
+    def walked(row):
+        z = fit.bias
+        for feature, cut, value in fit.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = 2 * at + 1 + (row[feature[at]] > cut[at])
+            z += value[at]
+        return z
+
+    assert np.allclose(fit.log_odds(a), [walked(r) for r in a]) and ((fit.log_odds(a) > 0) == y).mean() > 0.95
 
 
 def test_attributes():
