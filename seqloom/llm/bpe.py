@@ -23,6 +23,7 @@ Truncation and padding of the tokenizer are not used.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -63,7 +64,7 @@ class Vocabulary:
         byte = {chr(c): b for b, c in _byte_letters().items()}
         as_bytes = lambda token: bytes(byte[c] for c in token)
         self.ids = {as_bytes(t): i for t, i in model["vocab"].items()}
-        self.rank, self.merged, self._ends = {}, {}, {}
+        self.rank, self.merged, self._ends, self.gathered = {}, {}, {}, None
         for n, pair in enumerate(model["merges"]):
             a, b = map(as_bytes, pair if isinstance(pair, list) else pair.split(" "))
             self.rank[self.ids[a], self.ids[b]] = n
@@ -126,7 +127,7 @@ class Trie:
     the vocabulary, whose state is the longest end of a prefix that begins some token: the tokens that end there are its ends.
     """
 
-    def __init__(self, vocabulary: Vocabulary, *, most_words: int = 300_000, most_pairs: int = 1_000_000, long: int = 4096):
+    def __init__(self, vocabulary: Vocabulary, *, most_words: int = 600_000, most_pairs: int = 1_000_000, long: int = 4096):
         self.vocabulary, self.most_words, self.most_pairs, self.long = vocabulary, most_words, most_pairs, long
         self.stays: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
@@ -147,53 +148,60 @@ class Trie:
         self.moves[state << 8 | byte] = to
         return to
 
-    def _last(self, state: int, last: list | array, path, depth: int) -> tuple[int, int]:
-        """(last token of a prefix of ``depth`` bytes, node before it); ``path[k]`` is the node of its first k bytes."""
-        stays = self.stays
-        for token, size in self.tokens[state]:
-            node = path[depth - size]
-            pair = (last[node] + 1) << 32 | token
-            stay = stays.get(pair)
-            if stay is None:
-                stay = stays[pair] = self.vocabulary.stay(last[node], token)
-            if stay:
-                return token, node
-        raise ValueError("no token ends a prefix")
+    def _stays(self, pair: int) -> bool:
+        stay = self.stays[pair] = self.vocabulary.stay((pair >> 32) - 1, pair & 0xFFFFFFFF)
+        return stay
 
     def learn(self, words: Iterable[str]) -> None:
-        """Put words in: in order, so a word's prefixes are on the path of the word before it, or new."""
-        moves, last, encoded = self.moves, [-1], [()]
-        path, states, before = [0], [0], b""
-        for content, word in sorted((w.encode(), w) for w in words):
+        """Put words in: in order, so a word's prefixes are on the path of the word before it, or new.
+
+        Of each node: ``last`` (its last token, plus one, as the upper half of a pair) and its ids, from those of the node before that token.
+        """
+        moves, stays, tokens, known = self.moves.get, self.stays.get, self.tokens, self.known
+        last, encoded, path, states, before = [0], [()], [0], [0], b""
+        for word in sorted(words):
+            content = word.encode()
             if len(content) > self.long:
-                self.known[word] = self._long(content).tobytes()
+                known[word] = self._long(content).tobytes()
                 continue
             at, common = 0, min(len(before), len(content))
             while at < common and before[at] == content[at]:
                 at += 1
             del path[at + 1 :], states[at + 1 :]
             state = states[at]
-            for depth in range(at + 1, len(content) + 1):
-                byte = content[depth - 1]
-                to = moves.get(state << 8 | byte)
+            for depth, byte in enumerate(content[at:], at + 1):
+                to = moves(state << 8 | byte)
                 state = self._move(state, byte) if to is None else to
-                token, node = self._last(state, last, path, depth)
+                for token, size in tokens[state]:
+                    node = path[depth - size]
+                    pair = last[node] | token
+                    stay = stays(pair)
+                    if stay or stay is None and self._stays(pair):
+                        break
+                else:
+                    raise ValueError(f"no token ends {content[:depth]!r}")
                 path.append(len(last))
                 states.append(state)
-                last.append(token)
-                encoded.append((*encoded[node], token))
-            self.known[word] = array("i", encoded[path[len(content)]]).tobytes()
+                last.append(token + 1 << 32)
+                encoded.append(encoded[node] + (token,))
+            known[word] = array("i", encoded[path[len(content)]]).tobytes()
             before = content
 
     def _long(self, word: bytes) -> array:
         """Ids of one very long word, with its own places as nodes: without the ids of every prefix."""
-        last, before, state, moves = array("i", [-1]), array("i", [0]), 0, self.moves
-        for depth in range(1, len(word) + 1):
-            to = moves.get(state << 8 | word[depth - 1])
-            state = self._move(state, word[depth - 1]) if to is None else to
-            token, node = self._last(state, last, range(depth), depth)
+        last, before, state, moves = array("i", [-1]), array("i", [0]), 0, self.moves.get
+        for depth, byte in enumerate(word, 1):
+            to = moves(state << 8 | byte)
+            state = self._move(state, byte) if to is None else to
+            for token, size in self.tokens[state]:
+                pair = last[depth - size] + 1 << 32 | token
+                stay = self.stays.get(pair)
+                if stay or stay is None and self._stays(pair):
+                    break
+            else:
+                raise ValueError(f"no token ends {word[:depth]!r}")
             last.append(token)
-            before.append(node)
+            before.append(depth - size)
         ids, node = array("i"), len(word)
         while node:
             ids.append(last[node])
@@ -218,7 +226,13 @@ class Trie:
                 if type(words) is list:
                     new.update(words)
         new = new.difference(known)
-        self.learn(new)
+        collecting = gc.isenabled()
+        gc.disable()  # a trie's many small tuples hold no cycles
+        try:
+            self.learn(new)
+        finally:
+            if collecting:
+                gc.enable()
         of = known.__getitem__
         out = [b"".join([special[words] if type(words) is str else b"".join(map(of, words)) for words in parts]) for parts in split]
         for word in new:
@@ -234,6 +248,26 @@ class Trie:
         of = self.vocabulary.table
         return b"".join([of.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
+    def decode_batch(self, ids: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids: the tokens' bytes are gathered at once; where these are no UTF-8, text by text."""
+        vocabulary = self.vocabulary
+        if vocabulary.gathered is None:
+            table = [vocabulary.table.get(i, b"") for i in range(max(vocabulary.table) + 2)]  # the last stands for ids that are none
+            sizes = np.array([len(t) for t in table], np.int64)
+            vocabulary.gathered = np.frombuffer(b"".join(table), np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes
+        content, starts, sizes = vocabulary.gathered
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        flat = np.where((flat < 0) | (flat >= len(sizes)), len(sizes) - 1, flat)
+        size = sizes[flat]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        whole = content[np.repeat(starts[flat] - ends[:-1], size) + np.arange(ends[-1])]
+        counts = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        texts = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[counts].astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())])
+        try:
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.as_py().decode("utf-8", "replace") for t in texts], pa.string())
+
     _kept: dict = {}
 
     @classmethod
@@ -276,7 +310,7 @@ def decode(encoded: DataFrame, *, tokenizer: str | None = None, ids: str = "ids"
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([trie.decode(i or ()) for i in part[ids].to_pylist()], pa.string())], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, trie.decode_batch(part[ids])], [*names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
