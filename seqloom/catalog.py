@@ -328,6 +328,30 @@ def _path_sql(best: bool) -> str:
 ), ends AS (SELECT idx, ln({any_of}(list_transform(m, lambda v: v * {bi}))) AS score FROM r WHERE j = length(y))"""
 
 
+def _back_sql() -> str:
+    """The same from the last row back, over all paths: what may follow a match or an insertion at each cell."""
+    from .plans.model import Params
+
+    p = Params.default()
+    bi, bd, ei, ed = float(p.begin_insert[0]), float(p.begin_delete[0]), float(p.extend_insert), float(p.extend_delete)
+    cells = lambda t: "[" + ", ".join(map(str, t)) + "]"
+    match = "[" + ", ".join(cells(float(p.match[a, b, 0]) for b in range(4)) for a in range(4)) + "]"
+    insert = cells(float(p.insert[b, 0]) for b in range(4))
+    base = lambda s, k: f"instr('ACGT', substr({s}, ({k})::INT, 1))"
+    return f"""b AS (
+  SELECT idx, x, y, length(y)::BIGINT AS j, list_transform(range(0, 13), lambda k: {bi}::DOUBLE) AS after_m, list_transform(range(0, 13), lambda k: 0.0::DOUBLE) AS after_i FROM pairs
+  UNION ALL
+  SELECT idx, x, y, j - 1,
+    list_transform(range(0, 13), lambda k: {(1 - bi) * (1 - bd)} * coalesce(to_m[k + 2], 0.0) + {bi} * to_i[k + 1]
+      + {bd * (1 - bi)} * coalesce(list_sum(list_transform(range(k + 1, 12), lambda h: pow({ed}::DOUBLE, h - k - 1) * {1 - ed} * to_m[h + 2])), 0.0)),
+    list_transform(range(0, 13), lambda k: {1 - ei} * coalesce(to_m[k + 2], 0.0) + {ei} * to_i[k + 1])
+  FROM (SELECT idx, x, y, j,
+      list_transform(range(0, 13), lambda k: CASE WHEN k < 1 THEN 0.0::DOUBLE ELSE {match}[{base('x', 'k')}][{base('y', 'j')}] * after_m[k + 1] END) AS to_m,
+      list_transform(range(0, 13), lambda k: {insert}[{base('y', 'j')}] * after_i[k + 1]) AS to_i
+    FROM b WHERE j > 1)
+)"""
+
+
 PAIRS_SQL = f"""{SHORT_SQL}, pairs AS (SELECT idx, substr(seq, 1, 12) AS x, translate(substr(upper(md5('y' || idx)), 1, 4), '0123456789ABCDEF', 'ACGTACGTACGTACGT') || substr(seq, 4, 6) AS y FROM short)"""
 
 
@@ -361,6 +385,35 @@ def posterior_mass(spark, sf_dir):
     return cells.groupBy(F.col("x_idx").alias("idx"), "j").agg(F.round(F.sum(F.col("post_match") + F.col("post_insert")), 6).alias("mass"))
 
 
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, {_path_sql(False)}, {_back_sql()}, k AS (SELECT unnest(range(1, 13)) AS i)
+SELECT r.idx, k.i::INT AS i, r.j::INT AS j, round(r.m[k.i + 1] * b.after_m[k.i + 1] / exp(score), 6) AS post_match, round(r.i[k.i + 1] * b.after_i[k.i + 1] / exp(score), 6) AS post_insert
+FROM r JOIN b ON r.idx = b.idx AND r.j = b.j JOIN ends ON ends.idx = r.idx, k""")
+def posterior_cells(spark, sf_dir):
+    """The probability that a base of the read is matched with a base of the reference, or inserted after it."""
+    from .operators.align import pair_cells
+
+    cells = pair_cells(_short_pairs(spark, sf_dir))
+    return cells.select(F.col("x_idx").alias("idx"), "i", "j", F.round("post_match", 6).alias("post_match"), F.round("post_insert", 6).alias("post_insert"))
+
+
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, {_path_sql(False)}, {_back_sql()}, k AS (SELECT unnest(range(1, 13)) AS i),
+c AS (SELECT substr(r.x, k.i::INT, 1) AS ref_base, substr(r.y, r.j::INT, 1) AS read_base, r.m[k.i + 1] * b.after_m[k.i + 1] / exp(score) AS pm, r.i[k.i + 1] * b.after_i[k.i + 1] / exp(score) AS pi
+  FROM r JOIN b ON r.idx = b.idx AND r.j = b.j JOIN ends ON ends.idx = r.idx, k)
+SELECT 'match' AS kind, ref_base, read_base, round(sum(pm), 3) AS expected FROM c GROUP BY ALL
+UNION ALL SELECT 'insert', NULL, read_base, round(sum(pi), 3) FROM c GROUP BY ALL""")
+def expected_emissions(spark, sf_dir):
+    """Expected numbers of matches by both bases and of insertions by base, over all paths of the short pairs."""
+    from .operators.align import pair_cells
+
+    pairs = _short_pairs(spark, sf_dir)
+    cells = pair_cells(pairs).join(pairs.select("x_idx", "x_seq", "y_seq"), "x_idx")
+    base = lambda c, at: F.substring(F.col(c), F.col(at), F.lit(1))
+    each = cells.select(base("x_seq", "i").alias("ref_base"), base("y_seq", "j").alias("read_base"), "post_match", "post_insert")
+    matches = each.groupBy(F.lit("match").alias("kind"), "ref_base", "read_base").agg(F.round(F.sum("post_match"), 3).alias("expected"))
+    inserts = each.groupBy(F.lit("insert").alias("kind"), F.lit(None).cast("string").alias("ref_base"), "read_base").agg(F.round(F.sum("post_insert"), 3).alias("expected"))
+    return matches.union(inserts)
+
+
 def _both(spark, sf_dir):
     return sq.with_revcomps(references(spark, sf_dir), 1_000_000_000)
 

@@ -22,7 +22,7 @@ def test_stored_diagonals_have_both_neighbours(spark):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", ["memory_thresholds", "diagonal_counts", "storage_layout", "quality_histogram", "nb_moment_fit", "viterbi_scores", "forward_likelihoods", "posterior_mass"])
+@pytest.mark.parametrize("name", ["posterior_cells", "expected_emissions", "memory_thresholds", "diagonal_counts", "storage_layout", "quality_histogram", "nb_moment_fit", "viterbi_scores", "forward_likelihoods", "posterior_mass"])
 def test_queries_equal_their_sql(spark, name):
     got = catalog.queries()[name](spark, SF)
     con = duckdb.connect()
