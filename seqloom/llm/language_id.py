@@ -13,7 +13,8 @@ so what is shuffled and broadcast is bounded by languages x slots.
 Defined results: a null text, or one without letters, is ``und`` with score 0
 (and so is everything if nothing can be learned); ties go to the first code;
 texts of a null language are not learned from; repeated rows are alike; a very
-long text is read whole, in memory of a few dozen bytes a character.
+long text is read whole, in memory of a few dozen bytes a character; an empty table gives no rows; further
+columns are not looked at. More than MAX_LANGUAGES languages are an error: all their counts are one array.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ after an end.
 Tokens are told apart by 64-bit hashes (48 bits inside a part), pairs by 40 bits
 inside a part. Defined results: a null or empty text
 is the end token alone; with nothing to learn from N and V are 0; repeated
-rows are scored each by itself, and each counts in training; ids may be null;
+rows are scored each by itself, and each counts in training; ids may be null, and rows of one id are documents
+of their own; tokens of equal count are ordered by their hash; an empty table gives no rows;
 a very long text is a piece by itself; further columns are not looked at.
 """
 

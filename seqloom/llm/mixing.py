@@ -13,7 +13,8 @@ null text or a text without words has size 0 and is taken with its range;
 repeated rows are documents of their own (ties in the order are broken by key,
 id and size; equal rows are interchangeable and counted together); a null source is a source, last
 in order; a null id hashes as the empty string; a null or non-positive quality
-counts as 1; an empty table gives an empty mix.
+counts as 1; very long texts count by all their words; further columns are not looked at, or kept by the
+pipeline's stage; an empty table gives an empty mix.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Defined results: a null text counts as empty (all statistics 0, rejected by
 the base rule); labels that contradict each other for one id are set aside;
 with no low label, with labels of one kind only, or with too few low ones to
 grow and to test a rule on (``min_cover``), the list is empty and the base rule
-alone decides; repeated rows are judged each by itself; very long texts are
+alone decides; a value at a threshold is on the side that the threshold names, of equally good rules the first
+feature and bin is taken; repeated rows are judged each by itself; an empty table gives no rows; very long texts are
 read whole; further columns are kept or not looked at.
 """
 

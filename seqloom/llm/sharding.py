@@ -10,8 +10,9 @@ shard in a join that Spark may split.
 
 Defined results: a null text has no bytes (size 1, crc 0) and forms a group
 with other null texts, apart from empty ones; repeated rows get slots of their
-own; with fewer groups than shards some shards stay empty; an empty table
-gives an empty result.
+own; groups of equal size are told apart by their keys, rows of equal id by their text's; very
+long texts count by all their bytes; with fewer groups than shards some shards stay empty; an empty table
+gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
