@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -46,6 +46,18 @@ def reference_rows(refs: DataFrame) -> DataFrame:
     return refs.select(F.col("idx").cast("long").alias("idx"), F.coalesce(F.col("source.name"), F.col("name")).alias("origin"), "seq", (~F.col("is_orig")).alias("rev"))
 
 
+def reference_windows(refs: DataFrame, size: int, lap: int) -> DataFrame:
+    """Rows of ``reference_rows`` cut into windows of ``size`` bases, each with the last ``lap`` of the one before: offset (bases before it) and full (the reference's length).
+
+    What spans up to ``lap`` bases lies in full in one of them.
+    """
+    if not 0 < lap < size:
+        raise ValueError("a window has to be longer than its overlap with the next")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("full") - lap - 1), F.lit(size - lap))
+    cut = refs.withColumn("full", F.length("seq")).withColumn("offset", F.explode(starts))
+    return cut.select("idx", "origin", F.substring("seq", F.col("offset") + 1, F.lit(size)).alias("seq"), "rev", "offset", "full")
+
+
 def in_blocks(rows: DataFrame, name: str, most_bases: int) -> DataFrame:
     """``rows`` in one array column: what stands together in a partition, cut at about ``most_bases`` bases of seq."""
     columns = rows.columns
@@ -71,7 +83,8 @@ def reference_parts(refs: DataFrame) -> int:
 
 def block_pairs(reads: DataFrame, refs: DataFrame, parts: int, *, ref_bases: int = 2_000_000, read_bases: int = 100_000) -> DataFrame:
     """(refs, reads): every block of references beside every block of reads; both stay partitioned."""
-    return in_blocks(refs.repartition(parts, "idx"), "refs", ref_bases).crossJoin(in_blocks(reads, "reads", read_bases))
+    keys = [c for c in ("idx", "offset") if c in refs.columns]
+    return in_blocks(refs.repartition(parts, *keys), "refs", ref_bases).crossJoin(in_blocks(reads, "reads", read_bases))
 
 
 def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict]]]:
@@ -105,13 +118,15 @@ def rows_of_path(path: list[tuple[int, int, str]], x: str, y: str, qual: str | N
     return a, b, None if qual is None else "".join("~" if s == "D" else qual[j - 1] for _, j, s in path)
 
 
-def align(reads: DataFrame, refs: DataFrame, *, params: Params | None = None, null: NullModel | None = None, config: EnvelopeConfig | None = None, local: bool = True, best_only: bool = True, threshold: float | None = 0.0, use_quals: bool = True, seed: tuple[int, int] | None = None) -> DataFrame:
+def align(reads: DataFrame, refs: DataFrame, *, params: Params | None = None, null: NullModel | None = None, config: EnvelopeConfig | None = None, local: bool = True, best_only: bool = True, threshold: float | None = 0.0, use_quals: bool = True, seed: tuple[int, int] | None = None, window: tuple[int, int] | None = None) -> DataFrame:
     """Every read against every reference: the best alignment of each read, or all. Columns: ALIGNMENT.
 
     ``refs`` is ``with_revcomps`` of the references, or just those for one strand. A task takes blocks of references and
     blocks of reads, of bounded size; of each such pair only results are shuffled. With ``seed`` (k, n) only those pairs
     are aligned, in the same way, that have n common k-mers on one diagonal; they come from a join, and a read that
-    has no such pair is lost.
+    has no such pair is lost. With ``window`` (size, overlap) references are cut into overlapping windows, whose places are
+    turned into the reference's again: what a task holds doesn't grow with a reference. An alignment that spans no more
+    than the overlap lies in one window; a read that could span more needs a larger one.
     """
     params, config = params or Params.default(), config or EnvelopeConfig()
     null = null or null_model(reads)
@@ -143,23 +158,28 @@ def align(reads: DataFrame, refs: DataFrame, *, params: Params | None = None, nu
                     path = sweep.path(0, int(end[0]), back)
                     seq, rev = found[n]["seq"], found[n]["rev"]
                     a, b, quality = rows_of_path(path, seq, read["seq"], read["qual"] if q is not None else None)
-                    start, stop = path[0][0], path[-1][0]
+                    before, full = found[n].get("offset") or 0, found[n].get("full") or len(seq)
+                    start, stop = before + path[0][0], before + path[-1][0]
                     if rev:
-                        start, stop = len(seq) - stop + 1, len(seq) - start + 1
+                        start, stop = full - stop + 1, full - start + 1
                     got.append((found[n]["idx"], found[n]["origin"], read["idx"], read["name"], float(raw[0]), base, float(raw[0]) - base, a, b, quality, start, stop, rev, 1, len(y)))
             kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
             types = [kinds[f.split()[1]] for f in ALIGNMENT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(types)], names)
 
     found, parts = reference_rows(refs), reference_parts(refs)
+    found = reference_windows(found, *window) if window else found
     if seed:
         pairs = sq.seed_diagonals(sq.diagonal_counts(refs, reads, seed[0]), seed[1]).select("x_idx", "y_idx").distinct()
-        both = pairs.join(found.select(F.col("idx").alias("x_idx"), F.struct("idx", "origin", "seq", "rev").alias("x")), "x_idx")
+        both = pairs.join(found.select(F.col("idx").alias("x_idx"), F.struct(*found.columns).alias("x")), "x_idx")
         both = both.join(rows.select(F.col("idx").alias("y_idx"), F.struct("idx", "name", "seq", "qual").alias("y")), "y_idx")
         blocks = both.repartition(parts, "x_idx", "y_idx").select(F.array("x").alias("refs"), F.array("y").alias("reads"))
     else:
         blocks = block_pairs(rows, found, parts)
     out = blocks.mapInArrow(run, ALIGNMENT)
+    if window:  # what lies in two windows is found twice
+        pair = Window.partitionBy("y_idx", "x_idx").orderBy(F.desc("score"), "ref_start")
+        out = out.withColumn("__n", F.row_number().over(pair)).filter("__n = 1").drop("__n")
     return sq.best_per_group(out, "y_idx", "score", "x_idx") if best_only else out
 
 
