@@ -127,7 +127,7 @@ class Trie:
     the vocabulary, whose state is the longest end of a prefix that begins some token: the tokens that end there are its ends.
     """
 
-    def __init__(self, vocabulary: Vocabulary, *, most_words: int = 600_000, most_pairs: int = 1_000_000, long: int = 4096):
+    def __init__(self, vocabulary: Vocabulary, *, most_words: int = 400_000, most_pairs: int = 1_000_000, long: int = 4096):
         self.vocabulary, self.most_words, self.most_pairs, self.long = vocabulary, most_words, most_pairs, long
         self.stays: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
@@ -284,6 +284,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def listed(ids: list[bytes]) -> pa.ListArray:
+    """Lists of ids from their bytes."""
+    places = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(places, np.frombuffer(b"".join(ids), np.int32))
+
+
 def encode(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id and ``ids``, the token ids of each text."""
     path = tokenizer or default_tokenizer()
@@ -292,10 +298,7 @@ def encode(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_
         trie = Trie.of(path)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                ids = trie.encode_batch(piece["text"].to_pylist())
-                places = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(places, np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays([piece["id"], listed], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([piece["id"], listed(trie.encode_batch(piece["text"].to_pylist()))], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -315,7 +318,22 @@ def decode(encoded: DataFrame, *, tokenizer: str | None = None, ids: str = "ids"
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
+def round_trip(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, ``ids`` and ``decoded`` (the text that the ids give) of each text, by one worker a task: what it keeps is there once."""
+    path = tokenizer or default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie.of(path)
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                ids = listed(trie.encode_batch(piece["text"].to_pylist()))
+                yield pa.RecordBatch.from_arrays([piece["id"], ids, trie.decode_batch(ids)], ["id", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+
+
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(table(spark, sf_dir, "documents")))
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    both = round_trip(table(spark, sf_dir, "documents"))
+    text_of_ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text_of_ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seqloom.llm.bpe import Trie, Vocabulary, decode, default_tokenizer, encode, op11_bpe
+from seqloom.llm.bpe import Trie, Vocabulary, decode, default_tokenizer, encode, op11_bpe, round_trip
 
 POOL = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070)]] + ["<|endoftext|>", "<|endof", "'s", "'ll", " ", "  ", "\n\n", "東", "京", "é", "😀", "͸", "the", "ing", "aaaaaaaaa", " " * 10, "　", "٣", "१"]
 
@@ -77,6 +77,7 @@ def test_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").withColumn("decoded", F.lit(1))
     plain = Tokenizer.from_file(default_tokenizer())
     got = decode(encode(docs)).collect()
+    assert sorted(map(str, round_trip(docs).collect())) == sorted(map(str, got))
     key = lambda r: (str(r[0]), len(r[1]))
     wanted = [(i, plain.encode(t or "", add_special_tokens=False).ids, t or "") for i, t, _ in rows]
     assert sorted(map(tuple, got), key=key) == sorted(wanted, key=key)
