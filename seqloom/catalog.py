@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sq.drop_empty(docs.select(F.col("doc_id").alias("idx"), F.concat(F.lit("d"), "doc_id").alias("name"), dna.dna_of_text(F.col("text")).alias("seq"), F.lit(None).cast("string").alias("qual")))
+    return sq.from_text(docs.select(F.col("doc_id").alias("idx"), F.concat(F.lit("d"), "doc_id").alias("name"), F.col("text").alias("seq"), F.lit(None).cast("string").alias("qual")))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
