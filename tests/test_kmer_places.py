@@ -18,7 +18,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["diagonal_counts", "seed_diagonals", "band_envelopes"])
+@pytest.mark.parametrize("name", ["diagonal_counts", "seed_diagonals", "band_envelopes", "count_distribution"])
 def test_kmers_are_not_shuffled(spark, name):
     assert "hashpartitioning(kmer" not in plan_of(catalog.queries()[name](spark, SF))
 
