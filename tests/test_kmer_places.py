@@ -18,7 +18,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["diagonal_counts", "seed_diagonals", "band_envelopes", "count_distribution"])
+@pytest.mark.parametrize("name", ["diagonal_counts", "seed_diagonals", "band_envelopes", "count_distribution", "storage_layout"])
 def test_kmers_are_not_shuffled(spark, name):
     assert "hashpartitioning(kmer" not in plan_of(catalog.queries()[name](spark, SF))
 
@@ -52,3 +52,7 @@ def test_texts_become_the_same_bases(spark):
     want = [tuple(r) for r in sq.drop_empty(rows.withColumn("seq", dna.dna_of_text(rows["seq"]))).collect()]
     got = sq.from_text(rows)
     assert [tuple(r) for r in got.collect()] == want and got.schema == rows.schema
+
+
+def test_layout_sorts_no_rows(spark):
+    assert "Window" not in plan_of(catalog.queries()["storage_layout"](spark, SF))
