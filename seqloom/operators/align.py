@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..plans.model import NullModel, Params
 from . import sequences as sq
-from .kernels import OverlapSweep, Scores, Sweep, choose_diagonals, envelope, quals, tokens
+from .kernels import OverlapSweep, PairSweep, Scores, Sweep, choose_diagonals, envelope, quals, tokens
 
 ALIGNMENT = "x_idx long, x_name string, y_idx long, y_name string, raw double, null_ll double, score double, ref_row string, read_row string, qual_row string, ref_start int, ref_end int, ref_rev boolean, read_start int, read_end int"
 
@@ -183,22 +183,43 @@ def align(reads: DataFrame, refs: DataFrame, *, params: Params | None = None, nu
     return sq.best_per_group(out, "y_idx", "score", "x_idx") if best_only else out
 
 
+def pair_rows(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (x_idx, x_seq, y_idx, y_seq) dealt over a stated number of partitions: by bytes alone, many short pairs would share a task."""
+    spark = pairs.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = pairs.select(F.col("x_idx").cast("long").alias("x_idx"), "x_seq", F.col("y_idx").cast("long").alias("y_idx"), "y_seq")
+    return rows.repartition(parts, "x_idx", "y_idx")
+
+
+def pair_sweeps(batch: pa.RecordBatch, scores: Scores, config: EnvelopeConfig, local: bool, most_cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, PairSweep]]:
+    """Rows of ``batch``, and a sweep over all their lanes: reads of one length together, no more at once than about ``most_cells`` cells (or one pair)."""
+    xs, ys = ([tokens(s) for s in batch[c].to_pylist()] for c in ("x_seq", "y_seq"))
+    sizes = np.array([len(y) for y in ys], np.int64)
+    for size in np.unique(sizes).tolist():
+        rows, lanes, cells = [], [], 0
+        for n in [*np.flatnonzero(sizes == size).tolist(), None]:
+            own = [] if n is None else envelope(config.diagonals(xs[n], ys[n]), len(xs[n]), size)
+            more = sum(w for _, w in own) * 2 * (2 * size + max((w for _, w in own), default=0))
+            if rows and (n is None or cells + more > most_cells or max(w for _, w in own) > 2 * lanes[0][2] + 16):
+                yield np.array(rows), PairSweep(np.stack([ys[r] for r in rows]), [xs[r] for r in rows], lanes, scores, local=local)
+                rows, lanes, cells = [], [], 0
+            lanes += [(len(rows), d, w) for d, w in own]
+            rows, cells = [*rows, n], cells + more
+
+
 def pair_scores(pairs: DataFrame, *, params: Params | None = None, config: EnvelopeConfig | None = None, local: bool = True) -> DataFrame:
     """For each row (x_idx, x_seq, y_idx, y_seq), without qualities: score of the best path and log likelihood over all paths."""
     scores, config = Scores.of(params or Params.default()), config or EnvelopeConfig(full=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, all_paths = [], []
-            for a, b in zip(batch["x_seq"].to_pylist(), batch["y_seq"].to_pylist()):
-                x, y = tokens(a), tokens(b)
-                sweep = Sweep(y, None, [x], lanes_of([x], y, config), scores, local=local)
-                best.append(float(sweep.viterbi(trace=False)[0].max()))
-                all_paths.append(float(np.logaddexp.reduce(sweep.forward()[0])))
-            yield pa.RecordBatch.from_arrays([batch["x_idx"], batch["y_idx"], pa.array(best, pa.float64()), pa.array(all_paths, pa.float64())], ["x_idx", "y_idx", "viterbi", "forward"])
+            best, all_paths = (np.full(batch.num_rows, -np.inf) for _ in range(2))
+            for rows, sweep in pair_sweeps(batch, scores, config, local):
+                np.maximum.at(best, rows[sweep.owner], sweep.viterbi(trace=False)[0])
+                np.logaddexp.at(all_paths, rows[sweep.owner], sweep.forward()[0])
+            yield pa.RecordBatch.from_arrays([batch["x_idx"], batch["y_idx"], pa.array(best), pa.array(all_paths)], ["x_idx", "y_idx", "viterbi", "forward"])
 
-    rows = pairs.select(F.col("x_idx").cast("long").alias("x_idx"), "x_seq", F.col("y_idx").cast("long").alias("y_idx"), "y_seq")
-    return rows.mapInArrow(run, "x_idx long, y_idx long, viterbi double, forward double")
+    return pair_rows(pairs).mapInArrow(run, "x_idx long, y_idx long, viterbi double, forward double")
 
 
 def pair_cells(pairs: DataFrame, *, params: Params | None = None, config: EnvelopeConfig | None = None, local: bool = True) -> DataFrame:
@@ -212,22 +233,21 @@ def pair_cells(pairs: DataFrame, *, params: Params | None = None, config: Envelo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for xi, a, yi, b in zip(*(batch[c].to_pylist() for c in ("x_idx", "x_seq", "y_idx", "y_seq"))):
-                x, y = tokens(a), tokens(b)
-                sweep = Sweep(y, None, [x], lanes_of([x], y, config), scores, local=local)
+            for rows, sweep in pair_sweeps(batch, scores, config, local, 1_000_000):
                 lanes, kept = sweep.forward(keep=True)
-                whole = np.logaddexp.reduce(lanes)
-                if not np.isfinite(whole):
-                    continue
+                whole = np.full(len(rows), -np.inf)
+                np.logaddexp.at(whole, sweep.owner, lanes)
                 cells: list = []
                 sweep.backward_counts(kept, lanes, cells)
-                lane, i, j, mat, ins, dele, *posts = (np.concatenate(c) for c in zip(*cells))
-                weight = np.exp(lanes - whole)[lane]
-                columns = (np.full(len(i), xi), np.full(len(i), yi), i.astype(np.int32), j.astype(np.int32), mat, ins, dele, *(np.nan_to_num(q) * weight for q in posts))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    rows = pairs.select(F.col("x_idx").cast("long").alias("x_idx"), "x_seq", F.col("y_idx").cast("long").alias("y_idx"), "y_seq")
-    return rows.mapInArrow(run, "x_idx long, y_idx long, i int, j int, mat double, ins double, del double, post_match double, post_insert double, post_delete double")
+                lane, i, j, mat, ins, dele, *posts = (np.concatenate(c) for c in zip(*cells)) if cells else [np.zeros(0, np.int64)] * 9
+                there = np.isfinite(whole[sweep.owner[lane]])
+                of = sweep.owner[lane[there]]
+                weight = np.exp(lanes[lane[there]] - whole[of])
+                row = pa.array(rows[of])
+                columns = (i.astype(np.int32), j.astype(np.int32), mat, ins, dele)
+                yield pa.RecordBatch.from_arrays([batch["x_idx"].take(row), batch["y_idx"].take(row), *(pa.array(c[there]) for c in columns), *(pa.array(np.nan_to_num(q[there]) * weight) for q in posts)], names)
+
+    return pair_rows(pairs).mapInArrow(run, "x_idx long, y_idx long, i int, j int, mat double, ins double, del double, post_match double, post_insert double, post_delete double")
 
 
 def cell_lines(cells: DataFrame) -> DataFrame:

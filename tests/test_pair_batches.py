@@ -1,0 +1,65 @@
+import random
+
+import numpy as np
+import pytest
+
+from seqloom.operators import align
+from seqloom.operators.align import EnvelopeConfig, lanes_of, pair_cells, pair_scores
+from seqloom.operators.kernels import Scores, Sweep, tokens
+from seqloom.plans.model import Params
+
+PAIRS = "x_idx long, x_seq string, y_idx long, y_seq string"
+
+
+def some_pairs(n, seed=3):
+    rng = random.Random(seed)
+    text = lambda m: "".join(rng.choice("ACGT") for _ in range(m))
+    xs = [text(rng.choice([5, 12, 12, 60])) for _ in range(n)]
+    return [(k, x, k // 2, rng.choice([text(7), x[1:9], x[2:] + text(3)])) for k, x in enumerate(xs)]
+
+
+@pytest.mark.parametrize("config", [EnvelopeConfig(full=True), EnvelopeConfig(k=3, threshold=4, band=4)])
+@pytest.mark.parametrize("local", [True, False])
+def test_pairs_together_are_as_each_alone(spark, config, local):
+    rows, scores = some_pairs(60), Scores.of(Params.default())
+    got = {r["x_idx"]: r for r in pair_scores(spark.createDataFrame(rows, PAIRS).coalesce(1), config=config, local=local).collect()}
+    for k, a, _, b in rows:
+        x, y = tokens(a), tokens(b)
+        sweep = Sweep(y, None, [x], lanes_of([x], y, config), scores, local=local)
+        assert got[k]["viterbi"] == pytest.approx(float(sweep.viterbi(trace=False)[0].max()), rel=1e-12)
+        assert got[k]["forward"] == pytest.approx(float(np.logaddexp.reduce(sweep.forward()[0])), rel=1e-12)
+
+
+def count_sweeps(monkeypatch):
+    made = []
+    start = align.Sweep.__init__
+
+    def record(self, *args, **options):
+        made.append(1)
+        start(self, *args, **options)
+
+    monkeypatch.setattr(align.Sweep, "__init__", record)
+    return made
+
+
+@pytest.mark.parametrize("most", [1, 4_000_000])
+def test_many_pairs_take_few_sweeps(monkeypatch, most):
+    import pyarrow as pa
+
+    made = count_sweeps(monkeypatch)
+    k, x, i, y = zip(*some_pairs(500))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (k, x, i, y)], ["x_idx", "x_seq", "y_idx", "y_seq"])
+    got = list(align.pair_sweeps(batch, Scores.of(Params.default()), EnvelopeConfig(full=True), True, most))
+    assert sorted(n for rows, _ in got for n in rows.tolist()) == list(range(500))
+    assert len(made) == (500 if most == 1 else len(got)) and (most == 1 or len(got) < 30)
+
+
+@pytest.mark.parametrize("of", [pair_scores])
+def test_pairs_of_one_file_are_dealt(spark, of):
+    rows = spark.createDataFrame(some_pairs(200), PAIRS).coalesce(1)
+    assert of(rows).rdd.getNumPartitions() >= 4
+
+
+def test_rows_of_no_pairs(spark):
+    none = spark.createDataFrame([], PAIRS)
+    assert pair_scores(none).count() == pair_cells(none).count() == 0
