@@ -54,7 +54,7 @@ def test_many_pairs_take_few_sweeps(monkeypatch, most):
     assert len(made) == (500 if most == 1 else len(got)) and (most == 1 or len(got) < 30)
 
 
-@pytest.mark.parametrize("of", [pair_scores])
+@pytest.mark.parametrize("of", [pair_scores, pair_cells])
 def test_pairs_of_one_file_are_dealt(spark, of):
     rows = spark.createDataFrame(some_pairs(200), PAIRS).coalesce(1)
     assert of(rows).rdd.getNumPartitions() >= 4
