@@ -63,3 +63,12 @@ def test_pairs_of_one_file_are_dealt(spark, of):
 def test_rows_of_no_pairs(spark):
     none = spark.createDataFrame([], PAIRS)
     assert pair_scores(none).count() == pair_cells(none).count() == 0
+
+
+def test_best_paths_of_a_batch_take_one_sweep_a_length(spark, monkeypatch):
+    import pyarrow as pa
+
+    made = count_sweeps(monkeypatch)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in ([1, 2, 3], ["ACGTACGTACGT"] * 3, [1, 2, 3], ["ACGT", "ACGA", "CGTAC"])], ["x_idx", "x_seq", "y_idx", "y_seq"])
+    best = [s.viterbi(trace=False)[0].tolist() for _, s in align.pair_sweeps(batch, Scores.of(Params.default()), EnvelopeConfig(full=True), True)]
+    assert len(made) == 2 and best[0][0] > best[0][1]
