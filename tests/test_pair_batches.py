@@ -72,3 +72,14 @@ def test_best_paths_of_a_batch_take_one_sweep_a_length(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in ([1, 2, 3], ["ACGTACGTACGT"] * 3, [1, 2, 3], ["ACGT", "ACGA", "CGTAC"])], ["x_idx", "x_seq", "y_idx", "y_seq"])
     best = [s.viterbi(trace=False)[0].tolist() for _, s in align.pair_sweeps(batch, Scores.of(Params.default()), EnvelopeConfig(full=True), True)]
     assert len(made) == 2 and best[0][0] > best[0][1]
+
+
+def test_mass_of_all_pairs_by_few_batches(spark):
+    """Cells come a sweep at a time, and each base of a read is somewhere."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, "ACGTACGTACGT", k, "ACGTTACG") for k in range(400)]
+    cells = pair_cells(spark.createDataFrame(rows, PAIRS))
+    mass = cells.groupBy("x_idx", "j").agg(F.sum(F.col("post_match") + F.col("post_insert")).alias("m")).collect()
+    assert len(mass) == 400 * 8 and all(abs(r["m"] - 1) < 1e-9 for r in mass)
+    assert cells.rdd.getNumPartitions() >= 4
