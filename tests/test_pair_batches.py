@@ -83,3 +83,13 @@ def test_mass_of_all_pairs_by_few_batches(spark):
     mass = cells.groupBy("x_idx", "j").agg(F.sum(F.col("post_match") + F.col("post_insert")).alias("m")).collect()
     assert len(mass) == 400 * 8 and all(abs(r["m"] - 1) < 1e-9 for r in mass)
     assert cells.rdd.getNumPartitions() >= 4
+
+
+def test_bases_come_with_the_cells(spark):
+    from seqloom import catalog
+
+    rows = some_pairs(40)
+    seqs = {k: (x, y) for k, x, _, y in rows}
+    got = pair_cells(spark.createDataFrame(rows, PAIRS), bases=True).collect()
+    assert got and all((r["ref_base"], r["read_base"]) == (seqs[r["x_idx"]][0][r["i"] - 1], seqs[r["x_idx"]][1][r["j"] - 1]) for r in got)
+    assert "Join" not in catalog.queries()["expected_emissions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
