@@ -18,7 +18,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["diagonal_counts", "seed_diagonals", "band_envelopes", "count_distribution", "storage_layout"])
+@pytest.mark.parametrize("name", ["diagonal_counts", "seed_diagonals", "band_envelopes", "count_distribution", "storage_layout", "memory_thresholds"])
 def test_kmers_are_not_shuffled(spark, name):
     assert "hashpartitioning(kmer" not in plan_of(catalog.queries()[name](spark, SF))
 
@@ -55,4 +55,8 @@ def test_texts_become_the_same_bases(spark):
 
 
 def test_layout_sorts_no_rows(spark):
-    assert "Window" not in plan_of(catalog.queries()["storage_layout"](spark, SF))
+    assert "Window" not in plan_of(catalog.queries()["storage_layout", "memory_thresholds"](spark, SF))
+
+
+def test_thresholds_list_no_diagonals(spark):
+    assert "Generate" not in plan_of(catalog.queries()["memory_thresholds"](spark, SF))
