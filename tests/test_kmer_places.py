@@ -60,3 +60,17 @@ def test_layout_sorts_no_rows(spark):
 
 def test_thresholds_list_no_diagonals(spark):
     assert "Generate" not in plan_of(catalog.queries()["memory_thresholds"](spark, SF))
+
+
+def test_places_in_order_of_a_key_with_gaps(spark):
+    keys = [5, 900, 7, 40, 41, 10**12, 0]
+    got = sq.numbered(spark.createDataFrame([(k,) for k in keys], "key long").repartition(3), "key").collect()
+    assert {r["key"]: r["idx"] for r in got} == {k: n for n, k in enumerate(sorted(keys))}
+
+
+def test_pairs_are_dealt_over_tasks_and_none_is_lost(spark):
+    seqs = spark.range(60).withColumnRenamed("id", "idx").coalesce(1)
+    got = sq.triangular_pairs(seqs, 30, block=7)
+    assert got.rdd.getNumPartitions() >= 4
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == [(x, y, y >= 30) for x in range(29) for y in range(x + 1, 60)]
