@@ -120,16 +120,19 @@ def _byte_letters() -> dict[int, int]:
 
 class Encoder:
     """Ids of whole texts as bytes. Texts of plain characters are parted here, in the tokenizer's way, and only parts
-    that are not remembered go to its model; texts with other characters go to the tokenizer whole."""
+    that are not remembered go to its model; texts with other characters go to the tokenizer whole.
+
+    About ``most`` parts are remembered, and as many of those before; of these, what is met again stays."""
 
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, tokenizer: str, most: int = 1_000_000):
+    def __init__(self, tokenizer: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.letters = Tokenizer.from_file(tokenizer), most, _byte_letters()
         self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         told = json.loads(self.tokenizer.to_str())
         steps = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         splits = len(steps) == 2 and steps[0].get("pattern") == {"Regex": SHORT_SPLIT} and steps[0].get("invert") and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"]
@@ -147,14 +150,17 @@ class Encoder:
         return self.short and PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
 
     def _learn(self, parts: Iterable[str]) -> None:
-        tokenize, letters, kept = self.tokenizer.model.tokenize, self.letters, self.parts
+        tokenize, letters, kept, before = self.tokenizer.model.tokenize, self.letters, self.parts, self.before
         for part in parts:
+            if part in before:
+                kept[part] = before[part]
+                continue
             tokens = tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(letters))
             kept[part] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         if len(self.parts) > self.most:
-            self.parts.clear()
+            self.before, self.parts = self.parts, {}
         end, out, odd = struct.pack("<I", end_id), [], []
         known = self.parts.__getitem__
         for t in texts:

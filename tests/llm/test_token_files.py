@@ -95,3 +95,14 @@ def test_very_long_text():
     ids = Encoder(default_tokenizer()).encode([text], 1)[0]
     one = Tokenizer.from_file(default_tokenizer()).encode(text[:17], add_special_tokens=False).ids
     assert ids == struct.pack(f"<{len(one)}I", *one) * 300_000 + struct.pack("<I", 1)
+
+
+def test_remembered_parts_are_bounded():
+    """A worker that meets ever new words keeps the last ones; before, it kept a million."""
+    own = Encoder(default_tokenizer())
+    word = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    for at in range(0, 400_000, 10_000):
+        texts = ["the same " + " ".join(map(word, range(at, at + 10_000)))]
+        got = own.encode(texts, 1)
+        assert at % 100_000 or got[0][:-4] == b"".join(i.to_bytes(4, "little") for i in own.tokenizer.encode(texts[0], add_special_tokens=False).ids)
+    assert len(own.parts) + len(own.before) < 350_000 and "same" in own.parts | own.before
