@@ -144,7 +144,7 @@ diags AS (SELECT kx.idx AS x_idx, ky.idx AS y_idx, kx.pos - ky.pos AS diag, coun
 
 @query(f"WITH {DIAGS_SQL} SELECT * FROM diags")
 def diagonal_counts(spark, sf_dir):
-    return sq.diagonal_counts(references(spark, sf_dir), reads(spark, sf_dir), DIAG_K)
+    return sq.diagonal_counts(references(spark, sf_dir), reads(spark, sf_dir), DIAG_K, ids=table(spark, sf_dir, "documents").select("doc_id"))
 
 
 @query(f"WITH {DIAGS_SQL} SELECT x_idx, y_idx, cnt, array_to_string(list_sort(list(diag)), ',') AS diagonals FROM diags GROUP BY x_idx, y_idx, cnt")
@@ -155,7 +155,7 @@ def count_distribution(spark, sf_dir):
 
 @query(f"WITH {DIAGS_SQL} SELECT * FROM diags WHERE cnt >= 14")
 def seed_diagonals(spark, sf_dir):
-    return sq.seed_diagonals(sq.diagonal_counts(references(spark, sf_dir), reads(spark, sf_dir), DIAG_K), 14)
+    return sq.seed_diagonals(diagonal_counts(spark, sf_dir), 14)
 
 
 @query(f"""WITH {DIAGS_SQL}, p AS (SELECT d.*, length(x.seq) AS x_len, length(y.seq) AS y_len FROM diags d JOIN refs x ON x.idx = d.x_idx JOIN reads y ON y.idx = d.y_idx),

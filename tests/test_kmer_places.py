@@ -84,3 +84,34 @@ def test_strands_are_turned_a_text_at_a_time(spark):
     want = {r["idx"] + 10: r["rc"] for r in rows.select("idx", dna.revcomp(rows["seq"]).alias("rc")).collect()}
     assert {r["idx"]: r["seq"] for r in got.filter("not is_orig").collect()} == want
     assert "translate(" not in plan_of(got)
+
+
+@pytest.mark.parametrize("name", ["diagonal_counts", "seed_diagonals"])
+def test_diagonals_are_counted_where_the_reference_is(spark, name):
+    assert "Exchange" not in plan_of(catalog.queries()[name](spark, SF)) and "Join" not in plan_of(catalog.queries()[name](spark, SF))
+
+
+@pytest.mark.parametrize("most_hits", [1, 7, 2_000_000])
+def test_diagonals_in_place_are_those_of_the_join(spark, monkeypatch, most_hits):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    xs = [text(80), "", None, text(3), "A" * 40, text(300), text(6)]
+    ys = [text(30), "A" * 9, xs[5][40:90] + "acgt", None, ""]
+    x, y = frame(spark, xs), spark.createDataFrame([(7, "a", ys[0], None), (7, "b", ys[1], None), (None, "c", ys[2], None), (9, "d", ys[3], None), (10, "e", ys[4], None)], SEQS)
+    x = x.withColumn("idx", x["idx"] * 3).coalesce(1)
+    joined = sq.kmer_hits(x, y, 4).selectExpr("x_idx", "y_idx", "px - py as diag").groupBy("x_idx", "y_idx", "diag").count()
+    want = sorted((tuple(r) for r in joined.collect()), key=str)
+    start = sq.batch_places
+    monkeypatch.setattr(sq, "batch_places", lambda b, k, within, piece=11: start(b, k, within, piece))
+    places = sq.kmer_places(y, 4, "y").toArrow()
+    got = sq._diagonals_in_place(x, places, 4, "bigint", most_hits)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert sq.diagonal_counts(x, y, 4).schema == got.schema
+
+
+def test_repeated_references_are_one(spark):
+    x, y = frame(spark, ["ACGTACGT"]), frame(spark, ["ACGTAC"])
+    once = {(r["diag"], r["cnt"]) for r in sq.diagonal_counts(x, y, 4).collect()}
+    twice = sq.diagonal_counts(x.union(x), y, 4).collect()
+    assert {(r["diag"], r["cnt"]) for r in twice} == {(d, 2 * c) for d, c in once} and len(twice) == len(once)
+    assert sq.diagonal_counts(x, frame(spark, ["", None]), 4).count() == 0
