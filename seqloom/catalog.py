@@ -167,7 +167,7 @@ SELECT x_idx, y_idx, min(CASE WHEN len(ds) * least(x_len, y_len) * 24 < 600000 T
 def memory_thresholds(spark, sf_dir):
     x, y = references(spark, sf_dir), reads(spark, sf_dir)
     lx, ly = x.select(F.col("idx").alias("x_idx"), F.length("seq").alias("x_len")), y.select(F.col("idx").alias("y_idx"), F.length("seq").alias("y_len"))
-    return sq.memory_thresholds(sq.diagonal_counts(x, y, DIAG_K), lx, ly, band=64, max_bytes=600_000)
+    return sq.memory_thresholds(diagonal_counts(spark, sf_dir), lx, ly, band=64, max_bytes=600_000)
 
 
 BANDS_SQL = f"""{DIAGS_SQL}, s AS (SELECT d.x_idx, d.y_idx, length(x.seq) AS x_len, length(y.seq) AS y_len, d.diag FROM diags d JOIN refs x ON x.idx = d.x_idx JOIN reads y ON y.idx = d.y_idx WHERE cnt >= 14),
@@ -178,13 +178,12 @@ env AS (SELECT x_idx, y_idx, any_value(x_len) AS x_len, any_value(y_len) AS y_le
 def _bands(spark, sf_dir):
     x, y = references(spark, sf_dir), reads(spark, sf_dir)
     lx, ly = x.select(F.col("idx").alias("x_idx"), F.length("seq").alias("x_len")), y.select(F.col("idx").alias("y_idx"), F.length("seq").alias("y_len"))
-    env = sq.bands(sq.seed_diagonals(sq.diagonal_counts(x, y, DIAG_K), 14), lx, ly, 64)
-    return env.join(lx, "x_idx").join(ly, "y_idx")
+    return sq.bands(seed_diagonals(spark, sf_dir), lx, ly, 64), lx, ly
 
 
 @query(f"WITH {BANDS_SQL} SELECT x_idx, y_idx, array_to_string(ds, ',') AS diagonals FROM env")
 def band_envelopes(spark, sf_dir):
-    return _bands(spark, sf_dir).select("x_idx", "y_idx", F.array_join(F.col("diagonals").cast("array<string>"), ",").alias("diagonals"))
+    return _bands(spark, sf_dir)[0].select("x_idx", "y_idx", F.array_join(F.col("diagonals").cast("array<string>"), ",").alias("diagonals"))
 
 
 @query(f"""WITH {BANDS_SQL}, p AS (SELECT x_idx, y_idx, x_len, y_len, list_sort(list_distinct(flatten(list_transform(ds, lambda d: [d - 1, d, d + 1])))) AS stored FROM env),
@@ -193,7 +192,8 @@ c AS (SELECT x_idx, y_idx, j, stored, list_filter(stored, lambda d: d + j >= 0 A
 SELECT x_idx, y_idx, j::INT AS j, len(inside)::BIGINT AS cells, coalesce(sum(len(inside)) OVER (PARTITION BY x_idx, y_idx ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
 CASE WHEN len(inside) > 0 THEN list_position(stored, inside[1]) - 1 ELSE -1 END::INT AS first FROM c""")
 def storage_layout(spark, sf_dir):
-    return sq.storage_layout(_bands(spark, sf_dir))
+    env, lx, ly = _bands(spark, sf_dir)
+    return sq.storage_layout(env.join(lx, "x_idx").join(ly, "y_idx"))
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier),

@@ -115,3 +115,7 @@ def test_repeated_references_are_one(spark):
     twice = sq.diagonal_counts(x.union(x), y, 4).collect()
     assert {(r["diag"], r["cnt"]) for r in twice} == {(d, 2 * c) for d, c in once} and len(twice) == len(once)
     assert sq.diagonal_counts(x, frame(spark, ["", None]), 4).count() == 0
+
+
+def test_envelopes_join_lengths_once(spark):
+    assert plan_of(catalog.queries()["band_envelopes"](spark, SF)).count("Join") == 2
