@@ -21,6 +21,9 @@ table writes no files; further columns are not looked at.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import re
@@ -126,7 +129,7 @@ class Encoder:
 
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, tokenizer: str, most: int = 150_000):
+    def __init__(self, tokenizer: str, most: int = 80_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -146,6 +149,15 @@ class Encoder:
             cls._kept[tokenizer] = cls(tokenizer)
         return cls._kept[tokenizer]
 
+    @classmethod
+    def let_go(cls) -> None:
+        """Give back the memory of those of this worker process."""
+        if cls._kept:
+            cls._kept.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
     def _plain(self, text: str) -> bool:
         return self.short and PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
 
@@ -201,8 +213,8 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_
             return pa.RecordBatch.from_pydict({"part": [context.partitionId()], "nth": [nth], "file": [file], "n_docs": [len(writer.ids)], "n_ids": [n_ids]})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
                 if writer is None:
                     file = f"{path}/part-{context.partitionId():08d}-{nth:04d}-{context.taskAttemptId()}.tok.zst"
                     store, name = fs.FileSystem.from_uri(file)
@@ -234,6 +246,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """One row a document, from the files: doc_id, file, frame, start, n_tokens, ids_crc32."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.let_go()  # the files are written
         for batch in batches:
             for row in batch.to_pylist():
                 start, out = row["base"], {k: [] for k in ("doc_id", "file", "frame", "start", "n_tokens", "ids_crc32")}
