@@ -366,14 +366,14 @@ def _short_pairs(spark, sf_dir):
 def viterbi_scores(spark, sf_dir):
     from .operators.align import pair_scores
 
-    return pair_scores(_short_pairs(spark, sf_dir)).select(F.col("x_idx").alias("idx"), F.round("viterbi", 6).alias("viterbi"))
+    return pair_scores(_short_pairs(spark, sf_dir), of=("viterbi",)).select(F.col("x_idx").alias("idx"), F.round("viterbi", 6).alias("viterbi"))
 
 
 @query(f"WITH RECURSIVE {PAIRS_SQL}, {_path_sql(False)} SELECT idx, round(score, 6) AS forward FROM ends")
 def forward_likelihoods(spark, sf_dir):
     from .operators.align import pair_scores
 
-    return pair_scores(_short_pairs(spark, sf_dir)).select(F.col("x_idx").alias("idx"), F.round("forward", 6).alias("forward"))
+    return pair_scores(_short_pairs(spark, sf_dir), of=("forward",)).select(F.col("x_idx").alias("idx"), F.round("forward", 6).alias("forward"))
 
 
 @query(f"WITH {SHORT_SQL} SELECT idx, j::INT AS j, 1.0::DOUBLE AS mass FROM short, range(1, 11) r(j)")
@@ -381,7 +381,7 @@ def posterior_mass(spark, sf_dir):
     """Every base of a read is matched or inserted somewhere: over the reference the probabilities add up to 1."""
     from .operators.align import pair_cells
 
-    cells = pair_cells(_short_pairs(spark, sf_dir))
+    cells = pair_cells(_short_pairs(spark, sf_dir), only=("x_idx", "j", "post_match", "post_insert"))
     return cells.groupBy(F.col("x_idx").alias("idx"), "j").agg(F.round(F.sum(F.col("post_match") + F.col("post_insert")), 6).alias("mass"))
 
 
@@ -392,7 +392,7 @@ def posterior_cells(spark, sf_dir):
     """The probability that a base of the read is matched with a base of the reference, or inserted after it."""
     from .operators.align import pair_cells
 
-    cells = pair_cells(_short_pairs(spark, sf_dir))
+    cells = pair_cells(_short_pairs(spark, sf_dir), only=("x_idx", "i", "j", "post_match", "post_insert"))
     return cells.select(F.col("x_idx").alias("idx"), "i", "j", F.round("post_match", 6).alias("post_match"), F.round("post_insert", 6).alias("post_insert"))
 
 

@@ -256,27 +256,29 @@ def pair_sweeps(batch: pa.RecordBatch, scores: Scores, config: EnvelopeConfig, l
             rows, cells = [*rows, n], cells + more
 
 
-def pair_scores(pairs: DataFrame, *, params: Params | None = None, config: EnvelopeConfig | None = None, local: bool = True) -> DataFrame:
-    """For each row (x_idx, x_seq, y_idx, y_seq), without qualities: score of the best path and log likelihood over all paths."""
+def pair_scores(pairs: DataFrame, *, params: Params | None = None, config: EnvelopeConfig | None = None, local: bool = True, of: tuple[str, ...] = ("viterbi", "forward")) -> DataFrame:
+    """For each row (x_idx, x_seq, y_idx, y_seq), without qualities: score of the best path and log likelihood over all paths, or the one of them in ``of``."""
     scores, config = Scores.of(params or Params.default()), config or EnvelopeConfig(full=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, all_paths = (np.full(batch.num_rows, -np.inf) for _ in range(2))
+            got = {name: np.full(batch.num_rows, -np.inf) for name in of}
             for rows, sweep in pair_sweeps(batch, scores, config, local):
-                np.maximum.at(best, rows[sweep.owner], sweep.viterbi(trace=False)[0])
-                np.logaddexp.at(all_paths, rows[sweep.owner], sweep.forward()[0])
-            yield pa.RecordBatch.from_arrays([batch["x_idx"], batch["y_idx"], pa.array(best), pa.array(all_paths)], ["x_idx", "y_idx", "viterbi", "forward"])
+                if "viterbi" in got:
+                    np.maximum.at(got["viterbi"], rows[sweep.owner], sweep.viterbi(trace=False)[0])
+                if "forward" in got:
+                    np.logaddexp.at(got["forward"], rows[sweep.owner], sweep.forward()[0])
+            yield pa.RecordBatch.from_arrays([batch["x_idx"], batch["y_idx"], *map(pa.array, got.values())], ["x_idx", "y_idx", *got])
 
-    return pair_rows(pairs).mapInArrow(run, "x_idx long, y_idx long, viterbi double, forward double")
+    return pair_rows(pairs).mapInArrow(run, ", ".join(["x_idx long, y_idx long", *(f"{name} double" for name in of)]))
 
 
-def pair_cells(pairs: DataFrame, *, params: Params | None = None, config: EnvelopeConfig | None = None, local: bool = True, bases: bool = False) -> DataFrame:
+def pair_cells(pairs: DataFrame, *, params: Params | None = None, config: EnvelopeConfig | None = None, local: bool = True, bases: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     """The matrix of each row (x_idx, x_seq, y_idx, y_seq), without qualities: a row a cell inside the envelope.
 
     x_idx, y_idx, i, j, log sums over all paths up to the cell (mat, ins, del), and the probability of each state there given
     the pair (post_match, post_insert, post_delete). Lanes of an envelope are summed apart and weighted by their share.
-    With ``bases`` also ref_base and read_base, those at i and j.
+    With ``bases`` also ref_base and read_base, those at i and j. ``only``: the columns that leave the task, where not all are wanted.
     """
     scores, config = Scores.of(params or Params.default()), config or EnvelopeConfig(full=True)
     names = ["x_idx", "y_idx", "i", "j", "mat", "ins", "del", "post_match", "post_insert", "post_delete", *(["ref_base", "read_base"] if bases else [])]
@@ -297,9 +299,11 @@ def pair_cells(pairs: DataFrame, *, params: Params | None = None, config: Envelo
                 row = pa.array(rows[of])
                 columns = (i.astype(np.int32), j.astype(np.int32), mat, ins, dele)
                 codes = (sweep.x[lane, i - 1 - sweep.base[lane, 0]], sweep.reads[lane, j - 1]) if bases else ()
-                yield pa.RecordBatch.from_arrays([batch["x_idx"].take(row), batch["y_idx"].take(row), *(pa.array(c[there]) for c in columns), *(pa.array(np.nan_to_num(q[there]) * weight) for q in posts), *(pa.array(letters).take(pa.array(c[there].astype(np.int64))) for c in codes)], names)
+                whole_row = pa.RecordBatch.from_arrays([batch["x_idx"].take(row), batch["y_idx"].take(row), *(pa.array(c[there]) for c in columns), *(pa.array(np.nan_to_num(q[there]) * weight) for q in posts), *(pa.array(letters).take(pa.array(c[there].astype(np.int64))) for c in codes)], names)
+                yield whole_row.select(list(only)) if only else whole_row
 
-    return pair_rows(pairs).mapInArrow(run, "x_idx long, y_idx long, i int, j int, mat double, ins double, del double, post_match double, post_insert double, post_delete double" + (", ref_base string, read_base string" if bases else ""))
+    kinds = dict(zip(names, ["long"] * 2 + ["int"] * 2 + ["double"] * 6 + ["string"] * 2))
+    return pair_rows(pairs).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in only or names))
 
 
 def cell_lines(cells: DataFrame) -> DataFrame:

@@ -1,0 +1,19 @@
+import pytest
+
+from seqloom.operators.align import pair_cells, pair_scores
+
+PAIRS = "x_idx long, x_seq string, y_idx long, y_seq string"
+
+
+def test_only_what_is_asked_for_leaves_the_tasks(spark):
+    """The same numbers, without the columns that a query would throw away."""
+    rows = spark.createDataFrame([(k, "ACGTACGTACGT", k, ("ACGTTACG", "CGTA")[k % 2]) for k in range(10)], PAIRS)
+    both = {r["x_idx"]: r for r in pair_scores(rows).collect()}
+    for name in ("viterbi", "forward"):
+        one = pair_scores(rows, of=(name,))
+        assert one.columns == ["x_idx", "y_idx", name]
+        assert {r["x_idx"]: r[name] for r in one.collect()} == pytest.approx({k: r[name] for k, r in both.items()})
+    columns = ("x_idx", "i", "j", "post_match")
+    some = pair_cells(rows, only=columns)
+    assert some.columns == list(columns)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, pair_cells(rows).select(*columns).collect()))
