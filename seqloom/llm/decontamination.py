@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import pieces
+from .workers import tidy
 from .workspace import Workspace, table
 
 MATCHES = "item_id long, distance int, match_start long, match_end long"
@@ -257,7 +258,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                 found = [(i, *m) for piece in pieces(batch, "text") for i, t in zip(piece["doc_id"].to_pylist(), piece["text"].to_pylist()) for m in matcher.matches(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], schema.field(k).type) for k in range(5)], schema=schema)
 
-    return rows.mapInArrow(run, f"doc_id long, {MATCHES}").withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(tidy(run), f"doc_id long, {MATCHES}").withColumnRenamed("doc_id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", **how) -> DataFrame:
@@ -271,7 +272,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text",
                 batch = batch.filter(pa.array(clean, pa.bool_()))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

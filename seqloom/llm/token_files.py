@@ -21,8 +21,6 @@ table writes no files; further columns are not looked at.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import json
 import os
@@ -37,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .workers import give_back, tidy
 from .workspace import Workspace, table
 
 IDS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -155,8 +154,7 @@ class Encoder:
         if cls._kept:
             cls._kept.clear()
             gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     def _plain(self, text: str) -> bool:
         return self.short and PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
@@ -229,7 +227,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_
         if writer is not None:
             yield closed()
 
-    return dealt.mapInArrow(write, "part long, nth long, file string, n_docs long, n_ids long")
+    return dealt.mapInArrow(tidy(write), "part long, nth long, file string, n_docs long, n_ids long")
 
 
 def with_starts(manifest: DataFrame, *, block: int = 1024) -> DataFrame:
@@ -258,7 +256,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("frame", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))
 
     spread = with_starts(manifest).repartition(max(1, min(manifest.count(), 4096)))
-    return spread.mapInArrow(read, "doc_id long, file string, frame long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(read), "doc_id long, file string, frame long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:
