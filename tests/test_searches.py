@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from seqloom.operators.align import EnvelopeConfig, align, lanes_of, searches
-from seqloom.operators.kernels import Scores, SeedIndex, Sweep, seed_counts, short_forward
+from seqloom.operators.kernels import Scores, SeedIndex, Sweep, most_of_short, seed_counts, short_forward
 from seqloom.plans.model import NullModel, Params
 
 SCORES = Scores.of(Params.default())
@@ -57,6 +57,21 @@ def test_short_references_have_the_likelihood_of_their_whole_matrix(local):
             assert ((got == whole) | (np.abs(got - whole) < 1e-8)).all()
 
 
+def test_sums_of_short_references_stay_below_what_their_size_allows():
+    rng, hopeless = np.random.default_rng(5), 0
+    for size in (1, 6, 30, 60, 200):
+        y, q = rng.integers(0, 4, size), rng.integers(0, 40, size)
+        for quality in (None, q):
+            most = most_of_short([y], [quality], SCORES, 52, sums=True)[0]
+            for x in (*(rng.integers(0, 4, n) for n in (1, 5, 20, 51)), y[:50], y[5:40]):
+                if len(x):
+                    for local in (True, False):
+                        assert short_forward([x], y, quality, SCORES, local=local)[0] <= most[len(x)] + 1e-9
+            if size == 200:  # so the E-step need not compute it
+                hopeless += most[51] < np.log(0.25) * size - 60
+    assert hopeless
+
+
 @pytest.mark.parametrize(("best_only", "threshold"), [(True, 0.0), (True, None), (False, None), (False, 0.0)])
 def test_few_sweeps_give_what_all_pairs_give(spark, monkeypatch, best_only, threshold):
     """Most pairs can't reach the threshold, or the best score, and take no sweep."""
